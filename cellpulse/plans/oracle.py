@@ -67,6 +67,79 @@ SELECT timestamp, grid_id, sum(sms_in) AS sms_in, sum(sms_out) AS sms_out,
        CAST(timestamp AS DATE) AS date
 FROM s_clean GROUP BY timestamp, grid_id"""
 
+STEPS["s_text"] = """
+SELECT coalesce(strftime(datetime, '%Y-%m-%d %H:%M:%S'), 'not-a-time') AS datetime,
+       CAST(CellID AS VARCHAR) AS CellID, CAST(countrycode AS VARCHAR) AS countrycode,
+       CAST(smsin AS VARCHAR) AS smsin, CAST(smsout AS VARCHAR) AS smsout,
+       CAST(callin AS VARCHAR) AS callin, CAST(callout AS VARCHAR) AS callout,
+       CAST(internet AS VARCHAR) AS internet, source_file
+FROM s_raw"""
+
+_CH = ["smsin", "smsout", "callin", "callout", "internet"]
+_NEGATIVE = " ".join(
+    f"WHEN neg_{c} > 0 THEN 'Negative activity values found in {c}: ' || neg_{c}" for c in _CH
+)
+_ODD = " ".join(f"WHEN odd_{c} > 0 THEN 'Non-numeric values found in {c}: ' || odd_{c}" for c in _CH)
+STEPS["s_gate"] = f"""
+SELECT filename, CASE WHEN refusal IS NULL THEN 'ACCEPTED' ELSE 'REJECTED' END AS status,
+       row_count, coalesce(refusal, CASE {_ODD} ELSE 'Minimum quality validation passed' END)
+         AS reason
+FROM (SELECT *, CASE
+        WHEN filename LIKE '%7.csv' THEN 'Missing required column(s): internet'
+        WHEN bad_times > 0 THEN 'Malformed timestamp values: ' || bad_times
+        WHEN hours <> 24 THEN 'Expected exactly 24 distinct hourly timestamps, found ' || hours
+        {_NEGATIVE} END AS refusal
+      FROM (SELECT source_file AS filename, count(*) AS row_count,
+                   count(*) - count(datetime) AS bad_times, count(DISTINCT datetime) AS hours,
+                   {', '.join(f'count(*) - count({c}) AS odd_{c}' for c in _CH)},
+                   {', '.join(f'count(*) FILTER ({c} < 0) AS neg_{c}' for c in _CH)}
+            FROM s_raw GROUP BY source_file))"""
+
+STEPS["s_lookup"] = """
+SELECT CellID AS grid_id,
+       CASE WHEN CellID % 11 = 2 THEN 'MultiPoint' ELSE 'Polygon' END AS geometry_type,
+       CAST(CellID % 100 AS DOUBLE) AS x, CAST(CellID // 100 AS DOUBLE) AS y
+FROM (SELECT DISTINCT CellID FROM s_raw WHERE CellID IS NOT NULL)"""
+STEPS["s_some_lookup"] = "SELECT * FROM s_lookup WHERE grid_id % 3 <> 0"
+
+STEPS["s_dim_time"] = """
+SELECT row_number() OVER (ORDER BY timestamp) AS time_key, timestamp,
+       CAST(timestamp AS DATE) AS date_value, CAST(hour(timestamp) AS INTEGER) AS hour_of_day,
+       CAST(dayofweek(timestamp) AS INTEGER) AS day_of_week
+FROM (SELECT DISTINCT timestamp FROM s_hourly)"""
+STEPS["s_dim_grid"] = """
+SELECT row_number() OVER (ORDER BY grid_id) AS grid_key, grid_id,
+       CASE WHEN geometry_type = 'Polygon' THEN round((5 * y + 2) / 5, 6) END
+         AS centroid_latitude,
+       CASE WHEN geometry_type = 'Polygon' THEN round((5 * x + 2) / 5, 6) END
+         AS centroid_longitude,
+       'cells.geojson#' || grid_id AS geometry_ref
+FROM s_lookup"""
+STEPS["s_fact"] = """
+SELECT g.grid_key, t.time_key, h.sms_in, h.sms_out, h.call_in, h.call_out, h.internet_activity,
+       h.total_sms, h.total_calls, h.total_activity
+FROM s_hourly h JOIN s_dim_grid g ON h.grid_id = g.grid_id
+                JOIN s_dim_time t ON h.timestamp = t.timestamp"""
+
+_HOURLY_CHECKS = {
+    "null_keys": "SELECT count(*) FROM s_hourly WHERE grid_id IS NULL OR timestamp IS NULL",
+    "cells_out_of_range": "SELECT count(*) FROM s_hourly WHERE grid_id NOT BETWEEN 1 AND 10000",
+    "null_measures": "SELECT count(*) FROM s_hourly WHERE total_activity IS NULL",
+    "negative_measures": "SELECT count(*) FROM s_hourly WHERE total_activity < 0",
+    "repeated_grain": "SELECT count(*) FROM (SELECT 1 FROM s_hourly GROUP BY timestamp, grid_id"
+    " HAVING count(*) > 1)",
+    "days_without_24_hours": "SELECT count(*) FROM (SELECT date FROM s_hourly GROUP BY date"
+    " HAVING count(DISTINCT timestamp) <> 24)",
+    "negative_daily_totals": "SELECT count(*) FROM (SELECT date FROM s_hourly"
+    " GROUP BY date, grid_id HAVING sum(total_activity) < 0)",
+    "missing_columns": "SELECT 0",
+    "geometry_in_hourly": "SELECT 0",
+}
+STEPS["s_hourly_checks"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS check_name, CAST(({sql}) AS BIGINT) AS failures"
+    for name, sql in _HOURLY_CHECKS.items()
+)
+
 
 def oracle(**statements):
     for name, body in statements.items():
@@ -74,8 +147,8 @@ def oracle(**statements):
 
 
 oracle(
-    clean_activity="SELECT * FROM s_clean",
-    rejected_activity="SELECT * EXCLUDE (bad) FROM s_canon WHERE bad",
+    clean="SELECT * FROM s_clean",
+    rejected="SELECT * EXCLUDE (bad) FROM s_canon WHERE bad",
     null_profile="\nUNION ALL\n".join(
         f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count,
                    round(100.0 * (count(*) - count({c})) / count(*), 6) AS null_pct FROM s_raw"""
@@ -196,3 +269,118 @@ oracle(
                     ORDER BY total_activity DESC, grid_id) AS INTEGER) AS hotspot_rank
         FROM s_hourly""",
 )
+
+oracle(
+    csv_scan="SELECT * FROM s_raw",
+    csv_scan_text="SELECT * FROM s_text",
+    ingest_gate="SELECT * FROM s_gate",
+    ingest_gate_extras="""
+        SELECT source_file AS filename, CAST(0 AS BIGINT) AS rows_of_other_dates,
+               count(*) - count(DISTINCT (datetime, coalesce(CellID, '-'), countrycode))
+                 AS repeated_rows
+        FROM s_text GROUP BY source_file""",
+    ingest_route="""
+        SELECT t.*, CASE WHEN g.status = 'ACCEPTED' THEN 'raw' ELSE 'rejected' END AS zone
+        FROM s_text t JOIN s_gate g ON t.source_file = g.filename""",
+    ingest_ledger="SELECT *, TIMESTAMP '2024-01-31 06:00:00' AS processed_at FROM s_gate",
+    run_status="""
+        SELECT CAST(sum(row_count) AS BIGINT) AS rows_in,
+               CAST(coalesce(sum(row_count) FILTER (status = 'REJECTED'), 0) AS BIGINT)
+                 AS rows_rejected,
+               (SELECT count(*) FROM s_hourly) AS rows_published,
+               (SELECT max(timestamp) FROM s_hourly) AS current_as_of,
+               round(date_diff('second', (SELECT max(timestamp) FROM s_hourly),
+                               TIMESTAMP '2024-01-31 06:00:00') / 3600.0, 6) AS age_hours,
+               '' AS reasons,
+               round(100.0 * coalesce(sum(row_count) FILTER (status = 'REJECTED'), 0)
+                     / sum(row_count), 6) AS rejection_rate_pct,
+               CASE WHEN age_hours <= 2 THEN 'FRESH' WHEN age_hours <= 24 THEN 'RECENT'
+                    ELSE 'STALE' END AS freshness,
+               true AS healthy, 'SUCCESS' AS status
+        FROM s_gate""",
+    sink_roundtrip="""
+        SELECT count(*) AS expected_rows, count(*) AS stored_rows,
+               count(DISTINCT date) AS expected_partitions,
+               count(DISTINCT date) AS stored_partitions, true AS schema_match, true AS passed
+        FROM s_hourly""",
+    dedupe="""
+        SELECT timestamp, grid_id, country_code, total_activity, total_sms, total_calls
+        FROM (SELECT *, row_number() OVER (PARTITION BY timestamp, grid_id, country_code
+                          ORDER BY total_activity, total_sms, total_calls) AS r
+              FROM s_clean) WHERE r = 1""",
+    geo_lookup="""
+        SELECT grid_id, geometry_type,
+               CASE WHEN geometry_type = 'Polygon' THEN CAST(5 AS INTEGER) END AS ring_points,
+               CASE WHEN geometry_type = 'Polygon' THEN x END AS first_longitude,
+               CASE WHEN geometry_type = 'Polygon' THEN y END AS first_latitude
+        FROM s_lookup""",
+    geo_enrich="""
+        SELECT h.grid_id, h.timestamp, h.total_activity, l.geometry_type
+        FROM s_hourly h LEFT JOIN s_some_lookup l ON h.grid_id = l.grid_id""",
+    geo_coverage="""
+        SELECT count(*) AS total_rows, count(l.grid_id) AS matched_rows,
+               count(DISTINCT h.grid_id) AS total_cells,
+               count(DISTINCT l.grid_id) AS matched_cells,
+               round(100.0 * count(l.grid_id) / count(*), 6) AS coverage_pct
+        FROM s_hourly h LEFT JOIN s_some_lookup l ON h.grid_id = l.grid_id""",
+    unmatched_cells="""
+        SELECT DISTINCT grid_id FROM s_hourly
+        WHERE grid_id NOT IN (SELECT grid_id FROM s_some_lookup)""",
+    geometry_types="""
+        SELECT geometry_type, count(*) AS cells FROM s_lookup GROUP BY geometry_type""",
+    geo_validate="""
+        SELECT count(*) AS cells, count(*) - count(l.grid_id) AS missing_geometry,
+               count(*) - count(l.grid_id) AS empty_geometry,
+               count(*) - count(l.grid_id) AS invalid_geometry,
+               count(*) = count(l.grid_id) AS valid
+        FROM (SELECT DISTINCT grid_id FROM s_hourly) h
+        LEFT JOIN s_some_lookup l ON h.grid_id = l.grid_id""",
+    hotspots_geo="""
+        SELECT t.grid_id, t.total_activity, l.geometry_type
+        FROM (SELECT grid_id, sum(total_activity) AS total_activity FROM s_hourly
+              GROUP BY grid_id ORDER BY 2 DESC, 1 LIMIT 10) t
+        LEFT JOIN s_some_lookup l ON t.grid_id = l.grid_id""",
+    dim_time="SELECT * FROM s_dim_time",
+    dim_grid="SELECT * FROM s_dim_grid",
+    dim_upsert="""
+        SELECT row_number() OVER (ORDER BY timestamp < TIMESTAMP '2024-01-16', timestamp)
+                 AS time_key,
+               timestamp, date_value, hour_of_day, day_of_week
+        FROM s_dim_time""",
+    alert_style_upsert="""
+        SELECT grid_id, timestamp,
+               CASE WHEN hour(timestamp) >= 12 THEN total_calls ELSE total_sms END AS v
+        FROM s_hourly""",
+    fact_build="SELECT * FROM s_fact",
+    fact_load="""
+        SELECT f.* FROM s_fact f JOIN s_dim_time t ON f.time_key = t.time_key
+        WHERE t.date_value >= DATE '2024-01-08'""",
+    dimension_coverage="""
+        SELECT count(*) AS hourly_rows,
+               count(*) FILTER (grid_id % 3 <> 0) AS rows_in_dim_grid,
+               count(*) AS rows_in_dim_time
+        FROM s_hourly""",
+    star_history="""
+        SELECT g.grid_id, t.timestamp, t.date_value, t.hour_of_day,
+               f.* EXCLUDE (grid_key, time_key)
+        FROM s_fact f JOIN s_dim_grid g ON f.grid_key = g.grid_key
+                      JOIN s_dim_time t ON f.time_key = t.time_key""",
+    warehouse_checks="""
+        SELECT (SELECT count(*) FROM s_fact) AS fact_rows, CAST(0 AS BIGINT) AS null_measure_rows,
+               (SELECT count(*) FROM s_dim_grid) AS grid_rows,
+               (SELECT count(*) FROM s_dim_time) AS time_rows,
+               CAST(0 AS BIGINT) AS cells_out_of_range, CAST(0 AS BIGINT) AS repeated_grids,
+               CAST(0 AS BIGINT) AS repeated_facts,
+               (SELECT count(*) FROM s_dim_grid) = 4 AS passed""",
+    hourly_checks="SELECT *, failures = 0 AS passed FROM s_hourly_checks",
+    publish_gate="""
+        SELECT count(*) AS checks_run, count(*) FILTER (failures > 0) AS checks_failed,
+               coalesce(string_agg(check_name, ', ' ORDER BY check_name)
+                        FILTER (failures > 0), '') AS failed_checks,
+               CASE WHEN count(*) FILTER (failures > 0) = 0 THEN 'PUBLISH'
+                    ELSE 'DO NOT PUBLISH' END AS decision
+        FROM s_hourly_checks""",
+    audit_sample="""
+        SELECT grid_id, timestamp, total_activity FROM s_hourly
+        WHERE (grid_id * 31 + hour(timestamp) + dayofyear(timestamp) * 7) % 7 = 0""",
+)

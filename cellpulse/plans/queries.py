@@ -1,8 +1,14 @@
 """One registered query per operator. Each runs over the whole tables."""
 
-from cellpulse.operators import clean, rollup
-from cellpulse.plans.tables import Tables, rounded
-from cellpulse.schemas import CHANNELS, RAW_CHANNELS
+from pyspark.sql import functions as F
+
+from cellpulse.operators import checks
+from cellpulse.operators import clean as cleaning
+from cellpulse.operators import geo, rollup, star
+from cellpulse.plans.tables import GEO_FILE, Tables, rounded
+from cellpulse.schemas import RAW_CHANNELS
+from cellpulse.session import scratch_dir
+from cellpulse.sources import files, gate, geojson, tables
 
 REGISTRY = {}
 
@@ -17,28 +23,28 @@ def query(fn):
 
 
 @query
-def clean_activity(t):
+def clean(t):
     return t.clean.drop("_source_file")
 
 
 @query
-def rejected_activity(t):
-    return clean.rejected(t.raw).drop("_source_file")
+def rejected(t):
+    return cleaning.rejected(t.raw).drop("_source_file")
 
 
 @query
 def null_profile(t):
-    return clean.null_profile(t.raw, RAW_CHANNELS)
+    return cleaning.null_profile(t.raw, RAW_CHANNELS)
 
 
 @query
 def row_balance(t):
-    return clean.row_balance(t.raw, t.clean, clean.rejected(t.raw))
+    return cleaning.row_balance(t.raw, t.clean, cleaning.rejected(t.raw))
 
 
 @query
 def time_parts(t):
-    return clean.time_parts(t.hourly.select("timestamp").distinct())
+    return cleaning.time_parts(t.hourly.select("timestamp").distinct())
 
 
 @query
@@ -53,7 +59,7 @@ def multi_country(t):
 
 @query
 def country_freq(t):
-    return rollup.country_freq(clean.canonicalise(t.raw))
+    return rollup.country_freq(cleaning.canonicalise(t.raw))
 
 
 @query
@@ -132,3 +138,206 @@ def hotspots_window(t):
 @query
 def hotspot_rank(t):
     return rollup.hotspot_rank(t.hourly)
+
+
+# --- files, gate, sinks -------------------------------------------------------------------
+
+NOW = "2024-01-31 06:00:00"
+
+
+@query
+def csv_scan(t):
+    pattern = files.write_daily_csv(t.raw, scratch_dir(t.spark, "daily-csv"))
+    return files.read_raw(t.spark, pattern).withColumnRenamed("_source_file", "source_file")
+
+
+@query
+def csv_scan_text(t):
+    pattern = files.write_daily_csv(t.raw_text, scratch_dir(t.spark, "daily-text"))
+    scan = files.read_raw(t.spark, pattern, text=True)
+    return scan.withColumnRenamed("_source_file", "source_file")
+
+
+@query
+def ingest_gate(t):
+    return t.gate
+
+
+@query
+def ingest_gate_extras(t):
+    return gate.source_grain_checks(t.raw_text)
+
+
+@query
+def ingest_route(t):
+    accepted, refused = gate.ingest_route(t.raw_text, t.gate)
+    return (
+        accepted.withColumn("zone", F.lit("raw"))
+        .unionByName(refused.withColumn("zone", F.lit("rejected")))
+        .withColumnRenamed("_source_file", "source_file")
+    )
+
+
+@query
+def ingest_ledger(t):
+    path = scratch_dir(t.spark, "ledger")
+    gate.append_ledger(t.gate, NOW, path)
+    return t.spark.read.parquet(path)
+
+
+@query
+def run_status(t):
+    status = gate.run_status(t.gate, t.hourly, NOW)
+    return status.withColumn("reasons", F.array_join("reasons", " "))
+
+
+@query
+def sink_roundtrip(t):
+    path = scratch_dir(t.spark, "hourly")
+    files.write_partitioned(t.hourly, path)
+    return files.readback_checks(t.hourly, path)
+
+
+@query
+def dedupe(t):
+    keys = ["timestamp", "grid_id", "country_code"]
+    kept = t.clean.select(*keys, "total_activity", "total_sms", "total_calls")
+    return tables.dedupe(kept, keys, ["total_activity", "total_sms", "total_calls"])
+
+
+# --- geometry -----------------------------------------------------------------------------
+
+
+@query
+def geo_lookup(t):
+    path = scratch_dir(t.spark, "geojson")
+    geojson.write_geojson(t.documents, path)
+    lookup = geojson.cell_lookup(geojson.read_geojson(t.spark, path, multiline=False))
+    ring = F.col("shape.coordinates")[0]
+    return lookup.select(
+        "grid_id",
+        F.col("shape.type").alias("geometry_type"),
+        F.size(ring).alias("ring_points"),
+        ring[0][0].alias("first_longitude"),
+        ring[0][1].alias("first_latitude"),
+    )
+
+
+@query
+def geo_enrich(t):
+    joined = geo.geo_enrich(t.hourly, t.some_lookup)
+    return joined.select(
+        "grid_id",
+        "timestamp",
+        "total_activity",
+        F.get_json_object("geometry", "$.type").alias("geometry_type"),
+    )
+
+
+@query
+def geo_coverage(t):
+    return geo.geo_coverage(t.hourly, t.some_lookup)
+
+
+@query
+def unmatched_cells(t):
+    return geo.unmatched_cells(t.hourly, t.some_lookup)
+
+
+@query
+def geometry_types(t):
+    return geo.geometry_types(t.lookup)
+
+
+@query
+def geo_validate(t):
+    return geo.geo_validate(t.hourly, t.some_lookup)
+
+
+@query
+def hotspots_geo(t):
+    top = geo.hotspots_geo(rollup.hotspots(t.hourly), t.some_lookup)
+    kind = F.get_json_object("geometry", "$.type").alias("geometry_type")
+    return top.select("grid_id", "total_activity", kind)
+
+
+# --- star schema --------------------------------------------------------------------------
+
+
+@query
+def dim_time(t):
+    return t.dim_time
+
+
+@query
+def dim_grid(t):
+    return t.dim_grid
+
+
+@query
+def dim_upsert(t):
+    """The second half of the month arrives when the first half is already keyed."""
+    first = star.dim_time(t.hourly.filter(F.col("timestamp") >= "2024-01-16"))
+    return star.dim_time(t.hourly, existing=first)
+
+
+@query
+def alert_style_upsert(t):
+    """Rows of one table replaced by the rows of another on a natural key."""
+    stored = t.hourly.select("grid_id", "timestamp", F.col("total_sms").alias("v"))
+    incoming = t.hourly.filter(F.hour("timestamp") >= 12)
+    incoming = incoming.select("grid_id", "timestamp", F.col("total_calls").alias("v"))
+    return tables.upsert(stored, incoming, ["grid_id", "timestamp"])
+
+
+@query
+def fact_build(t):
+    return t.fact
+
+
+@query
+def fact_load(t):
+    """What a re-run appends when the first week is loaded already."""
+    loaded = star.fact_build(
+        t.hourly.filter(F.col("date") < "2024-01-08"), t.dim_grid, t.dim_time
+    )
+    return star.fact_load(loaded, t.fact)
+
+
+@query
+def dimension_coverage(t):
+    known = t.dim_grid.filter(F.col("grid_id") % 3 != 0)
+    return star.dimension_coverage(t.hourly, known, t.dim_time)
+
+
+@query
+def star_history(t):
+    return star.star_history(t.fact, t.dim_grid, t.dim_time)
+
+
+@query
+def warehouse_checks(t):
+    return star.warehouse_checks(t.dim_grid, t.dim_time, t.fact, expected_cells=4)
+
+
+# --- publication --------------------------------------------------------------------------
+
+
+@query
+def hourly_checks(t):
+    return checks.hourly_checks(t.hourly)
+
+
+@query
+def publish_gate(t):
+    return checks.publish_gate(checks.hourly_checks(t.hourly))
+
+
+@query
+def partition_balance(t):
+    return checks.partition_balance(t.hourly.repartition(8, "date"), 8)
+
+
+@query
+def audit_sample(t):
+    return checks.audit_sample(t.hourly.select("grid_id", "timestamp", "total_activity"), 7)

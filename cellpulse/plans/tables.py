@@ -5,8 +5,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.operators import clean, rollup
-from cellpulse.sources import events
+from cellpulse.operators import clean, rollup, star
+from cellpulse.schemas import RAW_COLUMNS
+from cellpulse.sources import events, gate, geojson
+
+GEO_FILE = "cells.geojson"
 
 
 class Tables:
@@ -33,6 +36,49 @@ class Tables:
     def hourly(self) -> DataFrame:
         return rollup.hourly_summary(self.clean)
 
+    @cached_property
+    def headers(self) -> DataFrame:
+        """Header names per daily file; the files of every tenth day lack one column."""
+        short = F.array(*[F.lit(c) for c in RAW_COLUMNS[:-1]])
+        full = F.array(*[F.lit(c) for c in RAW_COLUMNS])
+        lacking = F.col("filename").rlike("7[.]csv$")
+        return (
+            self.raw_text.select(F.col("_source_file").alias("filename"))
+            .distinct()
+            .withColumn("header", F.when(lacking, short).otherwise(full))
+        )
+
+    @cached_property
+    def gate(self) -> DataFrame:
+        return gate.ingest_gate(self.raw_text, self.headers)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """GeoJSON documents for the cells that occur in the events."""
+        cells = self.raw.select(F.col("CellID").alias("grid_id")).distinct()
+        return geojson.square_documents(cells.filter(F.col("grid_id").isNotNull()))
+
+    @cached_property
+    def lookup(self) -> DataFrame:
+        return geojson.cell_lookup(self.documents)
+
+    @cached_property
+    def some_lookup(self) -> DataFrame:
+        """A lookup that does not know every third cell."""
+        return self.lookup.filter(F.col("grid_id") % 3 != 0)
+
+    @cached_property
+    def dim_time(self) -> DataFrame:
+        return star.dim_time(self.hourly)
+
+    @cached_property
+    def dim_grid(self) -> DataFrame:
+        return star.dim_grid(self.lookup, GEO_FILE)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return star.fact_build(self.hourly, self.dim_grid, self.dim_time)
+
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison: engines add up means and deviations in different orders."""
