@@ -141,6 +141,274 @@ STEPS["s_hourly_checks"] = " UNION ALL ".join(
 )
 
 
+def _features(extra_columns, where):
+    return f"""
+SELECT grid_id, timestamp AS feature_timestamp, ra AS avg_activity,
+       {extra_columns}
+       CAST(ah AS INTEGER) AS active_hours,
+       CASE WHEN ra = 0 THEN 0.0 ELSE pk / ra END AS peak_ratio,
+       CASE WHEN rt = 0 THEN 0.0 ELSE ri / rt END AS internet_share
+FROM (SELECT grid_id, timestamp, avg(total_activity) OVER near AS ra,
+             max(total_activity) OVER near AS pk,
+             count(*) FILTER (total_activity > 0) OVER near AS ah,
+             stddev_samp(total_activity) OVER near AS ds,
+             stddev_pop(total_activity) OVER near AS dp,
+             sum(total_activity) OVER near AS rt, sum(internet_activity) OVER near AS ri,
+             avg(total_activity) OVER far AS pa, count(*) OVER both_days AS n,
+             count(*) OVER span AS n_span
+      FROM s_hourly
+      WINDOW near AS (PARTITION BY grid_id ORDER BY timestamp
+                      ROWS BETWEEN 23 PRECEDING AND CURRENT ROW),
+             far AS (PARTITION BY grid_id ORDER BY timestamp
+                     ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING),
+             both_days AS (PARTITION BY grid_id ORDER BY timestamp
+                           ROWS BETWEEN 47 PRECEDING AND CURRENT ROW),
+             span AS (PARTITION BY grid_id ORDER BY timestamp
+                      RANGE BETWEEN INTERVAL 47 HOURS PRECEDING AND CURRENT ROW))
+WHERE {where}"""
+
+
+STEPS["s_features"] = _features(
+    """CASE WHEN pa = 0 THEN CASE WHEN ra = 0 THEN 0.0 ELSE 1.0 END ELSE (ra - pa) / pa END
+         AS activity_growth,
+       coalesce(ds, 0.0) AS variability,""",
+    "n_span = 48",
+)
+STEPS["s_features_pop"] = _features(
+    """CASE WHEN pa = 0 THEN 0.0 ELSE (ra - pa) / pa END AS activity_growth,
+       coalesce(dp, 0.0) AS variability,""",
+    "n = 48",
+)
+STEPS["s_median"] = """
+SELECT grid_id, timestamp AS feature_timestamp, m AS trailing_median_24h
+FROM (SELECT grid_id, timestamp, median(total_activity) OVER w AS m, count(*) OVER w AS n
+      FROM s_hourly
+      WINDOW w AS (PARTITION BY grid_id ORDER BY timestamp
+                   RANGE BETWEEN INTERVAL 23 HOURS PRECEDING AND CURRENT ROW))
+WHERE n = 24"""
+STEPS["s_labels"] = """
+SELECT m.grid_id, m.feature_timestamp, h.timestamp AS target_timestamp,
+       h.total_activity AS target_activity, m.trailing_median_24h,
+       CASE WHEN m.trailing_median_24h > 0 THEN h.total_activity / m.trailing_median_24h END
+         AS target_ratio,
+       CAST(h.total_activity > 1.5 * m.trailing_median_24h AS INTEGER) AS high_activity
+FROM s_median m JOIN s_hourly h
+  ON h.grid_id = m.grid_id AND h.timestamp = m.feature_timestamp + INTERVAL 1 HOUR"""
+STEPS["s_calendar"] = """
+SELECT DISTINCT timestamp AS feature_timestamp, CAST(hour(timestamp) AS INTEGER) AS hour_of_day,
+       CAST(isodow(timestamp) - 1 AS INTEGER) AS day_of_week
+FROM s_hourly"""
+STEPS["s_table2"] = """
+SELECT f.*, m.trailing_median_24h, c.hour_of_day, c.day_of_week
+FROM s_features f JOIN s_median m USING (grid_id, feature_timestamp)
+                  JOIN s_calendar c USING (feature_timestamp)"""
+STEPS["s_train"] = """
+SELECT f.*, l.target_timestamp, l.target_activity, l.trailing_median_24h, l.target_ratio,
+       l.high_activity, c.hour_of_day, c.day_of_week
+FROM s_features f JOIN s_labels l USING (grid_id, feature_timestamp)
+                  JOIN s_calendar c USING (feature_timestamp)"""
+STEPS["s_scored"] = """
+SELECT *, CAST(probability >= 0.5 AS INTEGER) AS prediction
+FROM (SELECT *, round(least(peak_ratio / 6, 1.0), 6) AS probability FROM s_train)"""
+
+STEPS["s_daily_total"] = """
+SELECT grid_id, date, sum(total_activity) AS total, count(*) AS n
+FROM s_hourly GROUP BY grid_id, date"""
+STEPS["s_ranked_day"] = """
+SELECT grid_id, timestamp, date, total_activity,
+       list(total_activity) OVER (PARTITION BY grid_id, date) AS day_values
+FROM s_hourly"""
+STEPS["s_loo"] = """
+SELECT grid_id, timestamp, date, total_activity, day_values,
+       CASE WHEN len(day_values) > 1 THEN list_aggregate(
+            list_concat(list_sort(day_values)[:list_position(list_sort(day_values),
+                                                             total_activity) - 1],
+                        list_sort(day_values)[list_position(list_sort(day_values),
+                                                            total_activity) + 1:]),
+            'median') END AS baseline_activity
+FROM s_ranked_day"""
+STEPS["s_hours"] = """
+SELECT l.grid_id, l.timestamp, l.total_activity,
+       lag(l.total_activity) OVER (PARTITION BY l.grid_id ORDER BY l.timestamp)
+         AS previous_activity,
+       l.baseline_activity, d.n,
+       d.total >= (SELECT quantile_cont(total, 0.1) FROM s_daily_total) AS above_floor
+FROM s_loo l JOIN s_daily_total d ON l.grid_id = d.grid_id AND l.date = d.date"""
+
+
+def _alerts(condition, baseline):
+    def one(kind, rule, text):
+        return f"""SELECT grid_id, timestamp, '{kind}' AS alert_type,
+              total_activity AS current_activity, {baseline} AS baseline_activity,
+              'Current activity ' || printf('%.2f', total_activity) || {text} || '.' AS reason
+       FROM s_hours WHERE {condition} AND {rule}"""
+
+    return " UNION ALL ".join(
+        [
+            one("HIGH_ACTIVITY", f"total_activity >= 1.5 * {baseline}",
+                "' is at least 1.50x the within-day baseline ' || "
+                f"printf('%.2f', {baseline})"),
+            one("ACTIVITY_SPIKE",
+                "previous_activity IS NOT NULL AND total_activity >= 1.5 * previous_activity",
+                "' is at least 1.50x the preceding hour ' || printf('%.2f', previous_activity)"),
+            one("ACTIVITY_DROP", f"total_activity <= 0.5 * {baseline}",
+                "' is at most 0.50x the within-day baseline ' || "
+                f"printf('%.2f', {baseline})"),
+        ]
+    )
+
+
+STEPS["s_alerts"] = (
+    "SELECT *, CASE WHEN alert_type = 'HIGH_ACTIVITY' THEN 'HIGH' ELSE 'MEDIUM' END AS severity"
+    f" FROM ({_alerts('above_floor AND n = 24', 'baseline_activity')})"
+)
+STEPS["s_alerts_any"] = _alerts("above_floor", "baseline_activity")
+
+STEPS["s_anomalies"] = """
+SELECT grid_id, timestamp, hour_of_day, total_activity, historical_baseline, baseline_count,
+       deviation, abs(deviation) AS anomaly_score, anomaly_direction,
+       CAST(anomaly_direction IN ('HIGH', 'LOW') AS INTEGER) AS anomaly_flag,
+       CASE WHEN anomaly_direction IN ('HIGH', 'LOW') THEN 'INVESTIGATE' ELSE 'NONE' END
+         AS recommended_action,
+       CASE anomaly_direction
+         WHEN 'HIGH' THEN 'Activity is ' || pct || '% above the historical baseline for ' || place
+              || ' (baseline=' || printf('%.2f', historical_baseline) || ', history_count='
+              || baseline_count || ').'
+         WHEN 'LOW' THEN 'Activity is ' || pct || '% below the historical baseline for ' || place
+              || ' (baseline=' || printf('%.2f', historical_baseline) || ', history_count='
+              || baseline_count || ').'
+         WHEN 'NORMAL' THEN 'Activity is within the historical range for ' || place
+              || ' (' || pct || '% absolute deviation).'
+         ELSE 'Insufficient historical observations to establish a reliable baseline for '
+              || place || ' (history_count=' || baseline_count || '; minimum_required=3).'
+       END AS reason
+FROM (SELECT *, CASE WHEN deviation IS NULL THEN 'UNKNOWN' WHEN deviation >= 0.5 THEN 'HIGH'
+                     WHEN deviation <= -0.5 THEN 'LOW' ELSE 'NORMAL' END AS anomaly_direction,
+             printf('%.1f', round(abs(deviation) * 100, 1)) AS pct,
+             printf('grid %d at hour %02d', grid_id, hour_of_day) AS place
+      FROM (SELECT *, CASE WHEN historical_baseline <> 0
+                      THEN (total_activity - historical_baseline) / historical_baseline END
+                        AS deviation
+            FROM (SELECT grid_id, timestamp, CAST(hour(timestamp) AS INTEGER) AS hour_of_day,
+                         total_activity,
+                         CAST(row_number() OVER w - 1 AS INTEGER) AS baseline_count,
+                         CASE WHEN row_number() OVER w > 3 THEN median(total_activity) OVER (
+                              PARTITION BY grid_id, hour(timestamp) ORDER BY timestamp
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END
+                           AS historical_baseline
+                  FROM s_hourly
+                  WINDOW w AS (PARTITION BY grid_id, hour(timestamp) ORDER BY timestamp))))"""
+STEPS["s_buckets"] = """
+SELECT grid_id, CAST(hour(timestamp) AS INTEGER) AS hour_of_day, count(*) AS bucket_count
+FROM s_hourly GROUP BY ALL"""
+
+STEPS["s_predictions"] = """
+SELECT grid_id, target_timestamp AS timestamp, peak_ratio, activity_growth, trailing_median_24h,
+       target_activity, prediction AS ml_prediction, probability AS ml_prediction_probability
+FROM s_scored"""
+STEPS["s_indicators"] = """
+SELECT grid_id, timestamp, CAST(max(alert_type = 'HIGH_ACTIVITY') AS INTEGER) AS np3_high,
+       CAST(max(alert_type = 'ACTIVITY_SPIKE') AS INTEGER) AS np3_spike,
+       max(CASE WHEN alert_type = 'HIGH_ACTIVITY' THEN baseline_activity END)
+         AS np3_baseline_activity
+FROM s_alerts GROUP BY grid_id, timestamp"""
+
+
+def _three(third):
+    return f"""CASE WHEN m3 AND m4 AND {third} THEN 'ALL_THREE'
+            WHEN m3 AND m4 THEN 'ML3_ML4_ONLY' WHEN m3 AND {third} THEN 'ML3_NP3_ONLY'
+            WHEN m4 AND {third} THEN 'ML4_NP3_ONLY' WHEN m3 THEN 'ML3_ONLY'
+            WHEN m4 THEN 'ML4_ONLY' WHEN {third} THEN 'NP3_ONLY' ELSE 'NONE' END"""
+
+
+def _two(a, b, names):
+    both, first, second, none = names
+    return (
+        f"CASE WHEN {a} AND {b} THEN '{both}' WHEN {a} THEN '{first}' WHEN {b} THEN '{second}'"
+        f" ELSE '{none}' END"
+    )
+
+
+STEPS["s_compared"] = f"""
+SELECT * EXCLUDE (m3, m4, odd, n_high, n_spike),
+       {_two('m3', 'odd', ['BOTH_ANOMALY', 'ML3_ONLY', 'ML4_ONLY', 'NEITHER'])}
+         AS agreement_category,
+       CASE WHEN m3 AND m4 THEN 'BOTH_ML3_AND_ML4_HIGH' WHEN m3 THEN 'ML3_HIGH_ONLY'
+            WHEN m4 THEN 'ML4_HIGH_ONLY' WHEN anomaly_direction = 'LOW' THEN 'ML4_LOW'
+            ELSE 'NEITHER_HIGH' END AS direction_category,
+       {_two('m3', 'm4', ['BOTH_HIGH', 'ML3_HIGH_ONLY', 'ML4_HIGH_ONLY', 'NEITHER_HIGH'])}
+         AS high_comparison_group,
+       {_two('m3', 'n_high', ['BOTH_AGREE_HIGH_ACTIVITY', 'ML_ONLY', 'NP3_ONLY', 'NEITHER'])}
+         AS ml_vs_rule_high,
+       {_two('m3', 'n_spike', ['BOTH_AGREE_SPIKE', 'ML_ONLY', 'NP3_ONLY', 'NEITHER'])}
+         AS ml_vs_rule_spike,
+       {_three('n_high')} AS three_way_high_category,
+       {_three('n_spike')} AS three_way_spike_category
+FROM (SELECT p.*, a.hour_of_day, a.total_activity, a.historical_baseline, a.deviation,
+             a.anomaly_direction, a.anomaly_flag, coalesce(i.np3_high, 0) AS np3_high,
+             coalesce(i.np3_spike, 0) AS np3_spike, i.np3_baseline_activity,
+             p.ml_prediction = 1 AS m3, a.anomaly_direction = 'HIGH' AS m4,
+             a.anomaly_flag = 1 AS odd, coalesce(i.np3_high, 0) = 1 AS n_high,
+             coalesce(i.np3_spike, 0) = 1 AS n_spike
+      FROM s_predictions p JOIN s_anomalies a USING (grid_id, timestamp)
+      LEFT JOIN s_indicators i USING (grid_id, timestamp))"""
+
+STEPS["s_requests"] = """
+SELECT DISTINCT grid_id, date_trunc('day', timestamp) + INTERVAL 810 MINUTES AS as_of
+FROM s_hourly"""
+STEPS["s_day_pairs"] = """
+SELECT DISTINCT grid_id, date AS date_a, CAST(date + 7 AS DATE) AS date_b FROM s_hourly"""
+
+
+def _stats(by):
+    return f"""
+SELECT {by}, sum(total_activity) AS total, avg(total_activity) AS average,
+       sum(total_sms) AS sms_total, avg(total_sms) AS sms_avg, max(total_sms) AS sms_peak,
+       sum(total_calls) AS calls_total, avg(total_calls) AS calls_avg,
+       max(total_calls) AS calls_peak, sum(internet_activity) AS internet_total,
+       avg(internet_activity) AS internet_avg, max(internet_activity) AS internet_peak,
+       max(total_activity) AS peak,
+       CAST(hour(min(timestamp) FILTER (total_activity = m)) AS INTEGER) AS peak_hour
+FROM (SELECT *, max(total_activity) OVER (PARTITION BY {by}) AS m FROM s_hourly) GROUP BY {by}"""
+
+
+STEPS["s_cell_stats"] = _stats("grid_id")
+STEPS["s_day_stats"] = _stats("grid_id, date")
+
+
+def _r(*names):
+    """Replacement list that rounds the named columns."""
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+_SIX = ["avg_activity", "activity_growth", "peak_ratio", "variability", "internet_share"]
+
+
+def _describe(table, columns, extra=()):
+    parts = []
+    for c in columns:
+        qs = "".join(
+            f", round(quantile_cont({c}, {q}), 6) AS {name}"
+            for q, name in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75"), *extra]
+        )
+        parts.append(
+            f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean,
+                round(stddev_samp({c}), 6) AS std,
+                round(CAST(min({c}) AS DOUBLE), 6) AS min_value,
+                round(CAST(max({c}) AS DOUBLE), 6) AS max_value{qs} FROM {table}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _shares(table, columns):
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS comparison, {c} AS category, count(*) AS n_rows,
+            round(count(*) * 100.0 / (SELECT count(*) FROM {table}), 6) AS percentage
+            FROM {table} GROUP BY {c}"""
+        for c in columns
+    )
+
+
 def oracle(**statements):
     for name, body in statements.items():
         ORACLE[name] = body
@@ -294,7 +562,10 @@ oracle(
                '' AS reasons,
                round(100.0 * coalesce(sum(row_count) FILTER (status = 'REJECTED'), 0)
                      / sum(row_count), 6) AS rejection_rate_pct,
-               CASE WHEN age_hours <= 2 THEN 'FRESH' WHEN age_hours <= 24 THEN 'RECENT'
+               CASE WHEN date_diff('second', (SELECT max(timestamp) FROM s_hourly),
+                                   TIMESTAMP '2024-01-31 06:00:00') <= 7200 THEN 'FRESH'
+                    WHEN date_diff('second', (SELECT max(timestamp) FROM s_hourly),
+                                   TIMESTAMP '2024-01-31 06:00:00') <= 86400 THEN 'RECENT'
                     ELSE 'STALE' END AS freshness,
                true AS healthy, 'SUCCESS' AS status
         FROM s_gate""",
@@ -384,3 +655,326 @@ oracle(
         SELECT grid_id, timestamp, total_activity FROM s_hourly
         WHERE (grid_id * 31 + hour(timestamp) + dayofyear(timestamp) * 7) % 7 = 0""",
 )
+
+_FEATURE_CHECKS = {
+    "null_rows": "SELECT count(*) FROM s_features WHERE avg_activity IS NULL",
+    "non_finite_rows": "SELECT count(*) FROM s_features WHERE NOT isfinite(avg_activity)",
+    "cells_out_of_range": "SELECT count(*) FROM s_features WHERE grid_id NOT BETWEEN 1 AND 10000",
+    "active_hours_out_of_range":
+        "SELECT count(*) FROM s_features WHERE active_hours NOT BETWEEN 0 AND 24",
+    "share_out_of_range":
+        "SELECT count(*) FROM s_features WHERE internet_share NOT BETWEEN 0 AND 1",
+    "repeated_keys": "SELECT count(*) - count(DISTINCT (grid_id, feature_timestamp))"
+                     " FROM s_features",
+}
+_CATEGORIES = [
+    "agreement_category", "direction_category", "high_comparison_group", "ml_vs_rule_high",
+    "ml_vs_rule_spike", "three_way_high_category", "three_way_spike_category",
+]
+_PROFILED = [
+    "peak_ratio", "activity_growth", "trailing_median_24h", "target_activity",
+    "ml_prediction_probability", "deviation", "historical_baseline",
+]
+_GROUPS = ["BOTH_HIGH", "ML3_HIGH_ONLY", "ML4_HIGH_ONLY", "NEITHER_HIGH"]
+
+oracle(
+    cadence_gaps="""
+        SELECT grid_id, timestamp, p AS previous_timestamp,
+               round(date_diff('second', p, timestamp) / 3600.0, 6) AS hour_difference,
+               coalesce(date_diff('second', p, timestamp) <> 3600, false) AS cadence_gap
+        FROM (SELECT grid_id, timestamp,
+                     lag(timestamp) OVER (PARTITION BY grid_id ORDER BY timestamp) AS p
+              FROM s_hourly)""",
+    cadence_gaps_network="""
+        SELECT date, timestamp, p AS previous_timestamp,
+               round(date_diff('second', p, timestamp) / 3600.0, 6) AS hour_difference,
+               coalesce(date_diff('second', p, timestamp) <> 3600, false) AS cadence_gap
+        FROM (SELECT date, timestamp,
+                     lag(timestamp) OVER (PARTITION BY date ORDER BY timestamp) AS p
+              FROM (SELECT DISTINCT date, timestamp FROM s_hourly))""",
+    sequences="""
+        SELECT grid_id, timestamp, total_activity, p AS previous_timestamp,
+               coalesce(p <> timestamp - INTERVAL 1 HOUR, false) AS cadence_gap,
+               CAST(count(*) FILTER (p IS NULL OR p <> timestamp - INTERVAL 1 HOUR)
+                    OVER (PARTITION BY grid_id ORDER BY timestamp
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+                 AS sequence_id
+        FROM (SELECT grid_id, timestamp, total_activity,
+                     lag(timestamp) OVER (PARTITION BY grid_id ORDER BY timestamp) AS p
+              FROM s_hourly)""",
+    features=f"SELECT * REPLACE ({_r(*_SIX)}) FROM s_features",
+    features_pop=f"SELECT * REPLACE ({_r(*_SIX)}) FROM s_features_pop",
+    feature_table=f"SELECT * REPLACE ({_r(*_SIX)}) FROM s_table2",
+    feature_checks=" UNION ALL ".join(
+        f"SELECT '{n}' AS check_name, ({q}) AS failures, ({q}) = 0 AS passed"
+        for n, q in _FEATURE_CHECKS.items()
+    ),
+    feature_describe=_describe(
+        "s_table2",
+        ["avg_activity", "activity_growth", "peak_ratio", "variability", "internet_share",
+         "trailing_median_24h", "hour_of_day", "day_of_week"],
+    ),
+    trailing_median="SELECT * FROM s_median",
+    next_hour_label=f"SELECT * REPLACE ({_r('target_ratio')}) FROM s_labels",
+    ml_dataset=f"SELECT * REPLACE ({_r(*_SIX, 'target_ratio')}) FROM s_train",
+    training_table=f"SELECT * REPLACE ({_r(*_SIX, 'target_ratio')}) FROM s_train",
+    target_ratio_stats=_describe(
+        "s_labels",
+        ["target_ratio", "trailing_median_24h", "target_activity"],
+        [(0.9, "p90"), (0.95, "p95"), (0.975, "p97_5"), (0.99, "p99")],
+    ),
+    target_ratio_near=f"""
+        SELECT * REPLACE ({_r('target_ratio')}) FROM s_labels
+        WHERE target_ratio BETWEEN 1.4 AND 1.6""",
+    class_balance="""
+        SELECT high_activity, count(*) AS n_rows,
+               round(count(*) / (SELECT count(*) FROM s_labels), 6) AS proportion
+        FROM s_labels GROUP BY high_activity""",
+    leakage_check="""
+        SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS rows_on_one_side,
+               CAST(0 AS BIGINT) AS rows_changed, true AS leak_free
+        FROM s_features WHERE feature_timestamp <= TIMESTAMP '2024-01-16 12:00:00'""",
+    daily_coverage="""
+        SELECT grid_id, date, count(DISTINCT hour(timestamp)) AS hour_count,
+               count(DISTINCT hour(timestamp)) = 24 AS complete_day
+        FROM s_hourly GROUP BY grid_id, date""",
+    activity_floor="""
+        SELECT count(*) AS grid_days, round(quantile_cont(total, 0.1), 6) AS activity_floor
+        FROM s_daily_total""",
+    loo_baseline="SELECT grid_id, timestamp, total_activity, baseline_activity FROM s_loo",
+    hotspot_ratio="""
+        SELECT grid_id, timestamp, total_activity, baseline_activity,
+               round(CASE WHEN baseline_activity > 0 THEN total_activity / baseline_activity END, 6)
+                 AS activity_ratio,
+               coalesce(baseline_activity > 0 AND total_activity / baseline_activity >= 1.5, false)
+                 AS hotspot_flag
+        FROM s_loo""",
+    alerts="SELECT * FROM s_alerts",
+    alerts_any_day="SELECT * FROM s_alerts_any",
+    alert_summary="""
+        SELECT count(*) AS total_alert_records,
+               count(DISTINCT (grid_id, timestamp)) AS alerted_grid_hours,
+               count(*) FILTER (alert_type = 'HIGH_ACTIVITY') AS high_activity,
+               count(*) FILTER (alert_type = 'ACTIVITY_SPIKE') AS activity_spike,
+               count(*) FILTER (alert_type = 'ACTIVITY_DROP') AS activity_drop,
+               (SELECT count(*) FROM s_hourly) AS total_grid_hours,
+               round(count(DISTINCT (grid_id, timestamp)) / (SELECT count(*) FROM s_hourly), 6)
+                 AS proportion_alerted
+        FROM s_alerts""",
+    alert_top_cells="""
+        SELECT grid_id, count(*) AS alerts FROM s_alerts GROUP BY grid_id
+        ORDER BY 2 DESC, 1 LIMIT 10""",
+    alert_type_summary="""
+        SELECT alert_type, severity, count(*) AS alert_count, min(timestamp) AS first_timestamp,
+               max(timestamp) AS last_timestamp
+        FROM s_alerts GROUP BY alert_type, severity""",
+    alert_load_checks="""
+        SELECT count(*) AS total_rows, CAST(0 AS BIGINT) AS null_grid_id,
+               CAST(0 AS BIGINT) AS null_timestamp, CAST(0 AS BIGINT) AS null_alert_type,
+               CAST(0 AS BIGINT) AS null_current_activity, count(*) - count(reason) AS null_reason,
+               CAST(0 AS BIGINT) AS unknown_types, CAST(0 AS BIGINT) AS repeated_rows
+        FROM s_alerts""",
+    alert_grain_check="""
+        SELECT grid_id, timestamp, alert_type, CAST(2 AS BIGINT) AS n_rows
+        FROM s_alerts WHERE alert_type = 'ACTIVITY_DROP'""",
+    anomalies=f"SELECT * REPLACE ({_r('deviation', 'anomaly_score')}) FROM s_anomalies",
+    anomalies_long_history=f"""
+        SELECT * REPLACE ({_r('deviation', 'anomaly_score')}) FROM s_anomalies""",
+    bucket_coverage="""
+        SELECT count(*) AS buckets, min(bucket_count) AS min_rows, max(bucket_count) AS max_rows,
+               round(avg(bucket_count), 6) AS mean_rows,
+               count(*) FILTER (bucket_count < 3) AS low_history_buckets,
+               CAST(120 AS BIGINT) AS expected_buckets, 120 - count(*) AS missing_buckets
+        FROM s_buckets""",
+    low_history_buckets="SELECT * FROM s_buckets WHERE bucket_count < 30",
+    anomaly_summary="""
+        SELECT anomaly_direction, anomaly_flag, recommended_action, count(*) AS n_rows,
+               count(*) - count(historical_baseline) AS null_historical_baseline,
+               count(*) - count(deviation) AS null_deviation,
+               count(*) - count(anomaly_score) AS null_anomaly_score
+        FROM s_anomalies GROUP BY anomaly_direction, anomaly_flag, recommended_action""",
+    anomaly_checks="""
+        SELECT count(*) AS total_rows, CAST(0 AS BIGINT) AS hour_mismatches,
+               CAST(0 AS BIGINT) AS baseline_too_early, CAST(0 AS BIGINT) AS baseline_missing,
+               CAST(0 AS BIGINT) AS missing_reasons, CAST(0 AS BIGINT) AS buckets_not_from_zero
+        FROM s_anomalies""",
+    baseline_audit="""
+        SELECT grid_id, timestamp, historical_baseline, historical_baseline AS recomputed,
+               true AS agrees
+        FROM s_anomalies
+        WHERE (grid_id * 31 + hour(timestamp) + dayofyear(timestamp) * 7) % 5 = 0""",
+    detector_compare=f"""
+        SELECT * REPLACE ({_r('peak_ratio', 'activity_growth', 'deviation')}) FROM s_compared""",
+    detector_shares=_shares("s_compared", _CATEGORIES),
+    anomaly_vs_rules=f"""
+        SELECT *, {_two("anomaly_direction = 'HIGH'", 'np3_high = 1',
+                        ['BOTH_AGREE', 'ML4_ONLY', 'NP3_ONLY', 'NEITHER'])} AS ml4_vs_np3_high,
+               {_two("anomaly_direction = 'HIGH'", 'np3_spike = 1',
+                     ['BOTH_AGREE', 'ML4_ONLY', 'NP3_ONLY', 'NEITHER'])} AS ml4_vs_np3_spike
+        FROM (SELECT a.grid_id, a.timestamp, a.total_activity,
+                     round(a.deviation, 6) AS deviation, a.anomaly_direction,
+                     coalesce(i.np3_high, 0) AS np3_high, coalesce(i.np3_spike, 0) AS np3_spike,
+                     i.np3_baseline_activity
+              FROM s_anomalies a LEFT JOIN s_indicators i USING (grid_id, timestamp)
+              WHERE a.timestamp BETWEEN (SELECT min(timestamp) FROM s_predictions)
+                                    AND (SELECT max(timestamp) FROM s_predictions))""",
+    detector_agreement="""
+        SELECT count(*) AS total_compared,
+               count(*) FILTER (ml_prediction = 1 AND np3_spike = 1) AS both_agree,
+               count(*) FILTER (ml_prediction = 1 AND np3_spike = 0) AS ml_only,
+               count(*) FILTER (ml_prediction = 0 AND np3_spike = 1) AS np3_only,
+               count(*) FILTER (ml_prediction = 0 AND np3_spike = 0) AS neither,
+               round(count(*) FILTER (ml_prediction = np3_spike) / count(*), 6) AS agreement_rate
+        FROM s_compared""",
+    disagreement_profile=" UNION ALL ".join(
+        f"""SELECT high_comparison_group, '{c}' AS "column",
+            round(median({c}), 4) AS median_value, round(avg({c}), 4) AS mean_value
+            FROM s_compared GROUP BY high_comparison_group"""
+        for c in _PROFILED
+    ),
+    disagreement_hours="SELECT hour_of_day, "
+    + ", ".join(
+        f"""round(count(*) FILTER (high_comparison_group = '{g}') * 100.0
+            / nullif((SELECT count(*) FROM s_compared WHERE high_comparison_group = '{g}'), 0), 6)
+            AS {g.lower()}"""
+        for g in _GROUPS
+    )
+    + " FROM s_compared GROUP BY hour_of_day",
+    disagreement_examples="""
+        SELECT three_way_high_category, CAST(place AS INTEGER) AS place, grid_id, timestamp,
+               round(signal, 6) AS signal
+        FROM (SELECT *, row_number() OVER (PARTITION BY three_way_high_category
+                             ORDER BY signal DESC NULLS LAST, grid_id, timestamp) AS place
+              FROM (SELECT *, CASE three_way_high_category WHEN 'ML4_ONLY' THEN deviation
+                                   WHEN 'NP3_ONLY' THEN np3_baseline_activity
+                                   ELSE ml_prediction_probability END AS signal
+                    FROM s_compared
+                    WHERE three_way_high_category NOT IN ('NONE', 'ML3_NP3_ONLY')))
+        WHERE place <= 5""",
+)
+
+
+def _network(scope):
+    return f"""
+        SELECT sum(total_activity) AS total_activity,
+               (SELECT count(*) FROM s_hourly WHERE timestamp = TIMESTAMP '2024-01-20 18:00:00'
+                                                AND total_activity > 0) AS active_grids,
+               (SELECT CAST(hour(timestamp) AS INTEGER) FROM {scope} GROUP BY 1
+                ORDER BY sum(total_activity) DESC, 1 LIMIT 1) AS peak_hour,
+               (SELECT grid_id FROM s_upto GROUP BY 1
+                ORDER BY sum(total_activity) DESC, 1 LIMIT 1) AS top_grid,
+               TIMESTAMP '2024-01-20 18:00:00' AS as_of
+        FROM {scope}"""
+
+
+STEPS["s_upto"] = "SELECT * FROM s_hourly WHERE timestamp <= TIMESTAMP '2024-01-20 18:00:00'"
+_ACTIVITY = """SELECT grid_id, timestamp, CAST(hour(timestamp) AS INTEGER) AS hour_of_day,
+               total_sms, total_calls, internet_activity, total_activity FROM s_upto"""
+_PAIR = "round(a.average, 6) AS average_a, round(b.average, 6) AS average_b, " + ", ".join(
+    f"a.{c} AS {c}_a, b.{c} AS {c}_b" for c in ["total", "peak", "peak_hour"]
+)
+_DIFF = """CASE WHEN least(a.total, b.total) > 0
+           THEN (greatest(a.total, b.total) - least(a.total, b.total)) / least(a.total, b.total)
+                * 100 ELSE 100.0 END"""
+_AVERAGES = ["average", "sms_avg", "calls_avg", "internet_avg"]
+
+oracle(
+    network_summary=_network("s_hourly"),
+    network_summary_strict=_network("s_upto"),
+    grid_activity="""
+        SELECT grid_id, timestamp, CAST(hour(timestamp) AS INTEGER) AS hour_of_day, total_sms,
+               total_calls, internet_activity, total_activity
+        FROM s_hourly
+        WHERE timestamp >= (SELECT max(timestamp) FROM s_hourly) - INTERVAL 23 HOURS""",
+    grid_activity_date=_ACTIVITY + " WHERE grid_id IN (1, 2) AND date = DATE '2024-01-20'",
+    grid_activity_hour=_ACTIVITY + " WHERE hour(timestamp) = 9",
+    grid_activity_from=_ACTIVITY + " WHERE hour(timestamp) = 9 AND date >= DATE '2024-01-10'",
+    features_as_of=f"""
+        SELECT r.grid_id, r.as_of, f.* EXCLUDE (grid_id) REPLACE ({_r(*_SIX)}),
+               CASE WHEN f.grid_id IS NULL THEN 'NOT FOUND' ELSE 'GOOD' END AS data_quality,
+               CASE WHEN f.feature_timestamp >= l.t THEN 'CURRENT'
+                    WHEN date_diff('second', f.feature_timestamp, l.t) <= 86400 THEN 'RECENT'
+                    WHEN f.feature_timestamp IS NOT NULL THEN 'STALE' END AS feature_freshness
+        FROM s_requests r
+        ASOF LEFT JOIN s_features f ON r.grid_id = f.grid_id AND r.as_of >= f.feature_timestamp,
+        (SELECT max(timestamp) AS t FROM s_hourly) l""",
+    anomaly_as_of=f"""
+        SELECT r.grid_id, r.as_of,
+               a.* EXCLUDE (grid_id, reason) REPLACE ({_r('deviation', 'anomaly_score')})
+        FROM s_requests r
+        ASOF LEFT JOIN s_anomalies a ON r.grid_id = a.grid_id AND r.as_of >= a.timestamp""",
+    alerts_feed="""
+        SELECT * FROM s_alerts WHERE timestamp <= TIMESTAMP '2024-01-20 18:00:00'
+        ORDER BY timestamp DESC, grid_id, alert_type LIMIT 100""",
+    alerts_feed_filtered="""
+        SELECT * FROM s_alerts
+        WHERE timestamp <= TIMESTAMP '2024-01-20 18:00:00' AND severity = 'MEDIUM'
+          AND alert_type = 'ACTIVITY_DROP'
+        ORDER BY timestamp DESC, grid_id, alert_type LIMIT 20""",
+    alert_hotspots="""
+        SELECT a.* FROM s_alerts a
+        JOIN (SELECT grid_id, max(timestamp) AS t FROM s_alerts
+              WHERE timestamp <= TIMESTAMP '2024-01-20 18:00:00' GROUP BY grid_id) m
+          ON a.grid_id = m.grid_id AND a.timestamp = m.t
+        ORDER BY a.current_activity DESC, a.timestamp DESC, a.grid_id, a.alert_type LIMIT 100""",
+    grid_location="""
+        SELECT r.grid_id, g.centroid_latitude, g.centroid_longitude, g.geometry_ref,
+               g.grid_id IS NOT NULL AS found
+        FROM (SELECT DISTINCT CAST(grid_id + 1 AS INTEGER) AS grid_id FROM s_hourly) r
+        LEFT JOIN s_dim_grid g ON r.grid_id = g.grid_id""",
+    grid_stats=f"SELECT * REPLACE ({_r(*_AVERAGES)}) FROM s_cell_stats",
+    composition=" UNION ALL ".join(
+        f"""SELECT grid_id, '{kind}' AS kind, {c} AS amount, round({c} / total, 6) AS share
+            FROM s_cell_stats WHERE {c} > 0"""
+        for kind, c in [("Calls", "calls_total"), ("SMS", "sms_total"),
+                        ("Internet", "internet_total")]
+    ),
+    compare_grids=f"""
+        SELECT a.grid_id AS grid_a, b.grid_id AS grid_b, {_PAIR},
+               round({_DIFF}, 6) AS difference_pct,
+               CASE WHEN a.total >= b.total THEN 'A' ELSE 'B' END AS higher,
+               a.total <> 0 OR b.total <> 0 AS meaningful
+        FROM s_cell_stats a JOIN s_cell_stats b ON b.grid_id = a.grid_id + 1""",
+    compare_days=f"""
+        SELECT p.*, {_PAIR}, round({_DIFF}, 6) AS difference_pct, {_DIFF} < 15 AS recurring
+        FROM s_day_pairs p
+        JOIN s_day_stats a ON a.grid_id = p.grid_id AND a.date = p.date_a
+        JOIN s_day_stats b ON b.grid_id = p.grid_id AND b.date = p.date_b""",
+    compare_days_hourly="""
+        SELECT p.*, CAST(s.hour AS INTEGER) AS hour, a.total_activity AS a, b.total_activity AS b
+        FROM (SELECT *, unnest(range(24)) AS hour FROM s_day_pairs) s
+        JOIN s_day_pairs p ON p.grid_id = s.grid_id AND p.date_a = s.date_a
+        LEFT JOIN s_hourly a ON a.grid_id = p.grid_id AND a.date = p.date_a
+                            AND hour(a.timestamp) = s.hour
+        LEFT JOIN s_hourly b ON b.grid_id = p.grid_id AND b.date = p.date_b
+                            AND hour(b.timestamp) = s.hour""",
+    alert_context="""
+        SELECT a.*, n.anomaly_flag, n.anomaly_direction, round(n.deviation, 6) AS deviation,
+               m.trailing_median_24h,
+               round(100 * (a.current_activity - a.baseline_activity)
+                     / nullif(a.baseline_activity, 0), 6) AS deviation_pct,
+               coalesce(n.anomaly_flag = 1, false) AS corroborated
+        FROM s_alerts a LEFT JOIN s_anomalies n USING (grid_id, timestamp)
+        LEFT JOIN s_median m ON m.grid_id = a.grid_id AND m.feature_timestamp = a.timestamp""",
+    alert_status_map="""
+        SELECT grid_id, CAST(max(CASE WHEN severity = 'HIGH' THEN 3 ELSE 2 END) AS INTEGER)
+                 AS status_rank,
+               string_agg(DISTINCT alert_type, ', ' ORDER BY alert_type) AS alert_types,
+               CASE WHEN max(CASE WHEN severity = 'HIGH' THEN 3 ELSE 2 END) = 3 THEN 'HIGH'
+                    ELSE 'ATTENTION' END AS status
+        FROM s_alerts GROUP BY grid_id""",
+    evidence_summary="""
+        SELECT h.grid_id, count(*) AS observations,
+               round(avg(total_activity), 6) AS average_activity,
+               min(total_activity) AS minimum_activity,
+               min(timestamp) FILTER (total_activity = lo) AS minimum_at,
+               max(total_activity) AS maximum_activity,
+               min(timestamp) FILTER (total_activity = hi) AS maximum_at,
+               max(total_activity) FILTER (timestamp = newest) AS latest_activity,
+               max(timestamp) AS latest_at,
+               (SELECT count(*) FROM s_alerts a WHERE a.grid_id = h.grid_id) AS prior_alerts
+        FROM (SELECT *, min(total_activity) OVER (PARTITION BY grid_id) AS lo,
+                     max(total_activity) OVER (PARTITION BY grid_id) AS hi,
+                     max(timestamp) OVER (PARTITION BY grid_id) AS newest FROM s_hourly) h
+        GROUP BY h.grid_id""",
+)

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from cellpulse.operators import checks
+from cellpulse.operators import alerts as rules
+from cellpulse.operators import anomaly, checks, compare, geo, rollup, serve, star
 from cellpulse.operators import clean as cleaning
-from cellpulse.operators import geo, rollup, star
+from cellpulse.operators import features as trailing
 from cellpulse.plans.tables import GEO_FILE, Tables, rounded
-from cellpulse.schemas import RAW_CHANNELS
+from cellpulse.schemas import MODEL_FEATURES, RAW_CHANNELS
 from cellpulse.session import scratch_dir
 from cellpulse.sources import files, gate, geojson, tables
 
@@ -341,3 +342,340 @@ def partition_balance(t):
 @query
 def audit_sample(t):
     return checks.audit_sample(t.hourly.select("grid_id", "timestamp", "total_activity"), 7)
+
+
+# --- trailing windows and labels ----------------------------------------------------------
+
+
+@query
+def cadence_gaps(t):
+    return trailing.cadence_gaps(t.hourly.select("grid_id", "timestamp"))
+
+
+@query
+def cadence_gaps_network(t):
+    """The global variant: steps between distinct hours of the whole feed, per day file."""
+    hours = t.hourly.select("date", "timestamp").distinct()
+    return trailing.cadence_gaps(hours, by=["date"])
+
+
+@query
+def sequences(t):
+    return trailing.sequences(t.hourly)
+
+
+@query
+def features(t):
+    return t.features
+
+
+@query
+def features_pop(t):
+    return trailing.features(t.hourly, variant="pop")
+
+
+@query
+def feature_table(t):
+    return trailing.feature_table(t.hourly)
+
+
+@query
+def feature_checks(t):
+    return checks.feature_checks(t.features)
+
+
+@query
+def feature_describe(t):
+    return checks.describe(trailing.feature_table(t.hourly), MODEL_FEATURES)
+
+
+@query
+def trailing_median(t):
+    return t.medians
+
+
+@query
+def next_hour_label(t):
+    return t.labels
+
+
+@query
+def ml_dataset(t):
+    return trailing.ml_dataset(t.features, t.labels)
+
+
+@query
+def training_table(t):
+    return t.training
+
+
+@query
+def target_ratio_stats(t):
+    return checks.describe(
+        t.labels,
+        ["target_ratio", "trailing_median_24h", "target_activity"],
+        extra=[0.9, 0.95, 0.975, 0.99],
+    )
+
+
+@query
+def target_ratio_near(t):
+    return trailing.target_ratio_rows(t.labels)
+
+
+@query
+def class_balance(t):
+    return trailing.class_balance(t.labels)
+
+
+@query
+def leakage_check(t):
+    return trailing.leakage_check(t.hourly, "2024-01-16 12:00:00")
+
+
+# --- rule alerts --------------------------------------------------------------------------
+
+
+@query
+def daily_coverage(t):
+    return rules.daily_coverage(t.hourly)
+
+
+@query
+def activity_floor(t):
+    return rules.activity_floor(t.hourly)
+
+
+@query
+def loo_baseline(t):
+    return rules.loo_baseline(t.hourly)
+
+
+@query
+def hotspot_ratio(t):
+    return rollup.hotspot_ratio(rules.loo_baseline(t.hourly))
+
+
+@query
+def alerts(t):
+    return t.alerts
+
+
+@query
+def alerts_any_day(t):
+    return rules.alerts(t.hourly, require_complete_day=False)
+
+
+@query
+def alert_summary(t):
+    return rules.alert_summary(t.hourly, t.alerts)
+
+
+@query
+def alert_top_cells(t):
+    return rules.alert_top_cells(t.alerts)
+
+
+@query
+def alert_type_summary(t):
+    return rules.alert_type_summary(t.alerts)
+
+
+@query
+def alert_load_checks(t):
+    return rules.alert_load_checks(t.alerts)
+
+
+@query
+def alert_grain_check(t):
+    twice = t.alerts.unionByName(t.alerts.filter(F.col("alert_type") == "ACTIVITY_DROP"))
+    return rollup.grain_check(twice, ["grid_id", "timestamp", "alert_type"])
+
+
+# --- same-hour anomalies ------------------------------------------------------------------
+
+
+@query
+def anomalies(t):
+    return t.anomalies
+
+
+@query
+def anomalies_long_history(t):
+    return anomaly.anomalies(t.hourly, long_history=True)
+
+
+@query
+def bucket_coverage(t):
+    return anomaly.bucket_coverage(t.hourly, expected_cells=5)
+
+
+@query
+def low_history_buckets(t):
+    return anomaly.low_history_buckets(t.hourly, min_history=30)
+
+
+@query
+def anomaly_summary(t):
+    return anomaly.anomaly_summary(t.anomalies)
+
+
+@query
+def anomaly_checks(t):
+    return anomaly.anomaly_checks(t.anomalies)
+
+
+@query
+def baseline_audit(t):
+    return anomaly.baseline_audit(t.hourly, t.anomalies, 5)
+
+
+# --- detector comparison ------------------------------------------------------------------
+
+
+def _compared(t):
+    return compare.detector_compare(t.predictions, t.anomalies, t.alerts)
+
+
+@query
+def detector_compare(t):
+    return _compared(t)
+
+
+@query
+def detector_shares(t):
+    return compare.category_shares(_compared(t), compare.CATEGORY_COLUMNS)
+
+
+@query
+def anomaly_vs_rules(t):
+    return compare.anomaly_vs_rules(t.anomalies, t.alerts, t.predictions)
+
+
+@query
+def detector_agreement(t):
+    return compare.detector_agreement(_compared(t))
+
+
+@query
+def disagreement_profile(t):
+    return compare.disagreement_profile(_compared(t))
+
+
+@query
+def disagreement_hours(t):
+    return compare.disagreement_hours(_compared(t))
+
+
+@query
+def disagreement_examples(t):
+    return compare.disagreement_examples(_compared(t))
+
+
+# --- served questions ---------------------------------------------------------------------
+
+AS_OF = "2024-01-20 18:00:00"
+
+
+@query
+def network_summary(t):
+    return serve.network_summary(t.hourly, AS_OF)
+
+
+@query
+def network_summary_strict(t):
+    return serve.network_summary(t.hourly, AS_OF, strict_as_of=True)
+
+
+@query
+def grid_activity(t):
+    return serve.grid_activity(t.hourly)
+
+
+@query
+def grid_activity_date(t):
+    return serve.grid_activity(t.hourly, cells=[1, 2], as_of=AS_OF, date="2024-01-20")
+
+
+@query
+def grid_activity_hour(t):
+    return serve.grid_activity(t.hourly, as_of=AS_OF, hour=9)
+
+
+@query
+def grid_activity_from(t):
+    return serve.grid_activity(t.hourly, as_of=AS_OF, from_date="2024-01-10", hour=9)
+
+
+@query
+def features_as_of(t):
+    latest = t.hourly.agg(F.max("timestamp")).scalar()
+    return serve.features_as_of(t.features, t.requests, latest)
+
+
+@query
+def anomaly_as_of(t):
+    return serve.anomaly_as_of(t.anomalies.drop("reason"), t.requests)
+
+
+@query
+def alerts_feed(t):
+    return serve.alerts_feed(t.alerts, AS_OF)
+
+
+@query
+def alerts_feed_filtered(t):
+    return serve.alerts_feed(
+        t.alerts, AS_OF, severity="medium", alert_type="ACTIVITY_DROP", limit=20
+    )
+
+
+@query
+def alert_hotspots(t):
+    return serve.alert_hotspots(t.alerts, AS_OF)
+
+
+@query
+def grid_location(t):
+    asked = t.grid_pairs.select(F.col("grid_b").alias("grid_id"))
+    return serve.grid_location(t.dim_grid, asked)
+
+
+@query
+def grid_stats(t):
+    return serve.grid_stats(t.hourly)
+
+
+@query
+def composition(t):
+    return serve.composition(t.hourly)
+
+
+@query
+def compare_grids(t):
+    return serve.compare_grids(t.hourly, t.grid_pairs)
+
+
+@query
+def compare_days(t):
+    return serve.compare_days(t.hourly, t.day_pairs)
+
+
+@query
+def compare_days_hourly(t):
+    return serve.compare_days_hourly(t.hourly, t.day_pairs)
+
+
+@query
+def alert_context(t):
+    return serve.alert_context(t.alerts, t.anomalies, t.medians)
+
+
+@query
+def alert_status_map(t):
+    return serve.alert_status_map(t.alerts)
+
+
+@query
+def evidence_summary(t):
+    return serve.evidence_summary(t.hourly, t.alerts)

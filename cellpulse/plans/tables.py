@@ -5,7 +5,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.operators import clean, rollup, star
+from cellpulse.operators import alerts, anomaly, clean, features, rollup, star
 from cellpulse.schemas import RAW_COLUMNS
 from cellpulse.sources import events, gate, geojson
 
@@ -79,6 +79,73 @@ class Tables:
     def fact(self) -> DataFrame:
         return star.fact_build(self.hourly, self.dim_grid, self.dim_time)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.features(self.hourly)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return features.next_hour_label(self.hourly)
+
+    @cached_property
+    def medians(self) -> DataFrame:
+        return features.trailing_median(self.hourly)
+
+    @cached_property
+    def training(self) -> DataFrame:
+        return features.training_table(self.hourly)
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """Alerts graded by the caller: high activity is HIGH, the other two MEDIUM."""
+        grade = F.when(F.col("alert_type") == "HIGH_ACTIVITY", "HIGH").otherwise("MEDIUM")
+        return alerts.alerts(self.hourly, severity=grade)
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return anomaly.anomalies(self.hourly)
+
+    @cached_property
+    def scored_training(self) -> DataFrame:
+        """A stand-in score with a SQL equivalent, where a fitted model would have none."""
+        score = F.round(F.least(F.col("peak_ratio") / 6, F.lit(1.0)), 6)
+        return self.training.withColumn("probability", score).withColumn(
+            "prediction", (score >= 0.5).cast("int")
+        )
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """The stand-in predictions at the hour they are about."""
+        return self.scored_training.select(
+            "grid_id",
+            F.col("target_timestamp").alias("timestamp"),
+            "peak_ratio",
+            "activity_growth",
+            "trailing_median_24h",
+            "target_activity",
+            F.col("prediction").alias("ml_prediction"),
+            F.col("probability").alias("ml_prediction_probability"),
+        )
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """One question per cell and day: what was known at half past one in the afternoon."""
+        noonish = F.date_trunc("day", "timestamp") + F.make_dt_interval(
+            hours=F.lit(13), mins=F.lit(30)
+        )
+        return self.hourly.select("grid_id", noonish.alias("as_of")).distinct()
+
+    @cached_property
+    def day_pairs(self) -> DataFrame:
+        """Each cell's days beside the same weekday one week later."""
+        days = self.hourly.select("grid_id", F.col("date").alias("date_a")).distinct()
+        return days.withColumn("date_b", F.date_add("date_a", 7))
+
+    @cached_property
+    def grid_pairs(self) -> DataFrame:
+        cells = self.hourly.select(F.col("grid_id").alias("grid_a")).distinct()
+        return cells.withColumn("grid_b", F.col("grid_a") + 1)
+
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison: engines add up means and deviations in different orders."""
