@@ -978,3 +978,105 @@ oracle(
                      max(timestamp) OVER (PARTITION BY grid_id) AS newest FROM s_hourly) h
         GROUP BY h.grid_id""",
 )
+
+STEPS["s_cutoff"] = """
+SELECT feature_timestamp AS cutoff
+FROM (SELECT feature_timestamp, row_number() OVER (ORDER BY feature_timestamp) AS r,
+             count(*) OVER () AS n
+      FROM (SELECT DISTINCT feature_timestamp FROM s_train))
+WHERE r = CAST(floor(0.8 * n) AS BIGINT)"""
+STEPS["s_split"] = """
+SELECT *, CASE WHEN feature_timestamp <= (SELECT cutoff FROM s_cutoff) THEN 'train'
+               ELSE 'test' END AS split
+FROM s_train"""
+
+
+def _metrics(table, said, score):
+    """One row of class and ranking metrics of a table with high_activity."""
+    return f"""
+    SELECT c.tp, c.fp, c.fn, c.tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+           round(p, 6) AS precision, round(r, 6) AS recall,
+           round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1,
+           round(((tp + fn) * p + (tn + fp) * CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0 END)
+                 / (tp + fp + fn + tn), 6) AS weighted_precision,
+           round((tp + tn) / (tp + fp + fn + tn), 6) AS weighted_recall,
+           round(k.auc, 6) AS roc_auc, round(k.ap, 6) AS average_precision
+    FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p,
+                 CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r
+          FROM (SELECT count(*) FILTER (high_activity = 1 AND {said}) AS tp,
+                       count(*) FILTER (high_activity = 0 AND {said}) AS fp,
+                       count(*) FILTER (high_activity = 1 AND NOT {said}) AS fn,
+                       count(*) FILTER (high_activity = 0 AND NOT {said}) AS tn
+                FROM {table})) c,
+         (SELECT sum(pos * (total_neg - fp_upto + neg / 2)) / (max(total_pos) * max(total_neg))
+                   AS auc,
+                 sum(pos * tp_upto / (tp_upto + fp_upto)) / max(total_pos) AS ap
+          FROM (SELECT pos, neg, sum(pos) OVER w AS tp_upto, sum(neg) OVER w AS fp_upto,
+                       sum(pos) OVER () AS total_pos, sum(neg) OVER () AS total_neg
+                FROM (SELECT {score} AS s, count(*) FILTER (high_activity = 1) AS pos,
+                             count(*) FILTER (high_activity = 0) AS neg
+                      FROM {table} GROUP BY 1)
+                WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) k"""
+
+
+_SWEEP = " UNION ALL ".join(
+    f"""SELECT CAST({cut} AS DOUBLE) AS threshold,
+        count(*) FILTER (probability >= {cut} AND high_activity = 1) AS tp,
+        count(*) FILTER (probability >= {cut} AND high_activity = 0) AS fp,
+        count(*) FILTER (probability < {cut} AND high_activity = 1) AS fn,
+        count(*) FILTER (probability < {cut} AND high_activity = 0) AS tn FROM s_scored"""
+    for cut in [round(0.10 + 0.05 * i, 2) for i in range(17)]
+)
+
+oracle(
+    chrono_split="SELECT grid_id, feature_timestamp, split FROM s_split",
+    split_report="""
+        SELECT split, min(feature_timestamp) AS earliest, max(feature_timestamp) AS latest,
+               count(*) AS n_rows, count(DISTINCT feature_timestamp) AS timestamps,
+               count(DISTINCT grid_id) AS grids
+        FROM s_split GROUP BY split""",
+    split_checks="""
+        SELECT max(feature_timestamp) FILTER (split = 'train') AS train_latest,
+               min(feature_timestamp) FILTER (split = 'test') AS test_earliest,
+               count(*) FILTER (target_timestamp <> feature_timestamp + INTERVAL 1 HOUR)
+                 AS invalid_targets,
+               CAST(0 AS BIGINT) AS rows_with_nulls, CAST(0 AS BIGINT) AS forbidden_features,
+               true AS passed
+        FROM s_split""",
+    class_weights="""
+        SELECT grid_id, feature_timestamp, high_activity,
+               round(count(*) OVER () / (2 * count(*) OVER (PARTITION BY high_activity)), 6)
+                 AS weight
+        FROM s_train""",
+    ml_eval=_metrics("s_scored", "prediction = 1", "probability"),
+    confusion_matrix="""
+        SELECT high_activity, prediction, count(*) AS n_rows FROM s_scored GROUP BY ALL""",
+    predicted_classes="SELECT prediction, count(*) AS n_rows FROM s_scored GROUP BY ALL",
+    threshold_sweep=f"""
+        SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, recall DESC, threshold) AS INTEGER)
+                    AS place
+        FROM (SELECT threshold, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+                     round(p, 6) AS precision, round(r, 6) AS recall,
+                     round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1
+              FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p,
+                           CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r
+                    FROM ({_SWEEP})))""",
+    ml_baseline=_metrics("s_train", "false", "0.0"),
+    model_compare=f"""
+        SELECT *, 'majority' AS model FROM ({_metrics('s_train', 'false', '0.0')})
+        UNION ALL
+        SELECT *, 'default' AS model
+        FROM ({_metrics('s_scored', 'prediction = 1', 'probability')})
+        UNION ALL
+        SELECT *, 'tuned' AS model
+        FROM ({_metrics('s_scored', 'probability >= 0.35', 'probability')})""",
+    risk_levels="""
+        SELECT grid_id, feature_timestamp, probability AS risk_score,
+               CASE WHEN probability >= 0.8 THEN 'CRITICAL' WHEN probability >= 0.6 THEN 'HIGH'
+                    WHEN probability >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+               'stand-in' AS model_version,
+               'Predicted high-activity risk is ' || printf('%.1f', round(probability * 100, 1))
+               || '% for the next hour; an operational indicator, not confirmed congestion.'
+                 AS explanation_note
+        FROM s_scored""",
+)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cellpulse.operators import alerts as rules
-from cellpulse.operators import anomaly, checks, compare, geo, rollup, serve, star
+from cellpulse.operators import anomaly, checks, compare, geo, metrics, ml, rollup, serve, star
 from cellpulse.operators import clean as cleaning
 from cellpulse.operators import features as trailing
 from cellpulse.plans.tables import GEO_FILE, Tables, rounded
@@ -679,3 +679,132 @@ def alert_status_map(t):
 @query
 def evidence_summary(t):
     return serve.evidence_summary(t.hourly, t.alerts)
+
+
+# --- learning: splits and metrics on a stand-in score -------------------------------------
+
+
+@query
+def chrono_split(t):
+    return ml.chrono_split(t.training).select("grid_id", "feature_timestamp", "split")
+
+
+@query
+def split_report(t):
+    return ml.split_report(ml.chrono_split(t.training))
+
+
+@query
+def split_checks(t):
+    return ml.split_checks(ml.chrono_split(t.training))
+
+
+@query
+def class_weights(t):
+    weighted = ml.class_weights(t.training)
+    return weighted.select("grid_id", "feature_timestamp", "high_activity", "weight")
+
+
+@query
+def ml_eval(t):
+    return metrics.ml_eval(t.scored_training)
+
+
+@query
+def confusion_matrix(t):
+    return metrics.confusion_matrix(t.scored_training)
+
+
+@query
+def predicted_classes(t):
+    return metrics.predicted_classes(t.scored_training)
+
+
+@query
+def threshold_sweep(t):
+    return metrics.threshold_sweep(t.scored_training)
+
+
+@query
+def ml_baseline(t):
+    return metrics.ml_eval(metrics.majority_baseline(t.training))
+
+
+@query
+def model_compare(t):
+    return metrics.model_compare(
+        {
+            "majority": metrics.majority_baseline(t.training),
+            "default": t.scored_training,
+            "tuned": metrics.at_threshold(t.scored_training, 0.35),
+        }
+    )
+
+
+@query
+def risk_levels(t):
+    return ml.risk_levels(t.scored_training, "stand-in")
+
+
+# --- learning: fitted models (no SQL equivalent) ------------------------------------------
+
+
+@query
+def ml_dt(t):
+    train, test = ml.prepare(t.training)
+    return metrics.ml_eval(ml.predict(ml.fit_tree(train), test))
+
+
+@query
+def ml_dt_plain(t):
+    train, test = ml.prepare(t.training)
+    return metrics.ml_eval(ml.predict(ml.fit_plain_tree(train), test))
+
+
+@query
+def ml_lr(t):
+    train, test = ml.prepare(t.training)
+    return metrics.ml_eval(ml.predict(ml.fit_lr(train), test))
+
+
+@query
+def ml_lr_coefficients(t):
+    train, _ = ml.prepare(t.training)
+    return ml.lr_coefficients(ml.fit_lr(train, log1p=False), t.spark)
+
+
+@query
+def ml_gbt(t):
+    train, test = ml.prepare(t.training)
+    scored = ml.predict(ml.fit_gbt(train), test)
+    return metrics.ml_eval(metrics.at_threshold(scored, 0.3))
+
+
+@query
+def ml_tune(t):
+    train, _ = ml.prepare(t.training)
+    return ml.tune_tree(train)
+
+
+@query
+def ml_importance(t):
+    train, _ = ml.prepare(t.training)
+    return ml.ml_importance(ml.fit_tree(train), t.spark)
+
+
+@query
+def ml_predictions(t):
+    train, test = ml.prepare(t.training)
+    return ml.ml_predictions({"logistic": ml.fit_lr(train), "tree": ml.fit_tree(train)}, test)
+
+
+@query
+def ml_roundtrip(t):
+    train, test = ml.prepare(t.training)
+    return ml.ml_roundtrip(ml.fit_tree(train), scratch_dir(t.spark, "model"), test)
+
+
+@query
+def risk_scores(t):
+    train, _ = ml.prepare(t.training)
+    return ml.risk_scores(ml.fit_tree(train), trailing.feature_table(t.hourly))
