@@ -67,3 +67,13 @@ def status_rank(status: Column) -> Column:
 
 def count_where(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
+
+
+def median_of(values: Column) -> Column:
+    """Exact median of an array of doubles without nulls; null for an empty one."""
+    n = F.size(values)
+    ordered = F.sort_array(values)
+    # Out-of-range places of an empty array read as null.
+    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
+    high = F.get(ordered, F.floor(n / 2).cast("int"))
+    return (low + high) / 2

@@ -45,7 +45,7 @@ def exact_quantiles(
             F.array(
                 *[
                     F.struct(
-                        F.lit(float(q)).alias("q"),
+                        F.lit(i).alias("qi"),
                         (F.lit(float(q)) * (F.col("n") - 1)).alias("position"),
                         F.when(big & F.lit(q > slack), F.col("probe")[2 * i]).alias("lo"),
                         F.when(big & F.lit(q < 1 - slack), F.col("probe")[2 * i + 1]).alias("hi"),
@@ -60,26 +60,29 @@ def exact_quantiles(
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
     below = F.coalesce(F.col("x") < F.col("lo"), F.lit(False))
     above = F.coalesce(F.col("x") > F.col("hi"), F.lit(False))
-    keys = by + ["column", "q", "position"]
+    keys = by + ["column", "qi"]
+    position = F.first("position").alias("position")
     counted = (
         long.join(F.broadcast(targets), match)
         .filter(~above)
         .groupBy(*keys, F.when(~below, F.col("x")).alias("x"))
-        .agg(F.count("*").alias("k"))
+        .agg(F.count("*").alias("k"), position)
     )
     order = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first())
     ranked = counted.withColumn("upto", F.sum("k").over(order)).filter(F.col("x").isNotNull())
     low, high = F.floor("position"), F.ceil("position")
+    names = F.array(*[F.lit(float(q)) for q in probabilities])
     return (
         ranked.groupBy(*keys)
         .agg(
             F.min(F.when(F.col("upto") > low, F.col("x"))).alias("a"),
             F.min(F.when(F.col("upto") > high, F.col("x"))).alias("b"),
+            position,
         )
         .select(
             *by,
             "column",
-            "q",
+            names[F.col("qi")].alias("q"),
             (F.col("a") + (F.col("b") - F.col("a")) * (F.col("position") - low)).alias("value"),
         )
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions.columns import amount, count_where
 from cellpulse.functions.quantiles import quantile_scalar
-from cellpulse.schemas import ALERT_TYPES
+from cellpulse.schemas import ALERT_SCHEMA, ALERT_TYPES
 
 HOURS_IN_DAY = 24
 
@@ -90,24 +90,17 @@ def loo_baseline(hourly: DataFrame, require_complete_day: bool = False) -> DataF
     return df.select("grid_id", "timestamp", "total_activity", "baseline_activity")
 
 
-def scored_hours(hourly: DataFrame, require_complete_day: bool = True, q: float = 0.10):
-    """Hourly rows with previous hour, day total, baseline and eligibility.
+def scored_hours(hourly: DataFrame) -> DataFrame:
+    """Hourly rows with previous hour, day total, hours of the day and baseline.
 
     The window over whole cells comes first: the later windows by (cell, day) then reuse its
     partitioning, so the table is shuffled once. A cell group holds one row per hour of history.
     """
-    floor = quantile_scalar(_daily_totals(hourly), "total", q)
     cell = Window.partitionBy("grid_id").orderBy("timestamp")
     df = _with_date(hourly).withColumn("previous_activity", F.lag("total_activity").over(cell))
-    df = _with_loo_median(df).withColumn(
+    return _with_loo_median(df).withColumn(
         "daily_total", F.sum("total_activity").over(Window.partitionBy("grid_id", "date"))
     )
-    eligible = F.col("daily_total") >= floor
-    if require_complete_day:
-        whole = F.col("_n") == HOURS_IN_DAY
-        eligible = eligible & whole
-        df = df.withColumn("baseline_activity", F.when(whole, F.col("baseline_activity")))
-    return df.withColumn("eligible", eligible).drop("_n")
 
 
 def alerts(
@@ -153,9 +146,13 @@ def alerts(
             record("ACTIVITY_DROP", now <= drop * base, sentence("most", drop, day_text, base)),
         )
     )
-    out = (
-        scored_hours(hourly, require_complete_day, q)
-        .filter("eligible")
+    # A day is eligible when its total reaches the floor (and, by default, no hour is missing).
+    eligible = F.col("daily_total") >= quantile_scalar(_daily_totals(hourly), "total", q)
+    if require_complete_day:
+        eligible = eligible & (F.col("_n") == HOURS_IN_DAY)
+    records = (
+        scored_hours(hourly)
+        .filter(eligible)
         .select(
             "grid_id",
             "timestamp",
@@ -163,16 +160,9 @@ def alerts(
             base.alias("baseline_activity"),
             F.inline(found),
         )
-        .select(
-            "grid_id",
-            "timestamp",
-            "alert_type",
-            "current_activity",
-            "baseline_activity",
-            "reason",
-        )
     )
-    return out if severity is None else out.withColumn("severity", severity)
+    columns = [F.col(c) for c in ALERT_SCHEMA.fieldNames()]
+    return records.select(*columns, *([] if severity is None else [severity.alias("severity")]))
 
 
 def alert_summary(hourly: DataFrame, alert_rows: DataFrame) -> DataFrame:

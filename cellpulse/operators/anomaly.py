@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellpulse.functions.columns import amount, count_where
+from cellpulse.functions.columns import amount, count_where, median_of
 
 BUCKET = ["grid_id", "hour_of_day"]
 
@@ -20,35 +20,39 @@ def _buckets(hourly: DataFrame) -> DataFrame:
 def _by_frame(df: DataFrame) -> DataFrame:
     order = Window.partitionBy(*BUCKET).orderBy("timestamp")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns(
+    listed = df.withColumn("_earlier", F.collect_list("total_activity").over(earlier))
+    return listed.withColumns(
         {
             "baseline_count": F.row_number().over(order) - 1,
-            "historical_baseline": F.percentile("total_activity", 0.5).over(earlier),
+            "historical_baseline": median_of(F.col("_earlier")),
         }
-    )
+    ).drop("_earlier")
 
 
-def _expanding_median(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("timestamp", kind="stable").reset_index(drop=True)
-    seen, medians = [], []
-    for value in rows["total_activity"]:
-        n = len(seen)
-        half = n // 2
-        medians.append(
-            None if n == 0 else seen[half] if n % 2 else (seen[half - 1] + seen[half]) / 2
+def _by_group(df: DataFrame) -> DataFrame:
+    """The same two columns from one pass per bucket that keeps the values seen so far sorted."""
+
+    # A local function travels to the workers by value: they need not have this package.
+    def expanding_median(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("timestamp", kind="stable").reset_index(drop=True)
+        seen, medians = [], []
+        for value in rows["total_activity"]:
+            n = len(seen)
+            half = n // 2
+            medians.append(
+                None if n == 0 else seen[half] if n % 2 else (seen[half - 1] + seen[half]) / 2
+            )
+            bisect.insort(seen, value)
+        return rows.assign(
+            baseline_count=range(len(rows)),
+            historical_baseline=pd.Series(medians, dtype="float64"),
         )
-        bisect.insort(seen, value)
-    return rows.assign(
-        baseline_count=range(len(rows)), historical_baseline=pd.Series(medians, dtype="float64")
-    )
 
-
-def _by_group(df: DataFrame) -> DataFrame:
     schema = (
         "grid_id int, timestamp timestamp, hour_of_day int, total_activity double, "
         "baseline_count int, historical_baseline double"
     )
-    done = df.groupBy(*BUCKET).applyInPandas(_expanding_median, schema)
+    done = df.groupBy(*BUCKET).applyInPandas(expanding_median, schema)
     valid = F.when(~F.isnan("historical_baseline"), F.col("historical_baseline"))
     return done.withColumn("historical_baseline", valid)
 

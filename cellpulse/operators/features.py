@@ -8,12 +8,15 @@ sorted once. Frames that are bounded in time run over overlapping time blocks (s
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellpulse.functions.columns import add_hours, hours_between, weekday_monday_zero
+from cellpulse.functions.columns import (
+    add_hours,
+    hours_between,
+    median_of,
+    weekday_monday_zero,
+)
 from cellpulse.functions.timeblocks import own_rows, with_halo
 from cellpulse.schemas import SIX_FEATURES
 
-HOUR = 3600
-
 
 def _history(df: DataFrame) -> DataFrame:
     measures = ["internet_activity", "total_activity"]
@@ -44,9 +47,8 @@ def sequences(df: DataFrame) -> DataFrame:
     return checked.withColumn("sequence_id", F.sum(starts).over(running)).drop("hour_difference")
 
 
-def _feature_columns(order, recent: int, prior: int, variant: str) -> dict:
+def _feature_columns(order, recent: int, variant: str) -> dict:
     near = order.rowsBetween(-(recent - 1), 0)
-    far = order.rowsBetween(-(recent + prior - 1), -recent)
     activity = F.col("total_activity")
     deviation = F.stddev_samp if variant == "samp" else F.stddev_pop
     return {
@@ -56,11 +58,18 @@ def _feature_columns(order, recent: int, prior: int, variant: str) -> dict:
         "_dev": deviation(activity).over(near),
         "_sum": F.sum(activity).over(near),
         "_net": F.sum("internet_activity").over(near),
-        "_before": F.avg(activity).over(far),
-        "_rows": F.count("*").over(order.rowsBetween(-(recent + prior - 1), 0)),
     }
 
 
+def _before_column(order, recent: int, prior: int):
+    """Mean of the ``prior`` rows in front of the recent ones. With equal lengths it is the
+    recent mean of that many rows ago, which costs no second frame."""
+    if recent == prior:
+        return F.lag("_avg", recent).over(order)
+    far = order.rowsBetween(-(recent + prior - 1), -recent)
+    return F.avg("total_activity").over(far)
+
+
 def _six_features(variant: str) -> list:
     avg, before = F.col("_avg"), F.col("_before")
     at_zero = F.when(avg == 0, 0.0).otherwise(1.0) if variant == "samp" else F.lit(0.0)
@@ -79,15 +88,16 @@ def _six_features(variant: str) -> list:
 def _unbroken(df: DataFrame, order, hours: int) -> DataFrame:
     """Keep rows that end an unbroken run of ``hours`` hourly rows.
 
-    Counting the breaks among the last rows says the same as numbering the runs and windowing
-    inside each, without a second partitioning.
+    A running count of the breaks that did not move over the last rows says the same as numbering
+    the runs and windowing inside each, without a second partitioning or a long frame.
     """
     step = hours_between(F.col("timestamp"), F.lag("timestamp").over(order))
-    breaks = F.count_if(F.col("_step") != 1).over(order.rowsBetween(-(hours - 2), 0))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         df.withColumn("_step", step)
-        .withColumn("_breaks", breaks)
-        .filter((F.col("_breaks") == 0) & (F.col("_rows") == hours))
+        .withColumn("_breaks", F.count_if(F.col("_step") != 1).over(running))
+        .withColumn("_breaks_then", F.lag("_breaks", hours - 1).over(order))
+        .filter(F.col("_breaks") == F.col("_breaks_then"))
     )
 
 
@@ -107,31 +117,41 @@ def features(
     if variant == "samp":
         df = with_halo(df, before=total, **blocks)
         order = Window.partitionBy("grid_id", "_block").orderBy("timestamp")
-        df = df.withColumns(_feature_columns(order, recent, prior, variant))
-        df = own_rows(_unbroken(df, order, total))
     else:
         order = Window.partitionBy("grid_id").orderBy("timestamp")
-        df = df.withColumns(_feature_columns(order, recent, prior, variant))
-        df = df.filter(F.col("_rows") == total)
+    df = df.withColumns(_feature_columns(order, recent, variant))
+    df = df.withColumn("_before", _before_column(order, recent, prior))
+    if variant == "samp":
+        df = own_rows(_unbroken(df, order, total))
+    else:
+        df = df.withColumn("_start", F.lag("timestamp", total - 1).over(order))
+        df = df.filter(F.col("_start").isNotNull())
     return df.select(
         "grid_id", F.col("timestamp").alias("feature_timestamp"), *_six_features(variant)
     )
 
 
-def _median_columns(hours: int) -> dict:
-    clock = Window.partitionBy("grid_id", "_block").orderBy(F.unix_seconds("timestamp"))
-    frame = clock.rangeBetween(-(hours - 1) * HOUR, 0)
-    return {
-        "_seen": F.count("total_activity").over(frame),
-        "_median": F.percentile("total_activity", 0.5).over(frame),
-    }
+def _with_median(df: DataFrame, hours: int) -> DataFrame:
+    """Exact median of the rows of the last ``hours`` hours and how many they are.
+
+    The frame's values are few (one per hour), so they are listed and sorted; the list does not
+    leave this step. An interval frame keeps the order on the timestamp itself, as all other
+    windows have it.
+    """
+    frame = (
+        "OVER (PARTITION BY grid_id, _block ORDER BY timestamp "
+        f"RANGE BETWEEN INTERVAL {hours - 1} HOURS PRECEDING AND CURRENT ROW)"
+    )
+    listed = df.withColumn("_recent", F.expr(f"collect_list(total_activity) {frame}"))
+    measured = {"_seen": F.size("_recent"), "_median": median_of(F.col("_recent"))}
+    return listed.withColumns(measured).drop("_recent")
 
 
 def trailing_median(history: DataFrame, hours: int = 24, **blocks) -> DataFrame:
     """Exact median of the last ``hours`` hours, only where all of them are present."""
     df = with_halo(history.select("grid_id", "timestamp", "total_activity"), before=hours, **blocks)
     return (
-        own_rows(df.withColumns(_median_columns(hours)))
+        own_rows(_with_median(df, hours))
         .filter(F.col("_seen") == hours)
         .select(
             "grid_id",
@@ -178,7 +198,7 @@ def next_hour_label(
     """
     df = history.select("grid_id", "timestamp", "total_activity")
     df = _with_next(with_halo(df, before=hours, after=1, **blocks))
-    df = own_rows(df.withColumns(_median_columns(hours))).filter(_has_label(hours))
+    df = own_rows(_with_median(df, hours)).filter(_has_label(hours))
     return df.select(
         "grid_id", F.col("timestamp").alias("feature_timestamp"), *_label_columns(multiplier)
     )
@@ -195,11 +215,16 @@ def ml_dataset(feature_rows: DataFrame, labels: DataFrame) -> DataFrame:
     return with_calendar(feature_rows.join(labels, ["grid_id", "feature_timestamp"]))
 
 
+def _day_features(df: DataFrame, order) -> DataFrame:
+    df = _with_median(df, 24).withColumns(_feature_columns(order, 24, "samp"))
+    return df.withColumn("_before", _before_column(order, 24, 24))
+
+
 def training_table(history: DataFrame, multiplier: float = 1.5, **blocks) -> DataFrame:
     """The rows of ``ml_dataset`` straight from the history: one shuffle and no join."""
     df = _with_next(with_halo(_history(history), before=48, after=1, **blocks))
     order = Window.partitionBy("grid_id", "_block").orderBy("timestamp")
-    df = df.withColumns({**_feature_columns(order, 24, 24, "samp"), **_median_columns(24)})
+    df = _day_features(df, order)
     df = own_rows(_unbroken(df, order, 48)).filter(_has_label(24))
     return with_calendar(
         df.select(
@@ -215,7 +240,7 @@ def feature_table(history: DataFrame, **blocks) -> DataFrame:
     """The six features with trailing median and calendar parts, labelled or not."""
     df = with_halo(_history(history), before=48, **blocks)
     order = Window.partitionBy("grid_id", "_block").orderBy("timestamp")
-    df = df.withColumns({**_feature_columns(order, 24, 24, "samp"), **_median_columns(24)})
+    df = _day_features(df, order)
     return with_calendar(
         own_rows(_unbroken(df, order, 48)).select(
             "grid_id",

@@ -8,7 +8,7 @@ from cellpulse.operators import clean as cleaning
 from cellpulse.operators import features as trailing
 from cellpulse.plans.tables import GEO_FILE, Tables, rounded
 from cellpulse.schemas import MODEL_FEATURES, RAW_CHANNELS
-from cellpulse.session import scratch_dir
+from cellpulse.session import materialise, scratch_dir
 from cellpulse.sources import files, gate, geojson, tables
 
 REGISTRY = {}
@@ -171,7 +171,8 @@ def ingest_gate_extras(t):
 
 @query
 def ingest_route(t):
-    accepted, refused = gate.ingest_route(t.raw_text, t.gate)
+    # The verdicts are stored first: Spark then knows their size when it plans the join.
+    accepted, refused = gate.ingest_route(t.raw_text, materialise(t.gate, "gate"))
     return (
         accepted.withColumn("zone", F.lit("raw"))
         .unionByName(refused.withColumn("zone", F.lit("rejected")))

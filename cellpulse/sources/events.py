@@ -16,6 +16,9 @@ CHANNEL_OF_EVENT = {
 # About four cells per 150 users keeps 3 to 4 events in each cell-hour at every scale, so
 # whole 48-hour runs and gaps both occur, and the number of cells grows with the table.
 USERS_PER_CELL = 38
+EVENTS_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+)
 
 
 def activity_from_events(events: DataFrame) -> DataFrame:
@@ -58,9 +61,13 @@ def activity_text_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
 def raw_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return activity_from_events(_events(spark, sf_dir))
 
 
 def raw_activity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity_text_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return activity_text_from_events(_events(spark, sf_dir))
