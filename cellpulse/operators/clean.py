@@ -57,18 +57,42 @@ def with_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def clean(raw: DataFrame) -> DataFrame:
+def _with_derived(df: DataFrame) -> DataFrame:
     ts = F.col("timestamp")
-    return with_totals(canonicalise(raw).filter(~is_invalid()).na.fill(0.0, CHANNELS)).withColumns(
+    return with_totals(df).withColumns(
         {"date": F.to_date(ts), "hour": F.hour(ts), "day_of_week": weekday_sunday_one(ts)}
     )
 
 
+def clean(raw: DataFrame) -> DataFrame:
+    return _with_derived(canonicalise(raw).filter(~is_invalid()).na.fill(0.0, CHANNELS))
+
+
+def with_verdict(raw: DataFrame) -> DataFrame:
+    """Clean and rejected rows in one frame, told apart by ``verdict``.
+
+    For writing both from a single scan of the raw files. Measures of rejected rows stay as they
+    came; their totals are null where a measure is.
+    """
+    judged = canonicalise(raw).withColumn(
+        "verdict", F.when(is_invalid(), "rejected").otherwise("clean")
+    )
+    accepted = F.col("verdict") == "clean"
+    filled = {c: F.when(accepted, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in CHANNELS}
+    return _with_derived(judged.withColumns(filled))
+
+
+def null_counts(columns: list[str]) -> list:
+    """Aggregates of a null profile, also usable as metrics observed during a write."""
+    return [F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]]
+
+
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls per column in one pass, reported in long form."""
-    counts = df.agg(
-        F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
-    )
+    return null_report(df.agg(*null_counts(columns)), columns)
+
+
+def null_report(counts: DataFrame, columns: list[str]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),

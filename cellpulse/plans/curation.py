@@ -11,7 +11,7 @@ import sys
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.operators import checks, clean, geo, rollup
@@ -19,8 +19,6 @@ from cellpulse.schemas import RAW_CHANNELS
 from cellpulse.session import build_session
 from cellpulse.sources import files, gate, geojson
 
-CLEAN_COLUMNS_DROPPED = ["_source_file"]
-
 
 def admit(spark: SparkSession, pattern: str, output: str, now) -> DataFrame:
     """Gate the files, store the verdicts, and return the rows of the accepted files.
@@ -51,8 +49,6 @@ def curate(
         name: f"{output}/{name}"
         for name in (
             "null_profile",
-            "clean_activity",
-            "rejected_rows",
             "hourly_grid_summary",
             "daily_traffic_summary",
             "peak_activity_per_grid",
@@ -61,17 +57,26 @@ def curate(
             "checks",
         )
     }
+    paths["clean_activity"] = f"{output}/activity/verdict=clean"
+    paths["rejected_rows"] = f"{output}/activity/verdict=rejected"
     if gated:
         now = now or spark.sql("SELECT current_timestamp()").first()[0]
         raw = admit(spark, pattern, output, now)
     else:
         raw = files.read_raw(spark, pattern, text=True)
 
-    clean.null_profile(raw, RAW_CHANNELS).write.mode("overwrite").parquet(paths["null_profile"])
+    # One scan of the CSV files gives the null profile, the clean rows and the rejected rows. Daily
+    # files arrive in date order already, so nothing is shuffled to write day folders.
+    observed = Observation("null_profile")
+    watched = raw.observe(observed, *clean.null_counts(RAW_CHANNELS))
     files.write_partitioned(
-        clean.clean(raw).drop(*CLEAN_COLUMNS_DROPPED), paths["clean_activity"]
+        clean.with_verdict(watched).drop("_source_file"),
+        f"{output}/activity",
+        by=["verdict", "date"],
+        rebalance=False,
     )
-    files.write_parquet(clean.rejected(raw), paths["rejected_rows"])
+    counts = spark.createDataFrame([observed.get])
+    files.write_parquet(clean.null_report(counts, RAW_CHANNELS), paths["null_profile"])
 
     cleaned = spark.read.parquet(paths["clean_activity"])
     files.write_partitioned(rollup.hourly_summary(cleaned), paths["hourly_grid_summary"])

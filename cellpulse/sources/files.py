@@ -39,18 +39,23 @@ def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def write_partitioned(df: DataFrame, path: str, by: str = "date", mode: str = "overwrite") -> None:
+def write_partitioned(
+    df: DataFrame, path: str, by=("date",), mode: str = "overwrite", rebalance: bool = True
+) -> None:
     """Snappy Parquet in one folder per day.
 
     The rebalance hint brings a day's rows together and lets the runtime split a day that is too
-    big for one task. With dynamic partition overwrite a re-run replaces only its own days.
+    big for one task. Rows that still lie as the daily files brought them are together already:
+    with ``rebalance=False`` they are written where they are read, without a shuffle. With
+    dynamic partition overwrite a re-run replaces only its own days.
     """
+    by = [by] if isinstance(by, str) else list(by)
     (
-        df.hint("rebalance", by)
+        (df.hint("rebalance", *by) if rebalance else df)
         .write.mode(mode)
         .option("compression", "snappy")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(by)
+        .partitionBy(*by)
         .parquet(path)
     )
 
