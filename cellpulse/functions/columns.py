@@ -43,8 +43,14 @@ def not_finite(c: Column) -> Column:
 
 
 def amount(c: Column, digits: int = 2) -> Column:
-    """A number as text, rounded half-up before it is formatted."""
-    return F.format_string(f"%.{digits}f", F.round(c.cast("double"), digits))
+    """A non-negative number as text, rounded half-up in units of the last place."""
+    unit = 10**digits
+    return F.format_string(f"%.{digits}f", F.round(c.cast("double") * unit) / unit)
+
+
+def percent_text(share: Column) -> Column:
+    """A non-negative share as a percentage with one decimal."""
+    return F.format_string("%.1f", F.round(share * 1000) / 10)
 
 
 def risk_band(score: Column) -> Column:

@@ -89,5 +89,5 @@ def exact_quantiles(
 
 
 def quantile_scalar(df: DataFrame, column: str, q: float):
-    """One exact quantile as a scalar sub-query column."""
-    return exact_quantiles(df, [column], [q]).agg(F.max("value")).scalar()
+    """One exact quantile as a scalar sub-query column, null for an empty frame."""
+    return exact_quantiles(df, [column], [q]).select("value").scalar()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellpulse.functions.columns import amount, count_where, median_of
+from cellpulse.functions.columns import amount, count_where, median_of, percent_text
 
 BUCKET = ["grid_id", "hour_of_day"]
 
@@ -110,7 +110,7 @@ def anomalies(
 def _reason(min_history: int):
     """Fixed texts with numbers filled in."""
     place = F.format_string("grid %d at hour %02d", "grid_id", "hour_of_day")
-    pct = amount(F.abs("deviation") * 100, 1)
+    pct = percent_text(F.abs("deviation"))
     count = F.col("baseline_count").cast("string")
 
     def off(side):

@@ -1,4 +1,8 @@
-"""Where the three detectors agree: next-hour model, same-hour anomalies, rule alerts."""
+"""Where the three detectors agree: next-hour model, same-hour anomalies, rule alerts.
+
+The class names are fixed values. In them ML3 stands for the model, ML4 for the anomalies and
+NP3 for the rules.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -13,16 +13,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.functions.columns import hours_between, risk_band
+from cellpulse.functions.columns import hours_between, percent_text, risk_band
 from cellpulse.operators.metrics import ml_eval
 from cellpulse.schemas import FORBIDDEN_FEATURES, LOG_FEATURES, MODEL_FEATURES, SIX_FEATURES
 from cellpulse.session import materialise
 
 LABEL = "high_activity"
 SEED = 42
-MODEL_VERSION = "tree-v1"
-# The (depth, smallest leaf) settings that are tried.
-TREE_GRID = [(3, 100), (4, 100), (5, 100), (6, 100), (7, 100), (5, 250), (5, 500), (6, 250), (6, 500)]
+# The version label of scores, and the (depth, smallest leaf) settings tried.
+MODEL_VERSION = "ml3-decision-tree-v1"
+TREE_GRID = [
+    (3, 100),
+    (4, 100),
+    (5, 100),
+    (6, 100),
+    (7, 100),
+    (5, 250),
+    (5, 500),
+    (6, 250),
+    (6, 500),
+]
 
 
 def chrono_split(df: DataFrame, frac: float = 0.8, ts: str = "feature_timestamp") -> DataFrame:
@@ -205,7 +215,7 @@ def risk_levels(scored: DataFrame, version: str = MODEL_VERSION) -> DataFrame:
         F.lit(version).alias("model_version"),
         F.concat(
             F.lit("Predicted high-activity risk is "),
-            F.format_string("%.1f", F.round(p * 100, 1)),
+            percent_text(p),
             F.lit("% for the next hour; an operational indicator, not confirmed congestion."),
         ).alias("explanation_note"),
     )

@@ -13,7 +13,7 @@ from cellpulse.functions.columns import (
     status_of_severity,
     status_rank,
 )
-from cellpulse.schemas import SEVERITIES
+from cellpulse.schemas import MAX_CELL, MIN_CELL, SEVERITIES
 
 
 def _moment(df: DataFrame, as_of, ts: str = "timestamp"):
@@ -43,11 +43,18 @@ def network_summary(history: DataFrame, as_of=None, strict_as_of: bool = False)
 
 
 def grid_activity(
-    history: DataFrame, cells: list[int] | None = None, as_of=None, from_date=None, date=None,
+    history: DataFrame,
+    cells: list[int] | None = None,
+    as_of=None,
+    from_date=None,
+    date=None,
     hour: int | None = None,
 ) -> DataFrame:
     """Activity of cells up to ``as_of``: the trailing 24 hours, or one date, or one hour of the
     day on all dates, or with ``from_date`` that hour from the date on."""
+    for cell in cells or []:
+        if not MIN_CELL <= cell <= MAX_CELL:
+            raise ValueError(f"cell {cell} is not on the map ({MIN_CELL} to {MAX_CELL})")
     moment = _moment(history, as_of)
     t = F.col("timestamp")
     rows = history.filter(t <= moment)

@@ -284,7 +284,7 @@ SELECT grid_id, timestamp, hour_of_day, total_activity, historical_baseline, bas
        END AS reason
 FROM (SELECT *, CASE WHEN deviation IS NULL THEN 'UNKNOWN' WHEN deviation >= 0.5 THEN 'HIGH'
                      WHEN deviation <= -0.5 THEN 'LOW' ELSE 'NORMAL' END AS anomaly_direction,
-             printf('%.1f', round(abs(deviation) * 100, 1)) AS pct,
+             printf('%.1f', round(abs(deviation) * 1000) / 10) AS pct,
              printf('grid %d at hour %02d', grid_id, hour_of_day) AS place
       FROM (SELECT *, CASE WHEN historical_baseline <> 0
                       THEN (total_activity - historical_baseline) / historical_baseline END
@@ -734,6 +734,8 @@ oracle(
         SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS rows_on_one_side,
                CAST(0 AS BIGINT) AS rows_changed, true AS leak_free
         FROM s_features WHERE feature_timestamp <= TIMESTAMP '2024-01-16 12:00:00'""",
+    boundary_check="""
+        SELECT count(*) AS windows, CAST(0 AS BIGINT) AS windows_past_t FROM s_hourly""",
     daily_coverage="""
         SELECT grid_id, date, count(DISTINCT hour(timestamp)) AS hour_count,
                count(DISTINCT hour(timestamp)) = 24 AS complete_day
@@ -1070,12 +1072,15 @@ oracle(
         UNION ALL
         SELECT *, 'tuned' AS model
         FROM ({_metrics('s_scored', 'probability >= 0.35', 'probability')})""",
+    ml_roundtrip="""
+        SELECT count(*) AS rows_scored, CAST(0 AS BIGINT) AS rows_different
+        FROM s_split WHERE split = 'test'""",
     risk_levels="""
         SELECT grid_id, feature_timestamp, probability AS risk_score,
                CASE WHEN probability >= 0.8 THEN 'CRITICAL' WHEN probability >= 0.6 THEN 'HIGH'
                     WHEN probability >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
                'stand-in' AS model_version,
-               'Predicted high-activity risk is ' || printf('%.1f', round(probability * 100, 1))
+               'Predicted high-activity risk is ' || printf('%.1f', round(probability * 1000) / 10)
                || '% for the next hour; an operational indicator, not confirmed congestion.'
                  AS explanation_note
         FROM s_scored""",

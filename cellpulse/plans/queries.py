@@ -434,6 +434,11 @@ def leakage_check(t):
     return trailing.leakage_check(t.hourly, "2024-01-16 12:00:00")
 
 
+@query
+def boundary_check(t):
+    return trailing.boundary_check(t.hourly)
+
+
 # --- rule alerts --------------------------------------------------------------------------
 
 

@@ -65,8 +65,11 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_dashboard_csv(per_hour: DataFrame, path: str) -> None:
-    """One CSV file. Only for the per-hour dashboard: its length is the number of hours."""
-    per_hour.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file. Only for the per-hour dashboard: its length is the number of hours.
+
+    A repartition, because coalescing would run the aggregation itself in one task.
+    """
+    per_hour.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_daily_csv(raw: DataFrame, path: str) -> str:
