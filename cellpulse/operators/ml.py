@@ -41,7 +41,7 @@ def chrono_split(df: DataFrame, frac: float = 0.8, ts: str = "feature_timestamp"
     Only distinct hours are gathered, whose number is the length of the history.
     """
     hours = F.sort_array(F.collect_set(ts))
-    last = F.try_element_at(hours, F.floor(F.size(hours) * frac).cast("int"))
+    last = F.get(hours, F.floor(F.size(hours) * frac).cast("int") - 1)  # null where none is left
     cutoff = df.agg(last).scalar()
     return df.withColumn("split", F.when(F.col(ts) <= cutoff, "train").otherwise("test"))
 
@@ -85,8 +85,9 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def prepare(training: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train with weights, test), each written once because fits read them many times."""
-    marked = materialise(chrono_split(training), "training")
+    """(train with weights, test). Stored first: the cut-off, the weights and the fits then read
+    Parquet instead of computing the windows again."""
+    marked = chrono_split(materialise(training, "training"))
     train = class_weights(marked.filter(F.col("split") == "train"))
     return materialise(train, "train"), marked.filter(F.col("split") == "test")
 

@@ -1,7 +1,7 @@
 """Batch curation from daily CSV files to published tables.
 
     spark-submit cellpulse/plans/curation.py --input 'landing/*.csv' --output curated \
-        [--reference cells.geojson]
+        [--reference cells.geojson] [--gate] [--input-bytes 100000000000000]
 """
 
 import argparse
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.operators import checks, clean, geo, rollup
 from cellpulse.schemas import RAW_CHANNELS
-from cellpulse.session import build_session
+from cellpulse.session import build_session, size_shuffles
 from cellpulse.sources import files, gate, geojson
 
 
@@ -106,8 +106,10 @@ def main():
     parser.add_argument("--output", required=True, help="folder for the tables")
     parser.add_argument("--reference", help="GeoJSON file with the cell polygons")
     parser.add_argument("--gate", action="store_true", help="reject files that fail the checks")
+    parser.add_argument("--input-bytes", type=int, default=0, help="to size the shuffles")
     args = parser.parse_args()
     spark = build_session("curation")
+    size_shuffles(spark, args.input_bytes)
     curate(spark, args.input, args.output, args.reference, gated=args.gate)
 
 

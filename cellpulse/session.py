@@ -23,6 +23,17 @@ def build_session(app="cellpulse", master=None, **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 128 << 20) -> None:
+    """Enough shuffle partitions for an input of this size, so that each fits in memory.
+
+    Adaptive execution merges partitions that turn out small, but it does not split those of an
+    aggregation that turn out big. So the number is set from above and never below the current.
+    """
+    wanted = -(-input_bytes // per_partition)
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(current, wanted)))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names.
 
