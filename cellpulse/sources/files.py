@@ -28,12 +28,18 @@ def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
     """The header names each file declares, found among its lines, not by opening files here.
 
     A header line is one that holds at least one of the known column names; data lines hold
-    numbers and times only. A file without one has an empty list.
+    numbers and times only. A file without one has an empty list. Only the first block of a file is
+    looked at.
     """
     names = F.split(F.regexp_replace("value", r'[\s"]', ""), ",")
     known = F.array(*[F.lit(c) for c in RAW_COLUMNS])
-    lines = spark.read.text(pattern).select(_source_file().alias("filename"), names.alias("names"))
-    header = F.when(F.arrays_overlap("names", known), F.col("names"))
+    first = F.col("start") == 0
+    lines = spark.read.text(pattern).select(
+        _source_file().alias("filename"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.when(F.col("_metadata.file_block_start") == 0, names).alias("names"),
+    )
+    header = F.when(first & F.arrays_overlap("names", known), F.col("names"))
     return lines.groupBy("filename").agg(
         F.coalesce(F.max(header), F.array().cast("array<string>")).alias("header")
     )

@@ -26,7 +26,8 @@ def ingest_gate(raw_text: DataFrame, headers: DataFrame | None = None) -> DataFr
     """One verdict per file from one aggregation over its rows.
 
     ``headers`` (filename, header) adds the check for missing columns and lets files without any
-    row appear. Blank measures are legal nulls: the file is accepted and the reason says so.
+    row appear. The scan takes columns by place, so a file with another order is refused rather
+    than misread. Blank measures are legal nulls: the file is accepted and the reason says so.
     Negative values in any measure reject it.
     """
     time = F.try_to_timestamp("datetime")
@@ -42,17 +43,21 @@ def ingest_gate(raw_text: DataFrame, headers: DataFrame | None = None) -> DataFr
         *counts,
     )
     if headers is None:
-        stats = stats.withColumn("absent", F.lit(""))
+        stats = stats.withColumns({"absent": F.lit(""), "ordered": F.lit(True)})
     else:
         required = F.array(*[F.lit(c) for c in RAW_COLUMNS])
         absent = F.array_join(F.array_except(required, F.col("header")), ", ")
-        stats = headers.select("filename", absent.alias("absent")).join(stats, "filename", "full")
+        ordered = F.slice("header", 1, len(RAW_COLUMNS)) == required
+        stats = headers.select(
+            "filename", absent.alias("absent"), ordered.alias("ordered")
+        ).join(stats, "filename", "full")
 
     n = F.coalesce(F.col("row_count"), F.lit(0))
     structural = (
         F.when(
             F.col("absent") != "", F.concat(F.lit("Missing required column(s): "), F.col("absent"))
         )
+        .when(~F.col("ordered"), "Unexpected order of columns")
         .when(n == 0, "File contains zero rows")
         .when(
             F.col("bad_times") > 0,

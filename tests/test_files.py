@@ -33,6 +33,10 @@ def landing(tmp_path):
     day(tmp_path, "2013-11-05", header=HEADER.rsplit(",", 1)[0])
     day(tmp_path, "2013-11-06", n_hours=0)
     day(tmp_path, "2013-11-07", first="oops,1,1,1,1")
+    swapped = HEADER.replace("smsin,smsout", "smsout,smsin")
+    day(tmp_path, "2013-11-08")
+    path = tmp_path / "sms-call-internet-mi-2013-11-08.csv"
+    path.write_text(path.read_text().replace(HEADER, swapped))
     return f"{tmp_path}/{FILE_PATTERN}"
 
 
@@ -48,6 +52,7 @@ def test_gate_verdicts(spark, landing):
         "05": ("REJECTED", 24, "Missing required column(s): internet"),
         "06": ("REJECTED", 0, "File contains zero rows"),
         "07": ("ACCEPTED", 24, "Non-numeric values found in smsin: 1"),
+        "08": ("REJECTED", 24, "Unexpected order of columns"),
     }
 
 
@@ -65,7 +70,7 @@ def test_status_of_a_run(spark, landing):
     verdicts = gate.ingest_gate(text, files.file_headers(spark, landing))
     hourly = spark.createDataFrame([(at("2013-11-01 23:00"), 1)], "timestamp timestamp, grid_id int")
     row = gate.run_status(verdicts, hourly, "2013-11-02 00:30:00").first()
-    assert (row.rows_in, row.rows_rejected, row.rows_published) == (143, 71, 1)
+    assert (row.rows_in, row.rows_rejected, row.rows_published) == (167, 95, 1)
     assert row.freshness == "FRESH" and row.healthy and row.reasons == []
     row = gate.run_status(
         verdicts, hourly.limit(0), "2013-11-02 00:30:00", {"load_warehouse": "FAILED"}
@@ -80,7 +85,7 @@ def test_curation_runs_twice_with_the_same_result(spark, landing, tmp_path):
         hourly = spark.read.parquet(paths["hourly_grid_summary"])
         assert hourly.count() == 72
         assert spark.read.parquet(paths["clean_activity"]).count() == 72
-        assert spark.read.parquet(f"{out}/rejected_files").count() == 71
+        assert spark.read.parquet(f"{out}/rejected_files").count() == 95
     nulls = spark.read.parquet(paths["null_profile"]).filter("column_name = 'smsin'").first()
     assert nulls.null_count == 1
     assert files.readback_checks(hourly, paths["hourly_grid_summary"]).first().passed

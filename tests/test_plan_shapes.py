@@ -70,16 +70,6 @@ def test_training_table_sorts_once(stored):
     assert len(re.findall(r"\bSort \[", plan(features.training_table(stored)))) == 1
 
 
-def test_no_query_uses_a_cross_join(spark, sf_dir):
-    import __spark_entry__ as entry
-
-    fitted = {n for n in entry.queries() if n.startswith("ml_")} | {"risk_scores"}
-    for name, query in entry.queries().items():
-        if name not in fitted:
-            text = plan(query(spark, sf_dir))
-            assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-
-
 def test_group_limit_comes_before_the_shuffle(stored):
     text = plan(rollup.hotspot_rank(stored, 3))
     assert "WindowGroupLimit" in text
