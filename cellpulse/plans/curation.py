@@ -69,7 +69,7 @@ def curate(
     # files arrive in date order already, so nothing is shuffled to write day folders.
     observed = Observation("null_profile")
     watched = raw.observe(observed, *clean.null_counts(RAW_CHANNELS))
-    files.write_partitioned(
+    files.write_checked(
         clean.with_verdict(watched).drop("_source_file"),
         f"{output}/activity",
         by=["verdict", "date"],
@@ -79,7 +79,7 @@ def curate(
     files.write_parquet(clean.null_report(counts, RAW_CHANNELS), paths["null_profile"])
 
     cleaned = spark.read.parquet(paths["clean_activity"])
-    files.write_partitioned(rollup.hourly_summary(cleaned), paths["hourly_grid_summary"])
+    files.write_checked(rollup.hourly_summary(cleaned), paths["hourly_grid_summary"])
     hourly = spark.read.parquet(paths["hourly_grid_summary"])
 
     found = checks.hourly_checks(hourly)

@@ -1,6 +1,6 @@
 """CSV and Parquet on shared storage: scans, date-partitioned sinks, read-back checks."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.schemas import RAW_COLUMNS, RAW_SCHEMA, RAW_TEXT_SCHEMA
@@ -46,19 +46,27 @@ def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by=("date",), mode: str = "overwrite", rebalance: bool = True
+    df: DataFrame,
+    path: str,
+    by=("date",),
+    mode: str = "overwrite",
+    rebalance: bool = True,
+    watch: tuple | None = None,
 ) -> None:
     """Snappy Parquet in one folder per day.
 
     The rebalance hint brings a day's rows together and lets the runtime split a day that is too
     big for one task. Rows that still lie as the daily files brought them are together already:
     with ``rebalance=False`` they are written where they are read, without a shuffle. With
-    dynamic partition overwrite a re-run replaces only its own days.
+    dynamic partition overwrite a re-run replaces only its own days. ``watch`` is an Observation
+    and its metrics; they are taken in the writing stage, where every row passes once.
     """
     by = [by] if isinstance(by, str) else list(by)
+    rows = df.hint("rebalance", *by) if rebalance else df
+    if watch is not None:
+        rows = rows.observe(watch[0], *watch[1])
     (
-        (df.hint("rebalance", *by) if rebalance else df)
-        .write.mode(mode)
+        rows.write.mode(mode)
         .option("compression", "snappy")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
@@ -117,6 +125,27 @@ def readback_checks(df: DataFrame, path: str, by: str = "date") -> DataFrame:
     )
 
 
+def write_checked(df: DataFrame, path: str, by=("date",), day: str = "date", **options) -> None:
+    """Write by day and compare what arrived with what was sent, without computing ``df`` again.
+
+    Rows are counted while they are written; stored rows are counted for the written days only,
+    because earlier runs may have left other days there.
+    """
+    sent = Observation()
+    metrics = [
+        F.count(day).alias("n"),
+        F.min(day).alias("first"),
+        F.max(day).alias("last"),
+    ]
+    write_partitioned(df, path, by, watch=(sent, metrics), **options)
+    stored = df.sparkSession.read.parquet(path)
+    seen = sent.get
+    days = F.col(day).between(F.lit(seen["first"]), F.lit(seen["last"]))
+    found = stored.filter(days).count() if seen["n"] else 0
+    if found != seen["n"] or not schema_matches(df, stored):
+        raise ValueError(f"{path}: sent {seen['n']} rows as {df.dtypes}, found {found}")
+
+
 def require_readback(df: DataFrame, path: str, by: str = "date") -> None:
     row = readback_checks(df, path, by).first()
     if not row["passed"]:

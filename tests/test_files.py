@@ -102,6 +102,11 @@ def test_sink_reruns_replace_their_days(spark, tmp_path):
     files.write_partitioned(df.filter("date = '2026-01-02'"), path)
     assert spark.read.parquet(path).count() == 2
     files.require_readback(df, path)
+    files.write_checked(df.filter("date = '2026-01-01'"), path)
+    files.write_checked(df.limit(0), path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        files.write_checked(df.drop("v").filter("date = '2026-01-02'"), path, mode="append")
     with pytest.raises(ValueError):
         files.require_readback(df.filter("v > 1"), path)
 
