@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cellpulse.functions.columns import hours_between, percent_text, risk_band
 from cellpulse.operators.metrics import ml_eval
 from cellpulse.schemas import FORBIDDEN_FEATURES, LOG_FEATURES, MODEL_FEATURES, SIX_FEATURES
-from cellpulse.session import materialise
+from cellpulse.session import materialise, scratch_dir
 
 LABEL = "high_activity"
 SEED = 42
@@ -137,7 +137,11 @@ def fit_lr(train: DataFrame, log1p: bool = True, columns=MODEL_FEATURES, reg: fl
             standardization=False,
         ),
     ]
-    return Pipeline(stages=stages).fit(train)
+    # A freshly fitted model carries a training summary that holds the session, which cannot be
+    # sent to executors once that session has observed metrics. A stored model carries none.
+    path = scratch_dir(train.sparkSession, "logistic")
+    Pipeline(stages=stages).fit(train).write().save(path)
+    return PipelineModel.load(path)
 
 
 def fit_gbt(train: DataFrame, rounds=20, depth=6, columns=MODEL_FEATURES) -> PipelineModel:
