@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellpulse.llm.cover_dedup import drop_repeats
 from cellpulse.llm.decontaminate import decontaminate
 from cellpulse.llm.jump_shards import shard_index
 
@@ -15,6 +16,10 @@ def op2_jump_shards(spark, sf_dir):
     return shard_index(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_cover_dedup(spark, sf_dir):
+    return drop_repeats(table(spark, sf_dir, "documents"), length=13)
+
+
 def op9_decontaminate(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -28,6 +33,6 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
-REGISTRY = {f.__name__: f for f in (op2_jump_shards, op9_decontaminate)}
+REGISTRY = {f.__name__: f for f in (op2_jump_shards, op3_cover_dedup, op9_decontaminate)}
 
 ORACLE: dict[str, str] = {}
