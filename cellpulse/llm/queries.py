@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cellpulse.llm.cover_dedup import drop_repeats
 from cellpulse.llm.decontaminate import decontaminate
 from cellpulse.llm.jump_shards import shard_index
+from cellpulse.llm.ngram_join import near_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op3_cover_dedup(spark, sf_dir):
     return drop_repeats(table(spark, sf_dir, "documents"), length=13)
 
 
+def op7_ngram_join(spark, sf_dir):
+    return near_components(table(spark, sf_dir, "documents"), length=3, percent=90)
+
+
 def op9_decontaminate(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -33,6 +38,6 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
-REGISTRY = {f.__name__: f for f in (op2_jump_shards, op3_cover_dedup, op9_decontaminate)}
+REGISTRY = {f.__name__: f for f in (op2_jump_shards, op3_cover_dedup, op7_ngram_join, op9_decontaminate)}
 
 ORACLE: dict[str, str] = {}
