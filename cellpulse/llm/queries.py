@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cellpulse.llm.cover_dedup import drop_repeats
 from cellpulse.llm.decontaminate import decontaminate
 from cellpulse.llm.jump_shards import shard_index
+from cellpulse.llm.lm_interpolation import score_documents
 from cellpulse.llm.ngram_join import near_components
 
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_interpolation(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), folds=5, held_out=1)
+
+
 def op2_jump_shards(spark, sf_dir):
     return shard_index(table(spark, sf_dir, "documents"), shards=8)
 
@@ -38,6 +43,6 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
-REGISTRY = {f.__name__: f for f in (op2_jump_shards, op3_cover_dedup, op7_ngram_join, op9_decontaminate)}
+REGISTRY = {f.__name__: f for f in (op1_lm_interpolation, op2_jump_shards, op3_cover_dedup, op7_ngram_join, op9_decontaminate)}
 
 ORACLE: dict[str, str] = {}
