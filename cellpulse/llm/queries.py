@@ -8,6 +8,7 @@ from cellpulse.llm.decontaminate import decontaminate
 from cellpulse.llm.jump_shards import shard_index
 from cellpulse.llm.lm_interpolation import score_documents
 from cellpulse.llm.ngram_join import near_components
+from cellpulse.llm.wavelet import token_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_cover_dedup(spark, sf_dir):
     return drop_repeats(table(spark, sf_dir, "documents"), length=13)
 
 
+def op5_wavelet(spark, sf_dir):
+    return token_index(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), length=3, percent=90)
 
@@ -43,6 +48,6 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_lm_interpolation, op2_jump_shards, op3_cover_dedup, op7_ngram_join, op9_decontaminate)}
+REGISTRY = {f.__name__: f for f in (op1_lm_interpolation, op2_jump_shards, op3_cover_dedup, op5_wavelet, op7_ngram_join, op9_decontaminate)}
 
 ORACLE: dict[str, str] = {}
