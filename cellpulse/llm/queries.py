@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cellpulse.llm.cover_dedup import drop_repeats
 from cellpulse.llm.decontaminate import decontaminate
 from cellpulse.llm.jump_shards import shard_index
+from cellpulse.llm.line_crf import fit_field, quality_column
 from cellpulse.llm.lm_interpolation import score_documents
 from cellpulse.llm.ngram_join import near_components
 from cellpulse.llm.wavelet import token_index
@@ -48,6 +49,14 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_lm_interpolation, op2_jump_shards, op3_cover_dedup, op5_wavelet, op7_ngram_join, op9_decontaminate)}
+def op10_line_crf(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    field = fit_field(docs, labels.filter(fold != 2), sample=4000)
+    scored = docs.select("doc_id", (fold == 2).alias("held_out"), quality_column(field, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_lm_interpolation, op2_jump_shards, op3_cover_dedup, op5_wavelet, op7_ngram_join, op9_decontaminate, op10_line_crf)}
 
 ORACLE: dict[str, str] = {}

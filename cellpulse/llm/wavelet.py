@@ -324,7 +324,7 @@ def write_shards(
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for piece in _slices(batch, TEXT_BYTES):
+            for piece in W.slices(batch, 1, TEXT_BYTES):
                 found, count = coder.encode(piece.column(1))
                 known = piece.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 null = piece.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -351,17 +351,6 @@ def write_shards(
     ).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
 
 
-def _slices(batch, most: int):
-    """Pieces of a batch of about ``most`` bytes of text."""
-    size = W.flat(batch.column(1))[1][1:]
-    lo = 0
-    while lo < batch.num_rows:
-        base = size[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def read_documents(spark, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
     shards = spark.read.schema(SHARDS).parquet(path)

@@ -102,3 +102,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def slices(batch, column: int, most: int):
+    """Pieces of an Arrow batch with at most ``most`` bytes in a text column, or one longer text."""
+    size = flat(batch.column(column))[1][1:]
+    lo = 0
+    while lo < batch.num_rows:
+        base = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
