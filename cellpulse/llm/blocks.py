@@ -17,17 +17,23 @@ from pyspark.sql import functions as F
 
 from cellpulse.llm import words as W
 
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a block at most and at least, and for each bucket of keys.
+BLOCK_BYTES, LEAST_BYTES, BUCKET_BYTES = 16 << 20, 1 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
 PACKED = "block int, ids binary, sizes binary, data binary"
 REQUEST = "channel int, bucket int, block int, size long, keys binary, vals binary"
 ANSWER = "channel int, bucket int, block int, answer binary, distinct long, total double"
 
 
-def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
+def block_count(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Number of blocks, and bits of a key that choose its bucket; both follow the bytes of text.
+
+    Small inputs get smaller blocks, for as many as two tasks per shuffle partition.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    at_least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(at_least, size // block_bytes + 1)
+    tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(size // BLOCK_BYTES + 1, min(tasks, size // LEAST_BYTES + 1))
+    return blocks, int(size // BUCKET_BYTES).bit_length()
 
 
 def block_of(doc_id: str, text: str, count: int):
@@ -92,10 +98,6 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], place[code]
 
 
-def bucket_bits(blocks: int) -> int:
-    return max(0, int(blocks - 1).bit_length())
-
-
 def ask(block: int, channel: int, keys: np.ndarray, vals: np.ndarray, bits: int, width: int = 64) -> pa.Table:
     """Requests about sorted distinct keys of ``width`` bits, by ranges of the keys."""
     bits = min(bits, width)

@@ -87,8 +87,7 @@ def drop_repeats(
     """Per document: n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     if length < PERIOD:
         raise ValueError(f"a passage needs at least {PERIOD} words")
-    count = B.block_count(docs, text)
-    bits = B.bucket_bits(count)
+    count, bits = B.block_count(docs, text)
     packed = B.pack(docs, doc_id, text, B.block_of(doc_id, text, count))
 
     def ask_anchors(key, table):

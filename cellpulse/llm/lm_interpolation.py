@@ -180,8 +180,7 @@ def score_documents(
     """
     if tuning == held_out:
         raise ValueError("the tuning fold must be one of the training folds")
-    count = B.block_count(docs, text)
-    bits = B.bucket_bits(count)
+    count, bits = B.block_count(docs, text)
     # Blocks of the tuning fold come after the others, so that they can be read alone.
     is_tuning = spark_remainder(doc_id, folds) == tuning
     few = -(-count // folds)

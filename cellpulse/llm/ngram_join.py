@@ -110,10 +110,9 @@ def document_sets(docs: DataFrame, length: int, percent: int, doc_id: str, text:
 
     The lists are null where some prefix holds no token that another document has.
     """
-    count = B.block_count(docs, text)
-    bits = B.bucket_bits(count)
-    # 8 bits more than there are bytes of text keep accidental sharing of shortened hashes rare.
-    width = min(64, max(32, 8 + int(count * B.BLOCK_BYTES).bit_length()))
+    count, bits = B.block_count(docs, text)
+    # Some 8 bits more than there are bytes of text keep accidental sharing of shortened hashes rare.
+    width = min(64, 32 + bits)
     packed = B.pack(docs, doc_id, text, B.block_of(doc_id, text, count))
 
     def ask(key, table):
