@@ -9,6 +9,8 @@ from cellpulse.llm.jump_shards import shard_index
 from cellpulse.llm.line_crf import fit_field, quality_column
 from cellpulse.llm.lm_interpolation import score_documents
 from cellpulse.llm.ngram_join import near_components
+from cellpulse.llm.order_minhash import fingerprint_documents
+from cellpulse.llm.secret_link import STRONG, find_secrets
 from cellpulse.llm.wavelet import token_index
 
 
@@ -28,10 +30,29 @@ def op3_cover_dedup(spark, sf_dir):
     return drop_repeats(table(spark, sf_dir, "documents"), length=13)
 
 
+def op4_secret_link(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"), reach=200)
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    base = F.filter("spans", lambda s: s["kind"].isin(*STRONG))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in STRONG),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_wavelet(spark, sf_dir):
     return token_index(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents"), k=2, bins=32, take=2)
+
+
 def op7_ngram_join(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), length=3, percent=90)
 
@@ -57,6 +78,19 @@ def op10_line_crf(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_lm_interpolation, op2_jump_shards, op3_cover_dedup, op5_wavelet, op7_ngram_join, op9_decontaminate, op10_line_crf)}
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_lm_interpolation,
+        op2_jump_shards,
+        op3_cover_dedup,
+        op4_secret_link,
+        op5_wavelet,
+        op6_order_minhash,
+        op7_ngram_join,
+        op9_decontaminate,
+        op10_line_crf,
+    )
+}
 
 ORACLE: dict[str, str] = {}
