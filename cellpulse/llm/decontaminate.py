@@ -53,17 +53,16 @@ def automaton(items, length: int):
     return built
 
 
-def scan(text: str | None, automata) -> tuple[int, np.ndarray, set[str]]:
+def scan(text: str | None, built) -> tuple[int, np.ndarray, set[str]]:
     """Number of words, numbers of the hit words, ids of the items found."""
     normal = normalise(text)
     if not normal:
         return 0, np.zeros(0, np.int64), set()
     spans, items = [], set()
-    for built in automata:
-        if len(built):
-            for end, (size, ids) in built.iter(normal):
-                spans.append((end - size + 1, end))
-                items.update(ids)
+    if len(built):
+        for end, (size, ids) in built.iter(normal):
+            spans.append((end - size + 1, end))
+            items.update(ids)
     if not spans:
         return normal.count(" ") - 1, np.zeros(0, np.int64), items
     gaps = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
@@ -83,6 +82,42 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": int(points[start[r[0]]]), "end": int(points[end[r[-1]]])} for r in runs]
 
 
+class Scanner:
+    """Scans batches with the automata of all slices; that of a single slice is built once."""
+
+    def __init__(self, slices, length: int):
+        self.slices, self.length = slices, length
+        self.only = automaton(slices[0], length) if len(slices) == 1 else None
+
+    def scan(self, texts):
+        """``scan`` of every text, over all slices."""
+        whole = None
+        for items in self.slices:
+            built = self.only if self.only is not None else automaton(items, self.length)
+            part = [scan(t, built) for t in texts]
+            if whole is None:
+                whole = part
+            else:
+                whole = [(n, np.union1d(h, g), i | j) for (n, h, i), (_, g, j) in zip(whole, part, strict=True)]
+        return whole
+
+
+def send_benchmark(benchmark: DataFrame, item_id: str, item_text: str, slice_bytes: int, most_bytes: int):
+    """Broadcast of the items in slices, after a check of their size."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"benchmark of {size} bytes; at most {most_bytes} can be held by an executor")
+    slices, room = [[]], slice_bytes
+    for row in items.toLocalIterator():
+        if room <= 0:
+            slices.append([])
+            room = slice_bytes
+        slices[-1].append((row["item"], row["text"]))
+        room -= len((row["text"] or "").encode())
+    return benchmark.sparkSession.sparkContext.broadcast(slices)
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -95,29 +130,13 @@ def decontaminate(
     most_bytes: int = 256 << 20,
 ) -> DataFrame:
     """Per document: n_words, n_hit, the items found, and the hit spans of the original text."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"benchmark of {size} bytes; at most {most_bytes} can be held by an executor")
-    slices, room = [[]], slice_bytes
-    for row in items.toLocalIterator():
-        if room <= 0:
-            slices.append([])
-            room = slice_bytes
-        slices[-1].append((row["item"], row["text"]))
-        room -= len(row["text"] or "")
-    sent = docs.sparkSession.sparkContext.broadcast(slices)
+    sent = send_benchmark(benchmark, item_id, item_text, slice_bytes, most_bytes)
 
     def work(batches):
-        ready = [automaton(sent.value[0], length)] if len(sent.value) == 1 else None
+        scanner = Scanner(sent.value, length)
         for batch in batches:
-            found = []
-            for value in batch.column(1):
-                plain = value.as_py()
-                if ready:
-                    found.append((plain, scan(plain, ready)))
-                else:
-                    found.append((plain, scan(plain, (automaton(s, length) for s in sent.value))))
+            texts = batch.column(1).to_pylist()
+            found = list(zip(texts, scanner.scan(texts), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -134,3 +153,26 @@ def decontaminate(
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(work, SCHEMA.format(slim.schema["doc_id"].dataType.simpleString()))
+
+
+def clean_rows(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    length: int = 10,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    slice_bytes: int = 8 << 20,
+    most_bytes: int = 256 << 20,
+) -> DataFrame:
+    """The documents without any hit, with all their columns."""
+    sent = send_benchmark(benchmark, item_id, item_text, slice_bytes, most_bytes)
+    place = docs.columns.index(text)
+
+    def work(batches):
+        scanner = Scanner(sent.value, length)
+        for batch in batches:
+            found = scanner.scan(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([len(hit) == 0 for _, hit, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

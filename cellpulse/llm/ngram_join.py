@@ -189,3 +189,14 @@ def near_components(
         "n_shingles",
         real(F.coalesce("label", "rep", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, length: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with the smallest id of each group of near duplicates, with all their columns.
+
+    Of several rows with one id a single one stays; so does one of those without an id.
+    """
+    found = near_components(docs, length, percent, doc_id, text)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    mine = docs[doc_id].cast("long").eqNullSafe(F.col("_kept"))
+    return docs.join(kept, mine, "left_semi").dropDuplicates([doc_id])

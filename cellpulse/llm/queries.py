@@ -8,6 +8,7 @@ from cellpulse.llm.decontaminate import decontaminate
 from cellpulse.llm.jump_shards import shard_index
 from cellpulse.llm.line_crf import fit_field, quality_column
 from cellpulse.llm.lm_interpolation import score_documents
+from cellpulse.llm.mixing import label_domain, mix, rate_of
 from cellpulse.llm.ngram_join import near_components
 from cellpulse.llm.order_minhash import fingerprint_documents
 from cellpulse.llm.secret_link import STRONG, find_secrets
@@ -57,6 +58,21 @@ def op7_ngram_join(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), length=3, percent=90)
 
 
+#: Share of its expected tokens that each domain keeps.
+SHARES = {"good": 1.0, "poor": 0.25, "toxic": 0.1}
+
+
+def op8_mixing(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    members, model, steps = mix(docs, labels, label_domain(), SHARES)
+    return members.select(
+        "doc_id",
+        "n_tokens",
+        *(F.get("posteriors", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(model.names)),
+        rate_of(F.col("posteriors"), steps).alias("rate"),
+    )
+
+
 def op9_decontaminate(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -88,6 +104,7 @@ REGISTRY = {
         op5_wavelet,
         op6_order_minhash,
         op7_ngram_join,
+        op8_mixing,
         op9_decontaminate,
         op10_line_crf,
     )
