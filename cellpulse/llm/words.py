@@ -75,7 +75,9 @@ def hash_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.
         byte = data[place + np.repeat(s, n)]
         value = table[((place & (PLACES - 1)) << 8) | byte]
         if n.max() > PLACES:
-            odd = np.cumprod(np.full(int(n.max()) // PLACES + 1, 0x9E3779B97F4A7C15, np.uint64))
+            odd = np.full(int(n.max()) // PLACES + 1, 0x9E3779B97F4A7C15, np.uint64)
+            odd[0] = 1  # a word's hash must not depend on the longest word beside it
+            odd = np.cumprod(odd)
             value = value * odd[place // PLACES]
         out[k : k + STEP] = np.add.reduceat(value, before)
     return out

@@ -1,0 +1,64 @@
+"""Registered queries over a whole table against the plain versions, and the pipeline's promises."""
+
+import os
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from cellpulse.llm import queries  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def by_id(frame, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in frame.collect()}
+
+
+def test_op3(spark, sf_dir, rows):
+    got = by_id(queries.op3_cover_dedup(spark, sf_dir), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.cut_repeats(rows)
+
+
+def test_op4(spark, sf_dir, rows):
+    got = by_id(queries.op4_secret_link(spark, sf_dir), "n_assign", "n_access", "n_hex", "base_sha256")
+    for d, text in rows:
+        spans = brute.strong_spans(text)
+        count = tuple(sum(s[2] == kind for s in spans) for kind in ("assign", "access", "hex"))
+        assert got[d] == (*count, brute.sha(brute.written(spans)))
+
+
+def test_op7(spark, sf_dir, rows):
+    got = by_id(queries.op7_ngram_join(spark, sf_dir), "n_shingles", "component_id")
+    assert got == brute.components(rows)
+
+
+def test_op9(spark, sf_dir, rows):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert by_id(queries.op9_decontaminate(spark, sf_dir), *columns) == brute.leaks(rows, items)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    path = None
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.materialise(stage(spark, before, sf_dir), "test-stage")
+        assert docs.columns == before.columns
+        assert docs.join(before.select("doc_id"), "doc_id", "left_anti").isEmpty()
+        path = docs
+    judged = docs.join(labels, "doc_id")
+    assert judged.filter("quality = 0").count() <= 0.05 * labels.filter("quality = 0").count()
+    assert judged.filter("toxic = 1").count() <= 0.5 * labels.filter("toxic = 1").count()
+    last = corpus_pipeline.STAGES[-1][1](spark, path, sf_dir)
+    assert last.count() == path.count()
+    assert last.agg(F.sum("n_tokens")).first()[0] == last.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
