@@ -11,8 +11,12 @@ function of a token is a valid order, so shortening costs speed at worst, never
 
 Components need no list of all pairs. Documents with equal sets are one node. Within the bucket of a
 prefix token, a few members are compared with all others, then more in the next round, but only while
-the bucket still holds more than one component. So a group of thousands of near copies costs about a
-comparison per member and bucket, and every link between nodes not yet connected is still found.
+the bucket still holds more than one component. Members with the smallest share of tokens of their own
+come first: the text from which the others were copied is among them and links most at once. A pair is
+not even formed if the sets' sizes, the tokens that each has for itself alone, or the tokens counted by
+hash in ``CELLS`` cells rule the similarity out: two sets share no more than the smaller count of each
+cell. So a group of thousands of near copies costs about a comparison per member and bucket, and every link between nodes
+not yet connected is still found.
 
 Edge cases: without words or text a document has no shingles and is linked with nothing; one with
 fewer words than a shingle has its whole sequence as its one shingle; equal documents are linked; rows
@@ -30,9 +34,11 @@ from cellpulse.llm import words as W
 from cellpulse.llm.components import components
 from cellpulse.session import materialise
 
-SETS = "doc_id long, n_shingles long, node binary, first array<long>, second array<int>, third array<int>, tokens array<long>"
+SETS = "doc_id long, n_shingles long, n_unique long, node binary, first array<long>, second array<int>, third array<int>, cells array<int>, tokens array<long>"
 #: How many times more members are compared with the rest of their bucket in each further round.
 GROWTH = 4
+#: Cells in which a node's tokens are counted, for a bound on how many two nodes can share.
+CELLS = 128
 
 
 def shingles(table: pa.Table, length: int):
@@ -92,14 +98,19 @@ def _documents(table, right, length, percent, width):
         )
 
     small = key.view(np.int64) >> 32
+    count = np.bincount(text * CELLS + (key >> np.uint64(57)).astype(np.int64), minlength=len(ids) * CELLS)
+    count = count.reshape(-1, CELLS)[met].ravel().astype(np.int32)
+    cell_edge = np.concatenate([[0], np.cumsum(met * CELLS)])
     return pa.table(
         {
             "doc_id": pa.array(ids, pa.int64()),
             "n_shingles": pa.array(size, pa.int64()),
+            "n_unique": pa.array(np.bincount(text, weights=rare == 1, minlength=len(ids)).astype(np.int64)),
             "node": pa.array([s.tobytes() if n else None for s, n in zip(sums, size, strict=True)], pa.binary()),
             "first": lists(kept[0], key.view(np.int64), pa.int64()),
             "second": lists(kept[1], small.astype(np.int32), pa.int32()),
             "third": lists(kept[2], small.astype(np.int32), pa.int32()),
+            "cells": pa.ListArray.from_arrays(pa.array(cell_edge, pa.int32()), pa.array(count), mask=pa.array(~met)),
             "tokens": lists(np.arange(len(key)), key.view(np.int64), pa.int64()),
         }
     )
@@ -139,25 +150,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * same >= percent * either).select("a", "b")
 
 
+def _possible(percent: int):
+    """Whether a member and a hub (h_...) can be similar enough, by the counts that they carry."""
+    sizes = F.col("n_shingles") + F.col("h_n_shingles")
+    enough = lambda most: 100 * most >= percent * (sizes - most)
+    of_all = F.least(F.col("n_shingles") - F.col("n_unique"), F.col("h_n_shingles") - F.col("h_n_unique"))
+    by_cell = F.aggregate(F.zip_with("cells", "h_cells", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+    return enough(of_all) & enough(by_cell)
+
+
 def link_components(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, label) for every node with a link; ``sets``: rep and the columns of ``SETS``, one row a node."""
-    members = sets.select("rep", "n_shingles", F.explode("first").alias("token")).distinct()
+    members = sets.select("rep", "n_shingles", "n_unique", "cells", F.explode("first").alias("token"))
     shared = members.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     left = materialise(members.join(shared.select("token"), "token").withColumn("label", F.col("rep")), "members")
     links = None
     hubs = 1
     while not left.isEmpty():
         part = F.pmod(F.xxhash64("rep", "token"), F.lit(hubs))
-        least = F.min(F.struct("rep", "n_shingles", "label")).alias("hub")
-        hub = materialise(left.groupBy("token", part.alias("part")).agg(least).select("token", "hub"), "hubs")
-        met = left.join(hub, "token").filter("rep <> hub.rep and label <> hub.label")
-        size = (F.col("n_shingles"), F.col("hub.n_shingles"))
-        met = met.filter(100 * F.least(*size) >= percent * F.greatest(*size))
-        pairs = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+        own = F.col("n_unique") / F.col("n_shingles")
+        least = F.min(F.struct(own.alias("own"), "rep", "n_shingles", "n_unique", "label", "cells")).alias("hub")
+        hub = materialise(left.groupBy("token", part.alias("part")).agg(least).select("token", "hub.*"), "hubs")
+        h = hub.select("token", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n_shingles", "n_unique", "label", "cells")))
+        met = left.join(
+            h,
+            (left["token"] == h["token"])
+            & (F.col("rep") != F.col("h_rep"))
+            & (F.col("label") != F.col("h_label"))
+            & _possible(percent),
+        )
+        pairs = met.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
         found = materialise(_verified(pairs, sets, percent), "links")
         links = found if links is None else links.unionByName(found)
-        done = hub.select("token", F.col("hub.rep").alias("rep"))
-        left = left.join(done, ["token", "rep"], "left_anti").select("token", "rep", "n_shingles")
+        left = left.join(hub.select("token", "rep"), ["token", "rep"], "left_anti").drop("label")
         labels = components(links)
         left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "label", F.coalesce("label", "rep")
