@@ -10,16 +10,15 @@ def exact_quantiles(
     probabilities: list[float],
     by: list[str] = (),
     accuracy: int = 10_000,
-    exact_below: int = 100_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per (``by``, column, q) with ``value``.
 
     ``percentile`` would gather every distinct value of a group in one task. Here a mergeable
     sketch first brackets each quantile between two values; rows below the bracket are only
     counted, rows above it are dropped, and the few inside (about 4/accuracy of the rows) are
-    counted per distinct value before they are ordered. The sketch error is at most 1/accuracy
-    of the rows, the bracket is twice as wide, so the wanted ranks are always inside it. Groups
-    up to ``exact_below`` rows need no bracket.
+    counted per distinct value before they are ordered. Of the rows below and above, the nearest value
+    is kept too. The sketch error is at most 1/accuracy of the rows, the bracket is twice as wide, so
+    the wanted ranks are inside it or next to it; should one not be, the query fails.
 
     ``by`` holds category columns with a fixed short list of values, which bounds the brackets
     that are broadcast to (categories x columns x probabilities) rows.
@@ -37,7 +36,6 @@ def exact_quantiles(
     sketch = long.groupBy(*by, "column").agg(
         F.count("x").alias("n"), F.percentile_approx("x", probes, accuracy).alias("probe")
     )
-    big = F.col("n") > exact_below
     targets = sketch.select(
         *[F.col(c).alias(f"_{c}") for c in by],
         F.col("column").alias("_column"),
@@ -47,8 +45,8 @@ def exact_quantiles(
                     F.struct(
                         F.lit(i).alias("qi"),
                         (F.lit(float(q)) * (F.col("n") - 1)).alias("position"),
-                        F.when(big & F.lit(q > slack), F.col("probe")[2 * i]).alias("lo"),
-                        F.when(big & F.lit(q < 1 - slack), F.col("probe")[2 * i + 1]).alias("hi"),
+                        F.when(F.lit(q > slack), F.col("probe")[2 * i]).alias("lo"),
+                        F.when(F.lit(q < 1 - slack), F.col("probe")[2 * i + 1]).alias("hi"),
                     )
                     for i, q in enumerate(probabilities)
                 ]
@@ -62,29 +60,37 @@ def exact_quantiles(
     above = F.coalesce(F.col("x") > F.col("hi"), F.lit(False))
     keys = by + ["column", "qi"]
     position = F.first("position").alias("position")
+    side = F.when(below, -1).when(above, 1).otherwise(0).alias("side")
     counted = (
         long.join(F.broadcast(targets), match)
-        .filter(~above)
-        .groupBy(*keys, F.when(~below, F.col("x")).alias("x"))
-        .agg(F.count("*").alias("k"), position)
+        .groupBy(*keys, side, F.when(~below & ~above, F.col("x")).alias("inside"))
+        .agg(F.count("*").alias("k"), F.min("x").alias("least"), F.max("x").alias("most"), position)
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("k").over(order)).filter(F.col("x").isNotNull())
+    order = Window.partitionBy(*keys).orderBy("side", "inside")
+    ranked = counted.withColumn("upto", F.sum("k").over(order))
+
+    def value_at(rank):
+        """The value of a rank from 0: any inside, the last below, the first above."""
+        first, last = F.col("upto") - F.col("k"), F.col("upto") - 1
+        known = (
+            F.when((F.col("side") == 0) & rank.between(first, last), F.col("inside"))
+            .when((F.col("side") < 0) & (rank == last), F.col("most"))
+            .when((F.col("side") > 0) & (rank == first), F.col("least"))
+        )
+        return F.max(known)
+
     low, high = F.floor("position"), F.ceil("position")
     names = F.array(*[F.lit(float(q)) for q in probabilities])
-    return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("upto") > low, F.col("x"))).alias("a"),
-            F.min(F.when(F.col("upto") > high, F.col("x"))).alias("b"),
-            position,
-        )
-        .select(
-            *by,
-            "column",
-            names[F.col("qi")].alias("q"),
-            (F.col("a") + (F.col("b") - F.col("a")) * (F.col("position") - low)).alias("value"),
-        )
+    found = ranked.groupBy(*keys).agg(value_at(low).alias("a"), value_at(high).alias("b"), position)
+    missed = F.col("a").isNull() | F.col("b").isNull()
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("position") - F.floor("position"))
+    return found.select(
+        *by,
+        "column",
+        names[F.col("qi")].alias("q"),
+        F.when(missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+        .otherwise(value)
+        .alias("value"),
     )
 
 

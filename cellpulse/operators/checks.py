@@ -78,20 +78,6 @@ def feature_checks(features: DataFrame) -> DataFrame:
     return _long(one, one.columns)
 
 
-def partition_balance(df: DataFrame, partitions: int) -> DataFrame:
-    """Rows per partition, summed up to one row; ``partitions`` is how many there should be."""
-    return (
-        df.groupBy(F.spark_partition_id().alias("p"))
-        .agg(F.count("*").alias("n"))
-        .agg(
-            F.count("*").alias("non_empty"),
-            (F.lit(partitions) - F.count("*")).alias("empty"),
-            F.max("n").alias("largest"),
-            F.min("n").alias("smallest_non_empty"),
-        )
-    )
-
-
 def audit_sample(df: DataFrame, k: int, ts: str = "timestamp") -> DataFrame:
     """A sample that can be drawn again: every k-th value of a key built from cell and hour."""
     return df.filter(F.pmod(F.col("grid_id") * 31 + F.hour(ts) + F.dayofyear(ts) * 7, F.lit(k)) == 0)

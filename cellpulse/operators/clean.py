@@ -64,22 +64,30 @@ def _with_derived(df: DataFrame) -> DataFrame:
     )
 
 
+def filled(column: str):
+    """A measure with 0 where there is none, and where it is not a number."""
+    return F.coalesce(F.nanvl(F.col(column), F.lit(None).cast("double")), F.lit(0.0))
+
+
 def clean(raw: DataFrame) -> DataFrame:
-    return _with_derived(canonicalise(raw).filter(~is_invalid()).na.fill(0.0, CHANNELS))
+    accepted = canonicalise(raw).filter(~is_invalid())
+    return _with_derived(accepted.withColumns({c: filled(c) for c in CHANNELS}))
 
 
-def with_verdict(raw: DataFrame) -> DataFrame:
+def with_verdict(raw: DataFrame, watch: tuple | None = None) -> DataFrame:
     """Clean and rejected rows in one frame, told apart by ``verdict``.
 
     For writing both from a single scan of the raw files. Measures of rejected rows stay as they
-    came; their totals are null where a measure is.
+    came; their totals are null where a measure is. ``watch``, an Observation and its metrics, sees
+    the typed rows before anything is filled.
     """
-    judged = canonicalise(raw).withColumn(
-        "verdict", F.when(is_invalid(), "rejected").otherwise("clean")
-    )
+    typed = canonicalise(raw)
+    if watch is not None:
+        typed = typed.observe(watch[0], *watch[1])
+    judged = typed.withColumn("verdict", F.when(is_invalid(), "rejected").otherwise("clean"))
     accepted = F.col("verdict") == "clean"
-    filled = {c: F.when(accepted, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in CHANNELS}
-    return _with_derived(judged.withColumns(filled))
+    measures = {c: F.when(accepted, filled(c)).otherwise(F.col(c)) for c in CHANNELS}
+    return _with_derived(judged.withColumns(measures))
 
 
 def null_counts(columns: list[str]) -> list:

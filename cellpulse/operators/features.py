@@ -300,15 +300,3 @@ def leakage_check(history: DataFrame, cut, tolerance: float = 1e-9) -> DataFrame
     compared = _compare_features(until(history), until(altered), tolerance)
     bad = F.col("rows_on_one_side") + F.col("rows_changed")
     return compared.withColumn("leak_free", bad == 0)
-
-
-def boundary_check(history: DataFrame, hours: int = 24, **blocks) -> DataFrame:
-    """Does any window of the recent hours reach past its own hour: one row, should be zero."""
-    df = with_halo(history.select("grid_id", "timestamp"), before=hours, **blocks)
-    order = Window.partitionBy("grid_id", "_block").orderBy("timestamp")
-    frame = order.rowsBetween(-(hours - 1), 0)
-    edges = df.withColumn("_newest", F.last("timestamp").over(frame))
-    return own_rows(edges).agg(
-        F.count("*").alias("windows"),
-        F.count_if(F.col("_newest") > F.col("timestamp")).alias("windows_past_t"),
-    )

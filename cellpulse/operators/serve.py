@@ -114,6 +114,12 @@ def _severity(value):
     return value.upper()
 
 
+def _positive(limit: int) -> int:
+    if limit < 1:
+        raise ValueError("a limit is at least 1")
+    return limit
+
+
 def _alerts_upto(alert_rows, as_of, severity):
     rows = alert_rows.filter(F.col("timestamp") <= _moment(alert_rows, as_of))
     level = _severity(severity)
@@ -127,7 +133,7 @@ def alerts_feed(
     rows = _alerts_upto(alert_rows, as_of, severity)
     if alert_type is not None:
         rows = rows.filter(F.col("alert_type") == alert_type)
-    return rows.orderBy(F.desc("timestamp"), "grid_id", "alert_type").limit(max(limit, 1))
+    return rows.orderBy(F.desc("timestamp"), "grid_id", "alert_type").limit(_positive(limit))
 
 
 def alert_hotspots(alert_rows: DataFrame, as_of=None, severity=None, limit: int = 100) -> DataFrame:
@@ -137,7 +143,7 @@ def alert_hotspots(alert_rows: DataFrame, as_of=None, severity=None, limit: int
     return (
         rows.join(newest, ["grid_id", "timestamp"], "left_semi")
         .orderBy(F.desc("current_activity"), F.desc("timestamp"), "grid_id", "alert_type")
-        .limit(min(max(limit, 1), 1000))
+        .limit(_positive(limit))
     )
 
 
@@ -301,7 +307,8 @@ def alert_status_map(alert_rows: DataFrame) -> DataFrame:
 
 
 def evidence_summary(rows: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """Per cell: how many hours, average, lowest, highest and latest with their times, alerts."""
+    """Per cell: how many hours, average, lowest, highest and latest with their times, and how many
+    alerts there were before the latest hour."""
     v, t = F.col("total_activity"), F.col("timestamp")
     early = -F.unix_seconds(t)
     seen = rows.groupBy("grid_id").agg(
@@ -311,7 +318,12 @@ def evidence_summary(rows: DataFrame, alert_rows: DataFrame) -> DataFrame:
         F.max(F.struct(v.alias("v"), early.alias("t"))).alias("hi"),
         F.max(F.struct(t.alias("t"), v.alias("v"))).alias("new"),
     )
-    prior = alert_rows.groupBy("grid_id").agg(F.count("*").alias("n"))
+    prior = (
+        alert_rows.join(seen.select("grid_id", F.col("new.t").alias("_incident")), "grid_id")
+        .filter(F.col("timestamp") < F.col("_incident"))
+        .groupBy("grid_id")
+        .agg(F.count("*").alias("n"))
+    )
     return seen.join(prior, "grid_id", "left").select(
         "grid_id",
         "observations",

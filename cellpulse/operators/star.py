@@ -40,7 +40,7 @@ def dim_upsert(
 ) -> DataFrame:
     """Insert or update by natural key. Stored surrogate keys stay; new rows get the next ones.
 
-    Numbering needs one ordered group of the new members. That is fine for these dimensions,
+    Numbering needs one ordered group of the new members, and of those alone. That is fine for these dimensions,
     whose length is the number of cells of the map or of hours of the history.
     """
     if existing is None:
@@ -49,22 +49,15 @@ def dim_upsert(
             F.row_number().over(order).cast("long").alias(key), *incoming.columns
         )
     columns = [c for c in incoming.columns if c != natural_key]
-    old = existing.select(
-        natural_key, F.col(key), *[F.col(c).alias(f"_old_{c}") for c in columns]
-    )
-    new = incoming.withColumn("_incoming", F.lit(True))
-    merged = old.join(new, natural_key, "full")
+    new = incoming.select(natural_key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    pick = [F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    stored = existing.join(new, natural_key, "left").select(F.col(key).cast("long").alias(key), natural_key, *pick)
     last = F.coalesce(existing.agg(F.max(key)).scalar(), F.lit(0))
-    order = Window.partitionBy(F.col(key).isNull()).orderBy(natural_key)
-    pick = [
-        F.when(F.col("_incoming"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c)
-        for c in columns
-    ]
-    return merged.select(
-        F.coalesce(F.col(key), last + F.row_number().over(order)).cast("long").alias(key),
-        natural_key,
-        *pick,
+    order = Window.partitionBy(F.lit(1)).orderBy(natural_key)
+    fresh = incoming.join(existing.select(natural_key), natural_key, "left_anti").select(
+        (last + F.row_number().over(order)).cast("long").alias(key), natural_key, *columns
     )
+    return stored.unionByName(fresh)
 
 
 def dim_time(hourly: DataFrame, existing: DataFrame | None = None) -> DataFrame:

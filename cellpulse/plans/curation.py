@@ -5,7 +5,9 @@
 """
 
 import argparse
+import datetime as dt
 import os
+import re
 import sys
 
 if __package__ in (None, ""):
@@ -15,11 +17,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.operators import checks, clean, geo, rollup
-from cellpulse.schemas import RAW_CHANNELS
-from cellpulse.session import build_session, size_shuffles
+from cellpulse.schemas import RAW_CHANNELS, RENAMES
+from cellpulse.session import build_session, remove, scratch_table, size_shuffles
 from cellpulse.sources import files, gate, geojson
 
 
+DAY_IN_NAME = r"(\d{4}-\d{2}-\d{2})[^/]*$"
+#: Stands for the day of rejected rows that have none, neither in themselves nor in the file's name.
+NO_DAY = dt.date(1970, 1, 1)
+
+
 def admit(spark: SparkSession, pattern: str, output: str, now) -> DataFrame:
     """Gate the files, store the verdicts, and return the rows of the accepted files.
 
@@ -33,16 +40,53 @@ def admit(spark: SparkSession, pattern: str, output: str, now) -> DataFrame:
     moment = F.lit(now).cast("timestamp")
     stored = spark.read.parquet(ledger).filter(F.col("processed_at") == moment)
     accepted, refused = gate.ingest_route(text, stored)
-    refused.write.mode("overwrite").parquet(f"{output}/rejected_files")
+    # One folder per run: what earlier runs refused stays.
+    files.write_partitioned(
+        refused.withColumn("processed_at", F.date_format(moment, "yyyy-MM-dd-HH-mm-ss")),
+        f"{output}/rejected_files",
+        by="processed_at",
+        rebalance=False,
+    )
     return accepted
 
 
+def _delivery_day():
+    """The day in a file's name, for rows whose own time may be unreadable."""
+    named = F.to_date(F.regexp_extract("_source_file", DAY_IN_NAME, 1))
+    return F.coalesce(F.when(F.regexp_extract("_source_file", DAY_IN_NAME, 1) != "", named), "date", F.lit(NO_DAY))
+
+
+def store_activity(raw: DataFrame, output: str) -> tuple[list, dict]:
+    """Clean rows by day and rejected rows by delivery day, from one scan; the clean days and null counts.
+
+    A later run replaces the days that it brings, in both. Days whose rejected rows are gone lose their
+    folder.
+    """
+    spark = raw.sparkSession
+    observed = Observation("null_profile")
+    nulls = [F.count("*").alias("n")]
+    nulls += [F.count_if(F.col(RENAMES[c]).isNull()).alias(c) for c in RAW_CHANNELS]
+    judged = clean.with_verdict(raw, (observed, nulls))
+    judged = judged.withColumn(
+        "date", F.when(F.col("verdict") == "clean", F.col("date")).otherwise(_delivery_day())
+    )
+    keys = files.write_checked(
+        judged.drop("_source_file"), f"{output}/activity", by=["verdict", "date"], rebalance=False
+    )
+    kept = {day.isoformat() for verdict, day in keys if verdict == "rejected"}
+    for name in raw.inputFiles():
+        day = re.search(DAY_IN_NAME, name)
+        if day and day[1] not in kept:
+            remove(spark, f"{output}/activity/verdict=rejected/date={day[1]}")
+    return sorted(day for verdict, day in keys if verdict == "clean"), observed.get
+
+
 def curate(
     spark: SparkSession, pattern: str, output: str, reference=None, gated: bool = False, now=None
 ) -> dict:
-    """Run all stages; returns the folder of each output.
+    """Run all stages; returns the folder of each output and whether the checks let them be published.
 
-    Every stage reads what the one before has stored, so a lost executor costs one stage at most
+    A failing check leaves the published tables as they were. Every stage reads what the one before has stored, so a lost executor costs one stage at most
     and nothing is computed twice.
     """
     paths = {
@@ -67,24 +111,26 @@ def curate(
 
     # One scan of the CSV files gives the null profile, the clean rows and the rejected rows. Daily
     # files arrive in date order already, so nothing is shuffled to write day folders.
-    observed = Observation("null_profile")
-    watched = raw.observe(observed, *clean.null_counts(RAW_CHANNELS))
-    files.write_checked(
-        clean.with_verdict(watched).drop("_source_file"),
-        f"{output}/activity",
-        by=["verdict", "date"],
-        rebalance=False,
-    )
-    counts = spark.createDataFrame([observed.get])
+    days, nulls = store_activity(raw, output)
+    counts = spark.createDataFrame([nulls])
     files.write_parquet(clean.null_report(counts, RAW_CHANNELS), paths["null_profile"])
-
-    cleaned = spark.read.parquet(paths["clean_activity"])
-    files.write_checked(rollup.hourly_summary(cleaned), paths["hourly_grid_summary"])
+    if not days:
+        return paths | {"published": False}
+
+    # Only the days of this batch are rolled up and checked, aside from what is published.
+    cleaned = spark.read.parquet(paths["clean_activity"]).filter(F.col("date").isin(days))
+    with scratch_table(rollup.hourly_summary(cleaned), "hourly") as batch:
+        found = checks.hourly_checks(batch)
+        files.write_parquet(found, paths["checks"])
+        published = checks.publish(
+            batch,
+            spark.read.parquet(paths["checks"]),
+            lambda rows: files.write_checked(rows, paths["hourly_grid_summary"]),
+        )
+        if not published:
+            return paths | {"published": False}
+        files.write_partitioned(rollup.daily_summary(batch), paths["daily_traffic_summary"])
     hourly = spark.read.parquet(paths["hourly_grid_summary"])
-
-    found = checks.hourly_checks(hourly)
-    files.write_parquet(found, paths["checks"])
-    files.write_partitioned(rollup.daily_summary(hourly), paths["daily_traffic_summary"])
     files.write_parquet(rollup.peak_per_grid(hourly), paths["peak_activity_per_grid"])
     files.write_dashboard_csv(rollup.dashboard_hourly(hourly), paths["dashboard"])
     top = rollup.hotspots(hourly)
@@ -97,7 +143,7 @@ def curate(
         files.write_parquet(geo.geo_coverage(hourly, stored), paths["coverage"])
         top = geo.hotspots_geo(top, stored)
     files.write_parquet(top, paths["hotspots"])
-    return paths
+    return paths | {"published": True}
 
 
 def main():

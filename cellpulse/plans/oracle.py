@@ -734,8 +734,6 @@ oracle(
         SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS rows_on_one_side,
                CAST(0 AS BIGINT) AS rows_changed, true AS leak_free
         FROM s_features WHERE feature_timestamp <= TIMESTAMP '2024-01-16 12:00:00'""",
-    boundary_check="""
-        SELECT count(*) AS windows, CAST(0 AS BIGINT) AS windows_past_t FROM s_hourly""",
     daily_coverage="""
         SELECT grid_id, date, count(DISTINCT hour(timestamp)) AS hour_count,
                count(DISTINCT hour(timestamp)) = 24 AS complete_day
@@ -974,7 +972,8 @@ oracle(
                min(timestamp) FILTER (total_activity = hi) AS maximum_at,
                max(total_activity) FILTER (timestamp = newest) AS latest_activity,
                max(timestamp) AS latest_at,
-               (SELECT count(*) FROM s_alerts a WHERE a.grid_id = h.grid_id) AS prior_alerts
+               (SELECT count(*) FROM s_alerts a WHERE a.grid_id = h.grid_id
+                  AND a.timestamp < (SELECT max(timestamp) FROM s_hourly n WHERE n.grid_id = h.grid_id)) AS prior_alerts
         FROM (SELECT *, min(total_activity) OVER (PARTITION BY grid_id) AS lo,
                      max(total_activity) OVER (PARTITION BY grid_id) AS hi,
                      max(timestamp) OVER (PARTITION BY grid_id) AS newest FROM s_hourly) h

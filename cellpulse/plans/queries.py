@@ -146,17 +146,22 @@ def hotspot_rank(t):
 NOW = "2024-01-31 06:00:00"
 
 
+def _named_by_day(scan):
+    """The daily file's name in place of the path of the part that Spark wrote."""
+    name = F.regexp_extract("_source_file", r"_source_file=([^/]*)/", 1)
+    return scan.select("*", name.alias("source_file")).drop("_source_file")
+
+
 @query
 def csv_scan(t):
     pattern = files.write_daily_csv(t.raw, scratch_dir(t.spark, "daily-csv"))
-    return files.read_raw(t.spark, pattern).withColumnRenamed("_source_file", "source_file")
+    return _named_by_day(files.read_raw(t.spark, pattern))
 
 
 @query
 def csv_scan_text(t):
     pattern = files.write_daily_csv(t.raw_text, scratch_dir(t.spark, "daily-text"))
-    scan = files.read_raw(t.spark, pattern, text=True)
-    return scan.withColumnRenamed("_source_file", "source_file")
+    return _named_by_day(files.read_raw(t.spark, pattern, text=True))
 
 
 @query
@@ -335,11 +340,6 @@ def publish_gate(t):
     return checks.publish_gate(checks.hourly_checks(t.hourly))
 
 
-@query
-def partition_balance(t):
-    return checks.partition_balance(t.hourly.repartition(8, "date"), 8)
-
-
 @query
 def audit_sample(t):
     return checks.audit_sample(t.hourly.select("grid_id", "timestamp", "total_activity"), 7)
@@ -434,11 +434,6 @@ def leakage_check(t):
     return trailing.leakage_check(t.hourly, "2024-01-16 12:00:00")
 
 
-@query
-def boundary_check(t):
-    return trailing.boundary_check(t.hourly)
-
-
 # --- rule alerts --------------------------------------------------------------------------
 
 

@@ -80,23 +80,6 @@ HOURLY_SCHEMA = _struct(
     internet_share=_D,
     date=T.DateType(),
 )
-DIM_TIME_SCHEMA = _struct(
-    time_key=_L, timestamp=_TS, date_value=T.DateType(), hour_of_day=_I, day_of_week=_I
-)
-DIM_GRID_SCHEMA = _struct(
-    grid_key=_L, grid_id=_I, centroid_latitude=_D, centroid_longitude=_D, geometry_ref=_S
-)
-FACT_SCHEMA = _struct(grid_key=_L, time_key=_L, **{c: _D for c in MEASURES})
-FEATURE_SCHEMA = _struct(
-    grid_id=_I,
-    feature_timestamp=_TS,
-    avg_activity=_D,
-    activity_growth=_D,
-    active_hours=_I,
-    peak_ratio=_D,
-    variability=_D,
-    internet_share=_D,
-)
 ALERT_SCHEMA = _struct(
     grid_id=_I,
     timestamp=_TS,
@@ -105,7 +88,6 @@ ALERT_SCHEMA = _struct(
     baseline_activity=_D,
     reason=_S,
 )
-LEDGER_SCHEMA = _struct(filename=_S, status=_S, row_count=_L, reason=_S, processed_at=_TS)
 
 GEOJSON_SCHEMA = T.StructType(
     [

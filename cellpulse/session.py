@@ -1,5 +1,7 @@
 """Session set-up and the shared scratch folder."""
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -37,10 +39,13 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 12
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names.
 
-    Only where the cluster names none (a local test run) is a temporary folder set.
+    On a cluster that names none this is an error: executors would each write to their own disk. Only
+    a local session, as in tests, gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^-].*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="cellpulse-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,3 +59,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever store its path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch_table(df: DataFrame, name: str):
+    """``materialise`` for readers that are done when the block ends; the table goes then."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)

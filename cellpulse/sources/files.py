@@ -5,12 +5,16 @@ from pyspark.sql import functions as F
 
 from cellpulse.schemas import RAW_COLUMNS, RAW_SCHEMA, RAW_TEXT_SCHEMA
 
-FILE_NAME = r"(sms-call-internet-mi-[^/]*\.csv)"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def _source_file():
-    return F.regexp_extract(F.col("_metadata.file_path"), FILE_NAME, 1)
+    """The whole path: files of one name in two folders are two files."""
+    return F.col("_metadata.file_path")
+
+
+def base_name(path):
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def read_raw(spark: SparkSession, pattern: str, text: bool = False) -> DataFrame:
@@ -27,21 +31,22 @@ def read_raw(spark: SparkSession, pattern: str, text: bool = False) -> DataFrame
 def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
     """The header names each file declares, found among its lines, not by opening files here.
 
-    A header line is one that holds at least one of the known column names; data lines hold
-    numbers and times only. A file without one has an empty list. Only the first block of a file is
-    looked at.
+    The header is the first line of a file, provided that it holds at least one of the known column
+    names; data lines hold numbers and times only. A file without one has an empty list. Lines of
+    later blocks are passed over by their block's place.
     """
     names = F.split(F.regexp_replace("value", r'[\s"]', ""), ",")
     known = F.array(*[F.lit(c) for c in RAW_COLUMNS])
-    first = F.col("start") == 0
     lines = spark.read.text(pattern).select(
         _source_file().alias("filename"),
         F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
         F.when(F.col("_metadata.file_block_start") == 0, names).alias("names"),
     )
-    header = F.when(first & F.arrays_overlap("names", known), F.col("names"))
-    return lines.groupBy("filename").agg(
-        F.coalesce(F.max(header), F.array().cast("array<string>")).alias("header")
+    first = lines.groupBy("filename").agg(F.min_by("names", F.struct("start", "line")).alias("names"))
+    header = F.when(F.arrays_overlap("names", known), F.col("names"))
+    return first.select(
+        "filename", F.coalesce(header, F.array().cast("array<string>")).alias("header")
     )
 
 
@@ -125,25 +130,33 @@ def readback_checks(df: DataFrame, path: str, by: str = "date") -> DataFrame:
     )
 
 
-def write_checked(df: DataFrame, path: str, by=("date",), day: str = "date", **options) -> None:
-    """Write by day and compare what arrived with what was sent, without computing ``df`` again.
+def write_checked(df: DataFrame, path: str, by=("date",), **options) -> list[tuple]:
+    """Write by folder and compare what arrived with what was sent, without computing ``df`` again.
 
-    Rows are counted while they are written; stored rows are counted for the written days only,
-    because earlier runs may have left other days there.
+    Rows are counted, and the folders they go to noted, while they are written; stored rows are counted
+    in those folders only, the one for missing keys included, because other runs have left theirs
+    there. Returns the folders' keys: there are as many as days and verdicts in the batch.
     """
+    by = [by] if isinstance(by, str) else list(by)
     sent = Observation()
-    metrics = [
-        F.count(day).alias("n"),
-        F.min(day).alias("first"),
-        F.max(day).alias("last"),
-    ]
+    # A collected set leaves nulls out, a struct with a null inside stays.
+    metrics = [F.count("*").alias("n"), F.collect_set(F.struct(*by)).alias("keys")]
     write_partitioned(df, path, by, watch=(sent, metrics), **options)
-    stored = df.sparkSession.read.parquet(path)
     seen = sent.get
-    days = F.col(day).between(F.lit(seen["first"]), F.lit(seen["last"]))
-    found = stored.filter(days).count() if seen["n"] else 0
+    keys = [tuple(k) for k in seen["keys"]]
+    if not seen["n"]:
+        return keys
+    stored = df.sparkSession.read.parquet(path)
+    mine = F.lit(False)
+    for key in keys:
+        same = F.lit(True)
+        for name, value in zip(by, key, strict=True):
+            same = same & F.col(name).eqNullSafe(F.lit(value))
+        mine = mine | same
+    found = stored.filter(mine).count()
     if found != seen["n"] or not schema_matches(df, stored):
         raise ValueError(f"{path}: sent {seen['n']} rows as {df.dtypes}, found {found}")
+    return keys
 
 
 def require_readback(df: DataFrame, path: str, by: str = "date") -> None:

@@ -91,7 +91,7 @@ def source_grain_checks(raw_text: DataFrame) -> DataFrame:
     """
     grain = ["_source_file", "datetime", "CellID", "countrycode"]
     day = F.to_date(F.try_to_timestamp("datetime"))
-    named = F.to_date(F.regexp_extract("_source_file", r"(\d{4}-\d{2}-\d{2})", 1))
+    named = F.to_date(F.regexp_extract("_source_file", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1))
     return (
         raw_text.groupBy(*grain)
         .count()

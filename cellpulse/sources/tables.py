@@ -11,8 +11,8 @@ def read_table(spark: SparkSession, fmt: str, **options) -> DataFrame:
 
 
 def append_table(df: DataFrame, fmt: str, **options) -> None:
-    """Append. JDBC defaults: batches of 5000 rows over 4 connections."""
-    settings = {"batchsize": 5000, "numPartitions": 4} if fmt == "jdbc" else {}
+    """Append. JDBC batches have 5000 rows by default; ``numPartitions`` (connections) is the caller's."""
+    settings = {"batchsize": 5000} if fmt == "jdbc" else {}
     df.write.format(fmt).options(**{**settings, **options}).mode("append").save()
 
 

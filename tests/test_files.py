@@ -60,7 +60,7 @@ def test_typed_scan_and_empty_match(spark, landing):
     raw = files.read_raw(spark, landing.replace("*", "2013-11-01"))
     row = raw.orderBy("datetime").first()
     assert row.datetime == at("2013-11-01") and row.smsin == 1.5
-    assert row._source_file == "sms-call-internet-mi-2013-11-01.csv"
+    assert row._source_file.endswith("/sms-call-internet-mi-2013-11-01.csv")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.read_raw(spark, landing.replace("*", "none-*")).count()
 
@@ -87,12 +87,86 @@ def test_curation_runs_twice_with_the_same_result(spark, landing, tmp_path):
         assert spark.read.parquet(paths["clean_activity"]).count() == 72
         assert spark.read.parquet(f"{out}/rejected_files").count() == 95
     nulls = spark.read.parquet(paths["null_profile"]).filter("column_name = 'smsin'").first()
-    assert nulls.null_count == 1
+    assert nulls.null_count == 2  # a blank and a text
+    assert paths["published"]
     assert files.readback_checks(hourly, paths["hourly_grid_summary"]).first().passed
     dashboard = spark.read.option("header", True).csv(paths["dashboard"])
     assert dashboard.count() == 72
 
 
+def test_redelivered_days_replace_themselves_only(spark, tmp_path):
+    """Two batches, then the first one corrected: nothing of the second is touched."""
+    out = str(tmp_path / "curated")
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir()
+    two.mkdir()
+    day(one, "2013-11-01", first="1,1,1,NaN,1")
+    extra = one / "sms-call-internet-mi-2013-11-01.csv"
+    extra.write_text(extra.read_text() + "not a time,1,39,1,1,1,1,1\n2013-11-01 05:00:00,2,39,-1,1,1,1,1\n")
+    day(two, "2013-11-02")
+    other = two / "sms-call-internet-mi-2013-11-02.csv"
+    other.write_text(other.read_text() + "no time either,1,39,1,1,1,1,1\n")
+
+    def run(folder):
+        return curation.curate(spark, f"{folder}/{FILE_PATTERN}", out)
+
+    def counts(paths):
+        rejected = spark.read.option("basePath", f"{out}/activity").parquet(f"{out}/activity")
+        return (
+            rejected.filter("verdict = 'clean'").count(),
+            rejected.filter("verdict = 'rejected'").count(),
+            spark.read.parquet(paths["hourly_grid_summary"]).count(),
+        )
+
+    assert counts(run(one)) == (24, 2, 24)
+    paths = run(two)
+    assert counts(paths) == (48, 3, 48)
+    total = spark.read.parquet(paths["hourly_grid_summary"]).agg({"total_activity": "sum"}).first()[0]
+    assert total == total  # no NaN
+    day(one, "2013-11-01")
+    assert counts(run(one)) == (48, 1, 48)
+
+
+def test_failing_checks_leave_the_published_tables(spark, tmp_path):
+    out = str(tmp_path / "curated")
+    day(tmp_path, "2013-11-01")
+    first = curation.curate(spark, f"{tmp_path}/{FILE_PATTERN}", out)
+    assert first["published"]
+    before = spark.read.parquet(first["hourly_grid_summary"]).count()
+    day(tmp_path, "2013-11-01", n_hours=5)
+    second = curation.curate(spark, f"{tmp_path}/{FILE_PATTERN}", out)
+    assert not second["published"]
+    assert spark.read.parquet(first["hourly_grid_summary"]).count() == before
+    failed = spark.read.parquet(second["checks"]).filter("not passed")
+    assert [r.check_name for r in failed.collect()] == ["days_without_24_hours"]
+
+
+def test_equal_names_in_two_folders_are_two_files(spark, tmp_path):
+    for name, first in (("a", "1,1,1,1,1"), ("b", "-1,1,1,1,1")):
+        (tmp_path / name).mkdir()
+        day(tmp_path / name, "2013-11-01", first=first)
+    pattern = f"{tmp_path}/*/{FILE_PATTERN}"
+    text = files.read_raw(spark, pattern, text=True)
+    verdicts = gate.ingest_gate(text, files.file_headers(spark, pattern)).collect()
+    assert sorted((r.filename.split("/")[-2], r.status) for r in verdicts) == [("a", "ACCEPTED"), ("b", "REJECTED")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from cellpulse import session
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.scratch_dir(Cluster(), "x")
+    with session.scratch_table(spark.range(3), "x") as table:
+        path = table.inputFiles()[0].rpartition("/")[0]
+        assert table.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+
+
 def test_sink_reruns_replace_their_days(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame(
@@ -104,7 +178,10 @@ def test_sink_reruns_replace_their_days(spark, tmp_path):
     files.require_readback(df, path)
     files.write_checked(df.filter("date = '2026-01-01'"), path)
     files.write_checked(df.limit(0), path)
-    assert spark.read.parquet(path).count() == 2
+    missing = df.limit(1).selectExpr("timestamp", "v", "CAST(NULL AS DATE) AS date")
+    files.write_checked(missing, path)
+    files.write_checked(df.filter("date = '2026-01-01'"), path)
+    assert spark.read.parquet(path).count() == 3
     with pytest.raises(ValueError):
         files.write_checked(df.drop("v").filter("date = '2026-01-02'"), path, mode="append")
     with pytest.raises(ValueError):

@@ -138,7 +138,9 @@ def test_feed_checks_its_arguments(spark):
         serve.alerts_feed(feed, severity="low")
     with pytest.raises(ValueError):
         serve.grid_activity(feed, cells=[0])
-    assert serve.alerts_feed(feed, limit=0).count() == 1
+    for serve_some in (serve.alerts_feed, serve.alert_hotspots):
+        with pytest.raises(ValueError):
+            serve_some(feed, limit=0)
     assert serve.alerts_feed(feed, severity="high").first().alert_type == "HIGH_ACTIVITY"
     newest = serve.alert_hotspots(feed).collect()
     assert [r.alert_type for r in newest] == ["ACTIVITY_DROP", "ACTIVITY_SPIKE"]
@@ -146,6 +148,14 @@ def test_feed_checks_its_arguments(spark):
     assert row.status == "HIGH" and row.alert_types == "ACTIVITY_DROP, ACTIVITY_SPIKE, HIGH_ACTIVITY"
 
 
+def test_hotspots_are_not_cut(spark):
+    feed = spark.range(2500).selectExpr(
+        "CAST(id AS INT) AS grid_id", "TIMESTAMP '2026-01-01 00:00:00' AS timestamp", "'HIGH_ACTIVITY' AS alert_type",
+        "CAST(id AS DOUBLE) AS current_activity", "1.0D AS baseline_activity", "'r' AS reason", "'HIGH' AS severity",
+    )
+    assert serve.alert_hotspots(feed, limit=2500).count() == 2500
+
+
 def test_comparison_of_totals(spark):
     t = at("2026-01-01 03:00")
     rows = [(1, t, 0.0, 0.0, 0.0, 0.0), (2, t, 3.0, 1.0, 6.0, 10.0), (3, t, 3.0, 2.0, 6.0, 11.0)]

@@ -148,7 +148,7 @@ def test_quantiles_with_brackets_are_exact(spark):
     qs = [0.0, 0.1, 0.5, 0.975, 1.0]
     import numpy as np
 
-    for kwargs in ({}, {"accuracy": 200, "exact_below": 500}):
+    for kwargs in ({}, {"accuracy": 200}):
         got = exact_quantiles(df, ["x"], qs, by=["g"], **kwargs).collect()
         assert len(got) == 10
         for r in got:
