@@ -1,4 +1,4 @@
-"""Registered queries of the operators and, where SQL can express them, their DuckDB SQL."""
+"""Registered queries of the operators; ``ORACLE`` has the DuckDB SQL of those that SQL can express."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from cellpulse.llm.line_crf import fit_field, quality_column
 from cellpulse.llm.lm_interpolation import score_documents
 from cellpulse.llm.mixing import label_domain, mix, rate_of
 from cellpulse.llm.ngram_join import near_components
+from cellpulse.llm.oracle import ORACLE
 from cellpulse.llm.order_minhash import fingerprint_documents
 from cellpulse.llm.secret_link import STRONG, find_secrets
 from cellpulse.llm.wavelet import token_index
@@ -82,7 +83,6 @@ def op9_decontaminate(spark, sf_dir):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"),
     )
 
 
@@ -109,5 +109,3 @@ REGISTRY = {
         op10_line_crf,
     )
 }
-
-ORACLE: dict[str, str] = {}
