@@ -5,6 +5,9 @@
 
 import re
 
+from cellpulse.operators.ml import TREE_GRID
+from cellpulse.schemas import MODEL_FEATURES
+
 STEPS = {}
 ORACLE = {}
 
@@ -991,6 +994,24 @@ SELECT *, CASE WHEN feature_timestamp <= (SELECT cutoff FROM s_cutoff) THEN 'tra
                ELSE 'test' END AS split
 FROM s_train"""
 
+STEPS["s_inner_cutoff"] = """
+SELECT feature_timestamp AS cutoff
+FROM (SELECT feature_timestamp, row_number() OVER (ORDER BY feature_timestamp) AS r,
+             count(*) OVER () AS n
+      FROM (SELECT DISTINCT feature_timestamp FROM s_split WHERE split = 'train'))
+WHERE r = CAST(floor(0.8 * n) AS BIGINT)"""
+
+#: What any sound fit says about the test rows.
+_FACTS = """
+        SELECT count(*) AS rows_scored, CAST(sum(high_activity) AS BIGINT) AS positives,
+               CAST(0 AS BIGINT) AS class_disagrees, CAST(0 AS BIGINT) AS odd_probabilities,
+               CAST(sum(high_activity) AS BIGINT) AS positives_in_matrix,
+               CAST(count(*) - sum(high_activity) AS BIGINT) AS negatives_in_matrix,
+               true AS ranking_in_range
+        FROM s_split WHERE split = 'test'"""
+_GRID = ", ".join(f"({depth}, {leaf})" for depth, leaf in TREE_GRID)
+_INPUTS = ", ".join(f"('{name}')" for name in MODEL_FEATURES)
+
 
 def _metrics(table, said, score):
     """One row of class and ranking metrics of a table with high_activity."""
@@ -1071,6 +1092,24 @@ oracle(
         UNION ALL
         SELECT *, 'tuned' AS model
         FROM ({_metrics('s_scored', 'probability >= 0.35', 'probability')})""",
+    ml_dt=_FACTS,
+    ml_dt_plain=_FACTS,
+    ml_lr=_FACTS,
+    ml_gbt=_FACTS,
+    ml_lr_coefficients=f"""
+        SELECT feature, true AS solved, true AS sized FROM (VALUES {_INPUTS}) v(feature)""",
+    ml_importance=f"""
+        SELECT feature, true AS in_range, true AS adds_to_one FROM (VALUES {_INPUTS}) v(feature)""",
+    ml_tune=f"""
+        SELECT max_depth, min_samples_leaf, count(*) AS rows_validated,
+               CAST(sum(high_activity) AS BIGINT) AS positives
+        FROM s_split, (VALUES {_GRID}) g(max_depth, min_samples_leaf)
+        WHERE split = 'train' AND feature_timestamp > (SELECT cutoff FROM s_inner_cutoff)
+        GROUP BY ALL""",
+    ml_predictions="""
+        SELECT grid_id, feature_timestamp, target_timestamp, high_activity,
+               true AS logistic_agrees, true AS tree_agrees
+        FROM s_split WHERE split = 'test'""",
     ml_roundtrip="""
         SELECT count(*) AS rows_scored, CAST(0 AS BIGINT) AS rows_different
         FROM s_split WHERE split = 'test'""",

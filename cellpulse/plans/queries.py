@@ -747,56 +747,116 @@ def risk_levels(t):
     return ml.risk_levels(t.scored_training, "stand-in")
 
 
-# --- learning: fitted models (no SQL equivalent) ------------------------------------------
+# --- learning: fitted models; what SQL can say about any sound fit --------------------------
+
+
+def _facts(scored, threshold=0.5):
+    """Rows and classes of a scored test set, and how often class and probability disagree."""
+    matrix = metrics.ml_eval(scored).select(
+        F.struct(
+            (F.col("tp") + F.col("fn")).alias("positives_in_matrix"),
+            (F.col("fp") + F.col("tn")).alias("negatives_in_matrix"),
+            (F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1)).alias("ranking_in_range"),
+        )
+    ).scalar()
+    facts = scored.agg(
+        F.count("*").alias("rows_scored"),
+        F.sum("high_activity").cast("long").alias("positives"),
+        F.count_if(_disagree("prediction", "probability", threshold)).alias("class_disagrees"),
+        F.count_if(~F.col("probability").between(0, 1)).alias("odd_probabilities"),
+    )
+    names = ("positives_in_matrix", "negatives_in_matrix", "ranking_in_range")
+    return facts.withColumns({name: matrix[name] for name in names})
+
+
+def _disagree(prediction, probability, threshold=0.5):
+    said, p = F.col(prediction) == 1, F.col(probability)
+    return (said & (p < threshold)) | (~said & (p > threshold))
 
 
 @query
 def ml_dt(t):
     train, test = ml.prepare(t.training)
-    return metrics.ml_eval(ml.predict(ml.fit_tree(train), test))
+    return _facts(ml.predict(ml.fit_tree(train), test))
 
 
 @query
 def ml_dt_plain(t):
     train, test = ml.prepare(t.training)
-    return metrics.ml_eval(ml.predict(ml.fit_plain_tree(train), test))
+    return _facts(ml.predict(ml.fit_plain_tree(train), test))
 
 
 @query
 def ml_lr(t):
     train, test = ml.prepare(t.training)
-    return metrics.ml_eval(ml.predict(ml.fit_lr(train), test))
+    return _facts(ml.predict(ml.fit_lr(train), test))
 
 
 @query
 def ml_lr_coefficients(t):
+    """The likelihood's slope in every input is 0 at the fitted coefficients."""
     train, _ = ml.prepare(t.training)
-    return ml.lr_coefficients(ml.fit_lr(train, log1p=False), t.spark)
+    model = ml.fit_lr(train, log1p=False)
+    scored = ml.predict(model, train)
+    spread = train.agg(
+        F.struct(
+            *[F.stddev_samp(c).alias(f"s_{c}") for c in MODEL_FEATURES],
+            *[F.avg(c).alias(f"m_{c}") for c in MODEL_FEATURES],
+        )
+    ).scalar()
+    miss = F.col("weight") * (F.col("high_activity") - F.col("probability"))
+    sums = scored.withColumn("_spread", spread).agg(
+        *[
+            (F.abs(F.sum(miss * (F.col(c) - F.col(f"_spread.m_{c}")) / F.col(f"_spread.s_{c}"))) / F.sum("weight")).alias(c)
+            for c in MODEL_FEATURES
+        ]
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) < 1e-3).alias("solved")) for c in MODEL_FEATURES])
+    known = ml.lr_coefficients(model, t.spark).select("feature", (F.abs("coefficient") == F.col("absolute_coefficient")).alias("sized"))
+    return sums.select(F.inline(rows)).join(F.broadcast(known), "feature")
 
 
 @query
 def ml_gbt(t):
     train, test = ml.prepare(t.training)
     scored = ml.predict(ml.fit_gbt(train), test)
-    return metrics.ml_eval(metrics.at_threshold(scored, 0.3))
+    return _facts(metrics.at_threshold(scored, 0.3), 0.3)
 
 
 @query
 def ml_tune(t):
     train, _ = ml.prepare(t.training)
-    return ml.tune_tree(train)
+    tuned = ml.tune_tree(train)
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return tuned.select(
+        "max_depth", "min_samples_leaf", n.alias("rows_validated"), (F.col("tp") + F.col("fn")).alias("positives")
+    )
 
 
 @query
 def ml_importance(t):
     train, _ = ml.prepare(t.training)
-    return ml.ml_importance(ml.fit_tree(train), t.spark)
+    found = ml.ml_importance(ml.fit_tree(train), t.spark)
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select(
+        "feature",
+        F.col("importance").between(0, 1).alias("in_range"),
+        (F.abs(total - 1) < 1e-9).alias("adds_to_one"),
+    )
 
 
 @query
 def ml_predictions(t):
     train, test = ml.prepare(t.training)
-    return ml.ml_predictions({"logistic": ml.fit_lr(train), "tree": ml.fit_tree(train)}, test)
+    found = ml.ml_predictions({"logistic": ml.fit_lr(train), "tree": ml.fit_tree(train)}, test)
+    return found.select(
+        "grid_id",
+        "feature_timestamp",
+        "target_timestamp",
+        "high_activity",
+        (~_disagree("prediction_logistic", "probability_logistic")).alias("logistic_agrees"),
+        (~_disagree("prediction_tree", "probability_tree")).alias("tree_agrees"),
+    )
 
 
 @query
