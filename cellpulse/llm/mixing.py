@@ -34,25 +34,24 @@ FEATURES, SLOTS = 1 << 13, 1 << 16
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text; none for null, empty and blank ones."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
-
-
 def with_features(docs: DataFrame, text: str) -> DataFrame:
     """Adds ``_n_tokens`` and ``_features``, the distinct hashes of a text's features."""
-    docs = docs.withColumn("_words", words_of(F.coalesce(F.col(text), F.lit(""))))
-    docs = docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(F.lower(w))))
+    # What later steps use twice gets a column of its own, so that it is worked out once.
+    docs = docs.withColumn("_plain", F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACES)))
+    words = F.when(F.col("_plain") == "", F.array().cast("array<string>")).otherwise(F.split("_plain", r"[ \t-\r]+"))
+    docs = docs.withColumn("_words", words)
+    docs = docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     again = F.lit(1).cast("long")  # a word that the next one repeats
-    whole = F.zip_with(
-        "_hashes", F.slice("_hashes", 2, F.size("_hashes")), lambda a, b: F.when(a == b, again).otherwise(a)
+    docs = docs.withColumn(
+        "_hashes",
+        F.zip_with("_hashes", F.slice("_hashes", 2, F.size("_hashes")), lambda a, b: F.when(a == b, again).otherwise(a)),
     )
     ends = F.transform("_words", lambda w: F.xxhash64(F.lit("end"), F.right(w, F.lit(2))))
-    mostly = F.when(F.size(F.filter(whole, lambda h: h == again)) * 4 > F.size("_words"), F.array(again + 1))
-    distinct = F.concat(F.array_distinct(whole), F.array_distinct(ends), F.coalesce(mostly, F.array().cast("array<long>")))
+    mostly = F.when(F.size(F.filter("_hashes", lambda h: h == again)) * 4 > F.size("_words"), F.array(again + 1))
+    none = F.array().cast("array<long>")
+    distinct = F.concat(F.array_distinct("_hashes"), F.array_distinct(ends), F.coalesce(mostly, none))
     docs = docs.withColumn("_n_tokens", F.size("_words").cast("long"))
-    return docs.withColumn("_features", distinct).drop("_words", "_hashes")
+    return docs.withColumn("_features", distinct).drop("_plain", "_words", "_hashes")
 
 
 class Domains:
@@ -115,7 +114,9 @@ def learn_domains(
     # At most ``sample`` rows of an id and a name.
     taught = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"))
     number = [F.sum((F.col("_domain") == n).cast("long")).alias(f"n{k}") for k, n in enumerate(names)]
-    taught = with_features(taught, text)
+    # Written once (``sample`` rows at most): a filter on exploded features would else be pushed below the join.
+    taught = with_features(taught, text).select("_domain", "_n_tokens", "_features")
+    taught = materialise(taught, "taught")
     sums = taught.agg(*number, F.avg("_n_tokens")).first()
     documents, typical = np.array([v or 0 for v in sums[:-1]], float), sums[-1] or 0.0
     # A domain that no label shows has no members, unless no label shows any.
