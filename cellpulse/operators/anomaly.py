@@ -155,17 +155,18 @@ def bucket_rows(hourly: DataFrame) -> DataFrame:
 
 
 def bucket_coverage(
-    hourly: DataFrame, expected_cells: int, min_history: int = 3
+    hourly: DataFrame, expected_cells, min_history: int = 3
 ) -> DataFrame:
-    expected = expected_cells * 24
+    """``expected_cells``: a number, or a scalar column such as the length of a look-up."""
+    expected = F.lit(expected_cells) * 24
     return bucket_rows(hourly).agg(
         F.count("*").alias("buckets"),
         F.min("bucket_count").alias("min_rows"),
         F.max("bucket_count").alias("max_rows"),
         F.avg("bucket_count").alias("mean_rows"),
         F.count_if(F.col("bucket_count") < min_history).alias("low_history_buckets"),
-        F.lit(expected).cast("long").alias("expected_buckets"),
-        (F.lit(expected) - F.count("*")).alias("missing_buckets"),
+        expected.cast("long").alias("expected_buckets"),
+        (expected - F.count("*")).cast("long").alias("missing_buckets"),
     )
 
 

@@ -107,9 +107,12 @@ def star_history(fact: DataFrame, grids: DataFrame, times: DataFrame) -> DataFra
 
 
 def warehouse_checks(
-    grids: DataFrame, times: DataFrame, fact: DataFrame, expected_cells: int = MAX_CELL
+    grids: DataFrame, times: DataFrame, fact: DataFrame, expected_cells=MAX_CELL
 ) -> DataFrame:
-    """Counts and violations of the loaded tables, one row."""
+    """Counts and violations of the loaded tables, one row.
+
+    ``expected_cells``: a number, or a scalar column such as the length of a look-up.
+    """
 
     def repeats(df, keys):
         counted = df.groupBy(*keys).count().filter(F.col("count") > 1)

@@ -640,12 +640,17 @@ oracle(
         FROM s_fact f JOIN s_dim_grid g ON f.grid_key = g.grid_key
                       JOIN s_dim_time t ON f.time_key = t.time_key""",
     warehouse_checks="""
-        SELECT (SELECT count(*) FROM s_fact) AS fact_rows, CAST(0 AS BIGINT) AS null_measure_rows,
+        SELECT (SELECT count(*) + count(*) FILTER ((grid_key * 31 + time_key) % 97 = 0) FROM s_fact) AS fact_rows,
+               (SELECT count(*) FILTER ((grid_key * 31 + time_key) % 89 = 0)
+                       + count(*) FILTER ((grid_key * 31 + time_key) % 89 = 0
+                                          AND (grid_key * 31 + time_key) % 97 = 0)
+                FROM s_fact) AS null_measure_rows,
                (SELECT count(*) FROM s_dim_grid) AS grid_rows,
                (SELECT count(*) FROM s_dim_time) AS time_rows,
                CAST(0 AS BIGINT) AS cells_out_of_range, CAST(0 AS BIGINT) AS repeated_grids,
-               CAST(0 AS BIGINT) AS repeated_facts,
-               (SELECT count(*) FROM s_dim_grid) = 4 AS passed""",
+               (SELECT count(*) FILTER ((grid_key * 31 + time_key) % 97 = 0) FROM s_fact)
+                 AS repeated_facts,
+               false AS passed""",
     hourly_checks="SELECT *, failures = 0 AS passed FROM s_hourly_checks",
     publish_gate="""
         SELECT count(*) AS checks_run, count(*) FILTER (failures > 0) AS checks_failed,
@@ -787,7 +792,8 @@ oracle(
         SELECT count(*) AS buckets, min(bucket_count) AS min_rows, max(bucket_count) AS max_rows,
                round(avg(bucket_count), 6) AS mean_rows,
                count(*) FILTER (bucket_count < 3) AS low_history_buckets,
-               CAST(120 AS BIGINT) AS expected_buckets, 120 - count(*) AS missing_buckets
+               CAST(24 * (SELECT count(*) FROM s_lookup) AS BIGINT) AS expected_buckets,
+               CAST(24 * (SELECT count(*) FROM s_lookup) - count(*) AS BIGINT) AS missing_buckets
         FROM s_buckets""",
     low_history_buckets="SELECT * FROM s_buckets WHERE bucket_count < 30",
     anomaly_summary="""

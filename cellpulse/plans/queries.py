@@ -324,7 +324,13 @@ def star_history(t):
 
 @query
 def warehouse_checks(t):
-    return star.warehouse_checks(t.dim_grid, t.dim_time, t.fact, expected_cells=4)
+    """Over facts damaged by rule, so that the checks have something to find."""
+    mark = F.col("grid_key") * 31 + F.col("time_key")
+    measure = F.when(mark % 89 != 0, F.col("sms_in")).alias("sms_in")
+    damaged = t.fact.select(*[measure if c == "sms_in" else c for c in t.fact.columns])
+    damaged = damaged.unionByName(damaged.filter(mark % 97 == 0))
+    cells = t.lookup.agg(F.count("*")).scalar()
+    return star.warehouse_checks(t.dim_grid, t.dim_time, damaged, expected_cells=cells)
 
 
 # --- publication --------------------------------------------------------------------------
@@ -508,7 +514,7 @@ def anomalies_long_history(t):
 
 @query
 def bucket_coverage(t):
-    return anomaly.bucket_coverage(t.hourly, expected_cells=5)
+    return anomaly.bucket_coverage(t.hourly, expected_cells=t.lookup.agg(F.count("*")).scalar())
 
 
 @query
