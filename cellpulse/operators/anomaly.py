@@ -66,7 +66,36 @@ def anomalies(
     far for every row, which suits up to about a year; ``long_history`` keeps them sorted in one
     pass per bucket instead (Arrow batches, the same result).
     """
-    df = (_by_group if long_history else _by_frame)(_buckets(hourly))
+    return _judged((_by_group if long_history else _by_frame)(_buckets(hourly)), min_history, threshold)
+
+
+def anomalies_increment(
+    history: DataFrame, new: DataFrame, min_history: int = 3, threshold: float = 0.5
+) -> DataFrame:
+    """``anomalies`` for new hours alone, all later than the stored history.
+
+    Each bucket's history is gathered once; a new row adds only the new rows before it. Buckets without
+    new rows are not looked at.
+    """
+    rows = _buckets(new)
+    wanted = rows.select(*BUCKET).distinct()
+    past = (
+        _buckets(history)
+        .join(wanted, BUCKET, "left_semi")
+        .groupBy(*BUCKET)
+        .agg(F.collect_list("total_activity").alias("_past"))
+    )
+    order = Window.partitionBy(*BUCKET).orderBy("timestamp")
+    earlier = F.collect_list("total_activity").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    none = F.array().cast("array<double>")
+    seen = F.concat(F.coalesce("_past", none), F.col("_earlier"))
+    df = rows.withColumn("_earlier", earlier).join(past, BUCKET, "left").withColumn("_seen", seen)
+    df = df.withColumns({"baseline_count": F.size("_seen"), "historical_baseline": median_of(F.col("_seen"))})
+    return _judged(df.drop("_past", "_earlier", "_seen"), min_history, threshold)
+
+
+def _judged(df: DataFrame, min_history: int, threshold: float) -> DataFrame:
+    """Deviation, direction, flag, reason and action of rows with their baselines."""
     known = F.col("baseline_count") >= min_history
     base = F.col("historical_baseline")
     df = df.withColumn("historical_baseline", F.when(known, base))

@@ -786,6 +786,9 @@ oracle(
         SELECT grid_id, timestamp, alert_type, CAST(2 AS BIGINT) AS n_rows
         FROM s_alerts WHERE alert_type = 'ACTIVITY_DROP'""",
     anomalies=f"SELECT * REPLACE ({_r('deviation', 'anomaly_score')}) FROM s_anomalies",
+    anomalies_increment=f"""
+        SELECT * REPLACE ({_r('deviation', 'anomaly_score')}) FROM s_anomalies
+        WHERE timestamp >= TIMESTAMP '2024-01-24'""",
     anomalies_long_history=f"""
         SELECT * REPLACE ({_r('deviation', 'anomaly_score')}) FROM s_anomalies""",
     bucket_coverage="""

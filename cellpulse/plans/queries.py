@@ -507,6 +507,13 @@ def anomalies(t):
     return t.anomalies
 
 
+@query
+def anomalies_increment(t):
+    """The last week's hours against the stored ones before it."""
+    late = F.col("timestamp") >= "2024-01-24"
+    return anomaly.anomalies_increment(t.hourly.filter(~late), t.hourly.filter(late))
+
+
 @query
 def anomalies_long_history(t):
     return anomaly.anomalies(t.hourly, long_history=True)
