@@ -170,3 +170,21 @@ def test_comparison_of_totals(spark):
     assert got[1].higher == "B" and got[2].peak_hour_a == 3
     kinds = serve.composition(hourly).filter("grid_id = 1").count()
     assert kinds == 0
+
+
+def test_detection_end_to_end(spark, sf_dir, tmp_path):
+    """All tables of the detection plan, from a stored hourly table."""
+    from cellpulse.operators import alerts, anomaly, features
+    from cellpulse.plans import detection
+    from cellpulse.plans.tables import Tables
+
+    source = str(tmp_path / "hourly")
+    Tables(spark, sf_dir).hourly.write.parquet(source)
+    hourly = spark.read.parquet(source)
+    paths = detection.detect(spark, source, str(tmp_path / "out"))
+    read = {name: spark.read.parquet(path) for name, path in paths.items() if name != "model"}
+    assert read["features"].count() == features.feature_table(hourly).count() == read["risk_scores"].count()
+    assert read["alerts"].count() == alerts.alerts(hourly).count()
+    assert read["anomalies"].count() == anomaly.anomalies(hourly).count()
+    assert {"tp", "roc_auc"} <= set(read["evaluation"].columns)
+    assert read["compared"].count() > 0
