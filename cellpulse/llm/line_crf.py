@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType
 
 from cellpulse.llm import words as W
 
-CHAIN, CHAINS = 64, 8
+CHAIN, CHAINS = 64, 4
 TEXT_BYTES = 4 << 20
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:'\"-()?", b"!", b"|", b"#$%&*+<=>@\\^_`~/[]{}")
 OWN = len(CLASSES) + 8
@@ -168,7 +168,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-TABLE = f"label double, chain_id string, place int, {', '.join(f'f{k} double' for k in range(FEATURES))}"
+TABLE = f"label double, chain_id string, place int, {', '.join(f'f{k} float' for k in range(FEATURES))}"
 
 
 def _training_lines(batches):
@@ -187,7 +187,7 @@ def _training_lines(batches):
                 "chain_id": [f"{ids[t]}:{p}" for t, p in zip(text[use], part[use], strict=True)],
                 "place": pa.array(place[use], pa.int32()),
             }
-            yield pa.RecordBatch.from_pydict(out | {f"f{k}": pa.array(rows[use, k]) for k in range(FEATURES)})
+            yield pa.RecordBatch.from_pydict(out | {f"f{k}": pa.array(rows[use, k].astype(np.float32)) for k in range(FEATURES)})
 
 
 def fit_field(
@@ -206,7 +206,7 @@ def fit_field(
     if table.empty:
         return Field()
     chain = pd.factorize(table["chain_id"])[0]
-    rows = table[[f"f{k}" for k in range(FEATURES)]].to_numpy()
+    rows = table[[f"f{k}" for k in range(FEATURES)]].to_numpy(np.float64)
     return Field().fit(rows, table["label"].to_numpy(), chain)
 
 
