@@ -54,6 +54,7 @@ def percent_text(share: Column) -> Column:
 
 
 def risk_band(score: Column) -> Column:
+    # The bands and their lower ends.
     return (
         F.when(score >= 0.80, "CRITICAL")
         .when(score >= 0.60, "HIGH")

@@ -125,6 +125,7 @@ def alerts(
             condition, F.struct(F.lit(kind).alias("alert_type"), text.alias("reason"))
         )
 
+    # The wording of the reasons.
     def sentence(bound, factor, what, reference):
         return F.concat(
             F.lit("Current activity "),

@@ -199,6 +199,7 @@ def disagreement_hours(compared: DataFrame) -> DataFrame:
 def disagreement_examples(compared: DataFrame, n: int = 5) -> DataFrame:
     """The strongest few rows per three-way class, each class by its own detector's signal."""
     name = F.col("three_way_high_category")
+    # The classes in the order they are shown.
     wanted = ["ALL_THREE", "ML3_ONLY", "ML4_ONLY", "NP3_ONLY", "ML3_ML4_ONLY", "ML4_NP3_ONLY"]
     signal = (
         F.when(name == "ML4_ONLY", F.col("deviation"))

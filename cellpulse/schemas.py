@@ -22,6 +22,7 @@ FILE_PATTERN = "sms-call-internet-mi-*.csv"
 
 MIN_CELL, MAX_CELL = 1, 10_000
 
+# The stored features, the inputs of the models, and those that are compressed.
 SIX_FEATURES = [
     "avg_activity",
     "activity_growth",
@@ -45,6 +46,7 @@ MODEL_FEATURES = [
 LOG_FEATURES = ["avg_activity", "peak_ratio", "variability", "trailing_median_24h"]
 FORBIDDEN_FEATURES = ["target_activity", "target_timestamp", "high_activity"]
 
+# Alert types and severities.
 ALERT_TYPES = ["HIGH_ACTIVITY", "ACTIVITY_SPIKE", "ACTIVITY_DROP"]
 SEVERITIES = ["HIGH", "MEDIUM"]
 

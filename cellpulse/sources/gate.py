@@ -53,6 +53,7 @@ def ingest_gate(raw_text: DataFrame, headers: DataFrame | None = None) -> DataFr
         ).join(stats, "filename", "full")
 
     n = F.coalesce(F.col("row_count"), F.lit(0))
+    # The wording of the verdicts.
     structural = (
         F.when(
             F.col("absent") != "", F.concat(F.lit("Missing required column(s): "), F.col("absent"))
@@ -147,6 +148,7 @@ def run_status(gate: DataFrame, hourly: DataFrame, now, tasks: dict | None = Non
     age = hours_between(clock, F.col("current_as_of"))
     spark_ok = F.lit(tasks.get("spark_process", "SUCCESS") == "SUCCESS")
     load_ok = F.lit(tasks.get("load_warehouse", "SUCCESS") == "SUCCESS")
+    # The wording of the reasons.
     reasons = F.array_compact(
         F.array(
             F.when(F.col("rows_published") == 0, "Analytics layer contains zero rows."),
