@@ -34,9 +34,9 @@ from cellpulse.llm import words as W
 from cellpulse.llm.components import components
 from cellpulse.session import materialise
 
-SETS = "doc_id long, n_shingles long, n_unique long, node binary, first array<long>, second array<int>, third array<int>, cells array<int>, tokens array<long>"
+SETS = "doc_id long, n_shingles long, n_unique long, node binary, first array<long>, second array<int>, third array<int>, scale int, cells array<tinyint>, tokens array<long>"
 #: How many times more members are compared with the rest of their bucket in each further round.
-GROWTH = 4
+GROWTH = 16
 #: Cells in which a node's tokens are counted, for a bound on how many two nodes can share.
 CELLS = 128
 
@@ -99,7 +99,10 @@ def _documents(table, right, length, percent, width):
 
     small = key.view(np.int64) >> 32
     count = np.bincount(text * CELLS + (key >> np.uint64(57)).astype(np.int64), minlength=len(ids) * CELLS)
-    count = count.reshape(-1, CELLS)[met].ravel().astype(np.int32)
+    count = count.reshape(-1, CELLS)
+    # One byte a cell: counts are divided by the text's own scale and rounded up, so the bound still holds.
+    scale = np.maximum(1, -(-count.max(1, initial=0) // 127))
+    count = (-(-count // scale[:, None]))[met].ravel().astype(np.int8)
     cell_edge = np.concatenate([[0], np.cumsum(met * CELLS)])
     return pa.table(
         {
@@ -110,6 +113,7 @@ def _documents(table, right, length, percent, width):
             "first": lists(kept[0], key.view(np.int64), pa.int64()),
             "second": lists(kept[1], small.astype(np.int32), pa.int32()),
             "third": lists(kept[2], small.astype(np.int32), pa.int32()),
+            "scale": pa.array(scale, pa.int32()),
             "cells": pa.ListArray.from_arrays(pa.array(cell_edge, pa.int32()), pa.array(count), mask=pa.array(~met)),
             "tokens": lists(np.arange(len(key)), key.view(np.int64), pa.int64()),
         }
@@ -155,23 +159,26 @@ def _possible(percent: int):
     sizes = F.col("n_shingles") + F.col("h_n_shingles")
     enough = lambda most: 100 * most >= percent * (sizes - most)
     of_all = F.least(F.col("n_shingles") - F.col("n_unique"), F.col("h_n_shingles") - F.col("h_n_unique"))
-    by_cell = F.aggregate(F.zip_with("cells", "h_cells", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+    least = F.zip_with(
+        "cells", "h_cells", lambda a, b: F.least(a.cast("int") * F.col("scale"), b.cast("int") * F.col("h_scale"))
+    )
+    by_cell = F.aggregate(least, F.lit(0), lambda t, c: t + c)
     return enough(of_all) & enough(by_cell)
 
 
 def link_components(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, label) for every node with a link; ``sets``: rep and the columns of ``SETS``, one row a node."""
-    members = sets.select("rep", "n_shingles", "n_unique", "cells", F.explode("first").alias("token"))
+    members = sets.select("rep", "n_shingles", "n_unique", "scale", "cells", F.explode("first").alias("token"))
     shared = members.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     left = materialise(members.join(shared.select("token"), "token").withColumn("label", F.col("rep")), "members")
-    links = None
+    links, labels = None, None
     hubs = 1
     while not left.isEmpty():
         part = F.pmod(F.xxhash64("rep", "token"), F.lit(hubs))
         own = F.col("n_unique") / F.col("n_shingles")
-        least = F.min(F.struct(own.alias("own"), "rep", "n_shingles", "n_unique", "label", "cells")).alias("hub")
+        least = F.min(F.struct(own.alias("own"), "rep", "n_shingles", "n_unique", "label", "scale", "cells")).alias("hub")
         hub = materialise(left.groupBy("token", part.alias("part")).agg(least).select("token", "hub.*"), "hubs")
-        h = hub.select("token", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n_shingles", "n_unique", "label", "cells")))
+        h = hub.select("token", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n_shingles", "n_unique", "label", "scale", "cells")))
         met = left.join(
             h,
             (left["token"] == h["token"])
@@ -181,16 +188,16 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
         )
         pairs = met.select(F.least("rep", "h_rep").alias("a"), F.greatest("rep", "h_rep").alias("b")).distinct()
         found = materialise(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        left = left.join(hub.select("token", "rep"), ["token", "rep"], "left_anti").drop("label")
-        labels = components(links)
-        left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "label", F.coalesce("label", "rep")
-        )
+        left = left.join(hub.select("token", "rep"), ["token", "rep"], "left_anti")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+            new = labels.select(F.col("node").alias("rep"), F.col("label").alias("_label"))
+            left = left.join(new, "rep", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
         mixed = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         left = materialise(left.join(mixed.select("token"), "token"), "members")
         hubs *= GROWTH
-    return labels.withColumnRenamed("node", "rep") if links is not None else None
+    return labels.withColumnRenamed("node", "rep") if labels is not None else None
 
 
 def near_components(
