@@ -52,7 +52,7 @@ def with_kmers(rows: DataFrame, text: str, name: str, k: int) -> DataFrame:
 
 
 def with_sketch(rows: DataFrame, keys: str, name: str, bins: int, take: int) -> DataFrame:
-    """Adds ``name``: one tuple hash per bin, null where the text has no k-mer."""
+    """Adds ``name``: for every bin that has k-mers its number and, in the lower 32 bits, its tuple's hash."""
     bits = (bins - 1).bit_length()
     if 1 << bits != bins:
         raise ValueError("the number of bins must be a power of two")
@@ -61,31 +61,38 @@ def with_sketch(rows: DataFrame, keys: str, name: str, bins: int, take: int) ->
     first = F.filter(keys, lambda key, i: (i < take) | (part(F.get(F.col(keys), i - take)) != part(key)))
     rows = rows.withColumn(name, first)
     chosen = F.col(name)
-    # (place, hash, occurrence number), by place.
-    member = lambda key, i: F.struct(
-        key.bitwiseAND(_mask(PLACE_BITS)).alias("place"),
-        part(key).alias("part"),
-        hash_of(key).alias("hash"),
-        F.size(F.filter(F.slice(chosen, F.greatest(i - take + 2, F.lit(1)), F.least(i, F.lit(take - 1))), lambda o: hash_of(o) == hash_of(key))).alias("number"),
-    )
-    rows = rows.withColumn(name, F.array_sort(F.transform(chosen, member)))
-    tuple_of = lambda b: F.filter(name, lambda m: m["part"] == b)
-    each = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.transform(tuple_of(b), lambda m: F.struct(m["hash"], m["number"])))
-    return rows.withColumn(name, F.transform(each, lambda t: F.when(F.size(t) > 0, F.xxhash64(t).bitwiseAND(_mask(32)))))
+
+    def tuple_hash(members):
+        """Hash of the members of one bin, which come in order, put into text order."""
+        placed = F.transform(
+            members,
+            lambda key, i: F.struct(
+                key.bitwiseAND(_mask(PLACE_BITS)).alias("place"),
+                hash_of(key).alias("hash"),
+                F.size(F.filter(F.slice(members, F.lit(1), i), lambda o: hash_of(o) == hash_of(key))).alias("number"),
+            ),
+        )
+        return F.xxhash64(F.transform(F.array_sort(placed), lambda m: F.struct(m["hash"], m["number"])))
+
+    def entry(key, i):
+        # The members are bound to a variable, so that they are picked once.
+        members = F.array(F.filter(F.slice(chosen, i + 1, F.lit(take)), lambda o: part(o) == part(key)))
+        value = F.get(F.transform(members, tuple_hash), F.lit(0)).bitwiseAND(_mask(32))
+        return F.when((i == 0) | (part(F.get(chosen, i - 1)) != part(key)), F.shiftleft(part(key), 32).bitwiseOR(value))
+
+    return rows.withColumn(name, F.array_compact(F.transform(chosen, entry)))
 
 
 def as_text(sketch) -> Column:
-    """The fingerprint: eight hex digits a bin, dashes for an empty one."""
-    return F.array_join(
-        F.transform(sketch, lambda t: F.coalesce(F.lpad(F.lower(F.hex(t)), 8, "0"), F.lit("--------"))), ""
-    )
+    """The fingerprint: ten hex digits for every filled bin, its number and its tuple's hash."""
+    return F.array_join(F.transform(sketch, lambda t: F.lpad(F.lower(F.hex(t)), 10, "0")), "")
 
 
 def likeness(one, two) -> Column:
     """Share of equal tuples among the bins that either sketch fills; 1 if none does."""
-    same = F.size(F.filter(F.zip_with(one, two, lambda a, b: a == b), lambda e: e))
-    either = F.size(F.filter(F.zip_with(one, two, lambda a, b: a.isNotNull() | b.isNotNull()), lambda e: e))
-    return F.when(either == 0, F.lit(1.0)).otherwise(same / either)
+    number = lambda sketch: F.transform(sketch, lambda t: F.shiftright(t, 32))
+    either = F.size(F.array_union(number(one), number(two)))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, two)) / either)
 
 
 def by_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
