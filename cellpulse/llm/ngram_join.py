@@ -34,7 +34,7 @@ from cellpulse.llm import words as W
 from cellpulse.llm.components import components
 from cellpulse.session import materialise
 
-SETS = "doc_id long, n_shingles long, n_unique long, node binary, first array<long>, second array<int>, third array<int>, scale int, cells array<tinyint>, tokens array<long>"
+SETS = "doc_id long, n_shingles long, n_unique long, node binary, first array<long>, second array<smallint>, third array<smallint>, scale int, cells array<tinyint>, tokens array<long>"
 #: How many times more members are compared with the rest of their bucket in each further round.
 GROWTH = 16
 #: Cells in which a node's tokens are counted, for a bound on how many two nodes can share.
@@ -97,7 +97,8 @@ def _documents(table, right, length, percent, width):
             pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values[mine], kind), mask=pa.array(~met)
         )
 
-    small = key.view(np.int64) >> 32
+    # Two bytes of a token are enough for a filter: tokens that are equal stay equal.
+    small = (key >> np.uint64(48)).astype(np.uint16).view(np.int16)
     count = np.bincount(text * CELLS + (key >> np.uint64(57)).astype(np.int64), minlength=len(ids) * CELLS)
     count = count.reshape(-1, CELLS)
     # One byte a cell: counts are divided by the text's own scale and rounded up, so the bound still holds.
@@ -111,17 +112,18 @@ def _documents(table, right, length, percent, width):
             "n_unique": pa.array(np.bincount(text, weights=rare == 1, minlength=len(ids)).astype(np.int64)),
             "node": pa.array([s.tobytes() if n else None for s, n in zip(sums, size, strict=True)], pa.binary()),
             "first": lists(kept[0], key.view(np.int64), pa.int64()),
-            "second": lists(kept[1], small.astype(np.int32), pa.int32()),
-            "third": lists(kept[2], small.astype(np.int32), pa.int32()),
+            "second": lists(kept[1], small, pa.int16()),
+            "third": lists(kept[2], small, pa.int16()),
             "scale": pa.array(scale, pa.int32()),
             "cells": pa.ListArray.from_arrays(pa.array(cell_edge, pa.int32()), pa.array(count), mask=pa.array(~met)),
-            "tokens": lists(np.arange(len(key)), key.view(np.int64), pa.int64()),
+            "tokens": lists(np.flatnonzero(rare > 1), key.view(np.int64), pa.int64()),
         }
     )
 
 
 def document_sets(docs: DataFrame, length: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """One row per document: set size, node (128-bit hash of the set), prefixes and the set.
+    """One row per document: set size, node (128-bit hash of the set), prefixes and those tokens of the
+    set that some other document has: no others can be in an intersection.
 
     The lists are null where some prefix holds no token that another document has.
     """
