@@ -19,6 +19,8 @@ from cellpulse.llm import words as W
 
 #: Text bytes of a block at most and at least, and for each bucket of keys.
 BLOCK_BYTES, LEAST_BYTES, BUCKET_BYTES = 16 << 20, 1 << 20, 8 << 20
+#: Text bytes packed at a time.
+PACK_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 PACKED = "block int, ids binary, sizes binary, data binary"
 REQUEST = "channel int, bucket int, block int, size long, keys binary, vals binary"
@@ -51,9 +53,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, block) -> DataFrame:
 
 
 def _pack(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (piece for whole in batches for piece in W.slices(whole, 1, PACK_BYTES)):
         block = batch.column(2).to_numpy(zero_copy_only=False)
         order = np.argsort(block, kind="stable")
         block, ids = block[order], batch.column(0).to_numpy(zero_copy_only=False)[order]
@@ -65,6 +65,8 @@ def _pack(batches):
             out["sizes"].append(np.diff(at[lo : hi + 1]).tobytes())
             out["data"].append(pa.compress(data[at[lo] : at[hi]].tobytes(), codec="zstd", asbytes=True))
         yield pa.RecordBatch.from_pydict({**out, "block": pa.array(out["block"], pa.int32())})
+    # Workers live on between stages; what they no longer use goes back to the machine.
+    pa.default_memory_pool().release_unused()
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType
 from cellpulse.llm import words as W
 
 CHAIN, CHAINS = 64, 4
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:'\"-()?", b"!", b"|", b"#$%&*+<=>@\\^_`~/[]{}")
 OWN = len(CLASSES) + 8
 FEATURES = 3 * OWN + 3
@@ -210,13 +210,32 @@ def fit_field(
     return Field().fit(rows, table["label"].to_numpy(), chain)
 
 
+def _batch_quality(field: Field, batch, place: int) -> np.ndarray:
+    """Quality of every text of an Arrow batch, about a MB of text at a time."""
+    parts = [field.quality(*W.flat(p.column(place))) for p in W.slices(batch, place, TEXT_BYTES)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def quality_column(field: Field, text):
     """Column with the quality of a text column."""
 
     @F.arrow_udf(DoubleType())
     def quality(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        parts = [field.quality(*W.flat(p.column(0))) for p in W.slices(batch, 0, TEXT_BYTES)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(_batch_quality(field, pa.RecordBatch.from_arrays([texts], names=["text"]), 0))
 
     return quality(text)
+
+
+def good_rows(docs: DataFrame, field: Field, least: float, text: str = "text") -> DataFrame:
+    """The documents of at least this quality, with all their columns.
+
+    The rows themselves pass through Python, so nothing keeps a second copy of them beside it.
+    """
+    place = docs.columns.index(text)
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_batch_quality(field, batch, place) >= least))
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(work, docs.schema)

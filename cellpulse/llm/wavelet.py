@@ -345,6 +345,7 @@ def write_shards(
                     lo = hi
         if ids:
             yield shard()
+        pa.default_memory_pool().release_unused()
 
     rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(
         encode, SHARDS

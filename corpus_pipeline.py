@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.llm.decontaminate import clean_rows
-from cellpulse.llm.line_crf import fit_field, quality_column
+from cellpulse.llm.line_crf import fit_field, good_rows
 from cellpulse.llm.mixing import label_domain, mix, with_rates
 from cellpulse.llm.ngram_join import one_of_each
 from cellpulse.llm.wavelet import token_index
@@ -28,7 +28,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go. One label in four is left for judging it."""
     labels = _labels(spark, sf_dir).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    return docs.filter(quality_column(fit_field(docs, labels), F.col("text")) >= QUALITY)
+    return good_rows(docs, fit_field(docs, labels), QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
