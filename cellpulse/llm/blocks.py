@@ -65,8 +65,7 @@ def _pack(batches):
             out["sizes"].append(np.diff(at[lo : hi + 1]).tobytes())
             out["data"].append(pa.compress(data[at[lo] : at[hi]].tobytes(), codec="zstd", asbytes=True))
         yield pa.RecordBatch.from_pydict({**out, "block": pa.array(out["block"], pa.int32())})
-    # Workers live on between stages; what they no longer use goes back to the machine.
-    pa.default_memory_pool().release_unused()
+    W.release()
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -236,6 +236,6 @@ def good_rows(docs: DataFrame, field: Field, least: float, text: str = "text") -
     def work(batches):
         for batch in batches:
             yield batch.filter(pa.array(_batch_quality(field, batch, place) >= least))
-        pa.default_memory_pool().release_unused()
+        W.release()
 
     return docs.mapInArrow(work, docs.schema)

@@ -33,7 +33,7 @@ BITS = 16
 #: Bits of a plane that are compressed together; ranks are kept at their starts.
 BLOCK = 1 << 15
 #: Ids of a shard, and bytes of text tokenised at a time.
-SHARD_IDS, TEXT_BYTES = 1 << 21, 8 << 20
+SHARD_IDS, TEXT_BYTES = 1 << 21, 4 << 20
 #: Distinct pieces whose ids a Python worker remembers.
 REMEMBERED = 2_000_000
 
@@ -345,7 +345,7 @@ def write_shards(
                     lo = hi
         if ids:
             yield shard()
-        pa.default_memory_pool().release_unused()
+        W.release()
 
     rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(
         encode, SHARDS

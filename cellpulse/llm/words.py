@@ -6,6 +6,8 @@ Hashes are sums of random numbers drawn for (place in the word, byte), so that t
 agree with probability 2**-64.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,3 +117,11 @@ def slices(batch, column: int, most: int):
         hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
