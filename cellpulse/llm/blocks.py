@@ -42,12 +42,16 @@ def block_of(doc_id: str, text: str, count: int):
     return F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), F.lit(count)).cast("int")
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, block) -> DataFrame:
-    """Rows of several documents each, compressed, to be grouped by ``block``."""
+def pack(docs: DataFrame, doc_id: str, text: str, block, mark=None) -> DataFrame:
+    """Rows of several documents each, compressed, to be grouped by ``block``.
+
+    With a ``mark`` (a long), every id is followed by its document's mark.
+    """
     rows = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.col(text).alias("text"),
         block.alias("block"),
+        *([] if mark is None else [mark.alias("mark")]),
     )
     return rows.mapInArrow(_pack, PACKED)
 
@@ -56,7 +60,8 @@ def _pack(batches):
     for batch in (piece for whole in batches for piece in W.slices(whole, 1, PACK_BYTES)):
         block = batch.column(2).to_numpy(zero_copy_only=False)
         order = np.argsort(block, kind="stable")
-        block, ids = block[order], batch.column(0).to_numpy(zero_copy_only=False)[order]
+        ids = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, *range(3, batch.num_columns))], 1)
+        block, ids = block[order], ids[order]
         data, at = W.flat(batch.column(1).take(pa.array(order)))
         edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
         out = {"block": block[edges[:-1]], "ids": [], "sizes": [], "data": []}

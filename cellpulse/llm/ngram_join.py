@@ -18,12 +18,16 @@ hash in ``CELLS`` cells rule the similarity out: two sets share no more than the
 cell. So a group of thousands of near copies costs about a comparison per member and bucket, and every link between nodes
 not yet connected is still found.
 
+Nodes are sets, not ids, so rows that share an id or have none are linked only by their texts.
+
 Edge cases: without words or text a document has no shingles and is linked with nothing; one with
 fewer words than a shingle has its whole sequence as its one shingle; equal documents are linked; rows
-with one id count as one document; a null id links like any other and stays null in the result; an
-empty table gives no rows; further columns are ignored.
+with one id and different texts are different documents; a row without an id links like any other, counts
+as the greatest id and stays null in the result; an empty table gives no rows; further columns are ignored.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +38,7 @@ from cellpulse.llm import words as W
 from cellpulse.llm.components import components
 from cellpulse.session import materialise
 
-SETS = "doc_id long, n_shingles long, n_unique long, node binary, first array<long>, second array<smallint>, third array<smallint>, scale int, cells array<tinyint>, tokens array<long>"
+SETS = "doc_id long, mark long, n_shingles long, n_unique long, node binary, first array<long>, second array<smallint>, third array<smallint>, scale int, cells array<tinyint>, tokens array<long>"
 #: How many times more members are compared with the rest of their bucket in each further round.
 GROWTH = 16
 #: Cells in which a node's tokens are counted, for a bound on how many two nodes can share.
@@ -42,8 +46,9 @@ CELLS = 128
 
 
 def shingles(table: pa.Table, length: int):
-    """Ids, and per document the distinct shingle hashes: (ids, text number, hash), by text then hash."""
+    """Ids with marks, and per document the distinct shingle hashes: (ids, text number, hash), by text then hash."""
     ids, data, at = B.unpack(table)
+    ids = ids.reshape(-1, 2)
     start, end, text = W.find_words(data, at, W.separators(W.SPACES))
     hashes = W.hash_pieces(data, start, end, W.hash_table(lower=True))
     of_text, key = [], []
@@ -107,7 +112,8 @@ def _documents(table, right, length, percent, width):
     cell_edge = np.concatenate([[0], np.cumsum(met * CELLS)])
     return pa.table(
         {
-            "doc_id": pa.array(ids, pa.int64()),
+            "doc_id": pa.array(ids[:, 0], pa.int64()),
+            "mark": pa.array(ids[:, 1], pa.int64()),
             "n_shingles": pa.array(size, pa.int64()),
             "n_unique": pa.array(np.bincount(text, weights=rare == 1, minlength=len(ids)).astype(np.int64)),
             "node": pa.array([s.tobytes() if n else None for s, n in zip(sums, size, strict=True)], pa.binary()),
@@ -122,7 +128,7 @@ def _documents(table, right, length, percent, width):
 
 
 def document_sets(docs: DataFrame, length: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """One row per document: set size, node (128-bit hash of the set), prefixes and those tokens of the
+    """One row per document: mark (hash of the text), set size, node (128-bit hash of the set), prefixes and those tokens of the
     set that some other document has: no others can be in an intersection.
 
     The lists are null where some prefix holds no token that another document has.
@@ -130,7 +136,7 @@ def document_sets(docs: DataFrame, length: int, percent: int, doc_id: str, text:
     count, bits = B.block_count(docs, text)
     # Some 8 bits more than there are bytes of text keep accidental sharing of shortened hashes rare.
     width = min(64, 32 + bits)
-    packed = B.pack(docs, doc_id, text, B.block_of(doc_id, text, count))
+    packed = B.pack(docs, doc_id, text, B.block_of(doc_id, text, count), F.xxhash64(text))
 
     def ask(key, table):
         _, _, hashes = shingles(table, length)
@@ -202,35 +208,53 @@ def link_components(sets: DataFrame, percent: int) -> DataFrame:
     return labels.withColumnRenamed("node", "rep") if labels is not None else None
 
 
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Adds ``rep``, a number for every node: a hash under the first seed that gives no two nodes the same."""
+    for seed in itertools.count():
+        numbered = materialise(nodes.withColumn("rep", F.xxhash64("node", F.lit(seed))), "nodes")
+        if numbered.groupBy("rep").count().filter("count > 1").isEmpty():
+            return numbered
+
+
+def near_groups(docs: DataFrame, length: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Per row: doc_id (``NO_ID`` for null), mark, n_shingles and first, the least (doc_id, mark) reachable by links."""
+    whole = materialise(document_sets(docs, length, percent, doc_id, text), "sets")
+    able = whole.filter("tokens is not null")
+    nodes = _numbered(able.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("first")))
+    sets = able.drop("doc_id", "mark").dropDuplicates(["node"]).join(nodes.select("node", "rep"), "node")
+    labels = link_components(materialise(sets.drop("node"), "node-sets"), percent)
+    if labels is not None:
+        linked = materialise(nodes.join(labels, "rep").select("rep", "label", "first"), "linked")
+        least = linked.groupBy("label").agg(F.min("first").alias("_least"))
+        nodes = nodes.join(linked.join(least, "label").select("rep", "_least"), "rep", "left")
+        nodes = nodes.withColumn("first", F.coalesce("_least", "first"))
+    rows = whole.select("doc_id", "mark", "n_shingles", "node").join(nodes.select("node", "first"), "node", "left")
+    return rows.select("doc_id", "mark", "n_shingles", F.coalesce("first", F.struct("doc_id", "mark")).alias("first"))
+
+
 def near_components(
     docs: DataFrame, length: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per document: n_shingles and component_id, the smallest id reachable by links."""
-    whole = materialise(document_sets(docs, length, percent, doc_id, text), "sets")
-    reps = whole.filter("tokens is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(reps, "nodes")
-    own = reps.select("node", F.col("rep").alias("doc_id"), "rep")
-    sets = materialise(whole.join(own, ["node", "doc_id"]).drop("node", "doc_id"), "node-sets")
-    labels = link_components(sets, percent)
-    rows = whole.select("doc_id", "n_shingles", "node").join(reps, "node", "left")
-    if labels is not None:
-        rows = rows.join(labels, "rep", "left")
-    else:
-        rows = rows.withColumn("label", F.lit(None).cast("long"))
-    real = lambda c: F.when(c != B.NO_ID, c)
-    return rows.select(
-        real(F.col("doc_id")).alias("doc_id"),
-        "n_shingles",
-        real(F.coalesce("label", "rep", "doc_id")).alias("component_id"),
+    real = lambda c: F.when(F.col(c) != B.NO_ID, F.col(c))
+    return near_groups(docs, length, percent, doc_id, text).select(
+        real("doc_id").alias("doc_id"), "n_shingles", real("first.doc_id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, length: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the smallest id of each group of near duplicates, with all their columns.
 
-    Of several rows with one id a single one stays; so does one of those without an id.
+    No id comes last; among different texts of one id the hash of the text decides. Of rows with the same
+    id and text one stays, by the hash of all columns that are no maps; rows that have neither id nor words
+    are linked with nothing and all stay.
     """
-    found = near_components(docs, length, percent, doc_id, text)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    mine = docs[doc_id].cast("long").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, mine, "left_semi").dropDuplicates([doc_id])
+    found = near_groups(docs, length, percent, doc_id, text)
+    mine = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    kept = found.filter(mine).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    bare = F.col(doc_id).cast("long").isNull() & (F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(W.SPACES.decode())) == "")
+    # Equal rows meet before the shuffle, so a text that many rows without an id share is no hot key.
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(B.NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark")
+    order = F.xxhash64(*(name for name, kind in docs.dtypes if "map<" not in kind))
+    rows = docs.filter(~bare).groupBy(*key).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return rows.join(kept, ["_id", "_mark"], "left_semi").select("_row.*").unionByName(docs.filter(bare))

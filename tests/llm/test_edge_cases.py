@@ -215,3 +215,26 @@ def test_null_ids_and_repeated_rows(spark):
     assert order_minhash.fingerprint_documents(docs).count() == 4
     near = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.near_components(docs).collect())
     assert near == [(0, 0), (0, 1), (1, 1), (1, 1)]
+
+
+def test_rows_that_share_an_id_or_have_none_are_linked_by_their_texts(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (5, text("a") + " tail"), (None, text("a")[:-4]),
+        (7, text("c")), (7, text("d")), (8, text("d")), (7, text("d") + " more"), (9, text("c") + " more"),
+        (None, None), (None, " "), (None, None), (6, None), (6, None),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    near = {r["place"]: r for r in docs.join(ngram_join.near_components(docs, 3, 80).distinct(), "doc_id").collect()}
+    assert {r["component_id"] for p, r in near.items() if p in (3, 5, 6, 7, 8, 9)} == {5, 7}
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs, 3, 80).collect()]
+    of_d = [k for k in kept if k[1] and k[1].startswith("d0")]
+    assert len(of_d) == 1 and of_d[0][0] == 7
+    rest = [(None, text("b")), (5, text("a") + " tail"), (7, text("c")), (None, None), (None, " "), (None, None), (6, None)]
+    assert sorted(map(repr, (k for k in kept if k not in of_d))) == sorted(map(repr, rest))
+
+
+def test_a_text_without_an_id_does_not_hide_links_of_another(spark):
+    rows = [(None, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(30)] + [(1, "alpha7 beta7 gamma7 delta7")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert len(kept) == 30 and (1, rows[-1][1]) in kept and (None, rows[7][1]) not in kept
