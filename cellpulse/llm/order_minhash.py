@@ -1,13 +1,14 @@
 """Order MinHash: fingerprints that notice edits and moves, not only which words a text has.
 
 Of every text the k-mers (k words in a row) are numbered by occurrence and put in one random order: by a
-hash of the k-mer, then by occurrence number. The order's range is cut into ``bins`` equal parts. Of each
+hash of the k-mer and its number together. The order's range is cut into ``bins`` equal parts. Of each
 part the ``take`` minimal members are selected, put back into their order in the text and hashed as a
 tuple; the tuples are the fingerprint. Cutting one order instead of drawing many sorts a text once. The
 likeness of two fingerprints is the share of equal tuples among the parts that either text fills.
 
-Within a sorted part, occurrences of one k-mer stand in text order, so a member's number follows from
-those before it and needs no counting over the text.
+For the numbers, the k-mers are sorted by a hash of their own first: occurrences of one k-mer then stand
+together in text order. First occurrences keep that hash, the few others get one with their number, and
+the keys are sorted again.
 
 Only DataFrame functions run. Documents are dealt to ranges of ids cut at quantiles; within a range a
 window looks at the next document, and each range gets a copy of the first row of the next one, so no
@@ -33,8 +34,12 @@ def _mask(bits: int) -> Column:
     return F.lit((1 << bits) - 1).cast("long")
 
 
+def _hash_of(key: Column) -> Column:
+    return F.shiftrightunsigned(key, PLACE_BITS)
+
+
 def with_kmers(rows: DataFrame, text: str, name: str, k: int) -> DataFrame:
-    """Adds ``name``: the text's k-mers as sorted keys of (hash, place)."""
+    """Adds ``name``: the text's k-mers as sorted keys of (hash of k-mer and occurrence number, place)."""
     spaces = " \t\n\x0b\x0c\r"
     trimmed = F.btrim(F.col(text), F.lit(spaces))
     # The split texts get columns of their own, so that functions over them see finished arrays.
@@ -43,11 +48,23 @@ def with_kmers(rows: DataFrame, text: str, name: str, k: int) -> DataFrame:
         rows = rows.withColumn(
             name, F.zip_with(name, F.slice(name, 2, F.size(name)), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(step))))
         )
-    keys = F.transform(
-        name,
-        lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(i.cast("long")),
-    )
-    rows = rows.withColumn(name, F.sort_array(keys))
+    keyed = lambda h, place: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(place)
+    rows = rows.withColumn(name, F.sort_array(F.transform(name, lambda h, i: keyed(h, i.cast("long")))))
+    again, starts = f"{name}_again", f"{name}_starts"
+    follows = lambda keys, key, i: (i > 0) & (_hash_of(F.get(F.col(keys), i - 1)) == _hash_of(key))
+    rows = rows.withColumn(again, F.filter(name, lambda key, i: follows(name, key, i)))
+    # Where in them each k-mer's further occurrences start, and the end; a slice of them gives their numbers.
+    begin = F.transform(again, lambda key, i: F.when(~follows(again, key, i), i))
+    rows = rows.withColumn(starts, F.array_append(F.array_compact(begin), F.size(again)))
+
+    def numbered(start, j):
+        run = F.slice(again, start + 1, F.get(F.col(starts), j + 1) - start)
+        return F.transform(run, lambda key, n: keyed(F.xxhash64(_hash_of(key), n), key.bitwiseAND(_mask(PLACE_BITS))))
+
+    runs = F.flatten(F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), numbered))
+    first = F.filter(name, lambda key, i: ~follows(name, key, i))
+    both = F.when(F.size(again) == 0, F.col(name)).otherwise(F.sort_array(F.concat(first, runs)))
+    rows = rows.withColumn(name, both).drop(again, starts)
     return rows.withColumn(name, F.when(trimmed == "", F.array().cast("array<long>")).otherwise(F.col(name)))
 
 
@@ -57,7 +74,6 @@ def with_sketch(rows: DataFrame, keys: str, name: str, bins: int, take: int) ->
     if 1 << bits != bins:
         raise ValueError("the number of bins must be a power of two")
     part = lambda key: F.shiftrightunsigned(key, 63 - bits)
-    hash_of = lambda key: F.shiftrightunsigned(key, PLACE_BITS)
     first = F.filter(keys, lambda key, i: (i < take) | (part(F.get(F.col(keys), i - take)) != part(key)))
     rows = rows.withColumn(name, first)
     chosen = F.col(name)
@@ -66,13 +82,9 @@ def with_sketch(rows: DataFrame, keys: str, name: str, bins: int, take: int) ->
         """Hash of the members of one bin, which come in order, put into text order."""
         placed = F.transform(
             members,
-            lambda key, i: F.struct(
-                key.bitwiseAND(_mask(PLACE_BITS)).alias("place"),
-                hash_of(key).alias("hash"),
-                F.size(F.filter(F.slice(members, F.lit(1), i), lambda o: hash_of(o) == hash_of(key))).alias("number"),
-            ),
+            lambda key: F.struct(key.bitwiseAND(_mask(PLACE_BITS)).alias("place"), _hash_of(key).alias("hash")),
         )
-        return F.xxhash64(F.transform(F.array_sort(placed), lambda m: F.struct(m["hash"], m["number"])))
+        return F.xxhash64(F.transform(F.array_sort(placed), lambda m: m["hash"]))
 
     def entry(key, i):
         # The members are bound to a variable, so that they are picked once.

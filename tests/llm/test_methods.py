@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
-from cellpulse.llm import cover_dedup, jump_shards, line_crf, lm_interpolation, mixing, queries, wavelet  # noqa: E402
+from cellpulse.llm import cover_dedup, jump_shards, line_crf, lm_interpolation, mixing, order_minhash, queries, wavelet  # noqa: E402
 from cellpulse.llm import words as W  # noqa: E402
 
 
@@ -185,3 +185,41 @@ def test_mixing_query_meets_its_shares(spark, sf_dir):
         part = F.col("n_tokens") * F.col(f"p_{name}")
         whole, kept = rows.agg(F.sum(part), F.sum(part * F.col("rate"))).first()
         assert kept == pytest.approx(share * whole, rel=0.05)
+
+
+def plain_sketch(spark, texts, bins=32, take=2):
+    """Tuples of every text by part, from (word pair, occurrence number) hashed one by one."""
+    rows = []
+    for t, text in enumerate(texts):
+        ws, seen = brute.words(text), {}
+        for place, pair in enumerate(zip(ws, [*ws[1:], None], strict=True)):
+            seen[pair] = seen.get(pair, -1) + 1
+            rows.append((t, place, *pair, seen[pair]))
+    last = F.xxhash64(F.xxhash64("a"), F.lit(1).cast("long"))
+    kmer = F.when(F.col("b").isNull(), last).otherwise(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+    key = F.shiftrightunsigned(kmer, 31)
+    key = F.when(F.col("n") > 0, F.shiftrightunsigned(F.xxhash64(key, F.col("n") - 1), 31)).otherwise(key)
+    frame = spark.createDataFrame(rows, "t int, place int, a string, b string, n int").select("t", "place", key.alias("key"))
+    parts = [{} for _ in texts]
+    for r in sorted(frame.collect(), key=lambda r: (r["key"], r["place"])):
+        members = parts[r["t"]].setdefault(r["key"] * bins >> 33, [])
+        if len(members) < take:
+            members.append((r["place"], r["key"]))
+    return [{b: tuple(k for _, k in sorted(m)) for b, m in p.items()} for p in parts]
+
+
+def test_repeated_lines_count_in_fingerprints(spark):
+    line = "the same line over and over again with little else"
+    other = "another line that stands between the repeated ones"
+    texts = [" ".join([line] * n) for n in (1, 3, 300, 301)]
+    texts += [" ".join([line] * 40 + [other] * 40), " ".join([other] * 40 + [line] * 40), "a a a a b a a", "a", "x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "t int, text string")
+    rows = order_minhash.with_sketch(order_minhash.with_kmers(docs, "text", "keys", 2), "keys", "sketch", 32, 2)
+    got = {r["t"]: {s >> 32: s for s in r["sketch"]} for r in rows.select("t", "sketch").collect()}
+    plain = plain_sketch(spark, texts)
+    for a in range(len(texts)):
+        assert got[a].keys() == plain[a].keys()
+        for b in range(len(texts)):
+            shared = got[a].keys() & got[b].keys()
+            assert [got[a][p] == got[b][p] for p in shared] == [plain[a][p] == plain[b][p] for p in shared]
+    assert got[1] != got[2] and got[4] != got[5]
