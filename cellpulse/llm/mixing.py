@@ -207,6 +207,17 @@ def with_rates(docs: DataFrame, model: Domains, steps: list[list[float]], text:
     return rows.withColumn(name, rate_of(F.col("_posteriors"), steps)).drop("_features", "_n_tokens", "_posteriors")
 
 
+def dealt(docs: DataFrame, model: Domains, steps: list[list[float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stand for the rates, with their columns.
+
+    A document stays if a hash of its id and text, as a number in [0, 1), lies below its rate. So a rate
+    under 1 is the chance that it stays and a domain keeps its total in expectation; one of 1 or more keeps
+    the document once.
+    """
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("dealt"), F.col(doc_id), F.col(text)), 11) / float(1 << 53)
+    return with_rates(docs, model, steps, text, "_rate").filter(chance < F.col("_rate")).select(docs.columns)
+
+
 def label_domain() -> Column:
     """Domain from the labelled table's marks, the worse first; null where neither says anything."""
     return (

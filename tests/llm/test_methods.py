@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
 from cellpulse.llm import cover_dedup, jump_shards, line_crf, lm_interpolation, mixing, order_minhash, queries, wavelet  # noqa: E402
 from cellpulse.llm import words as W  # noqa: E402
 
@@ -223,3 +224,19 @@ def test_repeated_lines_count_in_fingerprints(spark):
             shared = got[a].keys() & got[b].keys()
             assert [got[a][p] == got[b][p] for p in shared] == [plain[a][p] == plain[b][p] for p in shared]
     assert got[1] != got[2] and got[4] != got[5]
+
+
+def test_dealt_documents_meet_the_shares_of_every_domain(spark):
+    """Kept expected tokens of the pipeline's stage, by the same model, against its targets."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    shares = corpus_pipeline.SHARES
+    members, model, steps = mixing.mix(docs, labels, mixing.label_domain(), shares)
+    kept = corpus_pipeline.mixing(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    totals = mixing.expected_tokens(members, len(shares))
+    left = mixing.expected_tokens(members.join(kept.select("doc_id"), "doc_id", "left_semi"), len(shares))
+    print({n: (t, k, k / t) for n, t, k in zip(shares, totals, left, strict=True)})
+    for name, total, part in zip(shares, totals, left, strict=True):
+        assert part == pytest.approx(shares[name] * total, rel=0.15), name
