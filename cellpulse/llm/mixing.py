@@ -13,7 +13,7 @@ the small matrix of domain overlaps, so a few suffice. Every iteration is one di
 numbers as domains. A document's rate is a function of its probabilities and the residuals so far, so no
 column of rates is ever stored or shuffled.
 
-Only DataFrame functions run; the driver sees the kept features (at most ``FEATURES``) and sums.
+Only DataFrame functions run; the driver sees the kept features (at most ``most``) and sums.
 
 Edge cases: null and empty texts have no tokens and the prior as probabilities; labels that are null or
 of unknown documents teach nothing; without labels all domains are equally likely; a domain that no
@@ -22,6 +22,7 @@ gives no rows; further columns are kept by ``with_rates``, those named like its
 """
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.session import materialise
 
-#: Kept features at most, and slots of the table in which they are looked up by hash.
+#: Kept features at most, unless the caller sets another bound; slots at least of the table that finds them by hash.
 FEATURES, SLOTS = 1 << 13, 1 << 16
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -64,13 +65,33 @@ class Domains:
     def __init__(self, names: list[str], prior: np.ndarray, features: list[int], shares: np.ndarray, typical: float):
         self.names, self.prior, self.typical = names, prior, max(1.0, typical)
         self.absent = np.zeros(len(names))
-        # Features come in order of clearness; a later one that falls on a taken slot is left out.
-        self.slots, self.table = np.zeros(SLOTS, np.int64), np.zeros((len(names), SLOTS))
-        for feature, share in zip(features, shares, strict=True):
-            if not self.slots[feature % SLOTS]:
-                self.slots[feature % SLOTS] = feature
-                self.table[:, feature % SLOTS] = np.log(share) - np.log1p(-share)
-                self.absent += np.log1p(-share)
+        # Each feature has two slots to choose from (cuckoo hashing), so none is left out.
+        size = SLOTS
+        while (taken := self._placed(features, size)) is None:
+            size *= 2
+        self.slots, self.table = np.zeros(size, np.int64), np.zeros((len(names), size))
+        share = dict(zip(features, shares, strict=True))
+        for slot, feature in taken.items():
+            self.slots[slot] = feature
+            self.table[:, slot] = np.log(share[feature]) - np.log1p(-share[feature])
+            self.absent += np.log1p(-share[feature])
+
+    @staticmethod
+    def _placed(features: list[int], size: int) -> dict[int, int] | None:
+        """Slot to feature, or None if the table is too small."""
+        taken: dict[int, int] = {}
+        for feature in dict.fromkeys(features):
+            slot = feature % size
+            for _ in range(100):
+                out = taken.get(slot)
+                taken[slot], feature = feature, out
+                if feature is None:
+                    break
+                one, two = feature % size, (feature % 2**64 >> 32) % size
+                slot = two if slot == one else one
+            else:
+                return None
+        return taken
 
     @staticmethod
     def _array(values: np.ndarray, kind: str) -> Column:
@@ -79,9 +100,12 @@ class Domains:
 
     def posteriors(self) -> Column:
         """Array of the domains' probabilities."""
-        slot = lambda f: F.pmod(f, F.lit(SLOTS)).cast("int")
-        slots = self._array(self.slots, "long")
-        known = F.transform(F.filter("_features", lambda f: F.get(slots, slot(f)) == f), slot)
+        slots, size = self._array(self.slots, "long"), F.lit(len(self.slots))
+        one = lambda f: F.pmod(f, size).cast("int")
+        two = lambda f: F.pmod(F.shiftrightunsigned(f, 32), size).cast("int")
+        found = lambda f, slot: F.get(slots, slot(f)) == f
+        known = F.filter("_features", lambda f: found(f, one) | found(f, two))
+        known = F.transform(known, lambda f: F.when(found(f, one), one(f)).otherwise(two(f)))
         tables = [self._array(t, "double") for t in self.table]
         reach = F.least(F.lit(1.0), F.col("_n_tokens") / self.typical)
         odds = F.aggregate(
@@ -98,12 +122,12 @@ class Domains:
 
 def learn_domains(
     docs: DataFrame, labels: DataFrame, domain: Column, names: list[str], sample: int = 20_000, doc_id: str = "doc_id",
-    text: str = "text", clear: float = 4.0,
+    text: str = "text", clear: float = 4.0, most: int = FEATURES,
 ) -> Domains:
     """Learns from at most ``sample`` labels, those whose ids hash lowest. ``domain``: a name from the labels' columns.
 
     A feature is kept if its share of some domain's documents lies ``clear`` standard errors from its share
-    of the others and is at least twice or at most half as large.
+    of the others and is at least twice or at most half as large; the ``most`` clearest, as they go to the driver.
     """
     chosen = (
         labels.select(F.col(doc_id).alias("_id"), domain.alias("_domain"))
@@ -135,7 +159,7 @@ def learn_domains(
     if not clearness:
         return Domains(names, prior, [], np.zeros((0, len(names))), typical)
     kept = seen.withColumn("clear", F.greatest(*clearness) if len(clearness) > 1 else clearness[0]).filter(F.col("clear") > clear)
-    rows = kept.orderBy(F.desc("clear"), "feature").limit(FEATURES).collect()
+    rows = kept.orderBy(F.desc("clear"), "feature").limit(most).collect()
     counts = np.array([[r[f"n{k}"] for k in range(len(names))] for r in rows], float).reshape(-1, len(names))
     # Shares lean towards the common share by as much as two documents say; absent domains have none of their own.
     common = (counts.sum(1, keepdims=True) + 0.5) / (documents.sum() + 1)
@@ -156,7 +180,11 @@ def rate_of(posteriors: Column, steps: list[list[float]]) -> Column:
 def fit_rates(
     members: DataFrame, targets, n_tokens: str = "n_tokens", posteriors: str = "posteriors", rounds: int = 30, close: float = 1e-6
 ) -> list[list[float]]:
-    """Steps of projected gradient descent towards the targets (tokens per domain)."""
+    """Steps of projected gradient descent towards the targets (tokens per domain).
+
+    Goes on until the totals are close, or until ``rounds`` rounds have not halved the miss; then a warning
+    gives what each domain's total misses.
+    """
     count = len(targets)
     p = [F.get(F.col(posteriors), F.lit(k)) for k in range(count)]
     overlap = [F.sum(F.col(n_tokens) * p[k] * p[j]).alias(f"o{k}_{j}") for k in range(count) for j in range(count)]
@@ -164,16 +192,22 @@ def fit_rates(
     matrix = np.array([v or 0.0 for v in sums], float).reshape(count, count)
     scale = np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
     steps: list[list[float]] = []
-    for _ in range(rounds):
+    best, since = math.inf, 0
+    while True:
         rate = rate_of(F.col(posteriors), steps)
         now = members.select(n_tokens, posteriors, rate.alias("_rate")).agg(
             *(F.sum(F.col(n_tokens) * F.col("_rate") * p[k]) for k in range(count))
         ).first()
         miss = np.array([v or 0.0 for v in now], float) - np.array(targets, float)
         if np.abs(miss).max() <= close * max(1.0, float(np.abs(targets).max())):
-            break
+            return steps
+        if np.abs(miss).max() <= best / 2:
+            best, since = np.abs(miss).max(), 0
+        elif since >= rounds:
+            warnings.warn(f"totals miss their targets by {miss.tolist()} tokens", stacklevel=2)
+            return steps
+        since += 1
         steps.append((scale @ miss).tolist())
-    return steps
 
 
 def expected_tokens(members: DataFrame, count: int) -> list[float]:
@@ -184,16 +218,16 @@ def expected_tokens(members: DataFrame, count: int) -> list[float]:
 
 def mix(
     docs: DataFrame, labels: DataFrame, domain: Column, shares: dict[str, float], doc_id: str = "doc_id", text: str = "text",
-    sample: int = 20_000,
+    sample: int = 20_000, most: int = FEATURES,
 ) -> tuple[DataFrame, Domains, list[list[float]]]:
     """Fits rates so that each domain keeps the given share of its expected tokens.
 
-    Returns the members (doc_id, n_tokens, posteriors; a written table), the classifier and the steps.
+    ``most``: features kept at most. Returns the members (doc_id, n_tokens, posteriors; a written table), the classifier and the steps.
     """
     if any(not math.isfinite(s) or s < 0 for s in shares.values()):
         raise ValueError("shares must be finite and not negative")
     names = list(shares)
-    model = learn_domains(docs, labels, domain, names, sample, doc_id, text)
+    model = learn_domains(docs, labels, domain, names, sample, doc_id, text, most=most)
     members = with_features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     members = members.select("doc_id", F.col("_n_tokens").alias("n_tokens"), model.posteriors().alias("posteriors"))
     members = materialise(members, "members")

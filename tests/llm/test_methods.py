@@ -240,3 +240,20 @@ def test_dealt_documents_meet_the_shares_of_every_domain(spark):
     print({n: (t, k, k / t) for n, t, k in zip(shares, totals, left, strict=True)})
     for name, total, part in zip(shares, totals, left, strict=True):
         assert part == pytest.approx(shares[name] * total, rel=0.15), name
+
+
+def test_features_that_fall_on_one_slot_all_count(spark):
+    features = [5 + k * mixing.SLOTS for k in range(2)] + [-7, -7 - mixing.SLOTS] + [9 + (k << 40) for k in range(3)]
+    shares = np.array([[0.5 + 0.05 * k, 0.1] for k in range(len(features))])
+    model = mixing.Domains(["a", "b"], np.log([0.5, 0.5]), features, shares, 1.0)
+    rows = spark.createDataFrame([([f], 1) for f in features], "_features array<long>, _n_tokens long")
+    got = [r[0] for r in rows.select(model.posteriors()).collect()]
+    for k, p in enumerate(got):
+        chance = np.where(np.arange(len(features))[:, None] == k, shares, 1 - shares).prod(0)
+        assert p == pytest.approx((chance / chance.sum()).tolist())
+
+
+def test_rates_that_cannot_meet_their_targets_say_so(spark):
+    members = spark.createDataFrame([(100, [1.0, 0.0])], "n_tokens long, posteriors array<double>")
+    with pytest.warns(UserWarning, match="miss"):
+        mixing.fit_rates(members, np.array([50.0, 10.0]), rounds=3)
