@@ -77,4 +77,86 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
-ORACLE = {"op3_cover_dedup": _PASSAGES, "op7_ngram_join": _COMPONENTS, "op9_decontaminate": _LEAKS}
+_TURNS = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (
+    SELECT *, replace(replace(replace(text, '\', '\\'), '<turn', '<\turn'), '</turn', '<\/turn') AS escaped FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), ''))
+           AS loss_sha256,
+       CAST(sum(length('<turn ' || url_encode(role) || '>' || chr(10) || escaped || '</turn>' || chr(10))) AS BIGINT)
+           AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_MIDDLES = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w
+    FROM documents
+),
+r AS (
+    SELECT *, CAST('0x' || h[1:8] AS UBIGINT) % (len(w) + 1) AS r1, CAST('0x' || h[9:16] AS UBIGINT) % (len(w) + 1) AS r2,
+           CAST('0x' || h[17:24] AS UBIGINT) % 100 AS r3, CAST('0x' || h[25:32] AS UBIGINT) % 100 AS r4
+    FROM d
+),
+c AS (
+    SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r3 >= 90
+                THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(w[1:CAST(least(r1, r2) AS BIGINT)], '') AS p,
+           array_to_string(w[CAST(least(r1, r2) AS BIGINT) + 1:CAST(greatest(r1, r2) AS BIGINT)], '') AS m,
+           array_to_string(w[CAST(greatest(r1, r2) AS BIGINT) + 1:], '') AS s
+    FROM r
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c"""
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_RANKS = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '{TERMS}') AS ws FROM documents
+),
+size AS (SELECT row, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+held AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ws) AS term FROM d) GROUP BY ALL),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{TERMS}')) AS term FROM benchmark
+),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM held, total GROUP BY term
+),
+score AS (
+    SELECT item_id, row, doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN size USING (row), total
+    GROUP BY item_id, row, doc_id
+),
+ranked AS (
+    SELECT item_id, doc_id, score,
+           CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM score WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLE = {
+    "op3_cover_dedup": _PASSAGES,
+    "op7_ngram_join": _COMPONENTS,
+    "op9_decontaminate": _LEAKS,
+    "op11_template_compiler": _TURNS,
+    "op12_skip_list_fim": _MIDDLES,
+    "op13_hybrid_search": _RANKS,
+}
