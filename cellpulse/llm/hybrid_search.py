@@ -68,13 +68,15 @@ class Vocabulary:
         return lengths, text, code, count
 
 
-def index(docs: DataFrame, terms: list[bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def index(
+    docs: DataFrame, terms: list[bytes], doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Blocks of documents with the posting lists of ``terms``: a frame that is worked out when it is written."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def work(batches):
         vocabulary = Vocabulary(sent.value)
-        for batch in (piece for whole in batches for piece in W.slices(whole, 1, BLOCK_BYTES)):
+        for batch in (piece for whole in batches for piece in W.slices(whole, 1, block_bytes)):
             data, at = W.flat(batch.column(1))
             lengths, place, code, count = vocabulary.postings(data, at)
             codes, sizes = np.unique(code, return_counts=True)
@@ -109,7 +111,8 @@ def _grown(data: bytes) -> np.ndarray:
 class Block:
     """Posting lists of one block with their gains: what a posting adds to a score, without the weight."""
 
-    def __init__(self, row: dict, total_docs: int, total_terms: int):
+    def __init__(self, row: dict, total_docs: int, total_terms: int, stride: int = STRIDE):
+        self.stride = stride
         self.ids, self.held = _grown(row["ids"]).reshape(2, -1)
         lengths = _grown(row["lengths"])
         if int(lengths.max(initial=0)) * 90 * total_docs >= 1 << 63:
@@ -119,7 +122,7 @@ class Block:
         self.gains = (1_000_000_000 * count) // (1000 * count + pad[self.places])
         ends = np.cumsum(row["sizes"])
         self.lists = {c: (e - s, e) for c, s, e in zip(row["codes"], row["sizes"], ends, strict=True)}
-        self.edges = np.arange(0, len(self.ids) + STRIDE, STRIDE)
+        self.edges = np.arange(0, len(self.ids) + stride, stride)
         self._skips: dict = {}
 
     def whole(self, term: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +145,15 @@ def skips(places: np.ndarray, values: np.ndarray, edges: np.ndarray) -> tuple[np
     return at, most
 
 
-def best(block: Block, query: list[tuple[int, int]], k: int, beat: int) -> tuple[np.ndarray, np.ndarray]:
+def best(
+    block: Block, query: list[tuple[int, int]], k: int, beat: int, short_list: int = SHORT
+) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the block's documents that may be among the best ``k``; ``beat``: least score of use.
 
     ``query``: (term, weight). A document left out has a score below ``beat`` or below k others here.
     """
     found = sorted((hi - lo, term, weight) for term, weight in query if (span := block.lists.get(term)) for lo, hi in [span])
-    short = [(t, w) for size, t, w in found if size <= SHORT]
+    short = [(t, w) for size, t, w in found if size <= short_list]
     # Term at a time: short lists become one table of partial scores, sorted by document.
     lists = []
     if short:
@@ -160,7 +165,7 @@ def best(block: Block, query: list[tuple[int, int]], k: int, beat: int) -> tuple
         at, most = skips(summed, score, block.edges)
         lists.append((summed, score, 1, at, most))
     for size, term, weight in found:
-        if size > SHORT and weight:
+        if size > short_list and weight:
             at, most = block.skips(term)
             lists.append((*block.whole(term), weight, at, most * weight))
     if not lists:
@@ -175,7 +180,7 @@ def best(block: Block, query: list[tuple[int, int]], k: int, beat: int) -> tuple
     for s in np.flatnonzero(reach >= max(1, beat)):
         if reach[s] < beat:
             continue
-        score = np.zeros(STRIDE, np.int64)
+        score = np.zeros(block.stride, np.int64)
         alive = None
         for k_list, (place, value, weight, at, _) in enumerate(lists):
             lo, hi = at[s], at[s + 1]
@@ -236,13 +241,16 @@ def search(
     item_id: str = "item_id",
     item_text: str = "text",
     group_bytes: int = 4 << 20,
+    block_bytes: int = BLOCK_BYTES,
+    stride: int = STRIDE,
+    short_list: int = SHORT,
 ) -> DataFrame:
     """item_id, rank (from 1), doc_id, score of each item's ``k`` best documents with a score above 0."""
     spark = docs.sparkSession
     found = None
     for group in groups_of(items, item_id, item_text, group_bytes):
         terms = sorted(set().union(*group.values()))
-        blocks = materialise(index(docs, terms, doc_id, text), "index")
+        blocks = materialise(index(docs, terms, doc_id, text, block_bytes), "index")
         # The index is a small part of the text, so it is dealt anew, by some 256 MB of text to a task.
         docs_held, terms_held, count = blocks.agg(F.sum("docs"), F.sum("terms"), F.count("*")).first()
         held = (
@@ -255,7 +263,7 @@ def search(
         code = {term: n for n, term in enumerate(terms)}
         queries = [(item, [(code[t], weight[code[t]]) for t in sorted(ts) if code[t] in weight]) for item, ts in group.items()]
         dealt = blocks.repartition(count // BLOCKS + spark.sparkContext.defaultParallelism, F.xxhash64("ids"))
-        part = _scan(dealt, spark.sparkContext.broadcast(queries), docs_held, terms_held, k)
+        part = _scan(dealt, spark.sparkContext.broadcast(queries), docs_held, terms_held, k, stride, short_list)
         found = part if found is None else found.unionByName(part)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     # Tasks' rows meet in groups first, so that no item's rows all meet in one task.
@@ -269,15 +277,15 @@ def search(
     )
 
 
-def _scan(blocks: DataFrame, sent, total_docs: int, total_terms: int, k: int) -> DataFrame:
+def _scan(blocks: DataFrame, sent, total_docs: int, total_terms: int, k: int, stride: int, short_list: int) -> DataFrame:
     def work(batches):
         tops = None
         for batch in batches:
             tops = tops or [Top(k) for _ in sent.value]
             for number in range(batch.num_rows):
-                block = Block(batch.slice(number, 1).to_pylist()[0], total_docs, total_terms)
+                block = Block(batch.slice(number, 1).to_pylist()[0], total_docs, total_terms, stride)
                 for top, (_, query) in zip(tops, sent.value, strict=True):
-                    top.add(block, *best(block, query, k, top.beat))
+                    top.add(block, *best(block, query, k, top.beat, short_list))
         rows = [
             (None if item is None else str(item), None if no_id else doc, -score)
             for (item, _), top in zip(sent.value, tops or [], strict=False)

@@ -149,3 +149,61 @@ def token_rows(rows, tokenizer):
         out[d] = (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     return out
+
+
+def conversations(rows):
+    """Results of a formatted table of (conv_id, turn, role, text), by conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = [(r or "", t or "") for _, _, r, t in sorted(
+            (x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
+        )]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss))
+    return out
+
+
+def middles(rows):
+    out = {}
+    for d, text in rows:
+        text = text or ""
+        units = re.findall("[A-Za-z]+|[^A-Za-z]", text, re.DOTALL)
+        n = len(units)
+        h = [int(sha(f"1:{'null' if d is None else d}")[k : k + 8], 16) for k in (0, 8, 16, 24)]
+        low, high = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        p, m, s = ("".join(part) for part in (units[:low], units[low:high], units[high:]))
+        if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            out[d] = (n, "plain", None, None, sha(text), sha(text))
+        elif h[3] % 100 < 20:
+            out[d] = (n, "spm", len(p), len(m), sha(f"<S>{s}<P>{p}<M>{m}"), sha(text))
+        else:
+            out[d] = (n, "psm", len(p), len(m), sha(f"<P>{p}<S>{s}<M>{m}"), sha(text))
+    return out
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ranks(rows, items, k=10):
+    terms = [(d, TERM.findall((t or "").translate(LOWER))) for d, t in rows]
+    terms = [(d, ws) for d, ws in terms if ws]
+    docs, total = len(terms), sum(len(ws) for _, ws in terms)
+    df = Counter(w for _, ws in terms for w in set(ws))
+    counts = [(d, len(ws), Counter(ws)) for d, ws in terms]
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item] |= set(TERM.findall((text or "").translate(LOWER)))
+    out = []
+    for item, words_asked in asked.items():
+        found = []
+        for d, n, tf in counts:
+            m = 100 - 90 + (90 * n * docs) // total
+            score = 0
+            for w in words_asked & tf.keys():
+                weight = math.floor(1000 * math.log((2 * docs + 2) / (2 * df[w] + 1)))
+                score += weight * ((1000000000 * tf[w]) // (1000 * tf[w] + 8 * m))
+            if score > 0:
+                found.append((-score, d is None, d or 0))
+        for rank, (score, none, d) in enumerate(sorted(found)[:k], 1):
+            out.append((item, rank, None if none else d, -score))
+    return out
