@@ -1,14 +1,18 @@
-"""Same-hour-of-day anomalies: each hour against the median of the earlier days."""
+"""Same-hour-of-day anomalies: each hour against the median of the earlier days.
 
-import bisect
+A growing median is kept as state: per (cell, hour of day) the sorted values of all days so far, one row.
+New days are scored against it and merged into it, so a run costs what is new and one pass over the state.
+"""
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellpulse.functions.columns import amount, count_where, median_of, percent_text
+from cellpulse.functions.columns import amount, count_where, percent_text
+from cellpulse.operators.checks import audit_sample
 
 BUCKET = ["grid_id", "hour_of_day"]
+#: Days that are scored against one sorted state. Small: each row sorts some two blocks of values.
+BLOCK_DAYS = 16
 
 
 def _buckets(hourly: DataFrame) -> DataFrame:
@@ -17,81 +21,84 @@ def _buckets(hourly: DataFrame) -> DataFrame:
     )
 
 
-def _by_frame(df: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*BUCKET).orderBy("timestamp")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    listed = df.withColumn("_earlier", F.collect_list("total_activity").over(earlier))
-    return listed.withColumns(
-        {
-            "baseline_count": F.row_number().over(order) - 1,
-            "historical_baseline": median_of(F.col("_earlier")),
-        }
-    ).drop("_earlier")
-
-
-def _by_group(df: DataFrame) -> DataFrame:
-    """The same two columns from one pass per bucket that keeps the values seen so far sorted."""
-
-    # A local function travels to the workers by value: they need not have this package.
-    def expanding_median(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp", kind="stable").reset_index(drop=True)
-        seen, medians = [], []
-        for value in rows["total_activity"]:
-            n = len(seen)
-            half = n // 2
-            medians.append(
-                None if n == 0 else seen[half] if n % 2 else (seen[half - 1] + seen[half]) / 2
-            )
-            bisect.insort(seen, value)
-        return rows.assign(
-            baseline_count=range(len(rows)),
-            historical_baseline=pd.Series(medians, dtype="float64"),
-        )
+def order_state(hourly: DataFrame) -> DataFrame:
+    """(cell, hour of day) with the sorted values of all its days: one value per day of history."""
+    return _buckets(hourly).groupBy(*BUCKET).agg(F.sort_array(F.collect_list("total_activity")).alias("past"))
+
+
+def merge_state(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The state with later hours added. Two sorted lists per bucket become one."""
+    both = state.unionByName(order_state(new))
+    return both.groupBy(*BUCKET).agg(F.sort_array(F.flatten(F.collect_list("past"))).alias("past"))
+
+
+def _values(rows):
+    """Values of an array of rows, without nulls."""
+    return F.filter(F.transform(rows, lambda r: r["total_activity"]), lambda v: v.isNotNull())
+
+
+def _with_baseline(rows: DataFrame, block: int) -> DataFrame:
+    """``baseline_count`` and ``historical_baseline`` of (bucket, past, rows in time order).
 
-    schema = (
-        "grid_id int, timestamp timestamp, hour_of_day int, total_activity double, "
-        "baseline_count int, historical_baseline double"
+    The new rows of a bucket are taken ``block`` at a time. In front of a block all earlier values are
+    sorted once. While the block's rows come in, the median moves by at most half a block, so a row needs
+    the values of ``past`` around the middle and the earlier rows of its own block, and no list grows
+    with the history: lo values of ``past`` are left out below, and a median of rank r among all is of
+    rank r - lo among the rest.
+    """
+    last = F.floor((F.size("rows") - 1) / block)
+    blocks = rows.select("*", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("_block"))
+    done = F.col("_block") * block
+    blocks = blocks.select(
+        *BUCKET,
+        F.slice("rows", done + 1, F.lit(block)).alias("_mine"),
+        F.sort_array(F.concat("past", _values(F.slice("rows", F.lit(1), done)))).alias("_before"),
+    )
+    blocks = blocks.withColumn("_n", F.size("_before"))
+    blocks = blocks.withColumn("_lo", F.greatest(F.lit(0), F.floor((F.col("_n") - block) / 2).cast("int") - 1))
+    blocks = blocks.select(
+        *BUCKET, "_mine", "_n", "_lo", F.slice("_before", F.col("_lo") + 1, F.lit(block + 4)).alias("_middle")
+    )
+    each = blocks.select("*", F.posexplode("_mine").alias("_place", "_row"))
+    each = each.withColumn("_seen", _values(F.slice("_mine", F.lit(1), F.col("_place"))))
+    each = each.withColumn("baseline_count", F.col("_n") + F.size("_seen"))
+    each = each.withColumn("_near", F.sort_array(F.concat("_middle", "_seen")))
+
+    def ranked(rank):
+        # A rank below 0, of an empty history, reads as null.
+        return F.get("_near", (F.floor(rank) - F.col("_lo")).cast("int"))
+
+    n = F.col("baseline_count")
+    return each.select(
+        "grid_id",
+        F.col("_row.timestamp").alias("timestamp"),
+        "hour_of_day",
+        F.col("_row.total_activity").alias("total_activity"),
+        "baseline_count",
+        ((ranked((n - 1) / 2) + ranked(n / 2)) / 2).alias("historical_baseline"),
     )
-    done = df.groupBy(*BUCKET).applyInPandas(expanding_median, schema)
-    valid = F.when(~F.isnan("historical_baseline"), F.col("historical_baseline"))
-    return done.withColumn("historical_baseline", valid)
+
+
+def _in_order(hourly: DataFrame) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct("timestamp", "total_activity")))
+    return _buckets(hourly).groupBy(*BUCKET).agg(rows.alias("rows"))
 
 
 def anomalies(
-    hourly: DataFrame, min_history: int = 3, threshold: float = 0.5, long_history: bool = False
+    hourly: DataFrame, min_history: int = 3, threshold: float = 0.5, block: int = BLOCK_DAYS
 ) -> DataFrame:
-    """Every cell-hour with baseline, deviation, direction, flag, reason and action.
-
-    A bucket holds one row per day of history. The growing window frame sorts the values seen so
-    far for every row, which suits up to about a year; ``long_history`` keeps them sorted in one
-    pass per bucket instead (Arrow batches, the same result).
-    """
-    return _judged((_by_group if long_history else _by_frame)(_buckets(hourly)), min_history, threshold)
+    """Every cell-hour with baseline, deviation, direction, flag, reason and action."""
+    rows = _in_order(hourly).withColumn("past", F.array().cast("array<double>"))
+    return _judged(_with_baseline(rows, block), min_history, threshold)
 
 
 def anomalies_increment(
-    history: DataFrame, new: DataFrame, min_history: int = 3, threshold: float = 0.5
+    state: DataFrame, new: DataFrame, min_history: int = 3, threshold: float = 0.5, block: int = BLOCK_DAYS
 ) -> DataFrame:
-    """``anomalies`` for new hours alone, all later than the stored history.
-
-    Each bucket's history is gathered once; a new row adds only the new rows before it. Buckets without
-    new rows are not looked at.
-    """
-    rows = _buckets(new)
-    wanted = rows.select(*BUCKET).distinct()
-    past = (
-        _buckets(history)
-        .join(wanted, BUCKET, "left_semi")
-        .groupBy(*BUCKET)
-        .agg(F.collect_list("total_activity").alias("_past"))
-    )
-    order = Window.partitionBy(*BUCKET).orderBy("timestamp")
-    earlier = F.collect_list("total_activity").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    none = F.array().cast("array<double>")
-    seen = F.concat(F.coalesce("_past", none), F.col("_earlier"))
-    df = rows.withColumn("_earlier", earlier).join(past, BUCKET, "left").withColumn("_seen", seen)
-    df = df.withColumns({"baseline_count": F.size("_seen"), "historical_baseline": median_of(F.col("_seen"))})
-    return _judged(df.drop("_past", "_earlier", "_seen"), min_history, threshold)
+    """``anomalies`` for new hours alone, all later than those in ``state`` (see ``order_state``)."""
+    rows = _in_order(new).join(state, BUCKET, "left")
+    rows = rows.withColumn("past", F.coalesce("past", F.array().cast("array<double>")))
+    return _judged(_with_baseline(rows, block), min_history, threshold)
 
 
 def _judged(df: DataFrame, min_history: int, threshold: float) -> DataFrame:
@@ -137,7 +144,7 @@ def _judged(df: DataFrame, min_history: int, threshold: float) -> DataFrame:
 
 
 def _reason(min_history: int):
-    """Fixed texts with numbers filled in."""
+    # The wording of the reasons.
     place = F.format_string("grid %d at hour %02d", "grid_id", "hour_of_day")
     pct = percent_text(F.abs("deviation"))
     count = F.col("baseline_count").cast("string")
@@ -228,17 +235,22 @@ def anomaly_checks(scored: DataFrame, min_history: int = 3) -> DataFrame:
 
 
 def baseline_audit(hourly: DataFrame, scored: DataFrame, k: int, min_history: int = 3) -> DataFrame:
-    """Recompute the baselines another way and compare them on a repeatable sample of rows."""
-    from cellpulse.operators.checks import audit_sample
+    """Recompute the baselines of a repeatable sample of rows from their own earlier hours.
 
-    again = _by_group(_buckets(hourly)).select(
+    Only the buckets of the sample are read; each drawn row meets its bucket's earlier rows, one a day.
+    """
+    drawn = audit_sample(scored.select("grid_id", "timestamp", "historical_baseline"), k)
+    asked = drawn.withColumn("hour_of_day", F.hour("timestamp"))
+    earlier = _buckets(hourly).select(*BUCKET, F.col("timestamp").alias("_t"), F.col("total_activity").alias("_v"))
+    met = asked.join(earlier, [*(asked[c] == earlier[c] for c in BUCKET), F.col("_t") < F.col("timestamp")], "left")
+    again = met.groupBy(asked["grid_id"], "timestamp", "historical_baseline").agg(
+        F.count("_v").alias("_n"), F.median("_v").alias("_median")
+    )
+    recomputed = F.when(F.col("_n") >= min_history, F.col("_median"))
+    return again.select(
         "grid_id",
         "timestamp",
-        F.when(F.col("baseline_count") >= min_history, F.col("historical_baseline")).alias(
-            "recomputed"
-        ),
-    )
-    drawn = audit_sample(scored.select("grid_id", "timestamp", "historical_baseline"), k)
-    return drawn.join(again, ["grid_id", "timestamp"], "left").withColumn(
-        "agrees", F.col("historical_baseline").eqNullSafe(F.col("recomputed"))
+        "historical_baseline",
+        recomputed.alias("recomputed"),
+        F.col("historical_baseline").eqNullSafe(recomputed).alias("agrees"),
     )

@@ -5,6 +5,7 @@
 """
 
 import argparse
+import contextlib
 import datetime as dt
 import os
 import re
@@ -27,27 +28,31 @@ DAY_IN_NAME = r"(\d{4}-\d{2}-\d{2})[^/]*$"
 NO_DAY = dt.date(1970, 1, 1)
 
 
-def admit(spark: SparkSession, pattern: str, output: str, now) -> DataFrame:
-    """Gate the files, store the verdicts, and return the rows of the accepted files.
+@contextlib.contextmanager
+def admit(spark: SparkSession, pattern: str, output: str, now):
+    """Gate the files and store the verdicts; the rows of the accepted files, and their names' days.
 
-    The verdicts are read back from storage, so Spark knows how small they are and joins them
-    to the rows without moving the rows.
+    The text is read once: header and rows go to a folder per file, and what follows reads columns of
+    those. Verdicts are read back from storage, so Spark knows how small they are, and only the folders of
+    the files asked for are opened. The stored lines go when the block ends.
     """
-    text = files.read_raw(spark, pattern, text=True)
     ledger = f"{output}/ingestion_ledger"
-    verdicts = gate.ingest_gate(text, files.file_headers(spark, pattern))
-    gate.append_ledger(verdicts, now, ledger)
     moment = F.lit(now).cast("timestamp")
-    stored = spark.read.parquet(ledger).filter(F.col("processed_at") == moment)
-    accepted, refused = gate.ingest_route(text, stored)
-    # One folder per run: what earlier runs refused stays.
-    files.write_partitioned(
-        refused.withColumn("processed_at", F.date_format(moment, "yyyy-MM-dd-HH-mm-ss")),
-        f"{output}/rejected_files",
-        by="processed_at",
-        rebalance=False,
-    )
-    return accepted
+    with contextlib.ExitStack() as done:
+        lines = files.staged_lines(spark, pattern)
+        staged = done.enter_context(scratch_table(lines, "lines", by=["_file"]))
+        verdicts = done.enter_context(scratch_table(gate.staged_gate(staged), "verdicts"))
+        gate.append_ledger(verdicts, now, ledger)
+        accepted, refused = gate.staged_route(staged, verdicts)
+        # One folder per run: what earlier runs refused stays.
+        files.write_partitioned(
+            refused.withColumn("processed_at", F.date_format(moment, "yyyy-MM-dd-HH-mm-ss")),
+            f"{output}/rejected_files",
+            by="processed_at",
+            rebalance=False,
+        )
+        days = verdicts.filter(F.col("status") == "ACCEPTED").select(F.regexp_extract("filename", DAY_IN_NAME, 1))
+        yield accepted, [r[0] for r in days.distinct().collect()]
 
 
 def _delivery_day():
@@ -56,11 +61,15 @@ def _delivery_day():
     return F.coalesce(F.when(F.regexp_extract("_source_file", DAY_IN_NAME, 1) != "", named), "date", F.lit(NO_DAY))
 
 
-def store_activity(raw: DataFrame, output: str) -> tuple[list, dict]:
+def _days_named(names) -> list[str]:
+    return [found[1] for name in names if (found := re.search(DAY_IN_NAME, name))]
+
+
+def store_activity(raw: DataFrame, output: str, delivered: list[str] | None = None) -> tuple[list, dict]:
     """Clean rows by day and rejected rows by delivery day, from one scan; the clean days and null counts.
 
     A later run replaces the days that it brings, in both. Days whose rejected rows are gone lose their
-    folder.
+    folder; ``delivered`` are the days that the files' names say.
     """
     spark = raw.sparkSession
     observed = Observation("null_profile")
@@ -74,10 +83,9 @@ def store_activity(raw: DataFrame, output: str) -> tuple[list, dict]:
         judged.drop("_source_file"), f"{output}/activity", by=["verdict", "date"], rebalance=False
     )
     kept = {day.isoformat() for verdict, day in keys if verdict == "rejected"}
-    for name in raw.inputFiles():
-        day = re.search(DAY_IN_NAME, name)
-        if day and day[1] not in kept:
-            remove(spark, f"{output}/activity/verdict=rejected/date={day[1]}")
+    for day in _days_named(raw.inputFiles()) if delivered is None else delivered:
+        if day and day not in kept:
+            remove(spark, f"{output}/activity/verdict=rejected/date={day}")
     return sorted(day for verdict, day in keys if verdict == "clean"), observed.get
 
 
@@ -103,15 +111,14 @@ def curate(
     }
     paths["clean_activity"] = f"{output}/activity/verdict=clean"
     paths["rejected_rows"] = f"{output}/activity/verdict=rejected"
+    # One scan gives the null profile, the clean rows and the rejected rows. Daily files arrive in date
+    # order already, so nothing is shuffled to write day folders.
     if gated:
         now = now or spark.sql("SELECT current_timestamp()").first()[0]
-        raw = admit(spark, pattern, output, now)
+        with admit(spark, pattern, output, now) as (raw, delivered):
+            days, nulls = store_activity(raw, output, delivered)
     else:
-        raw = files.read_raw(spark, pattern, text=True)
-
-    # One scan of the CSV files gives the null profile, the clean rows and the rejected rows. Daily
-    # files arrive in date order already, so nothing is shuffled to write day folders.
-    days, nulls = store_activity(raw, output)
+        days, nulls = store_activity(files.read_raw(spark, pattern, text=True), output)
     counts = spark.createDataFrame([nulls])
     files.write_parquet(clean.null_report(counts, RAW_CHANNELS), paths["null_profile"])
     if not days:

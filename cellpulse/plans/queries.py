@@ -509,14 +509,23 @@ def anomalies(t):
 
 @query
 def anomalies_increment(t):
-    """The last week's hours against the stored ones before it."""
+    """The last week's hours against the state of those before it."""
     late = F.col("timestamp") >= "2024-01-24"
-    return anomaly.anomalies_increment(t.hourly.filter(~late), t.hourly.filter(late))
+    return anomaly.anomalies_increment(anomaly.order_state(t.hourly.filter(~late)), t.hourly.filter(late))
 
 
 @query
 def anomalies_long_history(t):
-    return anomaly.anomalies(t.hourly, long_history=True)
+    """The history in three runs: each scores its days against the state and adds them to it."""
+    cuts = [F.col("timestamp") >= day for day in ("2024-01-11", "2024-01-21")]
+    first, second, third = (t.hourly.filter(f) for f in (~cuts[0], cuts[0] & ~cuts[1], cuts[1]))
+    state = anomaly.order_state(first)
+    later = anomaly.merge_state(state, second)
+    return (
+        anomaly.anomalies(first)
+        .unionByName(anomaly.anomalies_increment(state, second))
+        .unionByName(anomaly.anomalies_increment(later, third))
+    )
 
 
 @query

@@ -68,11 +68,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scratch_table(df: DataFrame, name: str):
-    """``materialise`` for readers that are done when the block ends; the table goes then."""
+def scratch_table(df: DataFrame, name: str, by=()):
+    """``materialise`` for readers that are done when the block ends; the table goes then.
+
+    ``by``: columns, moved to the end, with a folder for each of their values.
+    """
     path = scratch_dir(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.select(*[c for c in df.columns if c not in by], *by).write.mode("errorifexists").partitionBy(*by).parquet(path)
     try:
-        yield df.sparkSession.read.schema(df.schema).parquet(path)
+        stored = df.select(*[c for c in df.columns if c not in by], *by).schema
+        yield df.sparkSession.read.schema(stored).parquet(path)
     finally:
         remove(df.sparkSession, path)

@@ -50,6 +50,32 @@ def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def staged_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """Header and rows of the files from one scan, to be stored in one folder per file.
+
+    Raw columns as text, ``_source_file``, ``_file`` (a short key of it, for the folder's name), and for
+    lines in a file's first block that hold a known column name: ``_header``, the names, and ``_at``, the
+    line's place among them. A file's header is the first of these; others are rows like any other.
+    """
+    names = F.split(F.regexp_replace("value", r'[\s"]', ""), ",")
+    known = F.array(*[F.lit(c) for c in RAW_COLUMNS])
+    ahead = (F.col("_start") == 0) & F.arrays_overlap("_names", known)
+    return (
+        spark.read.text(pattern)
+        .select("value", _source_file().alias("_source_file"), F.col("_metadata.file_block_start").alias("_start"))
+        .filter(F.trim("value") != "")
+        .withColumns({"_names": names, "_line": F.monotonically_increasing_id()})
+        .withColumn("_row", F.from_csv("value", RAW_TEXT_SCHEMA.simpleString()[7:-1].replace(":", " ")))
+        .select(
+            "_row.*",
+            "_source_file",
+            F.when(ahead, F.col("_names")).alias("_header"),
+            F.when(ahead, F.col("_line")).alias("_at"),
+            F.lower(F.hex(F.xxhash64("_source_file"))).alias("_file"),
+        )
+    )
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,

@@ -22,6 +22,32 @@ def _first_reason(prefix, counts):
     )
 
 
+def _statistics(row=None) -> list:
+    """Aggregates over a file's rows; ``row`` says which of its lines are rows."""
+    row = F.lit(True) if row is None else row
+    time = F.try_to_timestamp("datetime")
+    counts = []
+    for c in RAW_CHANNELS:
+        number = F.col(c).try_cast("double")
+        counts.append(F.count_if(row & number.isNull()).alias(f"odd_{c}"))
+        counts.append(count_where(row & (number < 0)).alias(f"neg_{c}"))
+    return [
+        F.count_if(row).alias("row_count"),
+        F.count_if(row & time.isNull()).alias("bad_times"),
+        F.countDistinct(F.when(row, time)).alias("hours"),
+        *counts,
+    ]
+
+
+def _against_header(header) -> dict:
+    """Missing columns, and whether the others stand in order."""
+    required = F.array(*[F.lit(c) for c in RAW_COLUMNS])
+    return {
+        "absent": F.array_join(F.array_except(required, header), ", "),
+        "ordered": F.slice(header, 1, len(RAW_COLUMNS)) == required,
+    }
+
+
 def ingest_gate(raw_text: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """One verdict per file from one aggregation over its rows.
 
@@ -30,28 +56,53 @@ def ingest_gate(raw_text: DataFrame, headers: DataFrame | None = None) -> DataFr
     than misread. Blank measures are legal nulls: the file is accepted and the reason says so.
     Negative values in any measure reject it.
     """
-    time = F.try_to_timestamp("datetime")
-    counts = []
-    for c in RAW_CHANNELS:
-        number = F.col(c).try_cast("double")
-        counts.append(F.count_if(number.isNull()).alias(f"odd_{c}"))
-        counts.append(count_where(number < 0).alias(f"neg_{c}"))
-    stats = raw_text.groupBy(F.col("_source_file").alias("filename")).agg(
-        F.count("*").alias("row_count"),
-        F.count_if(time.isNull()).alias("bad_times"),
-        F.countDistinct(time).alias("hours"),
-        *counts,
-    )
+    stats = raw_text.groupBy(F.col("_source_file").alias("filename")).agg(*_statistics())
     if headers is None:
         stats = stats.withColumns({"absent": F.lit(""), "ordered": F.lit(True)})
     else:
-        required = F.array(*[F.lit(c) for c in RAW_COLUMNS])
-        absent = F.array_join(F.array_except(required, F.col("header")), ", ")
-        ordered = F.slice("header", 1, len(RAW_COLUMNS)) == required
         stats = headers.select(
-            "filename", absent.alias("absent"), ordered.alias("ordered")
+            "filename", *(c.alias(name) for name, c in _against_header(F.col("header")).items())
         ).join(stats, "filename", "full")
 
+    return stats.select("filename", *_verdict())
+
+
+def staged_gate(staged: DataFrame) -> DataFrame:
+    """``ingest_gate`` of ``files.staged_lines`` as stored, with the file's key and its header's place.
+
+    Header lines after the first are rows, with a time that cannot be read.
+    """
+    rows = F.col("_header").isNull()
+    none = F.array().cast("array<string>")
+    stats = staged.groupBy("_file", F.col("_source_file").alias("filename")).agg(
+        *_statistics(rows),
+        F.coalesce(F.min_by("_header", "_at"), none).alias("header"),
+        F.min("_at").alias("header_at"),
+        F.greatest(F.count("_at") - 1, F.lit(0)).alias("_more"),
+    )
+    more = {c: F.col(c) + F.col("_more") for c in ("row_count", "bad_times", *(f"odd_{c}" for c in RAW_CHANNELS))}
+    stats = stats.withColumns(more | _against_header(F.col("header")))
+    return stats.select("filename", *_verdict(), "_file", "header_at")
+
+
+def staged_route(staged: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected rows) of stored lines; only the folders of the files asked for are read."""
+
+    def of(status):
+        files = verdicts.filter(F.col("status") == status)
+        return files.select("_file", F.col("filename").alias("_source_file"), "header_at")
+
+    def routed(status):
+        met = staged.join(of(status), ["_file", "_source_file"])
+        return met.filter(F.col("_header").isNull() | (F.col("_at") > F.col("header_at"))).select(
+            *RAW_COLUMNS, "_source_file"
+        )
+
+    return routed("ACCEPTED"), routed("REJECTED")
+
+
+def _verdict() -> list:
+    """status, row_count and reason from a file's statistics."""
     n = F.coalesce(F.col("row_count"), F.lit(0))
     # The wording of the verdicts.
     structural = (
@@ -77,12 +128,11 @@ def ingest_gate(raw_text: DataFrame, headers: DataFrame | None = None) -> DataFr
         _first_reason("Non-numeric values found in", "odd_"),
         F.lit("Minimum quality validation passed"),
     )
-    return stats.select(
-        "filename",
+    return [
         F.when(refusal.isNull(), "ACCEPTED").otherwise("REJECTED").alias("status"),
         n.alias("row_count"),
         F.coalesce(refusal, remark).alias("reason"),
-    )
+    ]
 
 
 def source_grain_checks(raw_text: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Windows, medians and lookups against brute force."""
 
+import datetime as dt
 import random
 import statistics
 
@@ -108,18 +109,37 @@ def test_leave_one_out_median(spark, days):
 
 
 @SLOW
-@given(st.lists(st.integers(0, 20), min_size=1, max_size=30))
-def test_expanding_median_both_ways(spark, values):
+@given(st.lists(st.integers(0, 20), min_size=1, max_size=30), st.integers(0, 30), st.sampled_from([1, 2, 5, 16]))
+def test_expanding_median_whole_and_from_state(spark, values, cut, block):
     times = [at("2026-01-01 05:00").replace(day=1 + i) for i in range(len(values))]
     h = series(spark, 1, times, values)
     expected = {
         t: None if i < 3 else statistics.median(map(float, values[:i]))
         for i, t in enumerate(times)
     }
-    for long_history in (False, True):
-        got = anomaly.anomalies(h, long_history=long_history).collect()
+    old, new = (h.filter((F.col("timestamp") > at("2026-01-01").replace(day=1 + cut)) == late) for late in (False, True))
+    state = anomaly.order_state(old)
+    in_parts = anomaly.anomalies(old, block=block).union(anomaly.anomalies_increment(state, new, block=block))
+    for scored in (anomaly.anomalies(h, block=block), in_parts):
+        got = scored.collect()
         assert {r.timestamp: r.historical_baseline for r in got} == expected
         assert all(r.baseline_count == times.index(r.timestamp) for r in got)
+    merged = anomaly.merge_state(state, new).collect()
+    assert [r.past for r in merged] == [sorted(map(float, values))]
+
+
+def test_expanding_median_of_a_long_history(spark):
+    """Years of one bucket, with missing values, against a plain median."""
+    rng = random.Random(3)
+    days = [at("2020-01-01 05:00") + dt.timedelta(days=i) for i in range(800)]
+    values = [None if rng.random() < 0.05 else float(rng.choice([rng.randint(0, 9), rng.random() * 9])) for _ in days]
+    rows = [(1, t, 0.0, v) for t, v in zip(days, values, strict=True)]
+    got = {r.timestamp: r for r in anomaly.anomalies(spark.createDataFrame(rows, HOURLY)).collect()}
+    seen = []
+    for t, v in zip(days, values, strict=True):
+        assert got[t].baseline_count == len(seen)
+        assert got[t].historical_baseline == (statistics.median(seen) if len(seen) >= 3 else None)
+        seen += [] if v is None else [v]
 
 
 def test_zero_baseline_fires_high_and_drop(spark):
