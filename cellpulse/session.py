@@ -51,13 +51,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write once to shared storage and read back: cuts the lineage and survives executor loss.
 
-    For frames that an iterative fit reads many times.
+    For frames that an iterative fit reads many times. ``options`` go to the Parquet writer.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
