@@ -111,7 +111,7 @@ def op11_template_compiler(spark, sf_dir):
         F.lit(HARD[1]).alias("text"),
     )
     rendered = format_conversations(turns.select("conv_id", "turn", "role", "text").union(hard))
-    return turn_digests(materialise(rendered, "conversations"))
+    return turn_digests(materialise(rendered, "conversations", compression="zstd"))
 
 
 def op12_skip_list_fim(spark, sf_dir):
