@@ -37,7 +37,7 @@ UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Text bytes of a block, documents of a stride, and documents in a list of the block that still count as short.
 BLOCK_BYTES, STRIDE, SHORT = 8 << 20, 256, 64
 #: Blocks that a task of the second pass takes, about.
-BLOCKS = 32
+BLOCKS = 8
 INDEX = "docs long, terms long, codes array<int>, sizes array<int>, ids binary, lengths binary, places binary, counts binary"
 
 
@@ -251,7 +251,7 @@ def search(
     for group in groups_of(items, item_id, item_text, group_bytes):
         terms = sorted(set().union(*group.values()))
         blocks = materialise(index(docs, terms, doc_id, text, block_bytes), "index")
-        # The index is a small part of the text, so it is dealt anew, by some 256 MB of text to a task.
+        # The index is a small part of the text, so it is dealt anew, some 64 MB of text to a task at most.
         docs_held, terms_held, count = blocks.agg(F.sum("docs"), F.sum("terms"), F.count("*")).first()
         held = (
             blocks.select(F.explode(F.arrays_zip("codes", "sizes")).alias("one"))
