@@ -19,8 +19,9 @@ def as_of_join(
 
     History and distinct requests are merged in time order inside (key, time block) groups, so no
     request meets more than one block of history and a key with very many requests spreads over
-    its blocks. What a block inherits from earlier ones is one row, carried forward over the
-    per-block last rows.
+    its blocks. Each group then is one row: its requests with what they found there, and its last row. Those
+    last rows are carried forward over the blocks of a key to the requests that found nothing in their own.
+    The history is read once and shuffled once.
     """
     payload = [c for c in history.columns if c != key]
     kind = history.select(F.struct(*payload)).schema[0].dataType
@@ -43,26 +44,20 @@ def as_of_join(
         F.lit(2).alias("_kind"),
         F.lit(None).cast(kind).alias("_row"),
     )
-    last = facts.groupBy(key, "_block").agg(F.max_by("_row", "_t").alias("_row"))
-    wanted = asked.groupBy(key, "_block").agg(F.lit(None).cast(kind).alias("_row"))
-    blocks = last.unionByName(wanted).groupBy(key, "_block").agg(
-        F.first("_row", ignorenulls=True).alias("_row")
-    )
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = blocks.select(
-        key,
-        "_block",
-        F.lit(None).cast("timestamp").alias("_t"),
-        F.lit(0).alias("_kind"),
-        F.last("_row", ignorenulls=True).over(earlier).alias("_row"),
-    )
-    merged = facts.unionByName(inherited).unionByName(asked)
+    merged = facts.unionByName(asked)
     order = (
         Window.partitionBy(key, "_block")
         .orderBy(F.col("_t").asc_nulls_first(), "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = merged.withColumn("_row", F.last("_row", ignorenulls=True).over(order))
-    return found.filter(F.col("_kind") == 2).select(
-        key, F.col("_t").alias(as_of), *[F.col(f"_row.{c}").alias(c) for c in payload]
+    is_request = F.col("_kind") == 2
+    blocks = found.groupBy(key, "_block").agg(
+        F.collect_list(F.when(is_request, F.struct(F.col("_t").alias(as_of), "_row"))).alias("_asked"),
+        F.max_by("_row", F.struct("_t", "_kind")).alias("_last"),
     )
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier))
+    answered = carried.select(key, "_carried", F.inline("_asked"))
+    row = F.coalesce("_row", "_carried")
+    return answered.select(key, as_of, *[row[c].alias(c) for c in payload])

@@ -24,7 +24,8 @@ def daily_coverage(hourly: DataFrame) -> DataFrame:
     )
 
 
-def _daily_totals(hourly: DataFrame) -> DataFrame:
+def daily_totals(hourly: DataFrame) -> DataFrame:
+    """(cell, day, total): what the activity floor is a quantile of."""
     return (
         _with_date(hourly).groupBy("grid_id", "date").agg(F.sum("total_activity").alias("total"))
     )
@@ -32,7 +33,7 @@ def _daily_totals(hourly: DataFrame) -> DataFrame:
 
 def activity_floor(hourly: DataFrame, q: float = 0.10) -> DataFrame:
     """The exact q-quantile of all daily cell totals, one row."""
-    totals = _daily_totals(hourly)
+    totals = daily_totals(hourly)
     return totals.agg(F.count("*").alias("grid_days")).withColumn(
         "activity_floor", quantile_scalar(totals, "total", q)
     )
@@ -90,14 +91,26 @@ def loo_baseline(hourly: DataFrame, require_complete_day: bool = False) -> DataF
     return df.select("grid_id", "timestamp", "total_activity", "baseline_activity")
 
 
-def scored_hours(hourly: DataFrame) -> DataFrame:
+def last_hours(hourly: DataFrame) -> DataFrame:
+    """The newest row of each cell."""
+    newest = F.max(F.struct("timestamp", "total_activity")).alias("_row")
+    return hourly.groupBy("grid_id").agg(newest).select("grid_id", "_row.*")
+
+
+def scored_hours(hourly: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Hourly rows with previous hour, day total, hours of the day and baseline.
 
-    The window over whole cells comes first: the later windows by (cell, day) then reuse its
-    partitioning, so the table is shuffled once. A cell group holds one row per hour of history.
+    ``before`` has the row of each cell in front of these (see ``last_hours``), where they are not all of
+    the history. The window over whole cells comes first: the later windows by (cell, day) then reuse its
+    partitioning, so the table is shuffled once. A cell group holds one row per hour of ``hourly``.
     """
     cell = Window.partitionBy("grid_id").orderBy("timestamp")
-    df = _with_date(hourly).withColumn("previous_activity", F.lag("total_activity").over(cell))
+    df = _with_date(hourly)
+    if before is not None:
+        df = df.withColumn("_own", F.lit(True)).unionByName(_with_date(before).withColumn("_own", F.lit(False)))
+    df = df.withColumn("previous_activity", F.lag("total_activity").over(cell))
+    if before is not None:
+        df = df.filter("_own").drop("_own")
     return _with_loo_median(df).withColumn(
         "daily_total", F.sum("total_activity").over(Window.partitionBy("grid_id", "date"))
     )
@@ -111,14 +124,16 @@ def alerts(
     require_complete_day: bool = True,
     severity=None,
     q: float = 0.10,
+    before: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """HIGH_ACTIVITY, ACTIVITY_SPIKE and ACTIVITY_DROP records, any number per cell-hour.
 
+    For a batch of whole days, ``before`` is the last row of each cell before it and ``totals`` are the
+    ``daily_totals`` that the floor is taken from; without them ``hourly`` is all there is.
     ``severity`` is a column expression over the result for callers that grade alerts.
     """
-    now, base, before = F.col("total_activity"), F.col("baseline_activity"), F.col(
-        "previous_activity"
-    )
+    now, base, last = (F.col(c) for c in ("total_activity", "baseline_activity", "previous_activity"))
 
     def record(kind, condition, text):
         return F.when(
@@ -141,18 +156,19 @@ def alerts(
             record("HIGH_ACTIVITY", now >= high * base, sentence("least", high, day_text, base)),
             record(
                 "ACTIVITY_SPIKE",
-                before.isNotNull() & (now >= spike * before),
-                sentence("least", spike, "the preceding hour", before),
+                last.isNotNull() & (now >= spike * last),
+                sentence("least", spike, "the preceding hour", last),
             ),
             record("ACTIVITY_DROP", now <= drop * base, sentence("most", drop, day_text, base)),
         )
     )
     # A day is eligible when its total reaches the floor (and, by default, no hour is missing).
-    eligible = F.col("daily_total") >= quantile_scalar(_daily_totals(hourly), "total", q)
+    totals = daily_totals(hourly) if totals is None else totals
+    eligible = F.col("daily_total") >= quantile_scalar(totals, "total", q)
     if require_complete_day:
         eligible = eligible & (F.col("_n") == HOURS_IN_DAY)
     records = (
-        scored_hours(hourly)
+        scored_hours(hourly, before)
         .filter(eligible)
         .select(
             "grid_id",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions.quantiles import exact_quantiles
+from cellpulse.functions.unique import one_row_per
 
 KEY = ["grid_id", "timestamp"]
 PROFILE_COLUMNS = [
@@ -75,8 +76,9 @@ def _with_alerts(df: DataFrame, alert_rows: DataFrame) -> DataFrame:
 def detector_compare(predictions: DataFrame, scored: DataFrame, alert_rows: DataFrame) -> DataFrame:
     """Predictions at their target hour beside the anomaly and the alerts of that hour.
 
-    ``predictions`` has (grid_id, timestamp) unique, ``ml_prediction`` and
-    ``ml_prediction_probability``.
+    ``predictions`` has ``ml_prediction`` and ``ml_prediction_probability``. Predictions and anomalies are
+    one per (grid_id, timestamp); a key that occurs twice is an error. Each table is dealt by that key once,
+    or not at all where it is stored in buckets of it (``files.write_bucketed``).
     """
     anomaly = scored.select(
         *KEY,
@@ -87,7 +89,8 @@ def detector_compare(predictions: DataFrame, scored: DataFrame, alert_rows: Data
         "anomaly_direction",
         "anomaly_flag",
     )
-    df = _with_alerts(predictions.join(anomaly, KEY), alert_rows)
+    both = one_row_per(predictions, KEY, "predictions").join(one_row_per(anomaly, KEY, "anomalies"), KEY)
+    df = _with_alerts(both, alert_rows)
     ml3 = F.col("ml_prediction") == 1
     odd = F.col("anomaly_flag") == 1
     high = F.col("anomaly_direction") == "HIGH"

@@ -14,7 +14,9 @@ from cellpulse.functions.columns import (
     median_of,
     weekday_monday_zero,
 )
-from cellpulse.functions.timeblocks import own_rows, with_halo
+from cellpulse.functions.timeblocks import own_rows, with_halo, with_row_halo
+from cellpulse.functions.unique import one_row_per
+from cellpulse.operators.checks import audit_sample
 from cellpulse.schemas import SIX_FEATURES
 
 
@@ -107,25 +109,22 @@ def features(
     """Six features per (cell, t) from the recent and the prior day.
 
     ``samp`` needs an unbroken history of both days. ``pop`` takes the last rows whatever the
-    gaps between them, uses the population deviation and says 0 growth at a zero baseline; its
-    frames reach back any distance, so it windows whole cells (one row per hour of history).
+    gaps between them, uses the population deviation and says 0 growth at a zero baseline; its frames
+    reach back a number of rows, so its blocks overlap by rows.
     """
     if variant not in ("samp", "pop"):
         raise ValueError("variant is 'samp' or 'pop'")
     total = recent + prior
     df = _history(history)
-    if variant == "samp":
-        df = with_halo(df, before=total, **blocks)
-        order = Window.partitionBy("grid_id", "_block").orderBy("timestamp")
-    else:
-        order = Window.partitionBy("grid_id").orderBy("timestamp")
+    df = with_halo(df, before=total, **blocks) if variant == "samp" else with_row_halo(df, before=total - 1, **blocks)
+    order = Window.partitionBy("grid_id", "_block").orderBy("timestamp")
     df = df.withColumns(_feature_columns(order, recent, variant))
     df = df.withColumn("_before", _before_column(order, recent, prior))
     if variant == "samp":
         df = own_rows(_unbroken(df, order, total))
     else:
         df = df.withColumn("_start", F.lag("timestamp", total - 1).over(order))
-        df = df.filter(F.col("_start").isNotNull())
+        df = own_rows(df).filter(F.col("_start").isNotNull())
     return df.select(
         "grid_id", F.col("timestamp").alias("feature_timestamp"), *_six_features(variant)
     )
@@ -211,8 +210,9 @@ def with_calendar(df: DataFrame) -> DataFrame:
 
 
 def ml_dataset(feature_rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features and labels of the same (cell, t), both unique on that key."""
-    return with_calendar(feature_rows.join(labels, ["grid_id", "feature_timestamp"]))
+    """Features and labels of the same (cell, t). A key that occurs twice on either side is an error."""
+    key = ["grid_id", "feature_timestamp"]
+    return with_calendar(one_row_per(feature_rows, key, "features").join(one_row_per(labels, key, "labels"), key))
 
 
 def _day_features(df: DataFrame, order) -> DataFrame:
@@ -300,3 +300,37 @@ def leakage_check(history: DataFrame, cut, tolerance: float = 1e-9) -> DataFrame
     compared = _compare_features(until(history), until(altered), tolerance)
     bad = F.col("rows_on_one_side") + F.col("rows_changed")
     return compared.withColumn("leak_free", bad == 0)
+
+
+def training_audit(history: DataFrame, training: DataFrame, k: int) -> DataFrame:
+    """Recompute medians, targets and labels of a repeatable sample of rows from the hours themselves.
+
+    Each drawn row meets the 24 hours up to its own and the one after: no frames, and only the cells and
+    hours of the sample are read.
+    """
+    stored = ["trailing_median_24h", "target_activity", "high_activity"]
+    drawn = audit_sample(training, k, "feature_timestamp").select("grid_id", "feature_timestamp", *stored)
+    t = F.col("feature_timestamp")
+    asked = drawn.select("grid_id", t, F.explode(F.sequence(F.lit(-23), F.lit(1))).alias("_ahead"))
+    asked = asked.withColumn("timestamp", F.timestamp_seconds(F.unix_seconds(t) + F.col("_ahead") * 3600))
+    near = asked.join(history.select("grid_id", "timestamp", "total_activity"), ["grid_id", "timestamp"], "left")
+    past, value = F.col("_ahead") <= 0, F.col("total_activity")
+    again = near.groupBy("grid_id", "feature_timestamp").agg(
+        F.median(F.when(past, value)).alias("recomputed_median"),
+        F.count_if(past & value.isNotNull()).alias("hours_found"),
+        F.max(F.when(~past, value)).alias("recomputed_target"),
+    )
+    label = (F.col("recomputed_target") > 1.5 * F.col("recomputed_median")).cast("int")
+    return drawn.join(again, ["grid_id", "feature_timestamp"]).select(
+        *drawn.columns,
+        "hours_found",
+        "recomputed_median",
+        "recomputed_target",
+        label.alias("recomputed_label"),
+        (
+            (F.col("hours_found") == 24)
+            & F.col("trailing_median_24h").eqNullSafe(F.col("recomputed_median"))
+            & F.col("target_activity").eqNullSafe(F.col("recomputed_target"))
+            & F.col("high_activity").eqNullSafe(label)
+        ).alias("agrees"),
+    )

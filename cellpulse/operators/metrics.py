@@ -48,6 +48,10 @@ def _counts(pred: DataFrame, label: str, predicted=None) -> DataFrame:
 
 def class_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     """Metrics of the positive class and the class-weighted precision and recall, one row."""
+    return _with_class_metrics(_counts(pred, label))
+
+
+def _with_class_metrics(counts: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     weighted_precision = _ratio(
@@ -56,7 +60,7 @@ def class_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     weighted_recall = _ratio(
         (tp + fn) * _ratio(tp, tp + fn) + (tn + fp) * _ratio(tn, tn + fp), n
     )
-    return _counts(pred, label).withColumns(
+    return counts.withColumns(
         {
             **_positive_class(tp, fp, fn, tn),
             "weighted_precision": weighted_precision,
@@ -65,41 +69,49 @@ def class_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     )
 
 
-def ranking_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
-    """ROC-AUC (ties count half) and average precision, one row.
+def _range_of(bounds, score):
+    """How many of the sorted ``bounds`` are below ``score``, by binary search."""
+    steps = [F.lit(SCORE_BUCKETS >> k) for k in range(1, SCORE_BUCKETS.bit_length())]
+    return F.aggregate(
+        F.array(*steps),
+        F.lit(0),
+        lambda found, step: found + F.when(F.get(bounds, found + step - 1) < score, step).otherwise(0),
+    )
 
-    Both need, for every score, how many rows score at least as high. Equal scores are added up
-    first. Running sums are then taken inside 256 score ranges of about equal length, and what
-    the ranges above contribute comes from one small table of range totals, so that no task has
-    to order all scores.
+
+def _ranked(by_score: DataFrame, by: list[str]) -> DataFrame:
+    """ROC-AUC (ties count half) and average precision per ``by``, from rows per score.
+
+    Both need, for every score, how many rows score at least as high. Running sums are taken inside
+    256 score ranges of about equal length per group, and what the ranges above contribute comes from one
+    small table of range totals, so that no task has to order all scores. ``by`` holds a short list of
+    values, such as the scores of the models compared: 256 ranges of each are broadcast.
     """
-    by_score = pred.groupBy(F.col("probability").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
-    )
     cuts = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    bounds = by_score.agg(F.percentile_approx("score", cuts, 10_000)).scalar()
-    ranged = by_score.withColumn("_bounds", bounds).withColumn(
-        "range", F.size(F.filter("_bounds", lambda b: b < F.col("score")))
-    )
-    per_range = ranged.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("range"))
-    above = above.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
-        F.col("range").alias("_range"),
+
+    def beside(df, other):
+        """Joined with a short table on the groups (and ranges) that both have."""
+        keys = [c for c in (*by, "range") if c in df.columns and c in other.columns]
+        own = other.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in other.columns])
+        met = df.join(F.broadcast(own), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        return met.drop(*[f"_{c}" for c in keys])
+
+    bounds = by_score.groupBy(*by).agg(F.percentile_approx("score", cuts, 10_000).alias("_bounds"))
+    ranged = beside(by_score, bounds).withColumn("range", _range_of(F.col("_bounds"), F.col("score"))).drop("_bounds")
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    offsets = totals.select(
+        *by,
+        "range",
         F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"),
         F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"),
     )
-    inside = Window.partitionBy("range").orderBy(F.desc("score"))
+    inside = Window.partitionBy(*by, "range").orderBy(F.desc("score"))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = ranged.select(
-        "range",
-        "pos",
-        "neg",
-        F.sum("pos").over(inside).alias("p_in"),
-        F.sum("neg").over(inside).alias("n_in"),
-    ).join(F.broadcast(offsets), F.col("range") == F.col("_range"))  # at most 256 rows
+    running = ranged.withColumns({"p_in": F.sum("pos").over(inside), "n_in": F.sum("neg").over(inside)})
+    counted = beside(running, offsets)
     tp, fp = F.col("p_above") + F.col("p_in"), F.col("n_above") + F.col("n_in")
-    sums = counted.agg(
+    sums = counted.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
         F.sum(F.col("pos") * (fp - F.col("neg") / 2)).alias("passed_over"),
@@ -107,6 +119,7 @@ def ranking_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     )
     pairs = F.col("positives") * F.col("negatives")
     return sums.select(
+        *by,
         "positives",
         "negatives",
         F.when(pairs > 0, 1 - F.col("passed_over") / pairs).alias("roc_auc"),
@@ -116,13 +129,51 @@ def ranking_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     )
 
 
+def _rows_per_score(pred: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """Equal scores added up, which is combined before it is shuffled."""
+    return pred.groupBy(*by, F.col("probability").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+    )
+
+
+def ranking_metrics(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
+    """positives, negatives, ROC-AUC and average precision, one row; nulls for an empty table."""
+    found = _ranked(_rows_per_score(pred.withColumn("_all", F.lit(1)), label, ["_all"]), ["_all"])
+    return found.agg(*[F.max(c).alias(c) for c in found.columns if c != "_all"])
+
+
 def ml_eval(pred: DataFrame, label: str = DEFAULT_LABEL) -> DataFrame:
     """Class and ranking metrics together, one row."""
-    ranks = ranking_metrics(pred, label)
-    both = ranks.agg(F.max(F.struct("roc_auc", "average_precision"))).scalar()
-    return class_metrics(pred, label).withColumns(
-        {"roc_auc": both["roc_auc"], "average_precision": both["average_precision"]}
-    )
+    return compare_models(pred, {"only": ("prediction", "probability")}, label).drop("model")
+
+
+def compare_models(pred: DataFrame, models: dict, label: str = DEFAULT_LABEL) -> DataFrame:
+    """One row of metrics per model, all from one plan over one table.
+
+    ``models``: name to (prediction, probability), columns or names of columns of ``pred``. Counts of all
+    models are taken in one pass. Models whose probability is the same column share its ranks.
+    """
+
+    def column(c):
+        return F.col(c) if isinstance(c, str) else c
+
+    # The number of each distinct score.
+    scores: dict[str, int] = {}
+    for _, probability in models.values():
+        scores.setdefault(str(column(probability)), len(scores))
+    actual, counts, rows = F.col(label) == 1, [], []
+    for k, (name, (prediction, probability)) in enumerate(models.items()):
+        said = column(prediction).cast("int") == 1
+        parts = {"tp": actual & said, "fp": ~actual & said, "fn": actual & ~said, "tn": ~actual & ~said}
+        counts += [F.count_if(rule).alias(f"{part}_{k}") for part, rule in parts.items()]
+        score = F.lit(scores[str(column(probability))]).alias("_score")
+        rows.append(F.struct(F.lit(name).alias("model"), score, *[F.col(f"{part}_{k}").alias(part) for part in parts]))
+    classes = _with_class_metrics(pred.agg(*counts).select(F.inline(F.array(*rows))))
+    own = {scores[str(column(p))]: column(p).cast("double") for _, p in models.values()}
+    pairs = [F.struct(F.lit(k).alias("_score"), c.alias("probability")) for k, c in own.items()]
+    long = pred.select(label, F.inline(F.array(*pairs)))
+    ranks = _ranked(_rows_per_score(long, label, ["_score"]), ["_score"]).drop("positives", "negatives")
+    return classes.join(F.broadcast(ranks), "_score", "left").drop("_score")
 
 
 def threshold_sweep(pred: DataFrame, label: str = DEFAULT_LABEL, thresholds=THRESHOLDS):
@@ -159,8 +210,18 @@ def majority_baseline(test: DataFrame) -> DataFrame:
 
 
 def model_compare(predictions: dict[str, DataFrame], label: str = DEFAULT_LABEL) -> DataFrame:
-    """One row of metrics per named prediction table."""
+    """One row of metrics per named prediction table. See ``compare_models`` for models of one table."""
     rows = [
-        ml_eval(pred, label).withColumn("model", F.lit(name)) for name, pred in predictions.items()
+        pred.select(F.lit(name).alias("model"), label, "prediction", F.col("probability").cast("double").alias("probability"))
+        for name, pred in predictions.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    long = reduce(lambda a, b: a.unionByName(b), rows)
+    actual, said = F.col(label) == 1, F.col("prediction") == 1
+    counts = long.groupBy("model").agg(
+        F.count_if(actual & said).alias("tp"),
+        F.count_if(~actual & said).alias("fp"),
+        F.count_if(actual & ~said).alias("fn"),
+        F.count_if(~actual & ~said).alias("tn"),
+    )
+    ranks = _ranked(_rows_per_score(long, label, ["model"]), ["model"]).drop("positives", "negatives")
+    return _with_class_metrics(counts).join(F.broadcast(ranks), "model", "left")

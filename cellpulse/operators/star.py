@@ -68,19 +68,29 @@ def dim_grid(lookup: DataFrame, file_name: str, existing: DataFrame | None = Non
     return dim_upsert(existing, grid_rows(lookup, file_name), "grid_id", "grid_key")
 
 
-def fact_build(hourly: DataFrame, grids: DataFrame, times: DataFrame) -> DataFrame:
-    """Hourly rows with the two surrogate keys; missing measures become 0."""
+def fact_build(hourly: DataFrame, grids: DataFrame, times: DataFrame, dated: bool = False) -> DataFrame:
+    """Hourly rows with the two surrogate keys; missing measures become 0.
+
+    ``dated`` adds ``date_value``, by which a stored fact table has its folders.
+    """
     keyed = hourly.join(grids.select("grid_id", "grid_key"), "grid_id").join(
-        times.select("timestamp", "time_key"), "timestamp"
-    )
-    return keyed.select(
-        "grid_key", "time_key", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in MEASURES]
+        times.select("timestamp", "time_key", "date_value"), "timestamp"
     )
+    measures = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in MEASURES]
+    return keyed.select("grid_key", "time_key", *measures, *(["date_value"] if dated else []))
 
 
 def fact_load(existing: DataFrame, fact: DataFrame) -> DataFrame:
-    """The rows still to be appended: a repeated load of the same days adds nothing."""
-    return new_rows(existing, fact, ["grid_key", "time_key"])
+    """The rows still to be appended: a repeated load of the same days adds nothing.
+
+    Of a dated fact table only the folders from the first to the last day of ``fact`` are read: the two
+    days are sub-queries of the scan, so ``fact`` should be stored.
+    """
+    if "date_value" not in existing.columns or "date_value" not in fact.columns:
+        return new_rows(existing, fact, ["grid_key", "time_key"])
+    first, last = (fact.agg(bound("date_value")).scalar() for bound in (F.min, F.max))
+    near = existing.filter(F.col("date_value").between(first, last))
+    return new_rows(near, fact, ["date_value", "grid_key", "time_key"])
 
 
 def dimension_coverage(hourly: DataFrame, grids: DataFrame, times: DataFrame) -> DataFrame:

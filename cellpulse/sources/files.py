@@ -109,6 +109,20 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A catalogue table in a folder, dealt and sorted by ``keys``; tables of one number of buckets join
+    and group on those keys without an exchange."""
+    rows = df.repartition(buckets, *keys)
+    (
+        rows.write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def write_dashboard_csv(per_hour: DataFrame, path: str) -> None:
     """One CSV file. Only for the per-hour dashboard: its length is the number of hours.
 

@@ -10,10 +10,10 @@ def read_table(spark: SparkSession, fmt: str, **options) -> DataFrame:
     return spark.read.format(fmt).options(**options).load()
 
 
-def append_table(df: DataFrame, fmt: str, **options) -> None:
-    """Append. JDBC batches have 5000 rows by default; ``numPartitions`` (connections) is the caller's."""
+def append_table(df: DataFrame, fmt: str, by=(), **options) -> None:
+    """Append, to one folder per value of ``by`` where given. JDBC batches have 5000 rows by default; ``numPartitions`` (connections) is the caller's."""
     settings = {"batchsize": 5000} if fmt == "jdbc" else {}
-    df.write.format(fmt).options(**{**settings, **options}).mode("append").save()
+    df.write.format(fmt).options(**{**settings, **options}).partitionBy(*by).mode("append").save()
 
 
 def overwrite_table(df: DataFrame, fmt: str, **options) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.operators import compare, metrics, ml, serve
 from cellpulse.schemas import MODEL_FEATURES
+from cellpulse.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -172,19 +173,52 @@ def test_comparison_of_totals(spark):
     assert kinds == 0
 
 
-def test_detection_end_to_end(spark, sf_dir, tmp_path):
-    """All tables of the detection plan, from a stored hourly table."""
+def test_detection_day_by_day(spark, sf_dir, tmp_path):
+    """All tables of the detection plan: a first run, a run on new days, one on none, one that does days over."""
     from cellpulse.operators import alerts, anomaly, features
     from cellpulse.plans import detection
     from cellpulse.plans.tables import Tables
-
-    source = str(tmp_path / "hourly")
-    Tables(spark, sf_dir).hourly.write.parquet(source)
-    hourly = spark.read.parquet(source)
-    paths = detection.detect(spark, source, str(tmp_path / "out"))
-    read = {name: spark.read.parquet(path) for name, path in paths.items() if name != "model"}
-    assert read["features"].count() == features.feature_table(hourly).count() == read["risk_scores"].count()
-    assert read["alerts"].count() == alerts.alerts(hourly).count()
-    assert read["anomalies"].count() == anomaly.anomalies(hourly).count()
-    assert {"tp", "roc_auc"} <= set(read["evaluation"].columns)
-    assert read["compared"].count() > 0
+    from cellpulse.sources import files
+
+    source, out = str(tmp_path / "hourly"), str(tmp_path / "out")
+    whole = materialise(Tables(spark, sf_dir).hourly, "hourly")
+    cut = "2024-01-22"
+    files.write_partitioned(whole.filter(F.col("date") < cut), source)
+
+    def read(name):
+        return spark.read.parquet(f"{out}/{name}")
+
+    def same(got, expected):
+        columns = expected.columns
+        got, expected = (df.select(*columns) for df in (got, expected))
+        assert got.count() == expected.count() and got.exceptAll(expected).isEmpty()
+
+    detection.detect(spark, source, out)
+    same(read("alerts"), alerts.alerts(whole.filter(F.col("date") < cut)))
+    assert {"tp", "roc_auc"} <= set(read("evaluation").columns)
+    tested = read("compared").count()
+    assert tested > 0
+
+    files.write_partitioned(whole.filter(F.col("date") >= cut), source)
+    for _ in range(2):  # the second of these finds no new day
+        detection.detect(spark, source, out)
+        assert read("runs").count() == 2
+        same(read("features"), features.feature_table(whole))
+        same(read("anomalies"), anomaly.anomalies(whole))
+        same(read("alerts").filter(F.col("date") >= cut), alerts.alerts(whole).filter(F.col("timestamp") >= cut))
+        assert read("risk_scores").count() == read("features").count()
+        late = features.training_table(whole).filter(F.col("target_timestamp") >= cut).count()
+        assert read("compared").filter(F.col("date") >= cut).count() == late
+    state = anomaly.order_state(whole)
+    last = read("runs").agg(F.max("through")).first()[0]
+    same(read(f"state/buckets/through={last}"), state)
+    same(read(f"state/cells/through={last}"), alerts.last_hours(whole))
+
+    corrected = whole.withColumn(
+        "total_activity", F.when(F.col("date") >= "2024-01-25", F.lit(5.0)).otherwise(F.col("total_activity"))
+    )
+    files.write_partitioned(corrected, source)
+    detection.detect(spark, source, out, since=dt.date(2024, 1, 25))
+    same(read("anomalies"), anomaly.anomalies(corrected))
+    same(read("features"), features.feature_table(corrected))
+    same(read("alerts").filter(F.col("date") >= cut), alerts.alerts(corrected).filter(F.col("timestamp") >= cut))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from cellpulse.operators import alerts, features, geo, rollup, serve
+from cellpulse.operators import alerts, anomaly, features, geo, rollup, serve, star
 from cellpulse.plans.tables import Tables
 from cellpulse.sources import files
 
@@ -79,3 +79,48 @@ def test_partial_aggregation_before_the_shuffle(spark, sf_dir):
     text = plan(Tables(spark, sf_dir).hourly)
     assert "partial_sum" in text
     assert text.count("Exchange") == 1
+
+
+def test_fact_load_reads_the_days_of_its_batch(spark, stored, sf_dir, tmp_path):
+    t = Tables(spark, sf_dir)
+    fact = star.fact_build(stored, t.dim_grid, star.dim_time(stored), dated=True)
+    files.write_partitioned(fact, str(tmp_path / "fact"), by="date_value")
+    loaded = spark.read.parquet(str(tmp_path / "fact"))
+    loaded.filter("date_value between '2024-01-09' and '2024-01-10'").write.parquet(str(tmp_path / "batch"))
+    fresh = star.fact_load(loaded, spark.read.parquet(str(tmp_path / "batch")))
+    assert fresh.count() == 0
+    scans = [text for text in plan(fresh).split("FileScan parquet") if "PartitionFilters: [" in text]
+    pruned = [text for text in scans if re.search(r"PartitionFilters: \[[^]]*date_value[^]]*ubquery", text)]
+    assert pruned
+    read = [line for line in metrics_of(fresh) if "date_value" in line[0]]
+    assert [n for _, n in read] == [2]
+
+
+def metrics_of(df):
+    """(scan, partitions read) of every partitioned scan of an executed plan."""
+    df.collect()
+    found, queue = [], [df._jdf.queryExecution().executedPlan()]
+    while queue:
+        node = queue.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            queue.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            queue.append(node.plan())
+        else:
+            if node.nodeName().startswith("Scan"):
+                metric = node.metrics().get("numPartitions")
+                if metric.isDefined():
+                    found.append((node.toString(), metric.get().value()))
+            children = node.children()
+            queue += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_growing_medians_hold_no_growing_list(stored):
+    for frame in (
+        anomaly.anomalies(stored),
+        anomaly.anomalies_increment(anomaly.order_state(stored), stored),
+    ):
+        text = plan(frame)
+        assert "Window" not in text and "Python" not in text
+        assert text.count("Exchange hashpartitioning") == (1 if "Join" not in text else 2)
