@@ -23,22 +23,38 @@ def hourly_checks(hourly: DataFrame) -> DataFrame:
     """Is the hourly table fit to publish: one row per check with its number of failures."""
     wanted = HOURLY_SCHEMA.fieldNames()
     absent = len([c for c in wanted if c not in hourly.columns])
-    grain = hourly.groupBy("timestamp", "grid_id").count()
-    day_hours = hourly.groupBy("date").agg(F.countDistinct("timestamp").alias("h"))
-    per_day = hourly.groupBy("date", "grid_id").agg(F.sum("total_activity").alias("t"))
-    one = hourly.agg(
-        F.count_if(F.col("grid_id").isNull() | F.col("timestamp").isNull()).alias("null_keys"),
-        count_where(~F.col("grid_id").between(MIN_CELL, MAX_CELL)).alias("cells_out_of_range"),
-        F.count_if(_any([F.col(c).isNull() for c in MEASURES])).alias("null_measures"),
-        count_where(_any([F.col(c) < 0 for c in MEASURES])).alias("negative_measures"),
-    ).withColumns(
-        {
-            "repeated_grain": grain.agg(F.count_if(F.col("count") > 1)).scalar(),
-            "days_without_24_hours": day_hours.agg(F.count_if(F.col("h") != 24)).scalar(),
-            "negative_daily_totals": per_day.agg(F.count_if(F.col("t") < 0)).scalar(),
-            "missing_columns": F.lit(absent).cast("long"),
-            "geometry_in_hourly": F.lit(int("geometry" in hourly.columns)).cast("long"),
-        }
+    faults = {
+        "null_keys": F.count_if(F.col("grid_id").isNull() | F.col("timestamp").isNull()),
+        "cells_out_of_range": count_where(~F.col("grid_id").between(MIN_CELL, MAX_CELL)),
+        "null_measures": F.count_if(_any([F.col(c).isNull() for c in MEASURES])),
+        "negative_measures": count_where(_any([F.col(c) < 0 for c in MEASURES])),
+    }
+    carried = [*faults, "repeated_grain"]
+    # Rows are dealt by cell and day once; grain, day of a cell and day are added up one from the other.
+    grain = (
+        hourly.repartition("grid_id", "date")
+        .groupBy("grid_id", "date", "timestamp")
+        .agg(F.count("*").alias("n"), F.sum("total_activity").alias("t"), *[c.alias(k) for k, c in faults.items()])
+        .withColumn("repeated_grain", (F.col("n") > 1).cast("long"))
+    )
+    # A repeated key counts in the day that its rows are in; the hours of a day are bits of a number.
+    hour_bit = F.expr("shiftleft(1L, hour(timestamp))")
+    cell_days = grain.groupBy("grid_id", "date").agg(
+        F.sum("t").alias("t"), F.bit_or(hour_bit).alias("hours"), *[F.sum(c).alias(c) for c in carried]
+    )
+    days = cell_days.groupBy("date").agg(
+        F.bit_or("hours").alias("hours"),
+        F.count_if(F.col("t") < 0).alias("negative_daily_totals"),
+        *[F.sum(c).alias(c) for c in carried],
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    one = days.agg(
+        *[total(c) for c in faults],
+        total("repeated_grain"),
+        F.count_if(F.bit_count(F.coalesce("hours", F.lit(0))) != 24).alias("days_without_24_hours"),
+        total("negative_daily_totals"),
+        F.lit(absent).cast("long").alias("missing_columns"),
+        F.lit(int("geometry" in hourly.columns)).cast("long").alias("geometry_in_hourly"),
     )
     return _long(one, one.columns)
 

@@ -98,64 +98,76 @@ def dashboard_hourly(hourly: DataFrame, split_channels: bool = False) -> DataFra
     )
 
 
-def _busiest(hourly: DataFrame, key: str):
-    """The key with the largest total, the smallest key among equals, as a scalar."""
-    totals = hourly.groupBy(key).agg(F.sum("total_activity").alias("t"))
-    return totals.agg(F.max_by(key, F.struct(F.col("t"), -F.col(key)))).scalar()
+def hour_sums(value="total_activity", ts="timestamp", where=None) -> list:
+    """24 sums of a measure by hour of the day, null for hours without rows."""
+    where = F.lit(True) if where is None else where
+    return [F.sum(F.when(where & (F.hour(ts) == h), F.col(value))).alias(f"_h{h}") for h in range(24)]
+
+
+def busiest_hour():
+    """Aggregate over frames with ``hour_sums``: the hour with the largest sum, the first among equals."""
+    totals = [F.struct(F.sum(f"_h{h}").alias("t"), F.lit(-h).alias("h")) for h in range(24)]
+    known = F.filter(F.array(*totals), lambda r: r["t"].isNotNull())
+    return -F.array_max(known)["h"]
 
 
 def kpis(raw: DataFrame, cleaned: DataFrame, hourly: DataFrame) -> DataFrame:
+    """One row. The hourly table is read once: cells first, with a sum per hour of the day each."""
     n_raw = raw.agg(F.count("*")).scalar()
     n_clean = cleaned.agg(F.count("*")).scalar()
-    by_hour = hourly.select(F.hour("timestamp").alias("hour"), "total_activity")
-    return hourly.agg(
-        F.count("*").alias("grid_hour_rows"),
-        F.countDistinct("grid_id").alias("unique_grids"),
-        F.min("timestamp").alias("time_start"),
-        F.max("timestamp").alias("time_end"),
-        _sum("total_sms"),
-        _sum("total_calls"),
-        _sum("total_activity"),
-    ).withColumns(
-        {
-            "input_rows": n_raw,
-            "cleaned_rows": n_clean,
-            "busiest_hour": _busiest(by_hour, "hour"),
-            "busiest_grid": _busiest(hourly, "grid_id"),
-        }
-    )
+    sums = ["total_sms", "total_calls", "total_activity"]
+    cells = hourly.groupBy("grid_id").agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        *[_sum(c) for c in sums], *hour_sums(),
+    )
+    return cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("grid_hour_rows"),
+        F.count("grid_id").alias("unique_grids"),
+        F.min("first").alias("time_start"),
+        F.max("last").alias("time_end"),
+        *[_sum(c) for c in sums],
+        busiest_hour().alias("busiest_hour"),
+        F.max_by("grid_id", F.struct(F.col("total_activity"), -F.col("grid_id"))).alias("busiest_grid"),
+    ).withColumns({"input_rows": n_raw, "cleaned_rows": n_clean})
 
 
 def profile(raw: DataFrame) -> DataFrame:
-    """Facts about a raw batch: size, spread, span, cadence and repeats at the source grain."""
-    grain = ["datetime", "CellID", "countrycode"]
-    repeats = raw.groupBy(*grain).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)))
-    # One row per distinct hour: bounded by the length of the history, not by its volume.
-    hours = raw.select("datetime").filter(F.col("datetime").isNotNull()).distinct()
-    step = F.unix_seconds("datetime") - F.lag(F.unix_seconds("datetime")).over(
-        Window.partitionBy(F.lit(1)).orderBy("datetime")
-    )
-    cadence = (
-        hours.select((step / 3600).alias("h"))
-        .filter(F.col("h").isNotNull())
-        .groupBy("h")
-        .count()
-        .agg(F.max_by("h", F.struct(F.col("count"), -F.col("h"))))
-    )
-    return raw.agg(
-        F.countDistinct("_source_file").alias("files"),
-        F.count("*").alias("total_rows"),
-        F.countDistinct("CellID").alias("unique_cells"),
-        F.countDistinct("countrycode").alias("unique_countries"),
-        F.countDistinct("datetime").alias("unique_hours"),
-        F.min("datetime").alias("time_start"),
-        F.max("datetime").alias("time_end"),
-    ).withColumns(
-        {
-            "total_columns": F.lit(len(raw.columns) - 1),
-            "cadence_hours": cadence.scalar(),
-            "repeated_rows": repeats.scalar(),
-        }
+    """Facts about a raw batch: size, spread, span, cadence and repeats at the source grain.
+
+    Rows are added up per grain once, and all but the number of files follows from that. Distinct cells,
+    countries and hours are gathered as sets: they are as many as the map, the world and the history have.
+    """
+    grain = raw.groupBy("datetime", "CellID", "countrycode").agg(F.count("*").alias("n"))
+    files = raw.select("_source_file").distinct().agg(F.count("_source_file")).scalar()
+    facts = grain.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"),
+        F.size(F.collect_set("CellID")).cast("long").alias("unique_cells"),
+        F.size(F.collect_set("countrycode")).cast("long").alias("unique_countries"),
+        F.sort_array(F.collect_set("datetime")).alias("_hours"),
+    )
+    seconds = F.transform("_hours", F.unix_seconds)
+    steps = F.zip_with(
+        F.slice(seconds, F.lit(2), F.greatest(F.size(seconds) - 1, F.lit(0))),
+        F.slice(seconds, F.lit(1), F.greatest(F.size(seconds) - 1, F.lit(0))),
+        lambda later, earlier: (later - earlier) / 3600,
+    )
+    # The most frequent step, the smallest among equals.
+    kinds = F.transform(
+        F.array_distinct("_steps"),
+        lambda h: F.struct(F.size(F.filter("_steps", lambda s: s == h)).alias("n"), (-h).alias("h")),
+    )
+    return facts.withColumn("_steps", steps).select(
+        files.alias("files"),
+        "total_rows",
+        "unique_cells",
+        "unique_countries",
+        F.size("_hours").cast("long").alias("unique_hours"),
+        F.get("_hours", F.lit(0)).alias("time_start"),
+        F.get("_hours", F.size("_hours") - 1).alias("time_end"),
+        F.lit(len(raw.columns) - 1).alias("total_columns"),
+        (-F.array_max(kinds)["h"]).alias("cadence_hours"),
+        "repeated_rows",
     )
 
 

@@ -123,28 +123,38 @@ def warehouse_checks(
 
     ``expected_cells``: a number, or a scalar column such as the length of a look-up.
     """
-
-    def repeats(df, keys):
-        counted = df.groupBy(*keys).count().filter(F.col("count") > 1)
-        return counted.agg(F.count("*")).scalar()
-
     null_measure = F.lit(False)
     for c in MEASURES:
         null_measure = null_measure | F.col(c).isNull()
+    # Each table is read once, added up per key first.
+    per_fact = fact.groupBy("grid_key", "time_key").agg(
+        F.count("*").alias("n"), F.count_if(null_measure).alias("null_rows")
+    )
+    per_cell = grids.groupBy("grid_id").agg(F.count("*").alias("n"))
+    cells = per_cell.agg(
+        F.struct(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(
+                F.sum(F.when(~F.col("grid_id").between(MIN_CELL, MAX_CELL), F.col("n"))), F.lit(0)
+            ).alias("outside"),
+            F.count_if(F.col("n") > 1).alias("repeated"),
+        )
+    ).scalar()
     return (
-        fact.agg(
-            F.count("*").alias("fact_rows"), F.count_if(null_measure).alias("null_measure_rows")
+        per_fact.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("fact_rows"),
+            F.coalesce(F.sum("null_rows"), F.lit(0)).alias("null_measure_rows"),
+            F.count_if(F.col("n") > 1).alias("repeated_facts"),
         )
-        .withColumns(
-            {
-                "grid_rows": grids.agg(F.count("*")).scalar(),
-                "time_rows": times.agg(F.count("*")).scalar(),
-                "cells_out_of_range": grids.agg(
-                    F.count_if(~F.col("grid_id").between(MIN_CELL, MAX_CELL))
-                ).scalar(),
-                "repeated_grids": repeats(grids, ["grid_id"]),
-                "repeated_facts": repeats(fact, ["grid_key", "time_key"]),
-            }
+        .withColumn("_cells", cells)
+        .select(
+            "fact_rows",
+            "null_measure_rows",
+            F.col("_cells.rows").alias("grid_rows"),
+            times.agg(F.count("*")).scalar().alias("time_rows"),
+            F.col("_cells.outside").alias("cells_out_of_range"),
+            F.col("_cells.repeated").alias("repeated_grids"),
+            "repeated_facts",
         )
         .withColumn(
             "passed",
