@@ -30,8 +30,12 @@ def _history(df: DataFrame) -> DataFrame:
 
 
 def cadence_gaps(df: DataFrame, by: list[str] = ("grid_id",)) -> DataFrame:
-    """Each row beside the previous one of its group; a step other than one hour is a gap."""
-    previous = F.lag("timestamp").over(Window.partitionBy(*by).orderBy("timestamp"))
+    """Each row beside the previous one of its group; a step other than one hour is a gap.
+
+    Without ``by`` all rows are one group: for the distinct hours of a feed, which are as many as its history
+    is long.
+    """
+    previous = F.lag("timestamp").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("timestamp"))
     step = hours_between(F.col("timestamp"), F.col("previous_timestamp"))
     return (
         df.withColumn("previous_timestamp", previous)

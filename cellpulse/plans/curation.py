@@ -89,6 +89,20 @@ def store_activity(raw: DataFrame, output: str, delivered: list[str] | None = No
     return sorted(day for verdict, day in keys if verdict == "clean"), observed.get
 
 
+def _record(spark, output: str, now, gated: bool, tasks: dict, counts: DataFrame, hourly: DataFrame | None) -> None:
+    """The status of a gated run, as JSON below ``status``."""
+    if not gated:
+        return
+    moment = F.lit(now).cast("timestamp")
+    # A run done again at the same moment has left its verdicts twice.
+    verdicts = spark.read.parquet(f"{output}/ingestion_ledger").filter(F.col("processed_at") == moment).distinct()
+    if hourly is None:
+        hourly = spark.createDataFrame([], "timestamp timestamp")
+    blanks = sum(counts.select(*RAW_CHANNELS).first())
+    record = gate.status_record(verdicts, hourly, now, f"curation-{now:%Y-%m-%dT%H:%M:%S}", tasks, blanks)
+    gate.write_status(record, f"{output}/status")
+
+
 def curate(
     spark: SparkSession, pattern: str, output: str, reference=None, gated: bool = False, now=None
 ) -> dict:
@@ -122,6 +136,7 @@ def curate(
     counts = spark.createDataFrame([nulls])
     files.write_parquet(clean.null_report(counts, RAW_CHANNELS), paths["null_profile"])
     if not days:
+        _record(spark, output, now, gated, {"spark_process": "SUCCESS", "publish": "SKIPPED"}, counts, None)
         return paths | {"published": False}
 
     # Only the days of this batch are rolled up and checked, aside from what is published.
@@ -135,6 +150,7 @@ def curate(
             lambda rows: files.write_checked(rows, paths["hourly_grid_summary"]),
         )
         if not published:
+            _record(spark, output, now, gated, {"spark_process": "SUCCESS", "publish": "FAILED"}, counts, None)
             return paths | {"published": False}
         files.write_partitioned(rollup.daily_summary(batch), paths["daily_traffic_summary"])
     hourly = spark.read.parquet(paths["hourly_grid_summary"])
@@ -150,6 +166,7 @@ def curate(
         files.write_parquet(geo.geo_coverage(hourly, stored), paths["coverage"])
         top = geo.hotspots_geo(top, stored)
     files.write_parquet(top, paths["hotspots"])
+    _record(spark, output, now, gated, {"spark_process": "SUCCESS", "publish": "SUCCESS"}, counts, hourly)
     return paths | {"published": True}
 
 

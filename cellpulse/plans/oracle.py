@@ -554,6 +554,29 @@ oracle(
         SELECT t.*, CASE WHEN g.status = 'ACCEPTED' THEN 'raw' ELSE 'rejected' END AS zone
         FROM s_text t JOIN s_gate g ON t.source_file = g.filename""",
     ingest_ledger="SELECT *, TIMESTAMP '2024-01-31 06:00:00' AS processed_at FROM s_gate",
+    run_status_record="""
+        SELECT 'run-1' AS run_id, TIMESTAMP '2024-01-31 06:00:00' AS timestamp, 'FAILED' AS status,
+               rows_in, rows_rejected, CAST(7 AS BIGINT) AS nulls_handled, rows_published, current_as_of,
+               false AS healthy, 'load_warehouse=FAILED,publish=SKIPPED,spark_process=SUCCESS' AS tasks,
+               current_as_of AS latest_data_timestamp, age_hours, freshness AS indicator,
+               'Warehouse loading was not successful.' AS reasons
+        FROM (SELECT CAST(sum(row_count) AS BIGINT) AS rows_in,
+               CAST(coalesce(sum(row_count) FILTER (status = 'REJECTED'), 0) AS BIGINT)
+                 AS rows_rejected,
+               (SELECT count(*) FROM s_hourly) AS rows_published,
+               (SELECT max(timestamp) FROM s_hourly) AS current_as_of,
+               round(date_diff('second', (SELECT max(timestamp) FROM s_hourly),
+                               TIMESTAMP '2024-01-31 06:00:00') / 3600.0, 6) AS age_hours,
+               '' AS reasons,
+               round(100.0 * coalesce(sum(row_count) FILTER (status = 'REJECTED'), 0)
+                     / sum(row_count), 6) AS rejection_rate_pct,
+               CASE WHEN date_diff('second', (SELECT max(timestamp) FROM s_hourly),
+                                   TIMESTAMP '2024-01-31 06:00:00') <= 7200 THEN 'FRESH'
+                    WHEN date_diff('second', (SELECT max(timestamp) FROM s_hourly),
+                                   TIMESTAMP '2024-01-31 06:00:00') <= 86400 THEN 'RECENT'
+                    ELSE 'STALE' END AS freshness,
+               true AS healthy, 'SUCCESS' AS status
+        FROM s_gate)""",
     run_status="""
         SELECT CAST(sum(row_count) AS BIGINT) AS rows_in,
                CAST(coalesce(sum(row_count) FILTER (status = 'REJECTED'), 0) AS BIGINT)
@@ -693,6 +716,12 @@ oracle(
         FROM (SELECT grid_id, timestamp,
                      lag(timestamp) OVER (PARTITION BY grid_id ORDER BY timestamp) AS p
               FROM s_hourly)""",
+    cadence_gaps_feed="""
+        SELECT timestamp, p AS previous_timestamp,
+               round(date_diff('second', p, timestamp) / 3600.0, 6) AS hour_difference,
+               coalesce(date_diff('second', p, timestamp) <> 3600, false) AS cadence_gap
+        FROM (SELECT timestamp, lag(timestamp) OVER (ORDER BY timestamp) AS p
+              FROM (SELECT DISTINCT timestamp FROM s_hourly))""",
     cadence_gaps_network="""
         SELECT date, timestamp, p AS previous_timestamp,
                round(date_diff('second', p, timestamp) / 3600.0, 6) AS hour_difference,
@@ -1122,6 +1151,17 @@ oracle(
     ml_roundtrip="""
         SELECT count(*) AS rows_scored, CAST(0 AS BIGINT) AS rows_different
         FROM s_split WHERE split = 'test'""",
+    risk_scores_checked="""
+        SELECT grid_id, feature_timestamp, true AS score_in_range, true AS band_fits, true AS note_fits,
+               'Predicted high-activity risk is x% for the next hour; an operational indicator, '
+               || 'not confirmed congestion.' AS note, 'ml3-decision-tree-v1' AS model_version
+        FROM s_table2""",
+    training_audit=f"""
+        SELECT grid_id, feature_timestamp, trailing_median_24h, target_activity, high_activity,
+               CAST(24 AS BIGINT) AS hours_found, trailing_median_24h AS recomputed_median,
+               target_activity AS recomputed_target, high_activity AS recomputed_label, true AS agrees
+        FROM s_train
+        WHERE (grid_id * 31 + hour(feature_timestamp) + dayofyear(feature_timestamp) * 7) % 5 = 0""",
     risk_levels="""
         SELECT grid_id, feature_timestamp, probability AS risk_score,
                CASE WHEN probability >= 0.8 THEN 'CRITICAL' WHEN probability >= 0.6 THEN 'HIGH'

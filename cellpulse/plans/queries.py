@@ -198,11 +198,27 @@ def run_status(t):
     return status.withColumn("reasons", F.array_join("reasons", " "))
 
 
+@query
+def run_status_record(t):
+    """The record of a run whose load failed, its nested parts side by side."""
+    tasks = {"spark_process": "SUCCESS", "load_warehouse": "FAILED", "publish": "SKIPPED"}
+    record = gate.status_record(t.gate, t.hourly, NOW, "run-1", tasks, nulls_handled=7)
+    states = F.transform(F.map_entries("tasks"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return record.select(
+        *[c for c in record.columns if c not in ("tasks", "freshness", "reasons")],
+        F.array_join(F.array_sort(states), ",").alias("tasks"),
+        "freshness.latest_data_timestamp",
+        "freshness.age_hours",
+        "freshness.indicator",
+        F.array_join("reasons", " ").alias("reasons"),
+    )
+
+
 @query
 def sink_roundtrip(t):
-    path = scratch_dir(t.spark, "hourly")
-    files.write_partitioned(t.hourly, path)
-    return files.readback_checks(t.hourly, path)
+    hourly, path = materialise(t.hourly, "hourly"), scratch_dir(t.spark, "hourly")
+    files.write_partitioned(hourly, path)
+    return files.readback_checks(hourly, path)
 
 
 @query
@@ -361,11 +377,17 @@ def cadence_gaps(t):
 
 @query
 def cadence_gaps_network(t):
-    """The global variant: steps between distinct hours of the whole feed, per day file."""
+    """Steps between the distinct hours of each day file."""
     hours = t.hourly.select("date", "timestamp").distinct()
     return trailing.cadence_gaps(hours, by=["date"])
 
 
+@query
+def cadence_gaps_feed(t):
+    """Steps between the distinct hours of the whole feed, across midnight too."""
+    return trailing.cadence_gaps(t.hourly.select("timestamp").distinct(), by=[])
+
+
 @query
 def sequences(t):
     return trailing.sequences(t.hourly)
@@ -839,6 +861,41 @@ def ml_lr_coefficients(t):
     return sums.select(F.inline(rows)).join(F.broadcast(known), "feature")
 
 
+@query
+def ml_lr_coefficients_table(t):
+    """Coefficients as fitted, with their places by absolute size."""
+    train, _ = ml.prepare(t.training)
+    return ml.lr_coefficients(ml.fit_lr(train), t.spark)
+
+
+@query
+def ml_importance_table(t):
+    """Importances as fitted, their places and the share of the two strongest."""
+    train, _ = ml.prepare(t.training)
+    return ml.ml_importance(ml.fit_tree(train), t.spark)
+
+
+@query
+def ml_tune_table(t):
+    """All validation metrics of the grid."""
+    train, _ = ml.prepare(t.training)
+    return ml.tune_tree(train)
+
+
+@query
+def ml_predictions_table(t):
+    """Class and probability of both models beside each test row."""
+    train, test = ml.prepare(t.training)
+    return ml.ml_predictions({"logistic": ml.fit_lr(train), "tree": ml.fit_tree(train)}, test)
+
+
+@query
+def training_audit(t):
+    """Medians, targets and labels of every fifth key worked out again from the hours themselves."""
+    stored = materialise(t.hourly, "hourly")
+    return trailing.training_audit(stored, trailing.training_table(stored), 5)
+
+
 @query
 def ml_gbt(t):
     train, test = ml.prepare(t.training)
@@ -892,3 +949,25 @@ def ml_roundtrip(t):
 def risk_scores(t):
     train, _ = ml.prepare(t.training)
     return ml.risk_scores(ml.fit_tree(train), trailing.feature_table(t.hourly))
+
+
+@query
+def risk_scores_checked(t):
+    """Every column of the risk records but the score, which is a fit's, against the score."""
+    train, _ = ml.prepare(t.training)
+    scored = ml.risk_scores(ml.fit_tree(train), trailing.feature_table(t.hourly))
+    score = F.col("risk_score")
+    floor = F.when(F.col("risk_level") == "CRITICAL", 0.8).when(F.col("risk_level") == "HIGH", 0.6)
+    floor = floor.when(F.col("risk_level") == "MEDIUM", 0.3).otherwise(0.0)
+    top = F.when(F.col("risk_level") == "CRITICAL", 1.1).when(F.col("risk_level") == "HIGH", 0.8)
+    top = top.when(F.col("risk_level") == "MEDIUM", 0.6).otherwise(0.3)
+    told = F.regexp_extract("explanation_note", r"risk is ([0-9.]+)%", 1).cast("double")
+    return scored.select(
+        "grid_id",
+        "feature_timestamp",
+        score.between(0, 1).alias("score_in_range"),
+        ((score >= floor) & (score < top)).alias("band_fits"),
+        (F.abs(told - 100 * score) <= 0.05 + 1e-9).alias("note_fits"),
+        F.regexp_replace("explanation_note", r"[0-9.]+%", "x%").alias("note"),
+        "model_version",
+    )

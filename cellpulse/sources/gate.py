@@ -181,6 +181,39 @@ def append_ledger(gate: DataFrame, now, path: str) -> None:
     ingest_ledger(gate, now).write.mode("append").parquet(path)
 
 
+def status_record(
+    gate: DataFrame, hourly: DataFrame, now, run_id: str, tasks: dict[str, str], nulls_handled: int | None = None
+) -> DataFrame:
+    """``run_status`` as the record that is stored for one run, with the states of its tasks.
+
+    Columns: run_id, timestamp, status, tasks (map), rows_in, rows_rejected, nulls_handled, rows_published,
+    current_as_of, freshness (latest_data_timestamp, age_hours, indicator), healthy, reasons.
+    """
+    states = [F.lit(text) for pair in sorted(tasks.items()) for text in pair]
+    as_map = F.create_map(*states) if states else F.create_map().cast("map<string,string>")
+    return run_status(gate, hourly, now, tasks).select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(now).cast("timestamp").alias("timestamp"),
+        "status",
+        as_map.alias("tasks"),
+        "rows_in",
+        "rows_rejected",
+        F.lit(nulls_handled).cast("long").alias("nulls_handled"),
+        "rows_published",
+        "current_as_of",
+        F.struct(
+            F.col("current_as_of").alias("latest_data_timestamp"), "age_hours", F.col("freshness").alias("indicator")
+        ).alias("freshness"),
+        "healthy",
+        "reasons",
+    )
+
+
+def write_status(record: DataFrame, path: str) -> None:
+    """One JSON file with the newest record; nulls are written."""
+    record.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def run_status(gate: DataFrame, hourly: DataFrame, now, tasks: dict | None = None) -> DataFrame:
     """One row on the last run: rows in, rejected, published, freshness, health and reasons."""
     tasks = tasks or {}

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from conftest import at
+from pyspark.sql import functions as F
 
 from cellpulse.operators import checks, geo, star
 from cellpulse.plans import curation, warehouse
@@ -92,6 +93,32 @@ def test_curation_runs_twice_with_the_same_result(spark, landing, tmp_path):
     assert files.readback_checks(hourly, paths["hourly_grid_summary"]).first().passed
     dashboard = spark.read.option("header", True).csv(paths["dashboard"])
     assert dashboard.count() == 72
+    record = spark.read.json(f"{out}/status").collect()
+    assert len(record) == 1
+    assert (record[0].status, record[0].rows_in, record[0].rows_rejected, record[0].rows_published) == ("SUCCESS", 167, 95, 72)
+    assert record[0].tasks.asDict() == {"publish": "SUCCESS", "spark_process": "SUCCESS"}
+    assert record[0].freshness.indicator in ("FRESH", "RECENT", "STALE") and record[0].nulls_handled == 2
+
+
+def test_gate_reads_the_text_once_and_only_the_folders_asked_for(spark, landing, tmp_path):
+    """The staged gate gives the verdicts of the gate over three reads, and its rows the same rows."""
+    from cellpulse.session import scratch_table
+
+    extra = tmp_path / "sms-call-internet-mi-2013-11-09.csv"
+    day(tmp_path, "2013-11-09")
+    extra.write_text(extra.read_text() + HEADER + "\n")  # a second header is a row that cannot be read
+    with scratch_table(files.staged_lines(spark, landing), "lines", by=["_file"]) as staged:
+        verdicts = gate.staged_gate(staged)
+        plain = gate.ingest_gate(files.read_raw(spark, landing, text=True), files.file_headers(spark, landing))
+        columns = ["filename", "status", "row_count", "reason"]
+        assert sorted(map(tuple, verdicts.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+        with scratch_table(verdicts, "verdicts") as stored:
+            accepted, refused = gate.staged_route(staged, stored)
+            assert accepted.count() == 72 and refused.count() == 23 + 24 + 24 + 24 + 25
+            text = accepted._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(_file" in text and "dynamicpruning" in text
+            raw = files.read_raw(spark, landing, text=True).join(stored.filter("status = 'ACCEPTED'"), F.col("_source_file") == F.col("filename"))
+            assert accepted.exceptAll(raw.select(accepted.columns)).isEmpty()
 
 
 def test_redelivered_days_replace_themselves_only(spark, tmp_path):

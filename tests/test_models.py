@@ -80,6 +80,30 @@ def test_linear_model_and_table_of_both(spark, fitted):
     assert both.filter("prediction_logistic != prediction_tree").count() == 0
 
 
+def test_full_results_of_the_fits(spark, sf_dir):
+    """Coefficients, importances, grid and predictions as registered: what must hold of any fit."""
+    from cellpulse.plans.queries import REGISTRY
+
+    found = {name: REGISTRY[f"ml_{name}_table"](spark, sf_dir).collect() for name in ("lr_coefficients", "importance", "tune")}
+    for rows, size in ((found["lr_coefficients"], "absolute_coefficient"), (found["importance"], "importance")):
+        assert sorted(r.feature for r in rows) == sorted(MODEL_FEATURES)
+        in_order = sorted(rows, key=lambda r: r.place)
+        assert [r.place for r in in_order] == list(range(1, len(rows) + 1))
+        assert all(a[size] >= b[size] for a, b in zip(in_order, in_order[1:]))
+    importances = sorted((r.importance for r in found["importance"]), reverse=True)
+    assert sum(importances) == pytest.approx(1, abs=1e-5)
+    assert found["importance"][0].top_two_importance == pytest.approx(sum(importances[:2]), abs=1e-5)
+    assert {(r.max_depth, r.min_samples_leaf) for r in found["tune"]} == set(ml.TREE_GRID)
+    for r in found["tune"]:
+        assert 0 <= r.f1 <= 1 and 0 <= r.average_precision <= 1
+        if r.precision + r.recall > 0:
+            assert r.f1 == pytest.approx(2 * r.precision * r.recall / (r.precision + r.recall), abs=1e-5)
+    predicted = REGISTRY["ml_predictions_table"](spark, sf_dir)
+    for name in ("logistic", "tree"):
+        said, p = F.col(f"prediction_{name}"), F.col(f"probability_{name}")
+        assert predicted.filter(~p.between(0, 1) | (said != (p > 0.5).cast("int")) & (F.abs(p - 0.5) > 1e-6)).isEmpty()
+
+
 def test_tuning_is_sorted_by_f1(fitted):
     table = ml.tune_tree(fitted[0], [(1, 10), (2, 10)]).collect()
     assert len(table) == 2 and table[0].f1 >= table[1].f1

@@ -4,7 +4,12 @@ import re
 
 import pytest
 
-from cellpulse.operators import alerts, anomaly, features, geo, rollup, serve, star
+from pyspark.sql import functions as F
+
+from cellpulse.functions.asof import as_of_join
+from cellpulse.functions.quantiles import exact_quantiles
+from cellpulse.functions.unique import one_row_per
+from cellpulse.operators import alerts, anomaly, compare, features, geo, metrics, rollup, serve, star
 from cellpulse.plans.tables import Tables
 from cellpulse.sources import files
 
@@ -124,3 +129,104 @@ def test_growing_medians_hold_no_growing_list(stored):
         text = plan(frame)
         assert "Window" not in text and "Python" not in text
         assert text.count("Exchange hashpartitioning") == (1 if "Join" not in text else 2)
+
+
+def exchanges(text):
+    return len(re.findall(r"\b(?:Exchange|BroadcastExchange) ", text))
+
+
+@pytest.fixture(scope="module")
+def kept(spark, sf_dir, tmp_path_factory):
+    """Stored predictions, anomalies, alerts, features and history."""
+    t, path = Tables(spark, sf_dir), tmp_path_factory.mktemp("kept")
+    found = {}
+    for name in ("predictions", "anomalies", "alerts", "features", "medians", "hourly", "scored_training", "requests"):
+        getattr(t, name).write.parquet(f"{path}/{name}")
+        found[name] = spark.read.parquet(f"{path}/{name}")
+    return found
+
+
+def test_detectors_meet_in_one_exchange_each(kept):
+    text = plan(compare.detector_compare(kept["predictions"], kept["anomalies"], kept["alerts"]))
+    assert exchanges(text) <= 6 and text.count("FileScan") == 3
+
+
+def test_detectors_in_buckets_meet_without_an_exchange(spark, kept, tmp_path):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = [
+            files.write_bucketed(kept[name], f"bucketed_{name}", str(tmp_path / name), ["grid_id", "timestamp"], 4)
+            for name in ("predictions", "anomalies", "alerts")
+        ]
+        compared = compare.detector_compare(*stored)
+        assert exchanges(plan(compared)) == 0
+        plain = compare.detector_compare(kept["predictions"], kept["anomalies"], kept["alerts"])
+        assert compared.count() == plain.count() and compared.exceptAll(plain).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("predictions", "anomalies", "alerts"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
+
+
+def test_as_of_reads_the_history_once(kept):
+    found = as_of_join(kept["anomalies"].drop("reason"), kept["requests"], "timestamp")
+    text = plan(found)
+    assert exchanges(text) <= 5 and text.count("FileScan") == 2
+
+
+def test_models_are_compared_in_one_plan(kept):
+    scored = kept["scored_training"]
+    one = {"default": ("prediction", "probability")}
+    many = one | {f"at {cut}": (F.col("probability") >= cut, "probability") for cut in (0.2, 0.3, 0.4, 0.5)}
+    plans = [plan(metrics.compare_models(scored, models)) for models in (one, many)]
+    # Models of one score are ranked once, however many there are.
+    assert exchanges(plans[0]) == exchanges(plans[1]) and "Python" not in plans[1]
+
+
+def test_rows_before_a_row_need_no_whole_cell(kept):
+    text = plan(features.features(kept["hourly"], variant="pop"))
+    windows = re.findall(r"Window \[(.*?)\], \[(.*?)\]", text)
+    over_cells = [w for w, by in windows if re.fullmatch(r"grid_id#\d+", by)]
+    # Only the counts of the time blocks are put in order per cell.
+    assert len(windows) > 1 and all("count" in w for w in over_cells) and len(over_cells) == 1
+
+
+def test_quantiles_expand_no_rows(kept):
+    found = exact_quantiles(kept["features"], ["avg_activity", "peak_ratio", "variability"], [0.1, 0.5, 0.9])
+    text = plan(found)
+    assert "Expand" not in text
+    # What is unnested are the few values inside brackets and one row of counts.
+    assert all("_hits" in g or "struct" in g for g in re.findall(r"Generate inline\((.*?)\)", text))
+
+
+@pytest.mark.parametrize("name", ["profile", "hourly_checks", "network_summary"])
+def test_one_scan_for_all_facts(spark, sf_dir, kept, name):
+    from cellpulse.operators import checks
+
+    build = {
+        "profile": lambda: rollup.profile(Tables(spark, sf_dir).raw),
+        "hourly_checks": lambda: checks.hourly_checks(kept["hourly"]),
+        "network_summary": lambda: serve.network_summary(kept["hourly"], "2024-01-20 18:00:00"),
+    }
+    text = plan(build[name]())
+    assert text.count("FileScan") <= 2 and "Expand" not in text
+
+
+def test_keys_that_must_be_unique(spark, kept):
+    features_twice = kept["features"].unionByName(kept["features"].limit(1))
+    labels = Tables(spark, "/root/testdata/sf0.01").labels
+    with pytest.raises(Exception, match="features: more than one row with grid_id="):
+        features.ml_dataset(features_twice, labels).count()
+    with pytest.raises(Exception, match="anomalies: more than one row"):
+        twice = kept["anomalies"].unionByName(kept["anomalies"].filter("grid_id = 1"))
+        compare.detector_compare(kept["predictions"], twice, kept["alerts"]).collect()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        key = ["grid_id", "feature_timestamp"]
+        plain = exchanges(plan(kept["features"].join(kept["medians"], key)))
+        checked = exchanges(plan(one_row_per(kept["features"], key).join(one_row_per(kept["medians"], key), key)))
+        assert plain == checked == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
