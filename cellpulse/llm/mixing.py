@@ -224,15 +224,23 @@ def mix(
 
     ``most``: features kept at most. Returns the members (doc_id, n_tokens, posteriors; a written table), the classifier and the steps.
     """
-    if any(not math.isfinite(s) or s < 0 for s in shares.values()):
-        raise ValueError("shares must be finite and not negative")
-    names = list(shares)
+    names = _checked(shares)
     model = learn_domains(docs, labels, domain, names, sample, doc_id, text, most=most)
     members = with_features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     members = members.select("doc_id", F.col("_n_tokens").alias("n_tokens"), model.posteriors().alias("posteriors"))
     members = materialise(members, "members")
+    return members, model, _fitted(members, names, shares)
+
+
+def _checked(shares: dict[str, float]) -> list[str]:
+    if any(not math.isfinite(s) or s < 0 for s in shares.values()):
+        raise ValueError("shares must be finite and not negative")
+    return list(shares)
+
+
+def _fitted(members: DataFrame, names: list[str], shares: dict[str, float]) -> list[list[float]]:
     targets = [shares[n] * t for n, t in zip(names, expected_tokens(members, len(names)), strict=True)]
-    return members, model, fit_rates(members, np.array(targets))
+    return fit_rates(members, np.array(targets))
 
 
 def with_rates(docs: DataFrame, model: Domains, steps: list[list[float]], text: str = "text", name: str = "rate") -> DataFrame:
@@ -241,15 +249,38 @@ def with_rates(docs: DataFrame, model: Domains, steps: list[list[float]], text:
     return rows.withColumn(name, rate_of(F.col("_posteriors"), steps)).drop("_features", "_n_tokens", "_posteriors")
 
 
-def dealt(docs: DataFrame, model: Domains, steps: list[list[float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stand for the rates, with their columns.
+def whole_members(docs: DataFrame, model: Domains, text: str = "text") -> DataFrame:
+    """doc (all columns of a document), n_tokens, posteriors; a written table, so features are derived once."""
+    rows = with_features(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("_text")), "_text")
+    rows = rows.select("doc", F.col("_n_tokens").alias("n_tokens"), model.posteriors().alias("posteriors"))
+    return materialise(rows, "members")
+
+
+def deal(members: DataFrame, steps: list[list[float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents of ``whole_members`` that stand for the rates, with their columns.
 
     A document stays if a hash of its id and text, as a number in [0, 1), lies below its rate. So a rate
     under 1 is the chance that it stays and a domain keeps its total in expectation; one of 1 or more keeps
     the document once.
     """
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("dealt"), F.col(doc_id), F.col(text)), 11) / float(1 << 53)
-    return with_rates(docs, model, steps, text, "_rate").filter(chance < F.col("_rate")).select(docs.columns)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("dealt"), F.col("doc")[doc_id], F.col("doc")[text]), 11) / float(1 << 53)
+    return members.filter(chance < rate_of(F.col("posteriors"), steps)).select("doc.*")
+
+
+def dealt(docs: DataFrame, model: Domains, steps: list[list[float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``deal`` for a model and steps that are known."""
+    return deal(whole_members(docs, model, text), steps, doc_id, text)
+
+
+def mixed_rows(
+    docs: DataFrame, labels: DataFrame, domain: Column, shares: dict[str, float], doc_id: str = "doc_id", text: str = "text",
+    sample: int = 20_000, most: int = FEATURES,
+) -> DataFrame:
+    """``mix`` and ``deal`` in one: the documents that are kept so that each domain keeps its share."""
+    names = _checked(shares)
+    model = learn_domains(docs, labels, domain, names, sample, doc_id, text, most=most)
+    members = whole_members(docs, model, text)
+    return deal(members, _fitted(members, names, shares), doc_id, text)
 
 
 def label_domain() -> Column:
