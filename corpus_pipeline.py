@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.llm.decontaminate import clean_rows
 from cellpulse.llm.line_crf import fit_field, good_rows
-from cellpulse.llm.mixing import dealt, label_domain, mix
+from cellpulse.llm.mixing import label_domain, mixed_rows
 from cellpulse.llm.ngram_join import one_of_each
 from cellpulse.llm.wavelet import token_index
 from cellpulse.session import materialise
@@ -43,8 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every domain keeps its share of expected tokens: a rate under 1 is the chance that a document stays."""
-    _, model, steps = mix(docs, _labels(spark, sf_dir), label_domain(), SHARES)
-    return dealt(docs, model, steps)
+    return mixed_rows(docs, _labels(spark, sf_dir), label_domain(), SHARES)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
