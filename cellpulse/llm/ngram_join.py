@@ -38,11 +38,15 @@ from cellpulse.llm import words as W
 from cellpulse.llm.components import components
 from cellpulse.session import materialise
 
-SETS = "doc_id long, mark long, n_shingles long, n_unique long, node binary, first array<long>, second array<smallint>, third array<smallint>, scale int, cells array<tinyint>, tokens array<long>"
+SETS = "doc_id long, mark long, n_shingles long, n_unique long, node binary, first array<long>, second array<smallint>, third array<smallint>, scale int, cells array<tinyint>, stairs array<long>, over long, tokens array<long>"
 #: How many times more members are compared with the rest of their bucket in each further round.
 GROWTH = 16
 #: Cells in which a node's tokens are counted, for a bound on how many two nodes can share.
 CELLS = 128
+#: Members of one token that are dealt to one task together, about.
+SLICE = 500
+#: Columns that a member carries for the bounds.
+BOUNDS = ("n_shingles", "n_unique", "scale", "cells", "stairs", "over")
 
 
 def shingles(table: pa.Table, length: int):
@@ -59,13 +63,29 @@ def shingles(table: pa.Table, length: int):
         of_text.append(text[: len(window)][inside])
         key.append(W.mixed(window[inside]))
     of_text, key = np.concatenate(of_text), np.concatenate(key)
-    order = np.lexsort((key, of_text))
+    order = in_order(of_text, len(ids), key)
     of_text, key = of_text[order], key[order]
     new = np.ones(len(key), bool)
     new[1:] = (np.diff(of_text) != 0) | (np.diff(key) != 0)
     return ids, of_text[new], key[new]
 
 
+def in_order(text: np.ndarray, texts: int, key: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+    """The order by text, then rarity where given, then hash: one sort of one number per token.
+
+    The number holds the text, the rarity and what there is room for of the hash. Should two of them be
+    equal with different hashes, all is sorted by the three keys instead.
+    """
+    bits = max(1, int(texts - 1).bit_length()) + (0 if rare is None else 8)
+    packed = text.astype(np.uint64) if rare is None else (text.astype(np.uint64) << np.uint64(8)) | rare.astype(np.uint64)
+    packed = (packed << np.uint64(64 - bits)) | (key >> np.uint64(bits))
+    order = np.argsort(packed)
+    packed, hashes = packed[order], key[order]
+    if ((packed[1:] == packed[:-1]) & (hashes[1:] != hashes[:-1])).any():
+        return np.lexsort((key, text) if rare is None else (key, rare, text))
+    return order
+
+
 def _count(codes, count, vals):
     """Number of documents with the token, coarser from 16 on, in one byte."""
     total = np.bincount(codes, weights=vals, minlength=count)
@@ -84,8 +104,8 @@ def _documents(table, right, length, percent, width):
     rank = np.arange(len(text)) - edge[text]
     other = W.mixed(key ^ np.uint64(0x5851F42D4C957F2D))
     kept = []
-    for keys in ((key, rare, text), (other, rare, text), (W.mixed(other), text)):
-        order = np.lexsort(keys)
+    for hashes, by_rarity in ((key, rare), (other, rare), (W.mixed(other), None)):
+        order = in_order(text, len(ids), hashes, by_rarity)
         mine = order[rank < prefix[text]]
         kept.append(mine[rare[mine] > 1])
     met = np.ones(len(ids), bool)
@@ -106,6 +126,10 @@ def _documents(table, right, length, percent, width):
     small = (key >> np.uint64(48)).astype(np.uint16).view(np.int16)
     count = np.bincount(text * CELLS + (key >> np.uint64(57)).astype(np.int64), minlength=len(ids) * CELLS)
     count = count.reshape(-1, CELLS)
+    # Counts up to 8 as stairs, one bit a step: two stairs have in common what the lower one has.
+    stairs = np.packbits(np.arange(8) < count[met][:, :, None], axis=2).reshape(-1, CELLS).view(np.int64)
+    stair_edge = np.concatenate([[0], np.cumsum(met * (CELLS // 8))])
+    over = np.maximum(count - 8, 0).sum(1)
     # One byte a cell: counts are divided by the text's own scale and rounded up, so the bound still holds.
     scale = np.maximum(1, -(-count.max(1, initial=0) // 127))
     count = (-(-count // scale[:, None]))[met].ravel().astype(np.int8)
@@ -122,6 +146,8 @@ def _documents(table, right, length, percent, width):
             "third": lists(kept[2], small, pa.int16()),
             "scale": pa.array(scale, pa.int32()),
             "cells": pa.ListArray.from_arrays(pa.array(cell_edge, pa.int32()), pa.array(count), mask=pa.array(~met)),
+            "stairs": pa.ListArray.from_arrays(pa.array(stair_edge, pa.int32()), pa.array(stairs.ravel()), mask=pa.array(~met)),
+            "over": pa.array(over, pa.int64()),
             "tokens": lists(np.flatnonzero(rare > 1), key.view(np.int64), pa.int64()),
         }
     )
@@ -152,11 +178,16 @@ def document_sets(docs: DataFrame, length: int, percent: int, doc_id: str, text:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) that pass the further prefix filters and then the comparison of whole sets."""
-    side = lambda s: sets.select(
-        F.col("rep").alias(s), F.struct("n_shingles", "second", "third", "tokens").alias(f"{s}_set")
-    )
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def beside(df, *columns):
+        for s in ("a", "b"):
+            df = df.join(sets.select(F.col("rep").alias(s), F.struct(*columns).alias(f"{s}_set")), s)
+        return df
+
+    # The short lists decide on most pairs, so whole sets travel for the rest only.
+    both = beside(pairs, "second", "third")
     both = both.filter(F.arrays_overlap("a_set.second", "b_set.second") & F.arrays_overlap("a_set.third", "b_set.third"))
+    both = beside(both.select("a", "b"), "n_shingles", "tokens")
     same = F.size(F.array_intersect("a_set.tokens", "b_set.tokens"))
     either = F.col("a_set.n_shingles") + F.col("b_set.n_shingles") - same
     return both.filter(100 * same >= percent * either).select("a", "b")
@@ -171,25 +202,37 @@ def _possible(percent: int):
         "cells", "h_cells", lambda a, b: F.least(a.cast("int") * F.col("scale"), b.cast("int") * F.col("h_scale"))
     )
     by_cell = F.aggregate(least, F.lit(0), lambda t, c: t + c)
-    return enough(of_all) & enough(by_cell)
+    # Two cells have in common at most what their stairs have, and of what is above these no more than either has.
+    steps = [F.bit_count(F.get("stairs", F.lit(k)).bitwiseAND(F.get("h_stairs", F.lit(k)))) for k in range(CELLS // 8)]
+    by_stairs = sum(steps[1:], steps[0]) + F.least("over", "h_over")
+    # The cheap ones first.
+    return enough(of_all) & enough(by_stairs) & enough(by_cell)
 
 
 def link_components(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, label) for every node with a link; ``sets``: rep and the columns of ``SETS``, one row a node."""
-    members = sets.select("rep", "n_shingles", "n_unique", "scale", "cells", F.explode("first").alias("token"))
-    shared = members.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    left = materialise(members.join(shared.select("token"), "token").withColumn("label", F.col("rep")), "members")
+    members = sets.select("rep", *BOUNDS, F.explode("first").alias("token"))
+    shared = members.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    # A token of very many members is dealt to several tasks, and its hubs to all of these.
+    slices = F.ceil(F.col("n") / SLICE).cast("int").alias("slices")
+    shared = shared.filter("lo < hi").select("token", slices)
+    left = members.join(shared, "token").withColumn("label", F.col("rep"))
+    left = materialise(left.withColumn("slice", F.pmod(F.xxhash64("rep"), "slices")), "members")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links, labels = None, None
     hubs = 1
     while not left.isEmpty():
         part = F.pmod(F.xxhash64("rep", "token"), F.lit(hubs))
         own = F.col("n_unique") / F.col("n_shingles")
-        least = F.min(F.struct(own.alias("own"), "rep", "n_shingles", "n_unique", "label", "scale", "cells")).alias("hub")
+        least = F.min(F.struct(own.alias("own"), "rep", "slices", "label", *BOUNDS)).alias("hub")
         hub = materialise(left.groupBy("token", part.alias("part")).agg(least).select("token", "hub.*"), "hubs")
-        h = hub.select("token", *(F.col(c).alias(f"h_{c}") for c in ("rep", "n_shingles", "n_unique", "label", "scale", "cells")))
-        met = left.join(
+        h = hub.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        h = h.select("token", "slice", *(F.col(c).alias(f"h_{c}") for c in ("rep", "label", *BOUNDS)))
+        # By number of rows, not of bytes: the work is in the pairs.
+        met = left.repartition(tasks, "token", "slice").join(
             h,
             (left["token"] == h["token"])
+            & (left["slice"] == h["slice"])
             & (F.col("rep") != F.col("h_rep"))
             & (F.col("label") != F.col("h_label"))
             & _possible(percent),
