@@ -43,31 +43,53 @@ SETS = "doc_id long, mark long, n_shingles long, n_unique long, node binary, fir
 GROWTH = 16
 #: Cells in which a node's tokens are counted, for a bound on how many two nodes can share.
 CELLS = 128
+#: Bytes of text, and shingles, that a block is worked on at a time.
+PIECE_BYTES, PIECE_TOKENS = 4 << 20, 1 << 19
 #: Members of one token that are dealt to one task together, about.
 SLICE = 500
 #: Columns that a member carries for the bounds.
 BOUNDS = ("n_shingles", "n_unique", "scale", "cells", "stairs", "over")
 
 
+def stretches(edge: np.ndarray, most: int):
+    """(lo, hi) of texts that lie one behind the other and together have at most ``most`` places, or one longer text."""
+    lo = 0
+    while lo < len(edge) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def shingles(table: pa.Table, length: int):
-    """Ids with marks, and per document the distinct shingle hashes: (ids, text number, hash), by text then hash."""
+    """Ids with marks, and per document the distinct shingle hashes: (ids, text number, hash), by text then hash.
+
+    A block is taken some MB at a time, which bounds the memory beside its hashes.
+    """
     ids, data, at = B.unpack(table)
-    ids = ids.reshape(-1, 2)
+    of_text, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, hi in stretches(at, PIECE_BYTES):
+        found = _shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], length)
+        of_text.append(found[0] + lo)
+        key.append(found[1])
+    return ids.reshape(-1, 2), np.concatenate(of_text), np.concatenate(key)
+
+
+def _shingles(data: np.ndarray, at: np.ndarray, length: int):
     start, end, text = W.find_words(data, at, W.separators(W.SPACES))
     hashes = W.hash_pieces(data, start, end, W.hash_table(lower=True))
     of_text, key = [], []
-    size = np.bincount(text, minlength=len(ids))
+    size = np.bincount(text, minlength=len(at) - 1)
     for n in range(1, length + 1):  # shorter ones for texts that are one short shingle
         window, inside = W.windows(hashes, text, n, seed=100 + n)
         inside &= (size[text[: len(window)]] == n) | (n == length)
         of_text.append(text[: len(window)][inside])
         key.append(W.mixed(window[inside]))
     of_text, key = np.concatenate(of_text), np.concatenate(key)
-    order = in_order(of_text, len(ids), key)
+    order = in_order(of_text, len(at) - 1, key)
     of_text, key = of_text[order], key[order]
     new = np.ones(len(key), bool)
     new[1:] = (np.diff(of_text) != 0) | (np.diff(key) != 0)
-    return ids, of_text[new], key[new]
+    return of_text[new], key[new]
 
 
 def in_order(text: np.ndarray, texts: int, key: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
@@ -77,11 +99,17 @@ def in_order(text: np.ndarray, texts: int, key: np.ndarray, rare: np.ndarray | N
     equal with different hashes, all is sorted by the three keys instead.
     """
     bits = max(1, int(texts - 1).bit_length()) + (0 if rare is None else 8)
-    packed = text.astype(np.uint64) if rare is None else (text.astype(np.uint64) << np.uint64(8)) | rare.astype(np.uint64)
-    packed = (packed << np.uint64(64 - bits)) | (key >> np.uint64(bits))
+    packed = text.astype(np.uint64)
+    if rare is not None:
+        packed <<= np.uint64(8)
+        packed |= rare
+    packed <<= np.uint64(64 - bits)
+    packed |= key >> np.uint64(bits)
     order = np.argsort(packed)
-    packed, hashes = packed[order], key[order]
-    if ((packed[1:] == packed[:-1]) & (hashes[1:] != hashes[:-1])).any():
+    packed = packed[order]
+    same = np.flatnonzero(packed[1:] == packed[:-1])
+    del packed
+    if (key[order[same]] != key[order[same + 1]]).any():
         return np.lexsort((key, text) if rare is None else (key, rare, text))
     return order
 
@@ -96,18 +124,27 @@ def _count(codes, count, vals):
 def _documents(table, right, length, percent, width):
     """Rows of ``SETS`` for one block."""
     ids, text, key = shingles(table, length)
-    short, code = B.distinct(key >> np.uint64(64 - width))
-    rare = B.answers(right, 1, np.uint8)[code] if len(key) else np.zeros(0, np.uint8)
+    # Answers come in the order of the distinct shortened hashes; sorting needs less room than a hash table.
+    order = np.argsort(key >> np.uint64(64 - width))
+    short = key[order] >> np.uint64(64 - width)
+    rare = np.zeros(len(key), np.uint8)
+    if len(key):
+        rare[order] = B.answers(right, 1, np.uint8)[np.cumsum(np.append(0, short[1:] != short[:-1]))]
+    del order, short
     edge = np.searchsorted(text, np.arange(len(ids) + 1))
     size = np.diff(edge)
     prefix = size - -(-percent * size // 100) + 1
-    rank = np.arange(len(text)) - edge[text]
-    other = W.mixed(key ^ np.uint64(0x5851F42D4C957F2D))
-    kept = []
-    for hashes, by_rarity in ((key, rare), (other, rare), (W.mixed(other), None)):
-        order = in_order(text, len(ids), hashes, by_rarity)
-        mine = order[rank < prefix[text]]
-        kept.append(mine[rare[mine] > 1])
+    kept: list[list] = [[], [], []]
+    for lo, hi in stretches(edge, PIECE_TOKENS):
+        here = slice(edge[lo], edge[hi])
+        hashes, seldom, mine = key[here], rare[here], text[here] - lo
+        rank = np.arange(len(mine)) - (edge[lo:hi] - edge[lo])[mine]
+        other = W.mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
+        orders = ((hashes, seldom), (other, seldom), (W.mixed(other), None))
+        for found, (by, rarity) in zip(kept, orders, strict=True):
+            first = in_order(mine, hi - lo, by, rarity)[rank < prefix[lo:hi][mine]]
+            found.append(first[seldom[first] > 1] + edge[lo])
+    kept = [np.concatenate([np.zeros(0, np.int64), *found]) for found in kept]
     met = np.ones(len(ids), bool)
     for mine in kept:
         met &= np.bincount(text[mine], minlength=len(ids)) > 0
@@ -166,11 +203,16 @@ def document_sets(docs: DataFrame, length: int, percent: int, doc_id: str, text:
 
     def ask(key, table):
         _, _, hashes = shingles(table, length)
-        found, code = B.distinct(hashes >> np.uint64(64 - width))
-        return B.ask(key[0].as_py(), 1, found, np.bincount(code, minlength=len(found)).astype(np.uint32), bits, width)
+        found, count = np.unique(hashes >> np.uint64(64 - width), return_counts=True)
+        asked = B.ask(key[0].as_py(), 1, found, count.astype(np.uint32), bits, width)
+        del hashes, found, count
+        W.release()
+        return asked
 
     def build(key, table, right):
-        return _documents(table, right, length, percent, width)
+        rows = _documents(table, right, length, percent, width)
+        W.release()
+        return rows
 
     counted = B.settle(packed.groupBy("block").applyInArrow(ask, B.REQUEST), _count, np.uint32).filter("block >= 0")
     return packed.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(build, SETS)
