@@ -12,7 +12,8 @@ lengths. One scan of the texts writes what was found; all joins work on that sma
 join meets on (document, bin of ``reach`` characters), so a document with thousands of parts
 costs what its close pairs cost.
 
-Edge cases: null and empty texts have no spans; overlapping spans of different kinds are all reported;
+Edge cases: null and empty texts have no spans; texts of any length are scanned whole, in time linear in their
+length whatever they hold; overlapping spans of different kinds are all reported;
 repeated rows are scanned each for itself; an empty table gives no rows; further columns are ignored.
 """
 
@@ -32,7 +33,8 @@ LEAST_ASSIGNED = 6
 WEAK = {
     "login": r"(?i:user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{2,})",
     "secret": r"(?<![A-Za-z0-9+/])((?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,})",
-    "endpoint": r"([a-z][a-z0-9+.-]*://[^\x20\x09-\x0D\"'<>]+)",
+    # A run of scheme characters is taken once, from its beginning; the scheme starts at its first letter.
+    "endpoint": r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D\"'<>]+)",
 }
 KINDS = [*STRONG, *WEAK]
 IDENTIFIERS, SECRETS = ("access", "login"), ("assign", "hex", "secret")
@@ -98,7 +100,9 @@ def find_secrets(docs: DataFrame, reach: int = 200, doc_id: str = "doc_id", text
     parts = parts.select("uid", "at", "part.*")
     so_far = Window.partitionBy("uid", "kind").orderBy("at")
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(so_far)
-    spans = parts.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    # An endpoint is its group; what stands before it in the match are digits and signs of the same run.
+    size = F.when(F.col("kind") == "endpoint", F.col("group")).otherwise(F.col("size"))
+    spans = parts.withColumn("end", end).withColumn("start", F.col("end") - size)
     spans = spans.filter((F.col("kind") != "assign") | (F.col("group") >= LEAST_ASSIGNED))
     spans = materialise(spans.select("uid", "kind", "start", "end"), "spans")
 
