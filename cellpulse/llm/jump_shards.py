@@ -56,18 +56,19 @@ def slots(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
     """Adds ``slot``: a gapless number from 0 within each shard.
 
     A shard is numbered in ``CELLS`` parts: the parts are counted, their counts added up, and rows
-    ranked inside their part only, so no task holds a shard. ``order`` must settle all but equal rows.
+    ranked inside their part only, so no task holds a shard. ``order`` must settle all but equal rows;
+    columns named like the temporary ones (``_cell``, ``_rank``, ``_before``) are refused.
     """
+    if clash := {"_cell", "_rank", "_before"} & set(rows.columns):
+        raise ValueError(f"columns {sorted(clash)} would be lost")
     rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(CELLS)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards * CELLS rows.
+    # At most shards * CELLS rows. Rows are dealt by shard and cell to be ranked, and meet them there.
     offsets = (
         rows.groupBy("shard", "_cell")
         .count()
         .select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     )
-    if shards * CELLS <= 100_000:
-        offsets = F.broadcast(offsets)
     inside = Window.partitionBy("shard", "_cell").orderBy(*order)
     return (
         rows.withColumn("_rank", F.row_number().over(inside) - 1)
@@ -86,7 +87,7 @@ def shard_index(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str
         F.crc32(data).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    # Only the id decides on the shard, so the counts of the cells read no text.
-    return slots(shard_rows(slim, shards), ["doc_id"], shards).select(
+    # Rows without an id, or of one id, are told apart by their texts: cells and order are the same in every run.
+    return slots(shard_rows(slim, shards), ["doc_id", "text_crc32", "size"], shards).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
