@@ -6,9 +6,9 @@ neighbouring lines' states pull on each other. Forward-backward gives each line'
 good; their mean, weighted by the lines' lengths, is the document's quality.
 
 The field is fitted on labelled documents, every line taking its document's label, by gradient ascent
-on the conditional likelihood. The fit sees at most ``sample`` labelled documents (those whose ids hash
-lowest) and of each at most ``CHAINS`` chains of ``CHAIN`` lines, evenly spread; it runs on the driver
-on that bounded table of numbers. Scoring covers whole texts of all documents, row by row, without a
+on the conditional likelihood. The fit sees a bounded sample of labelled lines: of at most ``sample``
+labelled documents (those whose ids hash lowest) at most ``chains`` chains of ``chain`` lines each, evenly
+spread over the document; it runs on the driver on that table of numbers. Scoring covers whole texts of all documents, row by row, without a
 shuffle.
 
 Edge cases: null and empty texts are one empty line and get its probability; null labels and labels of
@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType
 
 from cellpulse.llm import words as W
 
+#: Lines of a chain and chains of a labelled document that teach, unless the caller sets other bounds.
 CHAIN, CHAINS = 64, 4
 TEXT_BYTES = 1 << 20
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:'\"-()?", b"!", b"|", b"#$%&*+<=>@\\^_`~/[]{}")
@@ -171,16 +172,16 @@ def _sigmoid(x):
 TABLE = f"label double, chain_id string, place int, {', '.join(f'f{k} float' for k in range(FEATURES))}"
 
 
-def _training_lines(batches):
+def _training_lines(batches, chains: int, chain: int):
     """Feature rows of labelled texts, in chains."""
     for batch in batches:
         for piece in W.slices(batch, 1, TEXT_BYTES):
             data, at = W.flat(piece.column(1))
             rows, _, text = features(data, at)
             place = np.arange(len(text)) - np.searchsorted(text, text)
-            count = np.bincount(text)[text] // CHAIN + 1
-            part = place // CHAIN
-            use = part % np.maximum(1, -(-count // CHAINS)) == 0
+            count = np.bincount(text)[text] // chain + 1
+            part = place // chain
+            use = part % np.maximum(1, -(-count // chains)) == 0
             ids, labels = piece.column(0).to_pylist(), piece.column(2).to_numpy(zero_copy_only=False)
             out = {
                 "label": pa.array(labels[text[use]], pa.float64()),
@@ -191,23 +192,27 @@ def _training_lines(batches):
 
 
 def fit_field(
-    docs: DataFrame, labels: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
+    chains: int = CHAINS, chain: int = CHAIN,
 ) -> Field:
-    """Fits on at most ``sample`` of the labels (id, 0 or 1), those whose ids hash lowest."""
+    """Fits on at most ``sample`` of the labels (id, 0 or 1), those whose ids hash lowest, and of each text on
+    at most ``chains`` chains of ``chain`` lines."""
     chosen = (
         labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_label"))
         .filter("_id is not null and _label is not null")
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(sample)
     )
-    # At most ``sample`` rows of two numbers.
-    taught = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select(F.col("_id"), docs[text], "_label")
-    table = taught.mapInArrow(_training_lines, TABLE).toPandas().sort_values(["chain_id", "place"])
+    # Only the two columns in question, so further ones may have any names. At most ``sample`` labels.
+    own = docs.select(F.col(doc_id).alias("_own"), F.col(text).alias("_text"))
+    taught = own.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).select("_id", "_text", "_label")
+    lines = taught.mapInArrow(lambda batches: _training_lines(batches, chains, chain), TABLE)
+    table = lines.toPandas().sort_values(["chain_id", "place"])
     if table.empty:
         return Field()
-    chain = pd.factorize(table["chain_id"])[0]
+    of_chain = pd.factorize(table["chain_id"])[0]
     rows = table[[f"f{k}" for k in range(FEATURES)]].to_numpy(np.float64)
-    return Field().fit(rows, table["label"].to_numpy(), chain)
+    return Field().fit(rows, table["label"].to_numpy(), of_chain)
 
 
 def _batch_quality(field: Field, batch, place: int) -> np.ndarray:

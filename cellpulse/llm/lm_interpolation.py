@@ -78,7 +78,10 @@ def _ask(table, block, bits, folds, held_out):
 
 
 def _total(codes, count, vals):
-    return np.bincount(codes, weights=vals, minlength=count)[codes].astype(np.uint32)
+    total = np.bincount(codes, weights=vals, minlength=count)
+    if total.max(initial=0) > np.iinfo(np.uint32).max:
+        raise OverflowError("a token's total does not fit in 32 bits")
+    return total[codes].astype(np.uint32)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,6 +53,28 @@ def jump(key, shards):
     return at
 
 
+def shards(rows, count=8, cells=1024):
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row (id, text)."""
+
+    def hashed(*values):
+        seed = 42
+        for v in values:
+            seed = seed if v is None else xxhash.xxh64(int(v).to_bytes(8, "little", signed=True), seed=seed).intdigest()
+        return seed
+
+    slim = []
+    for d, t in rows:
+        data = (t or "").encode()
+        crc32, size = zlib.crc32(data), len(data) + 1
+        cell = (hashed(d, crc32, size) + 2**63) % 2**64 - 2**63
+        slim.append((jump(hashed(d), count), cell % cells, d is not None, d or 0, crc32, size, jump(hashed(d), count + 1)))
+    out, at = [], Counter()
+    for shard, _, known, d, crc32, size, grown in sorted(slim):
+        out.append((d if known else None, size, crc32, "key", shard, at[shard], grown))
+        at[shard] += 1
+    return out
+
+
 def cut_repeats(rows, length=13):
     texts = [(d, words(t)) for d, t in sorted(rows, key=lambda r: r[0])]
     first = {}
