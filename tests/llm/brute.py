@@ -230,3 +230,33 @@ def ranks(rows, items, k=10):
         for rank, (score, none, d) in enumerate(sorted(found)[:k], 1):
             out.append((item, rank, None if none else d, -score))
     return out
+
+
+WEAK = {
+    "login": re.compile(r"""(?:user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{2,})""", re.I | re.A),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}"),
+    "endpoint": re.compile(r"""(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D"'<>]+)"""),
+}
+RANK = ["assign", "access", "hex", *WEAK]
+
+
+def linked_spans(text, reach=200):
+    """All spans: strong ones, and weak ones of pairs, found by looking at every pair."""
+    strong = [(s, kind, e) for s, _, kind, e in strong_spans(text)]
+    weak = []
+    for kind, pattern in WEAK.items():
+        weak += [(m.start(1) if kind == "endpoint" else m.start(), kind, m.end()) for m in pattern.finditer(text or "")]
+
+    def near(a, b):
+        apart = a[2] <= b[0] or b[2] <= a[0]
+        return apart and a[0] - b[2] <= reach and b[0] - a[2] <= reach
+
+    every = strong + weak
+    members = set()
+    for a in every:
+        for b in every:
+            if a[1] in ("access", "login") and b[1] in ("assign", "hex", "secret") and near(a, b):
+                members |= {a, b}
+    members |= {e for e in every if e[1] == "endpoint" and any(near(m, e) for m in members)}
+    found = strong + [m for m in members if m[1] in WEAK]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted((s, RANK.index(k), k, e) for s, k, e in found))
