@@ -253,7 +253,7 @@ def whole_members(docs: DataFrame, model: Domains, text: str = "text") -> DataFr
     """doc (all columns of a document), n_tokens, posteriors; a written table, so features are derived once."""
     rows = with_features(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("_text")), "_text")
     rows = rows.select("doc", F.col("_n_tokens").alias("n_tokens"), model.posteriors().alias("posteriors"))
-    return materialise(rows, "members")
+    return materialise(rows, "members", compression="zstd")
 
 
 def deal(members: DataFrame, steps: list[list[float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
