@@ -257,3 +257,13 @@ def test_rates_that_cannot_meet_their_targets_say_so(spark):
     members = spark.createDataFrame([(100, [1.0, 0.0])], "n_tokens long, posteriors array<double>")
     with pytest.warns(UserWarning, match="miss"):
         mixing.fit_rates(members, np.array([50.0, 10.0]), rounds=3)
+
+
+def test_dealt_documents_keep_columns_of_any_name(spark):
+    names = ["_features", "_n_tokens", "_plain", "_words", "_hashes", "_posteriors", "_text", "_rate", "doc", "rate", "posteriors"]
+    docs = spark.createDataFrame([(i, f"word{i % 3} and more") for i in range(40)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text", *[F.lit(k).alias(name) for k, name in enumerate(names)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = mixing.mixed_rows(docs, labels, mixing.label_domain(), {"good": 1.0, "poor": 1.0})
+    assert kept.columns == docs.columns and kept.count() <= 40
+    assert kept.exceptAll(docs).isEmpty()
