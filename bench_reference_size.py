@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
 COPIES = 151
+GEO_ROWS = 1_680_000
 
 
 def main():
@@ -22,7 +23,7 @@ def main():
 
     from cellpulse.operators import alerts, anomaly, features, geo, ml
     from cellpulse.plans.curation import curate
-    from cellpulse.session import build_session, scratch_dir
+    from cellpulse.session import build_session, materialise, scratch_dir
     from cellpulse.sources import files, geojson
     from cellpulse.sources.events import raw_activity
 
@@ -62,10 +63,17 @@ def main():
     geojson.cell_lookup(geojson.square_documents(cells)).write.parquet(lookup_path)
     lookup = spark.read.parquet(lookup_path)
     timed("geo_join", lambda: run(geo.geo_enrich(hourly, lookup)))
+    # As many rows as the recorded join had, counted as it was.
+    part = materialise(hourly.limit(GEO_ROWS), "part")
+    timed("geo_join_counted", lambda: geo.geo_enrich(part, lookup).count())
     timed("alerts", lambda: run(alerts.alerts(hourly)))
     timed("trailing_median", lambda: run(features.trailing_median(hourly)))
     timed("features", lambda: run(features.features(hourly)))
     timed("expanding_baseline", lambda: run(anomaly.anomalies(hourly)))
+    last = hourly.agg(F.max("date")).first()[0]
+    state = timed("baseline_state", lambda: materialise(anomaly.order_state(hourly.filter(F.col("date") < last)), "state"))
+    new = hourly.filter(F.col("date") == last)
+    timed("baseline_of_a_new_day", lambda: run(anomaly.anomalies_increment(state, new)))
     train, _ = timed("training_rows", lambda: ml.prepare(features.training_table(hourly)))
     timed("tree_fit", lambda: ml.fit_tree(train))
     print(
