@@ -30,29 +30,25 @@ from pyspark.sql import functions as F
 
 from cellpulse.session import materialise
 
-#: Kept features at most, unless the caller sets another bound; slots at least of the table that finds them by hash.
-FEATURES, SLOTS = 1 << 13, 1 << 16
-SPACES = " \t\n\x0b\x0c\r"
+#: Kept features at most, unless the caller sets another bound; slots at first of the table that finds them by
+#: hash, fewer if there are that many times fewer features.
+FEATURES, SLOTS, ROOM = 1 << 13, 1 << 16, 4
 
 
 def with_features(docs: DataFrame, text: str) -> DataFrame:
     """Adds ``_n_tokens`` and ``_features``, the distinct hashes of a text's features."""
     # What later steps use twice gets a column of its own, so that it is worked out once.
-    docs = docs.withColumn("_plain", F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACES)))
-    words = F.when(F.col("_plain") == "", F.array().cast("array<string>")).otherwise(F.split("_plain", r"[ \t-\r]+"))
-    docs = docs.withColumn("_words", words)
-    docs = docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    again = F.lit(1).cast("long")  # a word that the next one repeats
-    docs = docs.withColumn(
-        "_hashes",
-        F.zip_with("_hashes", F.slice("_hashes", 2, F.size("_hashes")), lambda a, b: F.when(a == b, again).otherwise(a)),
-    )
-    ends = F.transform("_words", lambda w: F.xxhash64(F.lit("end"), F.right(w, F.lit(2))))
-    mostly = F.when(F.size(F.filter("_hashes", lambda h: h == again)) * 4 > F.size("_words"), F.array(again + 1))
-    none = F.array().cast("array<long>")
-    distinct = F.concat(F.array_distinct("_hashes"), F.array_distinct(ends), F.coalesce(mostly, none))
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t-\r]+")
+    docs = docs.withColumn("_words", F.array_remove(words, ""))  # white space at either end leaves an empty one
     docs = docs.withColumn("_n_tokens", F.size("_words").cast("long"))
-    return docs.withColumn("_features", distinct).drop("_plain", "_words", "_hashes")
+    docs = docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    docs = docs.withColumn("_features", F.transform("_words", lambda w: F.xxhash64(F.lit("end"), F.right(w, F.lit(2)))))
+    again, none = F.lit(1).cast("long"), F.array().cast("array<long>")  # ``again``: some word is repeated by the next
+    repeated = F.size(F.filter("_hashes", lambda h, i: h == F.get("_hashes", i + 1)))
+    mostly = lambda n: F.when(n * 4 > F.col("_n_tokens"), F.array(again, again + 1)).when(n > 0, F.array(again)).otherwise(none)
+    repeats = F.get(F.transform(F.array(repeated), mostly), F.lit(0))
+    distinct = F.concat(F.array_distinct("_hashes"), F.array_distinct("_features"), repeats)
+    return docs.withColumn("_features", distinct).drop("_words", "_hashes")
 
 
 class Domains:
@@ -66,7 +62,10 @@ class Domains:
         self.names, self.prior, self.typical = names, prior, max(1.0, typical)
         self.absent = np.zeros(len(names))
         # Each feature has two slots to choose from (cuckoo hashing), so none is left out.
+        # Every task reads the table, so it is no larger than it must be.
         size = SLOTS
+        while size >= 2 * ROOM * max(1, len(features)):
+            size //= 2
         while (taken := self._placed(features, size)) is None:
             size *= 2
         self.slots, self.table = np.zeros(size, np.int64), np.zeros((len(names), size))
@@ -100,21 +99,26 @@ class Domains:
 
     def posteriors(self) -> Column:
         """Array of the domains' probabilities."""
-        slots, size = self._array(self.slots, "long"), F.lit(len(self.slots))
-        one = lambda f: F.pmod(f, size).cast("int")
-        two = lambda f: F.pmod(F.shiftrightunsigned(f, 32), size).cast("int")
+        # The number of slots is a power of two, so the low bits are the remainder.
+        slots, low = self._array(self.slots, "long"), F.lit(len(self.slots) - 1).cast("long")
+        one = lambda f: f.bitwiseAND(low).cast("int")
+        two = lambda f: F.shiftrightunsigned(f, 32).bitwiseAND(low).cast("int")
         found = lambda f, slot: F.get(slots, slot(f)) == f
-        known = F.filter("_features", lambda f: found(f, one) | found(f, two))
-        known = F.transform(known, lambda f: F.when(found(f, one), one(f)).otherwise(two(f)))
-        tables = [self._array(t, "double") for t in self.table]
+        # Two look-ups, so that features are used twice and stay a column of their own: below a function with
+        # a lambda nothing is compiled, and dropping repeats there is slow. No feature is found twice.
+        first = F.transform(F.filter("_features", lambda f: found(f, one)), one)
+        second = F.transform(F.filter("_features", lambda f: found(f, two) & ~found(f, one)), two)
+        known = F.concat(first, second)
         reach = F.least(F.lit(1.0), F.col("_n_tokens") / self.typical)
-        odds = F.aggregate(
-            known,
-            F.array(*(F.lit(float(p)) + reach * float(a) for p, a in zip(self.prior, self.absent, strict=True))),
-            lambda s, f: F.array(*(F.get(s, F.lit(k)) + F.get(t, f) for k, t in enumerate(tables))),
-        )
+
+        # A sum of plain numbers for each domain: one sum of arrays would build an array for every feature.
+        def total(k: int, at: Column) -> Column:
+            table, start = self._array(self.table[k], "double"), F.lit(float(self.prior[k])) + reach * float(self.absent[k])
+            return F.aggregate(at, start, lambda t, slot: t + F.get(table, slot))
+
         # In steps of their own, so that each is worked out once.
-        shifted = F.transform(F.array(odds), lambda o: F.transform(o, lambda v: F.exp(v - F.array_max(o))))
+        odds = F.transform(F.array(known), lambda at: F.array(*(total(k, at) for k in range(len(self.names)))))
+        shifted = F.transform(odds, lambda o: F.transform(o, lambda v: F.exp(v - F.array_max(o))))
         return F.get(
             F.transform(shifted, lambda o: F.transform(o, lambda v: v / F.aggregate(o, F.lit(0.0), lambda t, w: t + w))), F.lit(0)
         )

@@ -1,6 +1,7 @@
 """What the methods promise beyond their results on one table."""
 
 import os
+import re
 import sys
 
 import numpy as np
@@ -253,6 +254,32 @@ def test_features_that_fall_on_one_slot_all_count(spark):
         assert p == pytest.approx((chance / chance.sum()).tolist())
 
 
+def test_mixing_reads_small_tables_and_compiles_the_dropping_of_repeats(spark):
+    model = mixing.Domains(["a", "b"], np.log([0.5, 0.5]), [1, 2, 3], np.full((3, 2), 0.5), 1.0)
+    assert len(model.slots) <= 64
+    docs = spark.createDataFrame([(1, "a a b")], "doc_id long, text string")
+    plan = mixing.with_features(docs, "text").select("doc_id", model.posteriors().alias("p"))
+    plan = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    distinct = [line for line in plan if "array_distinct(" in line]
+    # Below the look-ups it would run one value at a time, without compiled code.
+    assert len(distinct) == 1 and "filter(_features" not in distinct[0]
+
+
+def test_mixing_features_are_words_ends_and_repeats(spark):
+    texts = [None, "", " \t\n", "Ab", " ab\x0bAB ab\r\nxyzab ", "a a a", "a a b c d e", "a\xa0b \x1cc", "\u00c4\u00dc \u00e4\u00fc\U0001f600 \u0130x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = mixing.with_features(docs, "text").select("doc_id", "_n_tokens", F.sort_array("_features").alias("f")).orderBy("doc_id").collect()
+    lowered = [r[0] for r in docs.orderBy("doc_id").select(F.lower(F.coalesce("text", F.lit("")))).collect()]
+    words = [[w for w in re.split(r"[ \t-\r]+", t) if w] for t in lowered]
+    pieces = {(w,) for ws in words for w in ws} | {("end", w[-2:]) for ws in words for w in ws}
+    hashed = {p: spark.range(1).select(F.xxhash64(*map(F.lit, p))).first()[0] for p in pieces}
+    for ws, row in zip(words, rows, strict=True):
+        repeated = sum(a == b for a, b in zip(ws, ws[1:], strict=False))
+        wanted = {hashed[(w,)] for w in ws} | {hashed[("end", w[-2:])] for w in ws}
+        wanted |= ({1} if repeated else set()) | ({2} if 4 * repeated > len(ws) else set())
+        assert (row["_n_tokens"], row["f"]) == (len(ws), sorted(wanted))
+
+
 def test_rates_that_cannot_meet_their_targets_say_so(spark):
     members = spark.createDataFrame([(100, [1.0, 0.0])], "n_tokens long, posteriors array<double>")
     with pytest.warns(UserWarning, match="miss"):
